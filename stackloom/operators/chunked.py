@@ -1,0 +1,28 @@
+"""Running values over long ordered groups, worked on chunk by chunk.
+
+``chunk`` splits a group by its order column. The value up to a row is the
+value up to its chunk (a window over chunk totals, one row per chunk) combined
+with the value within the chunk. All steps share one partitioning by
+(group, chunk), so no task sees more than a chunk of a hot group.
+"""
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+KINDS = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+         "max": (F.max, lambda a, b: F.greatest(a, b))}
+
+
+def running_before(df: DataFrame, group: list[str], chunk: str, order: str, value: Column, kind: str, out: str,
+                   inclusive: bool = False) -> DataFrame:
+    """``kind`` of ``value`` over the rows before each row of its group (null at the start, 0 for sums)."""
+    fold, combine = KINDS[kind]
+    last = 0 if inclusive else -1
+    df = df.withColumn("_v", value)
+    totals = df.groupBy(*group, chunk).agg(fold("_v").alias("_t"))
+    earlier = W.partitionBy(*group).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select(*group, chunk, fold("_t").over(earlier).alias("_c"))
+    within = W.partitionBy(*group, chunk).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+    return (
+        df.withColumn("_w", fold("_v").over(within)).join(carried, [*group, chunk])
+        .withColumn(out, combine(F.col("_c"), F.col("_w"))).drop("_v", "_w", "_c")
+    )
