@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["trees"]
+MODULES = ["trees", "selections", "filtering", "scalars", "aggregates", "reports", "ingest"]
 
 
 def _collect(attribute: str) -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from stackloom.functions.scalar import labels_text
 from stackloom.operators.frames import frames
 from stackloom.operators.running import running_sum
+from stackloom.session import cut_lineage
 
 FRAME_GROUPS = ("function_name", "mapping_file", "location_address", "function_file_name", "timestamp")
 KEY_COLUMNS = ["labels_only", "labels", "symbolized", "name", "key_address", "key_mapping_file", "key_filename"]
@@ -200,6 +201,8 @@ def trim(tree: DataFrame, profile: DataFrame, percent: float, group_by=(), legac
     The result has the root re-totalled over what is kept (unless legacy). Its
     ``trimmed`` column counts, per node, the value cut directly below it.
     """
+    # the tree is read several times below and is small next to the samples
+    tree = cut_lineage(tree)
     fraction = F.lit(percent).cast("float") / F.lit(100).cast("float")
     whole = total(profile).select("value").scalar()
     parents = tree.select(F.col("node_id").alias("parent_id"),
@@ -244,6 +247,7 @@ def layout(tree: DataFrame, profile: DataFrame, group_by=()) -> DataFrame:
     ancestors, of the values of earlier siblings.
     """
     order = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("name", "labels", "key_mapping_file", "key_filename")]
+    tree = cut_lineage(tree)
     keyed = tree.where("depth > 0").withColumn(
         "sibling_order", F.struct(*order, F.coalesce("key_address", F.lit(0).cast("long")), F.col("node_id")))
     placed = running_sum(keyed, "parent_id", "sibling_order", "cumulative", "within_parent")

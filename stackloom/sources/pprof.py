@@ -191,16 +191,18 @@ class Export:
 
     def __init__(self, profile: DataFrame, is_diff: bool = False):
         labels = F.col("labels") if "labels" in profile.columns else F.create_map().cast(LABELS)
-        rows = profile.where(F.size("stacktrace") > 0).select(
+        # read by every section below
+        rows = cut_lineage(profile.where(F.size("stacktrace") > 0).select(
             (F.col("diff") if is_diff else F.col("value")).alias("value"), "stacktrace",
-            F.array_sort(F.map_entries(labels)).alias("labels"))
+            F.array_sort(F.map_entries(labels)).alias("labels")))
         keys = F.transform("stacktrace", lambda loc: _export_locations(loc)[0])
         merged = rows.groupBy(keys.alias("keys"), "labels").agg(F.sum("value").alias("value"))
         both = F.transform("stacktrace", lambda loc: F.struct(*[x.alias(n) for x, n in zip(_export_locations(loc), ("key", "info"))]))
         seen = rows.select(F.explode(F.array_distinct(both)).alias("l")).select("l.key", "l.info").distinct()
         # one witness per key: the least of its variants
+        seen = cut_lineage(seen)
         locations = dense_ids(seen.groupBy("key").agg(F.min("info").alias("info")), ["key"], "id")
-        found = locations.select("id", "key", "info")
+        found = cut_lineage(locations.select("id", "key", "info"))
         maps = dense_ids(
             found.where("key.mapping IS NOT NULL").groupBy("key.mapping").agg(F.min(F.struct(
                 F.col("info.start").alias("start"), F.col("info.limit").alias("limit"),
@@ -208,7 +210,8 @@ class Export:
             ["mapping"], "id")
         fn = ["name", "system_name", "filename", "start_line"]
         lines = found.select(F.col("id").alias("location"), F.posexplode("info.lines").alias("pos", "l"))
-        functions = dense_ids(lines.where("l.known").select(*[F.col(f"l.{c}").alias(c) for c in fn]).distinct(), fn, "id")
+        named = seen.select(F.explode("info.lines").alias("l")).where("l.known")
+        functions = cut_lineage(dense_ids(named.select(*[F.col(f"l.{c}").alias(c) for c in fn]).distinct(), fn, "id"))
         texts = [functions.select(F.explode(F.array("name", "system_name", "filename")).alias("text")),
                  maps.select(F.explode(F.array("m.file", "m.build_id")).alias("text")),
                  merged.select(F.explode("labels").alias("e")).select(F.explode(F.array("e.key", "e.value")).alias("text"))]
