@@ -48,16 +48,12 @@ def _mappings(s, d):
 
 
 def _locations(s, d):
-    c = F.col
-    line = F.struct((c("p_partkey") + 1).alias("function_id"), c("p_size").cast("long").alias("line"),
-                    F.lit(0).cast("long").alias("column"))
-    outer = F.struct((c("p_partkey") % 7 + 1).alias("function_id"), F.lit(9).cast("long").alias("line"),
-                     F.lit(0).cast("long").alias("column"))
-    lines = F.when(c("p_partkey") % 3 == 0, F.array().cast("array<struct<function_id:bigint,line:bigint,column:bigint>>")).when(
-        c("p_partkey") % 3 == 1, F.array(line)).otherwise(F.array(line, outer))
-    return table(s, d, "part").select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias(P), (c("p_partkey") + 1).alias("id"),
-        (c("p_partkey") % 26).alias("mapping_id"), (c("p_partkey") + 4096).alias("address"), lines.alias("lines"))
+    line = "named_struct('function_id', {}, 'line', cast({} AS bigint), 'column', 0L)".format
+    own, outer = line("p_partkey + 1", "p_size"), line("p_partkey % 7 + 1", "9")
+    return table(s, d, "part").selectExpr(
+        f"explode(array(0L, 1L, 2L)) AS {P}", "p_partkey + 1 AS id", "p_partkey % 26 AS mapping_id",
+        "p_partkey + 4096 AS address",
+        f"slice(array({own}, {outer}), 1, cast(p_partkey % 3 AS int)) AS lines")
 
 
 def _samples(s, d):

@@ -9,35 +9,23 @@ def has_lines(location: Column) -> Column:
     return F.coalesce(F.size(location["lines"]), F.lit(0)) > 0
 
 
-def _frame(loc: Column, li: Column, line: Column | None, ki: Column, n: Column) -> Column:
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
-    return F.struct(
-        F.lit(line is not None).alias("symbolized"),
-        (line["function_name"] if line is not None else text).alias("name"),
-        (line["function_system_name"] if line is not None else text).alias("system_name"),
-        (line["function_filename"] if line is not None else text).alias("filename"),
-        (line["line"] if line is not None else number).alias("line"),
-        (line["function_start_line"] if line is not None else number).alias("start_line"),
-        loc["address"].alias("address"),
-        loc["mapping_file"].alias("mapping_file"),
-        loc["mapping_build_id"].alias("mapping_build_id"),
-        loc["mapping_start"].isNotNull().alias("has_mapping"),
-        (ki < n - 1).alias("inlined"),
-        li.alias("location"),
-        ki.alias("position"),
-    )
-
-
-def frames(stack) -> Column:
+FRAME = """named_struct('symbolized', {symbolized}, 'name', {name}, 'system_name', {system_name},
+  'filename', {filename}, 'line', {line}, 'start_line', {start_line}, 'address', loc.address,
+  'mapping_file', loc.mapping_file, 'mapping_build_id', loc.mapping_build_id,
+  'has_mapping', loc.mapping_start IS NOT NULL, 'inlined', {inlined}, 'location', li, 'position', {position})"""
+OF_LINE = FRAME.format(
+    symbolized="true", name="x.function_name", system_name="x.function_system_name", filename="x.function_filename",
+    line="x.line", start_line="x.function_start_line", inlined="k < size(loc.lines) - 1", position="k")
+OF_ADDRESS = FRAME.format(
+    symbolized="false", name="cast(null AS string)", system_name="cast(null AS string)",
+    filename="cast(null AS string)", line="cast(null AS bigint)", start_line="cast(null AS bigint)",
+    inlined="false", position="0")
+
+
+def frames(stack: str = "stacktrace") -> Column:
     """Frames of a stack, leaf first; an unsymbolised location is one frame without a name."""
-
-    def expand(loc, li):
-        n = F.size(loc["lines"])
-        return F.when(
-            has_lines(loc), F.transform(loc["lines"], lambda line, k: _frame(loc, li, line, k, n))
-        ).otherwise(F.array(_frame(loc, li, None, F.lit(0), F.lit(1))))
-
-    return F.flatten(F.transform(col(stack), expand))
+    return F.expr(f"""flatten(transform({stack}, (loc, li) -> CASE WHEN coalesce(size(loc.lines), 0) > 0
+      THEN transform(loc.lines, (x, k) -> {OF_LINE}) ELSE array({OF_ADDRESS}) END))""")
 
 
 def lines(stack) -> Column:

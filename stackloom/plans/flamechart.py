@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stackloom.functions.scalar import int_div, labels_text
 from stackloom.operators.chunked import running_before
-from stackloom.plans.flamegraph import check_group_by, frame_text, stack_paths
+from stackloom.plans.flamegraph import check_group_by, frame_text_sql, stack_paths
 
 CHUNK_NANOS = 600_000_000_000
 
@@ -68,7 +68,7 @@ def timed_paths(profile: DataFrame, group_by=()) -> DataFrame:
     return stack_paths(marked, frame_groups, carry=["_series", "time_nanos", "period"]).select(
         F.col("_series").alias("series"), "time_nanos", "value", "period",
         F.slice(F.transform("ids", lambda i: i["hi"]), F.lit(2), F.size("path")).alias("keys"),
-        F.transform("path", lambda f: frame_text(f)).alias("names"))
+        F.expr(f"transform(path, f -> {frame_text_sql('f.')}) AS names"))
 
 
 def segments(paths: DataFrame, chunk_nanos: int = CHUNK_NANOS) -> DataFrame:

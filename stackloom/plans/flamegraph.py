@@ -28,88 +28,63 @@ def check_group_by(group_by) -> list[str]:
     return [f.removeprefix("labels.") for f in group_by if f.startswith("labels.")]
 
 
-def _node(hi, lo) -> Column:
-    return F.struct(hi.cast("long").alias("hi"), lo.cast("long").alias("lo"))
+ROOT = "named_struct('hi', 0L, 'lo', 1L)"
+# null parts leave a hash unchanged, so each nullable part is led by its presence
+KEY_VALUES = "f.symbolized, " + ", ".join(
+    f"f.{k} IS NULL, f.{k}" for k in ("labels", "name", "key_mapping_file", "key_filename", "key_address"))
 
 
 def root_id() -> Column:
-    return _node(F.lit(0), F.lit(1))
-
-
-def _child(parent: Column, key: list[Column]) -> Column:
-    return _node(F.xxhash64(parent["hi"], *key), F.xxhash64(*key, parent["lo"], F.lit(7)))
-
-
-def _keyed(f: Column, group_by) -> Column:
-    """The frame with the columns that decide its identity among its siblings."""
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
-    grouped = lambda field, c, none: F.when(f["symbolized"], c).otherwise(none) if field in group_by else none
-    address = f["address"] if "location_address" in group_by else F.when(~f["symbolized"], f["address"])
-    return F.struct(
-        F.lit(False).alias("labels_only"),
-        text.alias("labels"),
-        f["symbolized"].alias("symbolized"),
-        f["name"].alias("name"),
-        address.alias("key_address"),
-        grouped("mapping_file", f["mapping_file"], text).alias("key_mapping_file"),
-        grouped("function_file_name", f["filename"], text).alias("key_filename"),
-        *[f[m].alias(m) for m in META_COLUMNS],
-    )
+    return F.expr(ROOT)
+
+
+def _keyed(group_by, metas) -> str:
+    """The frame ``f`` with the columns that decide its identity among its siblings."""
+    grouped = lambda field, c: f"if(f.symbolized, {c}, null)" if field in group_by else "cast(null AS string)"
+    address = "f.address" if "location_address" in group_by else "if(f.symbolized, null, f.address)"
+    return f"""named_struct('labels_only', false, 'labels', cast(null AS string), 'symbolized', f.symbolized, 'name', f.name,
+      'key_address', {address}, 'key_mapping_file', {grouped("mapping_file", "f.mapping_file")},
+      'key_filename', {grouped("function_file_name", "f.filename")}{"".join(f", '{m}', f.{m}" for m in metas)})"""
+
+
+TYPES = {k: "bigint" for k in ("key_address", "address", "line", "start_line")} | {"inlined": "boolean"}
+
+
+def _empty_frame(metas, **values) -> str:
+    """A node without a frame: the root, or a label node."""
+    values = {"labels_only": "false", "symbolized": "false"} | values
+    return ", ".join(f"'{k}', {values.get(k, f'cast(null AS {TYPES.get(k, "string")})')}" for k in KEY_COLUMNS + metas)
 
 
-def frame_text(f=None) -> Column:
+def frame_text(f: str = "") -> Column:
     """How a node is listed: its function, its labels, or its address."""
-    get = (lambda k: F.col(k)) if f is None else (lambda k: f[k])
-    return F.when(get("symbolized"), get("name")).when(get("labels_only"), get("labels")).otherwise(
-        F.concat(F.lit("0x"), F.lower(F.hex(get("key_address")))))
-
-
-def _label_frame(text_of_labels: Column) -> Column:
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
-    return F.struct(
-        F.lit(True).alias("labels_only"),
-        text_of_labels.alias("labels"),
-        F.lit(False).alias("symbolized"),
-        text.alias("name"),
-        number.alias("key_address"),
-        text.alias("key_mapping_file"),
-        text.alias("key_filename"),
-        text.alias("mapping_file"),
-        text.alias("mapping_build_id"),
-        number.alias("address"),
-        number.alias("line"),
-        number.alias("start_line"),
-        text.alias("system_name"),
-        text.alias("filename"),
-        F.lit(None).cast("boolean").alias("inlined"),
-    )
+    return F.expr(frame_text_sql(f))
 
 
-def _key_values(f: Column) -> list[Column]:
-    # nulls leave xxhash64 unchanged, so each nullable part is led by its presence
-    parts = [f["symbolized"]]
-    for k in ("labels", "name", "key_mapping_file", "key_filename", "key_address"):
-        parts += [f[k].isNull(), f[k]]
-    return parts
+def frame_text_sql(f: str = "") -> str:
+    return (f"CASE WHEN {f}symbolized THEN {f}name WHEN {f}labels_only THEN {f}labels "
+            f"ELSE concat('0x', lower(hex({f}key_address))) END")
 
 
-def stack_paths(profile: DataFrame, group_by=(), carry=()) -> DataFrame:
+def stack_paths(profile: DataFrame, group_by=(), carry=(), metas=()) -> DataFrame:
     """One row per profile row: its root-first frames and the node ids of all its prefixes.
 
     ``ids`` starts with the root's id, so ``ids[i]`` is the parent of ``path[i]``.
     """
+    metas = list(metas)
     label_names = check_group_by(group_by)
-    diff = F.col("diff") if "diff" in profile.columns else F.lit(0).cast("long")
-    path = F.transform(F.reverse(frames("stacktrace")), lambda f: _keyed(f, group_by))
-    rows = profile.select(F.col("value"), diff.alias("diff"), path.alias("path"),
-                          *([F.col("labels")] if label_names else []), *carry)
+    diff = F.col("diff") if "diff" in profile.columns else F.lit(0).cast("long").alias("diff")
+    rows = profile.select("value", diff, *carry, frames("stacktrace").alias("frames"),
+                          *([labels_text(F.map_filter("labels", lambda k, _: k.isin(label_names))).alias("text")]
+                            if label_names else []))
+    path = f"transform(reverse(frames), f -> {_keyed(group_by, metas)})"
     if label_names:
-        text = labels_text(F.map_filter("labels", lambda k, _: k.isin(label_names)))
-        rows = rows.withColumn("path", F.when(text == "", F.col("path")).otherwise(
-            F.concat(F.array(_label_frame(text)), F.col("path")))).drop("labels")
-    ids = F.aggregate("path", F.array(root_id()),
-                      lambda acc, f: F.array_append(acc, _child(F.element_at(acc, -1), _key_values(f))))
-    return rows.withColumn("ids", ids)
+        label_frame = f"named_struct({_empty_frame(metas, labels_only='true', labels='text')})"
+        path = f"concat(if(text = '', array(), array({label_frame})), {path})"
+    rows = rows.selectExpr("value", "diff", *carry, f"{path} AS path")
+    child = (f"named_struct('hi', xxhash64(element_at(acc, -1).hi, {KEY_VALUES}), "
+             f"'lo', xxhash64({KEY_VALUES}, element_at(acc, -1).lo, 7))")
+    return rows.selectExpr("*", f"aggregate(path, array({ROOT}), (acc, f) -> array_append(acc, {child})) AS ids")
 
 
 def flamegraph(profile: DataFrame, group_by=(), meta: bool = False) -> DataFrame:
@@ -120,20 +95,14 @@ def flamegraph(profile: DataFrame, group_by=(), meta: bool = False) -> DataFrame
     node *and* metadata, which is a small multiple of the node count, so the
     min/max reconciliation runs on already collapsed data.
     """
-    paths = stack_paths(profile, group_by)
     metas = META_COLUMNS if meta else []
-    below = F.transform(
-        F.col("path"),
-        lambda f, i: F.struct(
-            F.element_at("ids", (i + 2).cast("int")).alias("node_id"),
-            F.element_at("ids", (i + 1).cast("int")).alias("parent_id"),
-            (i + 1).cast("int").alias("depth"),
-            ((i + 1) == F.size("path")).alias("leaf"),
-            F.when(i > 0, frame_text(F.element_at("path", i))).alias("parent"),
-            *[f[k].alias(k) for k in KEY_COLUMNS + metas],
-        ),
-    )
-    exploded = paths.select("value", "diff", F.inline(F.concat(F.array(_root_node(metas)), below)))
+    paths = stack_paths(profile, group_by, metas=metas)
+    fields = "".join(f", '{k}', f.{k}" for k in KEY_COLUMNS + metas)
+    exploded = paths.selectExpr("value", "diff", f"""inline(concat(
+      array(named_struct('node_id', {ROOT}, 'parent_id', named_struct('hi', cast(null AS bigint), 'lo', cast(null AS bigint)),
+        'depth', 0, 'leaf', size(path) = 0, 'parent', cast(null AS string), {_empty_frame(metas)})),
+      transform(path, (f, i) -> named_struct('node_id', ids[i + 1], 'parent_id', ids[i], 'depth', i + 1,
+        'leaf', i + 1 = size(path), 'parent', if(i > 0, {frame_text_sql("get(path, i - 1).")}, null){fields}))))""")
     # stacks without frames hang nowhere, so they add nothing to the root
     counts = (F.col("depth") > 0) | ~F.col("leaf")
     flat = F.when((F.col("depth") > 0) & F.col("leaf") & ~F.col("labels_only"), F.col("value")).otherwise(0)
@@ -155,20 +124,6 @@ def flamegraph(profile: DataFrame, group_by=(), meta: bool = False) -> DataFrame
     )
 
 
-def _root_node(metas) -> Column:
-    types = {"symbolized": F.lit(False), "labels_only": F.lit(False), "inlined": F.lit(None).cast("boolean")}
-    types |= {k: F.lit(None).cast("long") for k in ("key_address", "address", "line", "start_line")}
-    none = F.lit(None)
-    return F.struct(
-        root_id().alias("node_id"),
-        F.struct(none.cast("long").alias("hi"), none.cast("long").alias("lo")).alias("parent_id"),
-        F.lit(0).alias("depth"),
-        (F.size("path") == 0).alias("leaf"),
-        none.cast("string").alias("parent"),
-        *[types.get(k, none.cast("string")).alias(k) for k in KEY_COLUMNS + metas],
-    )
-
-
 def total(profile: DataFrame) -> DataFrame:
     """Totals of a profile; stacks without frames count."""
     diff = F.col("diff") if "diff" in profile.columns else F.lit(0).cast("long")

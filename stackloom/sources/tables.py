@@ -5,11 +5,25 @@ Every registered query runs on these, so its work grows with the tables.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stackloom.functions.scalar import int_div
+
+# Schemas of the tables in use; without them every read costs a job over the footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -29,19 +43,10 @@ def epoch_micros(ts: str) -> Column:
     )
 
 
-def _millis(nanos: Column) -> Column:
-    return int_div(nanos, 1_000_000)
-
-
-def _line(line, name, system_name, filename, start_line) -> Column:
-    return F.struct(
-        line.cast("long").alias("line"),
-        F.lit(0).cast("long").alias("column"),
-        name.alias("function_name"),
-        system_name.alias("function_system_name"),
-        filename.alias("function_filename"),
-        start_line.cast("long").alias("function_start_line"),
-    )
+def _line(line: str, name: str, system_name: str, filename: str, start_line: str) -> str:
+    return (f"named_struct('line', cast({line} as bigint), 'column', 0L, 'function_name', {name}, "
+            f"'function_system_name', {system_name}, 'function_filename', {filename}, "
+            f"'function_start_line', cast({start_line} as bigint))")
 
 
 LINE_ARRAY = (
@@ -50,16 +55,10 @@ LINE_ARRAY = (
 )
 
 
-def _location(address, start, limit, offset, file, build_id, lines) -> Column:
-    return F.struct(
-        address.cast("long").alias("address"),
-        start.cast("long").alias("mapping_start"),
-        limit.cast("long").alias("mapping_limit"),
-        offset.cast("long").alias("mapping_offset"),
-        file.alias("mapping_file"),
-        build_id.alias("mapping_build_id"),
-        lines.cast(LINE_ARRAY).alias("lines"),
-    )
+def _location(address: str, start: str, limit: str, offset: str, file: str, build_id: str, lines: str) -> str:
+    return (f"named_struct('address', cast({address} as bigint), 'mapping_start', cast({start} as bigint), "
+            f"'mapping_limit', cast({limit} as bigint), 'mapping_offset', cast({offset} as bigint), "
+            f"'mapping_file', {file}, 'mapping_build_id', {build_id}, 'lines', cast({lines} as {LINE_ARRAY}))")
 
 
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,116 +67,50 @@ def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     Exercises the awkward cases: unsymbolised leaves, absent and empty labels,
     a frame without mapping, recursion, empty stacks.
     """
-    c = F.col
     joined = (
         spread(table(spark, sf_dir, "lineitem"))
-        .join(table(spark, sf_dir, "orders"), c("l_orderkey") == c("o_orderkey"))
-        .join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
-        .join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey"))
-        .join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
-    )
-    lib = F.concat(F.lit("/usr/lib/"), F.lower("r_name"), F.lit(".so"))
-    build = F.concat(F.lit("b"), c("r_regionkey").cast("string"))
-    zero, none = F.lit(0), F.lit(None).cast("string")
-    lib_end = F.lit(1_000_000) + c("r_regionkey") * 100
-    type_file = F.concat(F.lit("src/"), F.lower("p_type"), F.lit(".go"))
-
-    leaf = _location(
-        F.lit(4096) + c("p_size") * 16, zero, lib_end, zero, lib, build,
-        F.when(c("p_size") % 4 == 0, F.array()).otherwise(
-            F.array(
-                _line(c("p_size"), c("p_brand"), F.concat(F.lit("_"), c("p_brand")), type_file,
-                      c("p_size") - c("p_size") % 10)
-            )
-        ),
-    )
-    kind = _location(
-        F.lit(200_000) + F.length("p_type") * 64, zero, lib_end, zero, lib, build,
-        F.array(
-            _line(c("l_linenumber"), c("p_type"), none, type_file, F.lit(1)),
-            _line(F.lit(100) + c("l_linenumber"), F.lit("type_dispatch"), F.lit("_dispatch"),
-                  F.lit("src/dispatch.go"), F.lit(100)),
-        ),
-    )
-    nation = _location(
-        F.lit(500_000) + c("n_nationkey"), F.lit(400_000), F.lit(600_000), F.lit(4096),
-        F.lit("/usr/bin/app"), F.lit("app"),
-        F.array(_line(c("n_nationkey"), c("n_name"), c("n_name"), F.lit("/go/src/nation.go"), F.lit(5))),
-    )
-    null_long = F.lit(None).cast("long")
-    region = _location(
-        F.lit(700_000) + c("r_regionkey"),
-        F.when(c("r_regionkey") == 0, null_long).otherwise(F.lit(700_000)),
-        F.when(c("r_regionkey") == 0, null_long).otherwise(F.lit(800_000)),
-        F.when(c("r_regionkey") == 0, null_long).otherwise(zero),
-        F.when(c("r_regionkey") == 0, none).otherwise(F.lit("/usr/lib/libc.so.6")),
-        F.when(c("r_regionkey") == 0, none).otherwise(F.lit("libc")),
-        F.array(_line(c("r_regionkey"), c("r_name"), c("r_name"), F.lit("/go/src/region.go"), F.lit(7))),
-    )
-    stack = (
-        F.when(c("l_quantity") == 50, F.array())
-        .when(c("r_regionkey") == 4, F.array(leaf, kind, nation, region, region))
-        .otherwise(F.array(leaf, kind, nation, region))
-    )
-    zone = F.when(c("n_nationkey") % 3 == 2, F.lit("")).otherwise(
-        F.concat(F.lit("z"), (c("n_nationkey") % 3).cast("string"))
-    )
-    labels = F.map_filter(
-        F.create_map(
-            F.lit("priority"), c("o_orderpriority"),
-            F.lit("returnflag"), c("l_returnflag"),
-            F.lit("segment"), F.when(c("c_mktsegment") != "BUILDING", c("c_mktsegment")),
-            F.lit("zone"), zone,
-        ),
-        lambda _, v: v.isNotNull(),
-    )
-    nanos = epoch_micros("l_shipdate") * 1000
-    return joined.select(
-        F.lit("process_cpu").alias("name"),
-        F.lit("samples").alias("sample_type"),
-        F.lit("count").alias("sample_unit"),
-        F.lit("cpu").alias("period_type"),
-        F.lit("nanoseconds").alias("period_unit"),
-        F.lit(100).cast("long").alias("period"),
-        F.when(c("l_linestatus") == "F", F.lit(10_000_000_000)).otherwise(F.lit(0)).cast("long").alias("duration"),
-        _millis(nanos).alias("timestamp"),
-        nanos.alias("time_nanos"),
-        c("l_quantity").cast("long").alias("value"),
-        labels.alias("labels"),
-        stack.alias("stacktrace"),
+        .join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+        .join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
+    lib, build = "concat('/usr/lib/', lower(r_name), '.so')", "concat('b', cast(r_regionkey as string))"
+    lib_end, type_file = "1000000 + r_regionkey * 100", "concat('src/', lower(p_type), '.go')"
+    if_mapped = lambda x: f"CASE WHEN r_regionkey <> 0 THEN {x} END"
+    leaf_line = _line("p_size", "p_brand", "concat('_', p_brand)", type_file, "p_size - p_size % 10")
+    leaf = _location("4096 + p_size * 16", "0", lib_end, "0", lib, build,
+                     f"CASE WHEN p_size % 4 = 0 THEN array() ELSE array({leaf_line}) END")
+    kind = _location("200000 + length(p_type) * 64", "0", lib_end, "0", lib, build, "array(" + ", ".join([
+        _line("l_linenumber", "p_type", "cast(null as string)", type_file, "1"),
+        _line("100 + l_linenumber", "'type_dispatch'", "'_dispatch'", "'src/dispatch.go'", "100")]) + ")")
+    nation = _location("500000 + n_nationkey", "400000", "600000", "4096", "'/usr/bin/app'", "'app'",
+                       f"array({_line('n_nationkey', 'n_name', 'n_name', repr('/go/src/nation.go'), '5')})")
+    region = _location("700000 + r_regionkey", if_mapped("700000"), if_mapped("800000"), if_mapped("0"),
+                       if_mapped("'/usr/lib/libc.so.6'"), if_mapped("'libc'"),
+                       f"array({_line('r_regionkey', 'r_name', 'r_name', repr('/go/src/region.go'), '7')})")
+    return joined.withColumn("time_nanos", epoch_micros("l_shipdate") * 1000).selectExpr(
+        "'process_cpu' AS name", "'samples' AS sample_type", "'count' AS sample_unit", "'cpu' AS period_type",
+        "'nanoseconds' AS period_unit", "100L AS period",
+        "CASE WHEN l_linestatus = 'F' THEN 10000000000L ELSE 0L END AS duration",
+        "time_nanos DIV 1000000L AS timestamp", "time_nanos", "cast(l_quantity AS bigint) AS value",
+        """map_filter(map('priority', o_orderpriority, 'returnflag', l_returnflag,
+             'segment', CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END,
+             'zone', CASE WHEN n_nationkey % 3 = 2 THEN '' ELSE concat('z', cast(n_nationkey % 3 AS string)) END),
+             (k, v) -> v IS NOT NULL) AS labels""",
+        f"""CASE WHEN l_quantity = 50 THEN array()
+             WHEN r_regionkey = 4 THEN array({leaf}, {kind}, {nation}, {region}, {region})
+             ELSE array({leaf}, {kind}, {nation}, {region}) END AS stacktrace""")
 
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as wall-clock samples with a dense, irregular time axis and no binaries."""
-    c = F.col
-    none, null_long = F.lit(None).cast("string"), F.lit(None).cast("long")
-    k = F.get_json_object("props", "$.k").cast("long")
-
-    def plain(name):
-        return _location(
-            F.lit(0), null_long, null_long, null_long, none, none,
-            F.array(_line(F.lit(1), name, name, F.lit("events.py"), F.lit(1))),
-        )
-
-    group = F.concat(F.lit("k"), int_div(k, 10).cast("string"))
-    nanos = epoch_micros("ts") * 1000
-    return spread(table(spark, sf_dir, "events")).select(
-        F.lit("events").alias("name"),
-        F.lit("wall").alias("sample_type"),
-        F.lit("nanoseconds").alias("sample_unit"),
-        F.lit("wall").alias("period_type"),
-        F.lit("nanoseconds").alias("period_unit"),
-        F.lit(60_000_000_000).cast("long").alias("period"),
-        F.lit(0).cast("long").alias("duration"),
-        _millis(nanos).alias("timestamp"),
-        nanos.alias("time_nanos"),
-        F.floor(c("value")).cast("long").alias("value"),
-        F.create_map(
-            F.lit("user"), c("user_id").cast("string"),
-            F.lit("kind"), c("event_type"),
-            F.lit("shard"), (c("user_id") % 4).cast("string"),
-        ).alias("labels"),
-        F.array(plain(group), plain(c("event_type"))).alias("stacktrace"),
-    )
+    plain = lambda name: _location("0", "null", "null", "null", "cast(null as string)", "cast(null as string)",
+                                   f"array({_line('1', name, name, repr('events.py'), '1')})")
+    group = "concat('k', cast(cast(get_json_object(props, '$.k') AS bigint) DIV 10 AS string))"
+    return spread(table(spark, sf_dir, "events")).withColumn("time_nanos", epoch_micros("ts") * 1000).selectExpr(
+        "'events' AS name", "'wall' AS sample_type", "'nanoseconds' AS sample_unit", "'wall' AS period_type",
+        "'nanoseconds' AS period_unit", "60000000000L AS period", "0L AS duration",
+        "time_nanos DIV 1000000L AS timestamp", "time_nanos", "cast(floor(value) AS bigint) AS value",
+        "map('user', cast(user_id AS string), 'kind', event_type, 'shard', cast(user_id % 4 AS string)) AS labels",
+        f"array({plain(group)}, {plain('event_type')}) AS stacktrace")
