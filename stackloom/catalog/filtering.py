@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stackloom.functions.scalar import record
 from stackloom.catalog.base import LINE_FRAMES
 from stackloom.operators import filters as flt
 from stackloom.operators.filters import Condition, Criteria
@@ -32,7 +33,7 @@ def _frame(*criteria):
 def _conditions(s, d):
     """Every text condition on every function name occurrence, against a mixed-case constant."""
     names = line_samples(s, d).select("value", F.inline(F.transform(
-        F.filter(frames("stacktrace"), lambda f: f["name"].isNotNull()), lambda f: F.struct(f["name"].alias("name")))))
+        F.filter(frames("stacktrace"), lambda f: f["name"].isNotNull()), lambda f: record(name=f["name"]))))
     tests = {"equal": "ecoNOMY", "not_equal": "ecoNOMY", "contains": "AND#1", "not_contains": "AND#1",
              "starts_with": "nation_1", "not_starts_with": "nation_1"}
     return names.groupBy("name").agg(F.sum("value").alias("total")).select(
@@ -40,8 +41,8 @@ def _conditions(s, d):
 
 
 def _numbers(s, d):
-    rows = line_samples(s, d).select("value", F.inline(F.transform("stacktrace", lambda x: F.struct(
-        x["address"].alias("address")))))
+    rows = line_samples(s, d).select("value", F.inline(F.transform("stacktrace", lambda x: record(
+        address=x["address"]))))
     return rows.groupBy("address").agg(F.sum("value").alias("total")).select(
         "address", "total", Condition("equal", 500003).test(F.col("address")).alias("equal"),
         Condition("not_equal", 500003).test(F.col("address")).alias("not_equal"))

@@ -10,7 +10,7 @@ from stackloom.sources import dictionary as dic
 from stackloom.sources.arrow import ingest_arrow_v1
 from stackloom.sources.labels import exported_labels, label_errors
 from stackloom.sources.otlp import explode_timestamps
-from stackloom.functions.scalar import labels_text
+from stackloom.functions.scalar import labels_text, record
 from stackloom.sources.tables import epoch_micros, line_samples, table
 
 P = "profile_id"
@@ -25,9 +25,9 @@ def _strings(s, d):
     part = table(s, d, "part")
     own = part.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias(P), "p_partkey", "p_name", "p_brand", "p_type")
     texts = own.select(P, F.inline(F.array(
-        F.struct((F.col("p_partkey") * 4 + 1).alias("idx"), F.col("p_name").alias("text")),
-        F.struct((F.col("p_partkey") * 4 + 2).alias("idx"), F.col("p_brand").alias("text")),
-        F.struct((F.col("p_partkey") * 4 + 3).alias("idx"), F.concat("p_type", F.lit(".go")).alias("text")))))
+        record(idx=F.col("p_partkey") * 4 + 1, text=F.col("p_name")),
+        record(idx=F.col("p_partkey") * 4 + 2, text=F.col("p_brand")),
+        record(idx=F.col("p_partkey") * 4 + 3, text=F.concat("p_type", F.lit(".go"))))))
     return texts.unionByName(s.range(3).select(F.col("id").alias(P), F.lit(0).cast("long").alias("idx"), F.lit("").alias("text")))
 
 
@@ -75,7 +75,7 @@ def _resolve(s, d):
 
 def _unpivot(s, d):
     c = F.col
-    kinds = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(u).alias("unit")) for t, u in (
+    kinds = F.array(*[record(type=F.lit(t), unit=F.lit(u)) for t, u in (
         ("samples", "count"), ("cpu", "nanoseconds"), ("alloc", "bytes"))])
     rows = table(s, d, "lineitem").select(
         "l_orderkey", F.array(c("l_quantity").cast("long"), ((c("l_linenumber") - 1) * 100).cast("long"),
@@ -96,7 +96,7 @@ def _validate(s, d):
 
 def _label_dups(s, d):
     c = F.col
-    pair = lambda n, v: F.struct(n.alias("name"), v.alias("value"))
+    pair = lambda n, v: record(name=n, value=v)
     labels = F.array(
         pair(F.when(c("o_orderkey") % 5 == 0, "other").otherwise(F.lit("__name__")), F.when(c("o_orderkey") % 7 == 0, "").otherwise(F.lit("cpu"))),
         pair(F.lit("status"), c("o_orderstatus")),
@@ -106,7 +106,7 @@ def _label_dups(s, d):
 
 def _exported(s, d):
     c = F.col
-    pair = lambda n, v: F.struct(n.alias("name"), v.alias("value"))
+    pair = lambda n, v: record(name=n, value=v)
     series = F.create_map(F.lit("status"), c("o_orderstatus"), F.lit("exported_zone"), F.lit("x"))
     own = F.array(pair(F.lit("status"), c("o_orderpriority")), pair(F.lit("zo-ne"), F.lit("a")),
                   pair(F.lit("zo.ne"), F.lit("b")), pair(F.lit("exported_status"), F.lit("e")),
@@ -129,12 +129,12 @@ def _stacktrace_ids(s, d):
     part = table(s, d, "part")
     locations = part.select(
         c("p_partkey").cast("string").alias("stacktrace_id"), F.lit(True).alias("is_complete"),
-        F.transform(F.array(c("p_partkey") + 4096, c("p_size").cast("long")), lambda a: F.struct(
-            a.alias("address"), F.lit(None).cast("long").alias("mapping_start"), F.lit(None).cast("long").alias("mapping_limit"),
-            F.lit(None).cast("long").alias("mapping_offset"), F.lit(None).cast("string").alias("mapping_file"),
-            F.lit(None).cast("string").alias("mapping_build_id"),
-            F.array().cast("array<struct<line:bigint,column:bigint,function_name:string,function_system_name:string,"
-                           "function_filename:string,function_start_line:bigint>>").alias("lines"))).alias("locations"))
+        F.transform(F.array(c("p_partkey") + 4096, c("p_size").cast("long")), lambda a: record(
+            address=a, mapping_start=F.lit(None).cast("long"), mapping_limit=F.lit(None).cast("long"),
+            mapping_offset=F.lit(None).cast("long"), mapping_file=F.lit(None).cast("string"),
+            mapping_build_id=F.lit(None).cast("string"),
+            lines=F.array().cast("array<struct<line:bigint,column:bigint,function_name:string,function_system_name:string,"
+                           "function_filename:string,function_start_line:bigint>>"))).alias("locations"))
     samples = table(s, d, "lineitem").select(
         F.lit("agent").alias("producer"), F.lit("samples").alias("sample_type"), F.lit("count").alias("sample_unit"),
         F.lit("cpu").alias("period_type"), F.lit("nanoseconds").alias("period_unit"), F.lit(100).cast("long").alias("period"),
@@ -151,9 +151,9 @@ def _symbols(s, d):
     c = F.col
     size = F.when(c("p_partkey") % 7 == 0, 0).when(c("p_partkey") % 3 == 0, 30).otherwise(200).cast("long")
     both = F.array(
-        F.struct(F.concat(F.lit("__"), c("p_name")).alias("name"), F.lit("GLOBAL").alias("bind"), size.alias("size")),
-        F.struct(c("p_name").alias("name"), F.when(c("p_partkey") % 2 == 0, "WEAK").otherwise("GLOBAL").alias("bind"),
-                 size.alias("size")))
+        record(name=F.concat(F.lit("__"), c("p_name")), bind=F.lit("GLOBAL"), size=size),
+        record(
+            name=c("p_name"), bind=F.when(c("p_partkey") % 2 == 0, "WEAK").otherwise("GLOBAL"), size=size))
     return table(s, d, "part").select(
         F.concat(F.lit("b"), (c("p_partkey") % 5).cast("string")).alias("build_id"), (c("p_partkey") * 40 + 4096).alias("value"),
         F.when(c("p_size") == 13, "OBJECT").otherwise("FUNC").alias("type"), F.lit(True).alias("defined"), F.inline(both))

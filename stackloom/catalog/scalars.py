@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stackloom.functions.scalar import record
 from stackloom.catalog.base import EVENT, LINE, LINE_FRAMES
 from stackloom.functions import keys, scalar
 from stackloom.operators.frames import frames
@@ -51,8 +52,8 @@ def _mapping_ids(s, d):
 
 def _headers(s, d):
     """Per binary (one of five types of file) three load segments."""
-    h = lambda off, vaddr, size: F.struct(F.lit(off).cast("long").alias("off"), F.lit(vaddr).cast("long").alias("vaddr"),
-                                          F.lit(size).cast("long").alias("memsz"))
+    h = lambda off, vaddr, size: record(
+        off=F.lit(off).cast("long"), vaddr=F.lit(vaddr).cast("long"), memsz=F.lit(size).cast("long"))
     kinds = F.array(F.lit("EXEC"), F.lit("DYN"), F.lit("REL"), F.lit("DYN"), F.lit("CORE"))
     return table(s, d, "region").select(
         F.concat(F.lit("b"), F.col("r_regionkey").cast("string")).alias("build_id"),

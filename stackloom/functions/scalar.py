@@ -11,6 +11,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def record(**fields) -> Column:
+    """A struct with the given field names."""
+    return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+
+
 def int_div(a, b) -> Column:
     """64-bit integer division, truncating toward zero (``/`` would go through double)."""
     b = F.lit(b) if isinstance(b, int) else col(b)

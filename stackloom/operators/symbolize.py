@@ -7,7 +7,7 @@ text_header (index or -1), and an array of (off, vaddr, memsz) per binary.
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from stackloom.functions.scalar import PAGE, unsigned_key
+from stackloom.functions.scalar import PAGE, record, unsigned_key
 from stackloom.operators.frames import has_lines
 from stackloom.operators.lookup import lookup
 
@@ -23,16 +23,11 @@ def best_symbols(symbols: DataFrame) -> DataFrame:
     """
     name = F.col("name")
     underscores = F.length(F.regexp_extract(name, "^(_*)", 1))
-    rank = F.struct(
-        (F.col("size") != 0).alias("sized"),
-        (F.col("bind") != "WEAK").alias("strong"),
-        (F.col("bind") == "GLOBAL").alias("global"),
-        (-underscores).alias("plain"),
-        F.octet_length(name).alias("long"),
-        (~(F.startswith(name, F.lit("SyS")) | F.startswith(name, F.lit("compat_SyS")))).alias("genuine"),
-        name.alias("name"),
-        F.col("size").alias("size"),
-    )
+    rank = record(
+        sized=F.col("size") != 0, strong=F.col("bind") != "WEAK", is_global=F.col("bind") == "GLOBAL",
+        plain=-underscores, long=F.octet_length(name),
+        genuine=~(F.startswith(name, F.lit("SyS")) | F.startswith(name, F.lit("compat_SyS"))), name=name,
+        size=F.col("size"))
     functions = symbols.where("type = 'FUNC' AND name <> '' AND defined")
     return functions.groupBy("build_id", "value").agg(F.max(rank).alias("best")).select(
         "build_id", "value", F.col("best.size").alias("size"), F.col("best.name").alias("name"))
@@ -81,9 +76,9 @@ def _unresolved(loc: Column) -> Column:
 
 
 def _location_key(loc: Column) -> Column:
-    return F.struct(loc["mapping_build_id"].alias("build_id"), loc["mapping_file"].alias("mapping_file"),
-                    loc["mapping_start"].alias("mapping_start"), loc["mapping_limit"].alias("mapping_limit"),
-                    loc["mapping_offset"].alias("mapping_offset"), loc["address"].alias("address"))
+    return record(
+        build_id=loc["mapping_build_id"], mapping_file=loc["mapping_file"], mapping_start=loc["mapping_start"],
+        mapping_limit=loc["mapping_limit"], mapping_offset=loc["mapping_offset"], address=loc["address"])
 
 
 def symbolize(profile: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -94,12 +89,12 @@ def symbolize(profile: DataFrame, resolved: DataFrame) -> DataFrame:
     stack. Locations without an answer keep their address.
     """
     key = lambda b, a: F.concat(b, F.lit("/"), F.lower(F.hex(a)))
-    stack_key = F.struct(F.xxhash64("stacktrace").alias("a"), F.xxhash64(F.lit(7), "stacktrace").alias("b"))
+    stack_key = record(a=F.xxhash64("stacktrace"), b=F.xxhash64(F.lit(7), "stacktrace"))
     keyed = profile.withColumn("_stack", F.when(F.exists("stacktrace", _unresolved), stack_key))
     open_ = keyed.where(F.col("_stack").isNotNull()).select(
         "_stack", F.explode(F.array_distinct(F.transform(
             F.filter("stacktrace", _unresolved),
-            lambda loc: F.struct(loc["mapping_build_id"].alias("build_id"), loc["address"].alias("address"))))).alias("l"),
+            lambda loc: record(build_id=loc["mapping_build_id"], address=loc["address"])))).alias("l"),
     ).select("_stack", "l.build_id", "l.address").distinct()
     answers = lookup(open_, resolved.select("build_id", "address", "lines"), ["build_id", "address"], ["_stack"], "inner")
     per_stack = answers.groupBy("_stack").agg(F.map_from_entries(F.collect_list(
@@ -116,9 +111,9 @@ def symbolize(profile: DataFrame, resolved: DataFrame) -> DataFrame:
 def symbol_lines(asof: DataFrame) -> DataFrame:
     """Symbol hits in the form :func:`symbolize` takes: one line per address."""
     number, none = F.lit(0).cast("long"), F.lit(None).cast("string")
-    line = F.struct(number.alias("line"), number.alias("column"), F.col("symbol").alias("function_name"),
-                    F.col("symbol").alias("function_system_name"), none.alias("function_filename"),
-                    number.alias("function_start_line"))
+    line = record(
+        line=number, column=number, function_name=F.col("symbol"), function_system_name=F.col("symbol"),
+        function_filename=none, function_start_line=number)
     return asof.where("symbol is not null").select("build_id", "address", F.array(line).alias("lines"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stackloom.functions.scalar import record
 from stackloom.operators.frames import frames
 from stackloom.plans.listing import _adjacent
 from stackloom.session import cut_lineage
@@ -25,8 +26,8 @@ def nodes(profile: DataFrame) -> DataFrame:
 
     Every line of the leaf location counts as flat. Largest cumulative first.
     """
-    item = F.transform(frames("stacktrace"), lambda f: F.struct(
-        _node_key(f).alias("node"), (f["location"] == 0).alias("leaf")))
+    item = F.transform(frames("stacktrace"), lambda f: record(
+        node=_node_key(f), leaf=f["location"] == 0))
     return (
         profile.select("value", F.inline(item)).groupBy("node")
         .agg(F.sum("value").alias("cumulative"), F.sum(F.when(F.col("leaf"), F.col("value")).otherwise(0)).alias("flat"))

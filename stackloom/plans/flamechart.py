@@ -17,7 +17,7 @@ around it is not:
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from stackloom.functions.scalar import int_div, labels_text
+from stackloom.functions.scalar import int_div, labels_text, record
 from stackloom.operators.chunked import running_before
 from stackloom.plans.flamegraph import check_group_by, frame_text_sql, stack_paths
 
@@ -111,10 +111,10 @@ def flamechart(profile: DataFrame, group_by=(), chunk_nanos: int = CHUNK_NANOS)
 
 
 def chart_nodes(folded: DataFrame) -> DataFrame:
-    node = F.transform("keys", lambda k, i: F.struct(
-        k.alias("node"), (i + 1).cast("int").alias("depth"), F.get("names", i).alias("frame"),
-        F.when(i > 0, F.get("names", i - 1)).alias("parent"), F.get("starts", i).alias("start"),
-        F.when(i > 0, F.get("starts", i - 1)).alias("parent_start"), (i == F.size("keys") - 1).alias("leaf")))
+    node = F.transform("keys", lambda k, i: record(
+        node=k, depth=(i + 1).cast("int"), frame=F.get("names", i),
+        parent=F.when(i > 0, F.get("names", i - 1)), start=F.get("starts", i),
+        parent_start=F.when(i > 0, F.get("starts", i - 1)), leaf=i == F.size("keys") - 1))
     rows = folded.select("series", "value", F.inline(node))
     return rows.groupBy("series", "node", "depth", "frame", "parent", "start", "parent_start").agg(
         F.sum("value").alias("cumulative"),

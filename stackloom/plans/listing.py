@@ -5,7 +5,7 @@ A function that recurs in one stack adds that stack's value once per occurrence.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stackloom.functions.scalar import filename_matches, unsigned_key
+from stackloom.functions.scalar import filename_matches, record, unsigned_key
 from stackloom.operators.frames import frames, has_lines
 
 
@@ -23,13 +23,10 @@ def top(profile: DataFrame, limit: int | None = None) -> DataFrame:
     Ordered by flat value, largest first, then address. A function found in
     several binaries has no binary. ``limit`` makes it a take-ordered.
     """
-    location = F.transform("stacktrace", lambda loc, i: F.struct(
-        F.when(has_lines(loc), F.coalesce(loc["lines"][0]["function_name"], F.lit(""))).alias("name"),
-        loc["mapping_file"].alias("mapping_file"),
-        loc["mapping_build_id"].alias("mapping_build_id"),
-        loc["address"].alias("address"),
-        (i == 0).alias("leaf"),
-    ))
+    location = F.transform("stacktrace", lambda loc, i: record(
+        name=F.when(has_lines(loc), F.coalesce(loc["lines"][0]["function_name"], F.lit(""))),
+        mapping_file=loc["mapping_file"], mapping_build_id=loc["mapping_build_id"], address=loc["address"],
+        leaf=i == 0))
     rows = _with_diff(profile).select("value", "diff", F.inline(location))
     # an unsymbolised row is identified by binary and address, a function by name alone
     by_location = rows.groupBy("name", "mapping_file", "mapping_build_id", "address").agg(
@@ -41,20 +38,22 @@ def top(profile: DataFrame, limit: int | None = None) -> DataFrame:
                               only_unnamed("address")).agg(
         F.sum("cumulative").alias("cumulative"), F.sum("flat").alias("flat"), F.sum("diff").alias("diff"),
         _common("mapping_file").alias("mapping_file"), _common("mapping_build_id").alias("mapping_build_id"),
-        F.min(F.struct(unsigned_key("address").alias("k"), "address")).alias("lowest"))
+        F.min(record(k=unsigned_key("address"), address=F.col("address"))).alias("lowest"))
     out = out.select("name", F.col("lowest.address").alias("address"), "mapping_file", "mapping_build_id",
                      "cumulative", "flat", "diff")
     ordered = out.orderBy(F.desc("flat"), unsigned_key("address"), "name")
     return ordered.limit(limit) if limit else ordered
 
 
+def _table_parts(f: Column) -> dict[str, Column]:
+    return {"name": f["name"],
+            "build_id": F.when(~f["symbolized"], F.coalesce(f["mapping_build_id"], F.lit(""))),
+            "address": F.when(~f["symbolized"], f["address"])}
+
+
 def _table_key(f: Column) -> Column:
     """Identity of a table row: function name, or binary and address."""
-    return F.struct(
-        f["name"].alias("name"),
-        F.when(~f["symbolized"], F.coalesce(f["mapping_build_id"], F.lit(""))).alias("build_id"),
-        F.when(~f["symbolized"], f["address"]).alias("address"),
-    )
+    return record(**_table_parts(f))
 
 
 def _listed(stack: str = "stacktrace") -> Column:
@@ -68,11 +67,8 @@ def table(profile: DataFrame) -> DataFrame:
     address). Descriptive columns hold the least value among merged frames.
     """
     metas = ["mapping_file", "system_name", "filename", "line", "start_line"]
-    item = F.transform(_listed(), lambda f: F.struct(
-        *[_table_key(f)[k].alias(k) for k in ("name", "build_id", "address")],
-        ((f["location"] == 0) & (f["position"] == 0)).alias("leaf"),
-        *[f[m].alias(m) for m in metas],
-    ))
+    item = F.transform(_listed(), lambda f: record(
+        **_table_parts(f), leaf=(f["location"] == 0) & (f["position"] == 0), **{m: f[m] for m in metas}))
     rows = _with_diff(profile).select("value", "diff", F.inline(item))
     leaf = lambda c: F.sum(F.when(F.col("leaf"), F.col(c)).otherwise(0))
     first = rows.groupBy("name", "build_id", "address", *metas).agg(
@@ -88,7 +84,7 @@ def _adjacent(keys: Column) -> Column:
     n = F.size(keys)
     return F.transform(F.arrays_zip(F.slice(keys, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("callee"),
                                     F.slice(keys, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("caller")),
-                       lambda z: F.struct(z["callee"].alias("callee"), z["caller"].alias("caller")))
+                       lambda z: record(callee=z["callee"], caller=z["caller"]))
 
 
 def table_neighbours(profile: DataFrame) -> DataFrame:
@@ -112,10 +108,9 @@ def source_report(profile: DataFrame, filename: str, build_id: str = "") -> Data
 
     Needs a mapping, and the build id if one is given.
     """
-    item = F.transform(frames("stacktrace"), lambda f: F.struct(
-        f["filename"].alias("filename"), f["line"].alias("line_number"), f["name"].alias("name"),
-        f["mapping_build_id"].alias("build_id"), f["has_mapping"].alias("has_mapping"),
-        ((f["location"] == 0) & (f["position"] == 0)).alias("leaf")))
+    item = F.transform(frames("stacktrace"), lambda f: record(
+        filename=f["filename"], line_number=f["line"], name=f["name"], build_id=f["mapping_build_id"],
+        has_mapping=f["has_mapping"], leaf=(f["location"] == 0) & (f["position"] == 0)))
     wanted = F.filter(item, lambda f: f["has_mapping"] & f["name"].isNotNull()
                       & F.coalesce(filename_matches(f["filename"], filename), F.lit(False))
                       & (F.lit(build_id == "") | F.coalesce(f["build_id"] == build_id, F.lit(False))))

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stackloom.functions.scalar import record
 from stackloom.operators.lookup import lookup
 
 P = "profile_id"
@@ -27,7 +28,7 @@ def unpivot_sample_types(samples: DataFrame) -> DataFrame:
 def _texts(df: DataFrame, strings: DataFrame, columns: list[str]) -> DataFrame:
     """Replace string indexes by their text; one join for all columns."""
     keys = [c for c in df.columns if c not in columns]
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("idx")) for c in columns])).alias("e"))
+    long = df.select(*keys, F.explode(F.array(*[record(c=F.lit(c), idx=F.col(c)) for c in columns])).alias("e"))
     found = lookup(long.select(*keys, "e.c", "e.idx"), strings, [P, "idx"], keys[:2] + ["c"])
     text = lambda c: F.max(F.when(F.col("c") == c, F.coalesce("text", F.lit("")))).alias(c)
     return found.groupBy(*keys).agg(*[text(c) for c in columns])
@@ -47,7 +48,7 @@ def resolve_locations(locations: DataFrame, functions: DataFrame, mappings: Data
     per_location = (
         lookup(lines, fns, [P, "id"], ["location", "pos"])
         .groupBy(P, "location")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+        .agg(F.transform(F.sort_array(F.collect_list(record(pos=F.col("pos"), line=line))), lambda x: x["line"]).alias("lines"))
         .withColumnRenamed("location", "id")
     )
     keyed = locations.select(P, "id", "mapping_id", "address")

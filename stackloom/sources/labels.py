@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stackloom.functions.scalar import record
 from stackloom.schema import LABELS
 
 VALID_NAME = "^[a-zA-Z_][a-zA-Z0-9_]*$"
@@ -23,8 +24,8 @@ def label_errors(series: DataFrame, key: str = "series_id") -> DataFrame:
     repeated = F.filter(F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1)
     invalid = F.filter(names, lambda n: ~F.rlike(n, F.lit(VALID_NAME)))
     named = F.exists("labels", lambda x: (x["name"] == "__name__") & (x["value"] != ""))
-    issue = lambda kind: lambda n: F.struct(F.lit(kind).alias("error"), n.alias("label"))
-    missing = F.when(~named, F.array(F.struct(F.lit("missing name").alias("error"), F.lit("__name__").alias("label"))))
+    issue = lambda kind: lambda n: record(error=F.lit(kind), label=n)
+    missing = F.when(~named, F.array(record(error=F.lit("missing name"), label=F.lit("__name__"))))
     errors = F.concat(F.transform(invalid, issue("invalid label name")),
                       F.transform(repeated, issue("duplicate label name")), F.coalesce(missing, F.array()))
     return series.select(key, F.inline(errors))
@@ -37,7 +38,7 @@ def exported_labels(series_labels: Column, sample_labels: Column) -> Column:
     sanitised, the first value of a name wins, a name that a series label has
     gets the prefix ``exported_``, and twice if that is taken as well.
     """
-    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    entry = lambda k, v: record(key=k, value=v)
     text = F.transform(F.filter(sample_labels, lambda x: F.coalesce(x["value"] != "", F.lit(False))),
                        lambda x: entry(sanitized(x["name"]), x["value"]))
     first = F.aggregate(text, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, x: F.when(
@@ -58,7 +59,7 @@ def exported_labels(series_labels: Column, sample_labels: Column) -> Column:
 def numeric_labels(sample_labels: Column) -> Column:
     """Numeric labels as a map: sanitised names, first non-zero value wins."""
     numbers = F.transform(F.filter(sample_labels, lambda x: F.coalesce(x["num"] != 0, F.lit(False))),
-                          lambda x: F.struct(sanitized(x["name"]).alias("key"), x["num"].alias("value")))
+                          lambda x: record(key=sanitized(x["name"]), value=x["num"]))
     empty = F.array().cast("array<struct<key:string,value:bigint>>")
     return F.map_from_entries(F.aggregate(numbers, empty, lambda acc, x: F.when(
         F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.array_append(acc, x))))
@@ -88,7 +89,7 @@ def keep_sample_types(samples: DataFrame, keep: list[tuple[str, str]]) -> DataFr
     """Only the listed (type, unit) pairs; no list, no restriction."""
     if not keep:
         return samples
-    wanted = [F.struct(F.lit(t).alias("sample_type"), F.lit(u).alias("sample_unit")) for t, u in keep]
+    wanted = [record(sample_type=F.lit(t), sample_unit=F.lit(u)) for t, u in keep]
     return samples.where(F.struct("sample_type", "sample_unit").isin(*wanted))
 
 

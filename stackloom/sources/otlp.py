@@ -6,7 +6,7 @@ row by array lookups; only the explodes multiply rows and nothing is shuffled.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stackloom.functions.scalar import int_div
+from stackloom.functions.scalar import int_div, record
 from stackloom.schema import LABELS, SAMPLES
 from stackloom.sources.labels import last_wins, sanitized
 
@@ -54,12 +54,12 @@ def resolve_otlp_stacks(dictionary: str = "dictionary", function_base: int = 0)
     def line(x):
         f = _at(d["function"], x["function_index"] - function_base)
         known = x["function_index"] != 0
-        return F.struct(
-            x["line"].alias("line"), x["column"].alias("column"),
-            F.when(known, _text(d["string"], f["name_strindex"])).alias("function_name"),
-            F.when(known, _text(d["string"], f["system_name_strindex"])).alias("function_system_name"),
-            F.when(known, _text(d["string"], f["filename_strindex"])).alias("function_filename"),
-            F.when(known, f["start_line"]).alias("function_start_line"))
+        return record(
+            line=x["line"], column=x["column"],
+            function_name=F.when(known, _text(d["string"], f["name_strindex"])),
+            function_system_name=F.when(known, _text(d["string"], f["system_name_strindex"])),
+            function_filename=F.when(known, _text(d["string"], f["filename_strindex"])),
+            function_start_line=F.when(known, f["start_line"]))
 
     def build_id(m):
         attrs = F.transform(m["attribute_indices"], lambda i: _at(d["attribute"], i))
@@ -69,11 +69,11 @@ def resolve_otlp_stacks(dictionary: str = "dictionary", function_base: int = 0)
     def location(x):
         m = _at(d["mapping"], x["mapping_index"])
         has = x["mapping_index"] != 0
-        return F.struct(
-            x["address"].alias("address"), F.when(has, m["memory_start"]).alias("mapping_start"),
-            F.when(has, m["memory_limit"]).alias("mapping_limit"), F.when(has, m["file_offset"]).alias("mapping_offset"),
-            F.when(has, _text(d["string"], m["filename_strindex"])).alias("mapping_file"),
-            F.when(has, build_id(m)).alias("mapping_build_id"), F.transform(x["lines"], line).alias("lines"))
+        return record(
+            address=x["address"], mapping_start=F.when(has, m["memory_start"]),
+            mapping_limit=F.when(has, m["memory_limit"]), mapping_offset=F.when(has, m["file_offset"]),
+            mapping_file=F.when(has, _text(d["string"], m["filename_strindex"])),
+            mapping_build_id=F.when(has, build_id(m)), lines=F.transform(x["lines"], line))
 
     return F.transform(d["stack"], lambda s: F.transform(
         s["location_indices"], lambda i: location(_at(d["location"], i))))
@@ -82,7 +82,7 @@ def resolve_otlp_stacks(dictionary: str = "dictionary", function_base: int = 0)
 def _labels(attributes: Column) -> Column:
     """Attributes as labels: blank values skipped, values trimmed, the last of equal names wins."""
     entries = F.transform(F.filter(attributes, lambda a: F.trim(F.coalesce(a["value"], F.lit(""))) != ""),
-                          lambda a: F.struct(sanitized(a["key"]).alias("key"), F.trim(a["value"]).alias("value")))
+                          lambda a: record(key=sanitized(a["key"]), value=F.trim(a["value"])))
     empty = F.array().cast("array<struct<key:string,value:string>>")
     return F.map_from_entries(F.aggregate(F.coalesce(entries, empty), empty, lambda acc, x: F.array_append(
         F.filter(acc, lambda y: y["key"] != x["key"]), x)))
@@ -90,14 +90,13 @@ def _labels(attributes: Column) -> Column:
 
 def _from_table(indices: Column) -> Column:
     attribute = lambda i: _at(F.col("dictionary.attribute_table"), i)
-    return _labels(F.transform(F.coalesce(indices, F.array()), lambda i: F.struct(
-        _text(F.col("dictionary.string_table"), attribute(i)["key_strindex"]).alias("key"),
-        attribute(i)["value"].alias("value"))))
+    return _labels(F.transform(F.coalesce(indices, F.array()), lambda i: record(
+        key=_text(F.col("dictionary.string_table"), attribute(i)["key_strindex"]), value=attribute(i)["value"])))
 
 
 def explode_timestamps(timestamps: Column, values: Column, time_nanos: Column) -> Column:
     """Rows (time_nanos, value) of a sample: one per timestamp (value 1 if none given), else one per non-zero value."""
-    row = lambda t, v: F.struct(t.alias("time_nanos"), v.alias("value"))
+    row = lambda t, v: record(time_nanos=t, value=v)
     has_values = F.coalesce(F.size(values), F.lit(0)) > 0
     timed = F.transform(timestamps, lambda t, i: row(t, F.when(has_values, F.get(values, i)).otherwise(1).cast("long")))
     plain = F.transform(F.filter(values, lambda v: v != 0), lambda v: row(time_nanos, v))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stackloom.functions.keys import mapping_name, rounded_size
-from stackloom.functions.scalar import int_div
+from stackloom.functions.scalar import int_div, record
 from stackloom.operators.lookup import lookup
 from stackloom.operators.running import dense_ids
 from stackloom.sources import wire
@@ -57,6 +57,10 @@ def _text(strings: Column, idx: Column) -> Column:
     return F.coalesce(F.get(strings, idx), F.lit(""))
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def profile_errors(p: str = "p") -> Column:
     """All violations of one decoded profile, as an array of messages."""
     c = F.col
@@ -69,7 +73,7 @@ def profile_errors(p: str = "p") -> Column:
         ids = F.transform(f"{p}.{t}", lambda x: x["id"])
         checks.append((ids != F.when(n[t] > 0, F.transform(F.sequence(F.lit(1), F.greatest(n[t], F.lit(1))),
                                                          lambda i: i.cast("long"))).otherwise(ids), f"{t} ids not sequential"))
-        checks += [(F.exists(f"{p}.{t}", lambda x, f=f: outside(x[f])), f"{t} {f} out of range") for f in text]
+        checks += [(F.exists(F.transform(f"{p}.{t}", _field(f)), outside), f"{t} {f} out of range") for f in text]
     ref = lambda x, t: (x < 0) | (x > n[t])
     checks += [
         (F.exists(f"{p}.locations", lambda x: ref(x["mapping_id"], "mappings")), "location mapping out of range"),
@@ -101,22 +105,21 @@ def _resolved_locations(p: str) -> Column:
 
     def line(x):
         f = F.get(functions, x["function_id"] - 1)
-        return F.struct(
-            x["line"].alias("line"), x["column"].alias("column"),
-            F.when(x["function_id"] != 0, _text(strings, f["name"])).alias("function_name"),
-            F.when(x["function_id"] != 0, _text(strings, f["system_name"])).alias("function_system_name"),
-            F.when(x["function_id"] != 0, _text(strings, f["filename"])).alias("function_filename"),
-            F.when(x["function_id"] != 0, f["start_line"]).alias("function_start_line"))
+        return record(
+            line=x["line"], column=x["column"],
+            function_name=F.when(x["function_id"] != 0, _text(strings, f["name"])),
+            function_system_name=F.when(x["function_id"] != 0, _text(strings, f["system_name"])),
+            function_filename=F.when(x["function_id"] != 0, _text(strings, f["filename"])),
+            function_start_line=F.when(x["function_id"] != 0, f["start_line"]))
 
     def location(x):
         m = F.get(mappings, x["mapping_id"] - 1)
         has = x["mapping_id"] != 0
-        return F.struct(
-            x["address"].alias("address"), F.when(has, m["memory_start"]).alias("mapping_start"),
-            F.when(has, m["memory_limit"]).alias("mapping_limit"), F.when(has, m["file_offset"]).alias("mapping_offset"),
-            F.when(has, _text(strings, m["filename"])).alias("mapping_file"),
-            F.when(has, _text(strings, m["build_id"])).alias("mapping_build_id"),
-            F.transform(x["lines"], line).alias("lines"))
+        return record(
+            address=x["address"], mapping_start=F.when(has, m["memory_start"]),
+            mapping_limit=F.when(has, m["memory_limit"]), mapping_offset=F.when(has, m["file_offset"]),
+            mapping_file=F.when(has, _text(strings, m["filename"])),
+            mapping_build_id=F.when(has, _text(strings, m["build_id"])), lines=F.transform(x["lines"], line))
 
     return F.transform(f"{p}.locations", location)
 
@@ -138,8 +141,8 @@ def ingest_pprof(files: DataFrame, include_sample_labels: bool = True) -> DataFr
                            "p.duration_nanos", "p.time_nanos", "dictionary", F.explode("p.samples").alias("s"))
     stack = F.transform("s.location_ids", lambda i: F.get(F.col("dictionary"), i - 1))
     strings = F.col("strings")
-    pairs = F.transform("s.labels", lambda x: F.struct(
-        _text(strings, x["key"]).alias("name"), _text(strings, x["str"]).alias("value")))
+    pairs = F.transform("s.labels", lambda x: record(
+        name=_text(strings, x["key"]), value=_text(strings, x["str"])))
     labels = merge_sample_labels(F.col("series"), pairs) if include_sample_labels else F.col("series")
     typed = F.filter(
         F.arrays_zip(F.col("s.values").alias("value"), F.col("sample_types").alias("t")), lambda x: x["value"] != 0)
@@ -160,25 +163,22 @@ def ingest_pprof(files: DataFrame, include_sample_labels: bool = True) -> DataFr
 def _export_locations(loc: Column) -> Column:
     """Key of a location: mapping and address within it, else its lines."""
     has = loc["mapping_start"].isNotNull()
-    mapping = F.when(has, F.struct(
-        mapping_name(loc["mapping_build_id"], loc["mapping_file"]).alias("name"),
-        rounded_size(loc["mapping_start"], loc["mapping_limit"]).alias("size"),
-        loc["mapping_offset"].alias("offset")))
+    mapping = F.when(has, record(
+        name=mapping_name(loc["mapping_build_id"], loc["mapping_file"]),
+        size=rounded_size(loc["mapping_start"], loc["mapping_limit"]), offset=loc["mapping_offset"]))
     placed = has & (loc["address"] != 0)
-    lines = F.transform(F.coalesce(loc["lines"], F.array()), lambda x: F.struct(
-        F.coalesce(x["function_name"], F.lit("")).alias("name"),
-        F.coalesce(x["function_system_name"], F.lit("")).alias("system_name"),
-        F.coalesce(x["function_filename"], F.lit("")).alias("filename"),
-        F.coalesce(x["function_start_line"], F.lit(0).cast("long")).alias("start_line"),
-        x["line"].alias("line"), F.coalesce(x["column"], F.lit(0).cast("long")).alias("column"),
-        x["function_name"].isNotNull().alias("known")))
-    return F.struct(
-        mapping.alias("mapping"),
-        F.when(placed, loc["address"] - loc["mapping_start"]).alias("offset"),
-        F.when(~placed, F.transform(lines, lambda x: x.dropFields("column"))).alias("lines_key"),
-    ), F.struct(loc["address"].alias("address"), loc["mapping_start"].alias("start"), loc["mapping_limit"].alias("limit"),
-                F.coalesce(loc["mapping_file"], F.lit("")).alias("file"),
-                F.coalesce(loc["mapping_build_id"], F.lit("")).alias("build_id"), lines.alias("lines"))
+    lines = F.transform(F.coalesce(loc["lines"], F.array()), lambda x: record(
+        name=F.coalesce(x["function_name"], F.lit("")),
+        system_name=F.coalesce(x["function_system_name"], F.lit("")),
+        filename=F.coalesce(x["function_filename"], F.lit("")),
+        start_line=F.coalesce(x["function_start_line"], F.lit(0).cast("long")), line=x["line"],
+        column=F.coalesce(x["column"], F.lit(0).cast("long")), known=x["function_name"].isNotNull()))
+    return record(
+        mapping=mapping, offset=F.when(placed, loc["address"] - loc["mapping_start"]),
+        lines_key=F.when(~placed, F.transform(lines, lambda x: x.dropFields("column")))), record(
+            address=loc["address"], start=loc["mapping_start"], limit=loc["mapping_limit"],
+            file=F.coalesce(loc["mapping_file"], F.lit("")),
+            build_id=F.coalesce(loc["mapping_build_id"], F.lit("")), lines=lines)
 
 
 class Export:
@@ -197,16 +197,16 @@ class Export:
             F.array_sort(F.map_entries(labels)).alias("labels")))
         keys = F.transform("stacktrace", lambda loc: _export_locations(loc)[0])
         merged = rows.groupBy(keys.alias("keys"), "labels").agg(F.sum("value").alias("value"))
-        both = F.transform("stacktrace", lambda loc: F.struct(*[x.alias(n) for x, n in zip(_export_locations(loc), ("key", "info"))]))
+        both = F.transform("stacktrace", lambda loc: record(**dict(zip(("key", "info"), _export_locations(loc)))))
         seen = rows.select(F.explode(F.array_distinct(both)).alias("l")).select("l.key", "l.info").distinct()
         # one witness per key: the least of its variants
         seen = cut_lineage(seen)
         locations = dense_ids(seen.groupBy("key").agg(F.min("info").alias("info")), ["key"], "id")
         found = cut_lineage(locations.select("id", "key", "info"))
         maps = dense_ids(
-            found.where("key.mapping IS NOT NULL").groupBy("key.mapping").agg(F.min(F.struct(
-                F.col("info.start").alias("start"), F.col("info.limit").alias("limit"),
-                F.col("info.file").alias("file"), F.col("info.build_id").alias("build_id"))).alias("m")),
+            found.where("key.mapping IS NOT NULL").groupBy("key.mapping").agg(F.min(record(
+                start=F.col("info.start"), limit=F.col("info.limit"), file=F.col("info.file"),
+                build_id=F.col("info.build_id"))).alias("m")),
             ["mapping"], "id")
         fn = ["name", "system_name", "filename", "start_line"]
         lines = found.select(F.col("id").alias("location"), F.posexplode("info.lines").alias("pos", "l"))
@@ -233,9 +233,10 @@ class Export:
         fn = ["name", "system_name", "filename", "start_line"]
         lines = self._lines.select("location", "pos", *[F.col(f"l.{c}").alias(c) for c in fn], "l.line", "l.column", "l.known")
         with_fn = lookup(lines, self.functions.withColumnRenamed("id", "function_id"), fn, ["location", "pos"])
-        line = F.struct(F.when(F.col("known"), F.col("function_id")).otherwise(0).cast("long").alias("function_id"), "line", "column")
+        line = record(function_id=F.when(F.col("known"), F.col("function_id")).otherwise(0).cast("long"), line=F.col("line"),
+                      column=F.col("column"))
         per = with_fn.groupBy(F.col("location").alias("id")).agg(F.transform(
-            F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+            F.sort_array(F.collect_list(record(pos=F.col("pos"), line=line))), lambda x: x["line"]).alias("lines"))
         m = self.mappings.select(F.col("mapping").alias("key_mapping"), F.col("id").alias("mapping_id"))
         placed = self._found.select("id", F.col("info.address").alias("address"), F.col("key.mapping").alias("key_mapping"))
         return (
@@ -245,8 +246,8 @@ class Export:
 
     def samples(self) -> DataFrame:
         """sample key, location_ids, value, labels."""
-        merged = self._merged.withColumn("sample", F.struct(
-            F.xxhash64("keys", "labels").alias("a"), F.xxhash64(F.lit(7), "keys", "labels").alias("b")))
+        merged = self._merged.withColumn("sample", record(
+            a=F.xxhash64("keys", "labels"), b=F.xxhash64(F.lit(7), "keys", "labels")))
         ids = merged.select("sample", F.posexplode("keys").alias("pos", "key"))
         per = lookup(ids, self._found.select("key", "id"), ["key"], ["sample", "pos"]).groupBy("sample").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("location_ids"))
@@ -277,18 +278,18 @@ def to_pprof(profile: DataFrame, meta: dict, is_diff: bool = False) -> DataFrame
     mappings = lookup(lookup(mappings, text("file", "filename"), ["file"], ["id"]), text("build", "build_id"), ["build"], ["id"])
     mappings = mappings.select("id", "memory_start", "memory_limit", "file_offset", "filename", "build_id",
                                F.lit(1).cast("long").alias("has_functions"))
-    samples = export.samples().withColumn("sample", F.struct(
-        F.xxhash64("location_ids", "labels").alias("a"), F.xxhash64(F.lit(7), "location_ids", "labels").alias("b")))
+    samples = export.samples().withColumn("sample", record(
+        a=F.xxhash64("location_ids", "labels"), b=F.xxhash64(F.lit(7), "location_ids", "labels")))
     pairs = samples.select("sample", F.posexplode("labels").alias("pos", "e")).select("sample", "pos", "e.key", "e.value")
     pairs = lookup(lookup(pairs, text("key", "k"), ["key"], ["sample"]), text("value", "v"), ["value"], ["sample"])
     labels = pairs.groupBy("sample").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("pos", "k", "v"))),
-        lambda x: F.struct(x["k"].alias("key"), x["v"].alias("str"))).alias("labels"))
+        lambda x: record(key=x["k"], str=x["v"])).alias("labels"))
     samples = samples.drop("labels").join(labels, "sample", "left").select(
         "location_ids", F.array("value").alias("values"), F.coalesce("labels", F.array()).alias("labels"))
 
     header = {t: strings.where(F.col("text") == t).agg(F.max("id")).scalar() for t in set(kinds)}
-    pair = lambda a, b: F.struct(header[a].alias("type"), header[b].alias("unit"))
+    pair = lambda a, b: record(type=header[a], unit=header[b])
     number = lambda k: F.lit(int(meta.get(k, 0))).cast("long")
     head = strings.sparkSession.range(1).select(
         F.array(pair(kinds[0], kinds[1])).alias("sample_types"), pair(kinds[2], kinds[3]).alias("period_type"),

@@ -53,7 +53,7 @@ def live_flamechart(samples: DataFrame, group_by=(), lateness: str = "10 minutes
         path = OpenPath(zip(keys, starts, ends))
         rows = pd.concat(list(batches)).sort_values("time_nanos")
         rows = rows[rows["time_nanos"] > last]
-        got = [path.add(list(k), int(t), int(v), int(p))
+        got = [path.add([int(x) for x in k], int(t), int(v), int(p))
                for k, t, v, p in zip(rows["keys"], rows["time_nanos"], rows["value"], rows["period"])]
         if len(rows):
             last = int(rows["time_nanos"].iloc[-1])
