@@ -53,7 +53,7 @@ def _trim(percent, legacy=False):
 
 def _offsets(s, d):
     profile = _merged(s, d)
-    return _listed(fg.layout(fg.flamegraph(profile), profile).where("depth > 0"), "value_offset")
+    return _listed(fg.layout(fg.flamegraph(profile)).where("depth > 0"), "value_offset")
 
 
 def _names(s, d):

@@ -8,6 +8,9 @@ from stackloom.plans.listing import _adjacent
 from stackloom.session import cut_lineage
 
 
+KEY_FIELDS = ("symbolized", "name", "mapping_build_id", "address", "location")
+
+
 def _node_key(f: Column) -> Column:
     location = F.concat(F.coalesce(f["mapping_build_id"], F.lit("")), F.lit("/0x"), F.lower(F.hex(f["address"])))
     return F.when(f["symbolized"], F.coalesce(f["name"], F.lit(""))).otherwise(location)
@@ -16,8 +19,8 @@ def _node_key(f: Column) -> Column:
 def _traversal(stack: str, outermost_first: bool) -> Column:
     """Frames leaf first; optionally with the lines of each location outermost first."""
     if not outermost_first:
-        return frames(stack)
-    return F.array_sort(frames(stack), lambda a, b: F.when(
+        return frames(stack, KEY_FIELDS)
+    return F.array_sort(frames(stack, (*KEY_FIELDS, "position")), lambda a, b: F.when(
         a["location"] != b["location"], a["location"] - b["location"]).otherwise(b["position"] - a["position"]))
 
 
@@ -26,7 +29,7 @@ def nodes(profile: DataFrame) -> DataFrame:
 
     Every line of the leaf location counts as flat. Largest cumulative first.
     """
-    item = F.transform(frames("stacktrace"), lambda f: record(
+    item = F.transform(frames("stacktrace", KEY_FIELDS), lambda f: record(
         node=_node_key(f), leaf=f["location"] == 0))
     return (
         profile.select("value", F.inline(item)).groupBy("node")

@@ -68,7 +68,7 @@ def timed_paths(profile: DataFrame, group_by=()) -> DataFrame:
     return stack_paths(marked, frame_groups, carry=["_series", "time_nanos", "period"]).select(
         F.col("_series").alias("series"), "time_nanos", "value", "period",
         F.slice(F.transform("ids", lambda i: i["hi"]), F.lit(2), F.size("path")).alias("keys"),
-        F.expr(f"transform(path, f -> {frame_text_sql('f.')}) AS names"))
+        F.expr(f"transform(path, f -> {frame_text_sql('f.', labels=False)}) AS names"))
 
 
 def segments(paths: DataFrame, chunk_nanos: int = CHUNK_NANOS) -> DataFrame:

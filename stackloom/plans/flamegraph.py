@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from stackloom.functions.scalar import labels_text
 from stackloom.operators.frames import frames
+from stackloom.operators.ancestors import sum_over_ancestors
 from stackloom.operators.running import running_sum
 from stackloom.session import cut_lineage
 
@@ -29,41 +30,49 @@ def check_group_by(group_by) -> list[str]:
 
 
 ROOT = "named_struct('hi', 0L, 'lo', 1L)"
-# null parts leave a hash unchanged, so each nullable part is led by its presence
-KEY_VALUES = "f.symbolized, " + ", ".join(
-    f"f.{k} IS NULL, f.{k}" for k in ("labels", "name", "key_mapping_file", "key_filename", "key_address"))
+NO_ID = "named_struct('hi', cast(null AS bigint), 'lo', cast(null AS bigint))"
+TYPES = {k: "bigint" for k in ("key_address", "address", "line", "start_line")} | {"inlined": "boolean"}
 
 
 def root_id() -> Column:
     return F.expr(ROOT)
 
 
-def _keyed(group_by, metas) -> str:
-    """The frame ``f`` with the columns that decide its identity among its siblings."""
-    grouped = lambda field, c: f"if(f.symbolized, {c}, null)" if field in group_by else "cast(null AS string)"
-    address = "f.address" if "location_address" in group_by else "if(f.symbolized, null, f.address)"
-    return f"""named_struct('labels_only', false, 'labels', cast(null AS string), 'symbolized', f.symbolized, 'name', f.name,
-      'key_address', {address}, 'key_mapping_file', {grouped("mapping_file", "f.mapping_file")},
-      'key_filename', {grouped("function_file_name", "f.filename")}{"".join(f", '{m}', f.{m}" for m in metas)})"""
+def _typed_null(name: str) -> str:
+    return f"cast(null AS {TYPES.get(name, 'string')})"
 
 
-TYPES = {k: "bigint" for k in ("key_address", "address", "line", "start_line")} | {"inlined": "boolean"}
+def _active_keys(group_by) -> list[str]:
+    """Key columns that can be set at all under a grouping."""
+    keys = ["symbolized", "name", "key_address"]
+    if any(g.startswith("labels.") for g in group_by):
+        keys += ["labels_only", "labels"]
+    return keys + [k for k, g in (("key_mapping_file", "mapping_file"), ("key_filename", "function_file_name")) if g in group_by]
 
 
-def _empty_frame(metas, **values) -> str:
-    """A node without a frame: the root, or a label node."""
+def _keyed(group_by, metas) -> str:
+    """The frame ``f`` with the columns that decide its identity among its siblings."""
+    values = {"symbolized": "f.symbolized", "name": "f.name", "labels_only": "false", "labels": _typed_null("labels"),
+              "key_address": "f.address" if "location_address" in group_by else "if(f.symbolized, null, f.address)",
+              "key_mapping_file": "if(f.symbolized, f.mapping_file, null)", "key_filename": "if(f.symbolized, f.filename, null)"}
+    fields = [f"'{k}', {values[k]}" for k in _active_keys(group_by)] + [f"'{m}', f.{m}" for m in metas]
+    return f"named_struct({', '.join(fields)})"
+
+
+def _empty_frame(group_by, metas, **values) -> str:
+    """Fields of a node without a frame: the root, or a label node."""
     values = {"labels_only": "false", "symbolized": "false"} | values
-    return ", ".join(f"'{k}', {values.get(k, f'cast(null AS {TYPES.get(k, "string")})')}" for k in KEY_COLUMNS + metas)
+    return ", ".join(f"'{k}', {values.get(k, _typed_null(k))}" for k in _active_keys(group_by) + metas)
 
 
-def frame_text(f: str = "") -> Column:
+def frame_text_sql(f: str = "", labels: bool = True) -> str:
     """How a node is listed: its function, its labels, or its address."""
-    return F.expr(frame_text_sql(f))
+    of_labels = f"WHEN {f}labels_only THEN {f}labels" if labels else ""
+    return f"CASE WHEN {f}symbolized THEN {f}name {of_labels} ELSE concat('0x', lower(hex({f}key_address))) END"
 
 
-def frame_text_sql(f: str = "") -> str:
-    return (f"CASE WHEN {f}symbolized THEN {f}name WHEN {f}labels_only THEN {f}labels "
-            f"ELSE concat('0x', lower(hex({f}key_address))) END")
+def frame_text() -> Column:
+    return F.expr(frame_text_sql())
 
 
 def stack_paths(profile: DataFrame, group_by=(), carry=(), metas=()) -> DataFrame:
@@ -73,17 +82,22 @@ def stack_paths(profile: DataFrame, group_by=(), carry=(), metas=()) -> DataFram
     """
     metas = list(metas)
     label_names = check_group_by(group_by)
+    needed = {"symbolized", "name", "address", *metas}
+    needed |= {c for g, c in (("mapping_file", "mapping_file"), ("function_file_name", "filename")) if g in group_by}
     diff = F.col("diff") if "diff" in profile.columns else F.lit(0).cast("long").alias("diff")
-    rows = profile.select("value", diff, *carry, frames("stacktrace").alias("frames"),
-                          *([labels_text(F.map_filter("labels", lambda k, _: k.isin(label_names))).alias("text")]
-                            if label_names else []))
+    text = labels_text(F.map_filter("labels", lambda k, _: k.isin(label_names))).alias("text")
+    rows = profile.select("value", diff, *carry, frames("stacktrace", sorted(needed)).alias("frames"),
+                          *([text] if label_names else []))
     path = f"transform(reverse(frames), f -> {_keyed(group_by, metas)})"
     if label_names:
-        label_frame = f"named_struct({_empty_frame(metas, labels_only='true', labels='text')})"
+        label_frame = f"named_struct({_empty_frame(group_by, metas, labels_only='true', labels='text')})"
         path = f"concat(if(text = '', array(), array({label_frame})), {path})"
     rows = rows.selectExpr("value", "diff", *carry, f"{path} AS path")
-    child = (f"named_struct('hi', xxhash64(element_at(acc, -1).hi, {KEY_VALUES}), "
-             f"'lo', xxhash64({KEY_VALUES}, element_at(acc, -1).lo, 7))")
+    # null parts leave a hash unchanged, so each nullable part is led by its presence
+    key = "f.symbolized, " + ", ".join(f"f.{k} IS NULL, f.{k}" for k in _active_keys(group_by)
+                                       if k not in ("symbolized", "labels_only"))
+    child = (f"named_struct('hi', xxhash64(element_at(acc, -1).hi, {key}), "
+             f"'lo', xxhash64({key}, element_at(acc, -1).lo, 7))")
     return rows.selectExpr("*", f"aggregate(path, array({ROOT}), (acc, f) -> array_append(acc, {child})) AS ids")
 
 
@@ -96,32 +110,38 @@ def flamegraph(profile: DataFrame, group_by=(), meta: bool = False) -> DataFrame
     min/max reconciliation runs on already collapsed data.
     """
     metas = META_COLUMNS if meta else []
+    keys = _active_keys(group_by)
     paths = stack_paths(profile, group_by, metas=metas)
-    fields = "".join(f", '{k}', f.{k}" for k in KEY_COLUMNS + metas)
+    parent = frame_text_sql("get(path, i - 1).", labels="labels" in keys)
     exploded = paths.selectExpr("value", "diff", f"""inline(concat(
-      array(named_struct('node_id', {ROOT}, 'parent_id', named_struct('hi', cast(null AS bigint), 'lo', cast(null AS bigint)),
-        'depth', 0, 'leaf', size(path) = 0, 'parent', cast(null AS string), {_empty_frame(metas)})),
+      array(named_struct('node_id', {ROOT}, 'parent_id', {NO_ID}, 'depth', 0, 'leaf', size(path) = 0,
+        'parent', cast(null AS string), {_empty_frame(group_by, metas)})),
       transform(path, (f, i) -> named_struct('node_id', ids[i + 1], 'parent_id', ids[i], 'depth', i + 1,
-        'leaf', i + 1 = size(path), 'parent', if(i > 0, {frame_text_sql("get(path, i - 1).")}, null){fields}))))""")
+        'leaf', i + 1 = size(path), 'parent', if(i > 0, {parent}, null){"".join(f", '{k}', f.{k}" for k in keys + metas)}))))""")
     # stacks without frames hang nowhere, so they add nothing to the root
     counts = (F.col("depth") > 0) | ~F.col("leaf")
-    flat = F.when((F.col("depth") > 0) & F.col("leaf") & ~F.col("labels_only"), F.col("value")).otherwise(0)
-    by = ["node_id", "parent_id", "depth", "parent"] + KEY_COLUMNS
+    at_leaf = (F.col("depth") > 0) & F.col("leaf")
+    flat = F.when(at_leaf & ~F.col("labels_only") if "labels_only" in keys else at_leaf, F.col("value")).otherwise(0)
+    by = ["node_id", "parent_id", "depth", "parent"] + keys
     nodes = exploded.groupBy(*by, *metas).agg(
         F.sum(F.when(counts, F.col("value")).otherwise(0)).alias("cumulative"),
         F.sum(flat).alias("flat"),
         F.sum(F.when(counts, F.col("diff")).otherwise(0)).alias("diff"),
         F.count("*").alias("rows"),
     )
-    if not meta:
-        return nodes.drop("rows")
-    agree = lambda m: F.when(
-        (F.min(m) == F.max(m)) & (F.sum(F.when(F.col(m).isNotNull(), F.col("rows"))) == F.sum("rows")), F.min(m)
-    ).alias(m)
-    return nodes.groupBy(*by).agg(
-        F.sum("cumulative").alias("cumulative"), F.sum("flat").alias("flat"), F.sum("diff").alias("diff"),
-        *[agree(m) for m in META_COLUMNS],
-    )
+    if meta:
+        agree = lambda m: F.when(
+            (F.min(m) == F.max(m)) & (F.sum(F.when(F.col(m).isNotNull(), F.col("rows"))) == F.sum("rows")), F.min(m)
+        ).alias(m)
+        nodes = nodes.groupBy(*by).agg(
+            F.sum("cumulative").alias("cumulative"), F.sum("flat").alias("flat"), F.sum("diff").alias("diff"),
+            *[agree(m) for m in META_COLUMNS],
+        )
+    inactive = {"labels_only": "false"}
+    return nodes.selectExpr(
+        "node_id", "parent_id", "depth", "parent",
+        *[k if k in keys else f"{inactive.get(k, _typed_null(k))} AS {k}" for k in KEY_COLUMNS],
+        *metas, "cumulative", "flat", "diff")
 
 
 def total(profile: DataFrame) -> DataFrame:
@@ -137,21 +157,13 @@ def height(profile: DataFrame, legacy: bool = False) -> DataFrame:
     return profile.agg((F.coalesce(F.max(size), F.lit(0)) + 1).cast("long").alias("height"))
 
 
-def distinct_paths(profile: DataFrame, group_by=()) -> DataFrame:
-    """Each distinct path once, as rows ``(leaf_id, depth, node_id)``."""
-    paths = stack_paths(profile, group_by).select("ids").distinct()
-    return paths.select(
-        F.element_at("ids", -1).alias("leaf_id"), F.posexplode("ids").alias("depth", "node_id")
-    ).where("depth > 0")
-
-
-def trim(tree: DataFrame, profile: DataFrame, percent: float, group_by=(), legacy: bool = False) -> DataFrame:
+def trim(tree: DataFrame, profile: DataFrame, percent: float, legacy: bool = False) -> DataFrame:
     """Drop small nodes together with everything below them.
 
     A child is kept if it exceeds the parent's cumulative value times the
     threshold (float32 arithmetic, truncated) and its parent is kept; the legacy
-    rule keeps a child that reaches the product. Every path is cut at its first
-    failing node, so no level-by-level iteration is needed.
+    rule keeps a child that reaches the product. Whether all ancestors pass is
+    found by doubling hops over the tree, so the samples are not read again.
 
     The result has the root re-totalled over what is kept (unless legacy). Its
     ``trimmed`` column counts, per node, the value cut directly below it.
@@ -169,13 +181,8 @@ def trim(tree: DataFrame, profile: DataFrame, percent: float, group_by=(), legac
         fails = F.col("cumulative") <= (F.col("parent_cum").cast("float") * fraction).cast("long")
     bad = judged.where(fails).select("node_id", "parent_id", "cumulative")
 
-    paths = distinct_paths(profile, group_by)
-    cut = paths.join(bad.select("node_id"), "node_id").groupBy("leaf_id").agg(F.min("depth").alias("cut"))
-    kept = (
-        paths.join(cut, "leaf_id", "left")
-        .where(F.col("cut").isNull() | (F.col("depth") < F.col("cut")))
-        .select("node_id").distinct()
-    )
+    passing = judged.where(~fails).select("node_id", "parent_id", "depth", F.lit(0).cast("long").alias("weight"))
+    kept = sum_over_ancestors(passing).select("node_id")
     nodes = tree.where("depth > 0").join(kept, "node_id", "left_semi")
     lost = bad.groupBy("parent_id").agg(F.sum("cumulative").alias("trimmed")).withColumnRenamed("parent_id", "node_id")
     top = tree.where("depth = 0")
@@ -194,25 +201,18 @@ def trimmed_total(trimmed_tree: DataFrame) -> DataFrame:
     return trimmed_tree.agg(F.coalesce(F.sum("trimmed"), F.lit(0)).cast("long").alias("trimmed"))
 
 
-def layout(tree: DataFrame, profile: DataFrame, group_by=()) -> DataFrame:
+def layout(tree: DataFrame) -> DataFrame:
     """Add ``value_offset``: where a node starts on the value axis.
 
-    Siblings are placed by name (then labels, address, binary, file) from the
+    Siblings are placed by name (then labels, binary, file, address) from the
     parent's own start. The offset of a node is the sum, over itself and its
     ancestors, of the values of earlier siblings.
     """
-    order = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("name", "labels", "key_mapping_file", "key_filename")]
     tree = cut_lineage(tree)
+    order = [F.coalesce(F.col(k), F.lit("")) for k in ("name", "labels", "key_mapping_file", "key_filename")]
     keyed = tree.where("depth > 0").withColumn(
         "sibling_order", F.struct(*order, F.coalesce("key_address", F.lit(0).cast("long")), F.col("node_id")))
-    placed = running_sum(keyed, "parent_id", "sibling_order", "cumulative", "within_parent")
-    steps = placed.select("node_id", "within_parent")
-    along = W.partitionBy("leaf_id").orderBy("depth")
-    offsets = (
-        distinct_paths(profile, group_by)
-        .join(steps, "node_id")
-        .withColumn("value_offset", F.sum("within_parent").over(along))
-        .groupBy("node_id").agg(F.max("value_offset").alias("value_offset"))
-    )
-    return tree.join(offsets, "node_id", "left").withColumn(
+    placed = running_sum(keyed, "parent_id", "sibling_order", "cumulative", "weight")
+    offsets = sum_over_ancestors(placed.select("node_id", "parent_id", "depth", "weight"))
+    return tree.join(offsets.withColumnRenamed("total", "value_offset"), "node_id", "left").withColumn(
         "value_offset", F.coalesce("value_offset", F.lit(0)).cast("long"))

@@ -56,8 +56,9 @@ def _table_key(f: Column) -> Column:
     return record(**_table_parts(f))
 
 
-def _listed(stack: str = "stacktrace") -> Column:
-    return F.filter(frames(stack), lambda f: ~f["symbolized"] | f["name"].isNotNull())
+def _listed(*more: str) -> Column:
+    fields = ("symbolized", "name", "mapping_build_id", "address", *more)
+    return F.filter(frames("stacktrace", fields), lambda f: ~f["symbolized"] | f["name"].isNotNull())
 
 
 def table(profile: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def table(profile: DataFrame) -> DataFrame:
     address). Descriptive columns hold the least value among merged frames.
     """
     metas = ["mapping_file", "system_name", "filename", "line", "start_line"]
-    item = F.transform(_listed(), lambda f: record(
+    item = F.transform(_listed("location", "position", *metas), lambda f: record(
         **_table_parts(f), leaf=(f["location"] == 0) & (f["position"] == 0), **{m: f[m] for m in metas}))
     rows = _with_diff(profile).select("value", "diff", F.inline(item))
     leaf = lambda c: F.sum(F.when(F.col("leaf"), F.col(c)).otherwise(0))
@@ -108,7 +109,8 @@ def source_report(profile: DataFrame, filename: str, build_id: str = "") -> Data
 
     Needs a mapping, and the build id if one is given.
     """
-    item = F.transform(frames("stacktrace"), lambda f: record(
+    used = ("filename", "line", "name", "mapping_build_id", "has_mapping", "location", "position")
+    item = F.transform(frames("stacktrace", used), lambda f: record(
         filename=f["filename"], line_number=f["line"], name=f["name"], build_id=f["mapping_build_id"],
         has_mapping=f["has_mapping"], leaf=(f["location"] == 0) & (f["position"] == 0)))
     wanted = F.filter(item, lambda f: f["has_mapping"] & f["name"].isNotNull()

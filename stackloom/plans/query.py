@@ -110,4 +110,4 @@ def run(samples: DataFrame, q: Query) -> Report:
     if q.report == "flamechart":
         return Report(flamechart.flamechart(kept, q.group_by), totals)
     tree = flamegraph.flamegraph(kept, q.group_by, meta=True)
-    return Report(flamegraph.trim(tree, kept, q.trim_percent, q.group_by), totals)
+    return Report(flamegraph.trim(tree, kept, q.trim_percent), totals)

@@ -85,7 +85,7 @@ def test_legacy_trim_keeps_equal(spark):
 
 def test_layout(spark):
     p = samples(spark, [(["c", "a"], 3), (["d", "a"], 4), (["b"], 5)])
-    rows = collect(fg.layout(fg.flamegraph(p), p), "depth", "name", "value_offset")
+    rows = collect(fg.layout(fg.flamegraph(p)), "depth", "name", "value_offset")
     assert rows == sorted([(0, None, 0), (1, "a", 0), (1, "b", 7), (2, "c", 0), (2, "d", 3)], key=repr)
 
 
