@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stackloom.catalog.base import EVENT, LINE, LINE_FRAMES
-from stackloom.catalog.filtering import TEXT, _text
+from stackloom.catalog.filtering import TEXT, TEXT_FIELDS, _text
 from stackloom.catalog.selections import CPU, T1, T2
 from stackloom.functions.scalar import labels_text
 from stackloom.operators import aggregate, diff, select, series
@@ -17,7 +17,7 @@ HOUR = 3600 * 10**9
 
 
 def _stack_text():
-    return F.array_join(F.transform(frames("stacktrace"), _text), ";")
+    return F.array_join(F.transform(frames("stacktrace", TEXT_FIELDS), _text), ";")
 
 
 def _merge(s, d):
@@ -70,7 +70,7 @@ def _series_arrays(s, d):
 
 
 def _intersection(s, d):
-    rows = line_samples(s, d).select("labels", F.explode(F.transform(frames("stacktrace"), _text)).alias("frame"))
+    rows = line_samples(s, d).select("labels", F.explode(F.transform(frames("stacktrace", TEXT_FIELDS), _text)).alias("frame"))
     rows = rows.select("labels", "frame", F.explode(F.array(F.lit("segment"), F.lit("zone"), F.lit("returnflag"))).alias("label"))
     rows = rows.select("frame", "label", F.try_element_at("labels", F.col("label")).alias("value"))
     return diff.intersect_labels(rows, ["frame"], "label", "value")

@@ -11,12 +11,15 @@ from stackloom.operators.presets import preset
 from stackloom.sources.tables import line_samples
 
 
+TEXT_FIELDS = ("symbolized", "name", "address")
+
+
 def _text(f):
     return F.when(f["symbolized"], f["name"]).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(f["address"]))))
 
 
 def _by_stack(df):
-    text = F.array_join(F.transform(frames("stacktrace"), _text), ";")
+    text = F.array_join(F.transform(frames("stacktrace", TEXT_FIELDS), _text), ";")
     return df.groupBy(text.alias("stack")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -33,7 +36,7 @@ def _frame(*criteria):
 def _conditions(s, d):
     """Every text condition on every function name occurrence, against a mixed-case constant."""
     names = line_samples(s, d).select("value", F.inline(F.transform(
-        F.filter(frames("stacktrace"), lambda f: f["name"].isNotNull()), lambda f: record(name=f["name"]))))
+        F.filter(frames("stacktrace", TEXT_FIELDS), lambda f: f["name"].isNotNull()), lambda f: record(name=f["name"]))))
     tests = {"equal": "ecoNOMY", "not_equal": "ecoNOMY", "contains": "AND#1", "not_contains": "AND#1",
              "starts_with": "nation_1", "not_starts_with": "nation_1"}
     return names.groupBy("name").agg(F.sum("value").alias("total")).select(

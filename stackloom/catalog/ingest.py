@@ -6,6 +6,7 @@ from stackloom.catalog.base import LINE_FRAMES
 from stackloom.catalog.filtering import _by_stack
 from stackloom.operators import symbolize as sym
 from stackloom.operators.aggregate import merge
+from stackloom.session import cut_lineage
 from stackloom.sources import dictionary as dic
 from stackloom.sources.arrow import ingest_arrow_v1
 from stackloom.sources.labels import exported_labels, label_errors
@@ -168,7 +169,7 @@ def _addresses(s, d):
 
 def _symbolized(s, d):
     """Stacks with their unsymbolised leaves filled in from the symbol tables."""
-    profile = merge(line_samples(s, d))
+    profile = cut_lineage(merge(line_samples(s, d)))
     hits = sym.symbol_lines(sym.asof_symbols(sym.needs_symbols(profile), _leaf_symbols(s, d)))
     return _by_stack(sym.symbolize(profile, hits))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from stackloom.functions.scalar import PAGE, record, unsigned_key
 from stackloom.operators.frames import has_lines
 from stackloom.operators.lookup import lookup
+from stackloom.session import cut_lineage
 
 BUCKET_BITS = 16  # addresses are looked up within 64 KiB windows
 SOURCES = ["dwarf", "pclntab", "symtab"]
@@ -90,6 +91,8 @@ def symbolize(profile: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     key = lambda b, a: F.concat(b, F.lit("/"), F.lower(F.hex(a)))
     stack_key = record(a=F.xxhash64("stacktrace"), b=F.xxhash64(F.lit(7), "stacktrace"))
+    # read twice: for the open locations and for the result
+    profile = cut_lineage(profile)
     keyed = profile.withColumn("_stack", F.when(F.exists("stacktrace", _unresolved), stack_key))
     open_ = keyed.where(F.col("_stack").isNotNull()).select(
         "_stack", F.explode(F.array_distinct(F.transform(

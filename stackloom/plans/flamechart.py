@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stackloom.functions.scalar import int_div, labels_text, record
 from stackloom.operators.chunked import running_before
+from stackloom.session import cut_lineage
 from stackloom.plans.flamegraph import check_group_by, frame_text_sql, stack_paths
 
 CHUNK_NANOS = 600_000_000_000
@@ -71,7 +72,7 @@ def timed_paths(profile: DataFrame, group_by=()) -> DataFrame:
         F.expr(f"transform(path, f -> {frame_text_sql('f.', labels=False)}) AS names"))
 
 
-def segments(paths: DataFrame, chunk_nanos: int = CHUNK_NANOS) -> DataFrame:
+def segments(paths: DataFrame, labelled: bool, chunk_nanos: int = CHUNK_NANOS) -> DataFrame:
     """Add ``segment``: start of the independent piece a sample belongs to.
 
     With a label-less series the newest root node of the same function stays
@@ -79,21 +80,25 @@ def segments(paths: DataFrame, chunk_nanos: int = CHUNK_NANOS) -> DataFrame:
     so there a change of root function ends a piece, too.
     """
     t, v = F.col("time_nanos"), F.col("value")
-    rows = paths.where(F.size("keys") > 0).withColumn("root", F.get("keys", F.lit(0)))
-    rows = rows.withColumn("chunk", int_div(t, chunk_nanos))
+    root = F.get("keys", F.lit(0))
+    # the passes below each read their input twice, and need none of the frames
+    rows = cut_lineage(paths.select("series", root.alias("root"), "time_nanos", "value", "period",
+                                    int_div(t, chunk_nanos).alias("chunk")))
     group = ["series", "root"]
-    rows = running_before(rows, group, "chunk", "time_nanos", v, "sum", "taken")
-    # end of a node that starts here, with all values until the row in question added, is a constant of the row
+    rows = cut_lineage(running_before(rows, group, "chunk", "time_nanos", v, "sum", "taken"))
+    # end of a node that starts here, less the values taken up since, is a constant of the row
     rows = rows.withColumn("_a", t - F.col("taken"))
     rows = running_before(rows, group, "chunk", "time_nanos", F.col("_a"), "max", "best")
     sure = F.col("best").isNull() | (F.col("_a") - int_div("period", 10) > F.col("best"))
-    rows = rows.withColumn("_cut", F.when(sure, t))
-    # under a label node, a sample of another root function in between also cuts
-    by_series = running_before(rows, ["series"], "chunk", "time_nanos",
-                               F.struct("time_nanos", "root"), "max", "previous")
-    changed = (F.col("series") != "") & (F.col("previous.root") != F.col("root"))
-    rows = by_series.withColumn("_cut", F.when(changed, t).otherwise(F.col("_cut"))).drop("previous", "taken", "best", "_a")
-    return running_before(rows, group, "chunk", "time_nanos", F.col("_cut"), "max", "segment", inclusive=True)
+    rows = cut_lineage(rows.select("series", "root", "time_nanos", "chunk", F.when(sure, t).alias("_cut")))
+    if labelled:
+        # under a label node, a sample of another root function in between also cuts
+        rows = running_before(rows, ["series"], "chunk", "time_nanos", F.struct("time_nanos", "root"), "max", "previous")
+        changed = (F.col("series") != "") & (F.col("previous.root") != F.col("root"))
+        rows = cut_lineage(rows.withColumn("_cut", F.when(changed, t).otherwise(F.col("_cut"))).drop("previous"))
+    cuts = running_before(rows, group, "chunk", "time_nanos", F.col("_cut"), "max", "segment", inclusive=True)
+    cuts = cuts.groupBy("series", "root", "time_nanos").agg(F.max("segment").alias("segment"))
+    return paths.withColumn("root", root).join(cuts, ["series", "root", "time_nanos"])
 
 
 def flamechart(profile: DataFrame, group_by=(), chunk_nanos: int = CHUNK_NANOS) -> DataFrame:
@@ -101,10 +106,12 @@ def flamechart(profile: DataFrame, group_by=(), chunk_nanos: int = CHUNK_NANOS)
 
     ``profile`` comes from a merge grouped by timestamp and the same labels.
     """
-    cut = segments(timed_paths(profile, group_by), chunk_nanos)
+    labelled = any(g.startswith("labels.") for g in group_by)
+    paths = cut_lineage(timed_paths(profile, group_by).where(F.size("keys") > 0))
+    cut = segments(paths, labelled, chunk_nanos)
     keyed = cut.select(F.concat_ws("\x1f", "series", F.col("root").cast("string"), F.col("segment").cast("string"))
                        .alias("segment_key"), "series", "time_nanos", "value", "period", "keys", "names")
-    ordered = keyed.repartition("segment_key").sortWithinPartitions("segment_key", "time_nanos")
+    ordered = keyed.repartition("segment_key").sortWithinPartitions("segment_key", "time_nanos", "keys")
     folded = ordered.mapInPandas(
         _fold, "series string, time_nanos bigint, value bigint, keys array<bigint>, names array<string>, starts array<bigint>")
     return chart_nodes(folded)

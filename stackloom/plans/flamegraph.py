@@ -153,7 +153,7 @@ def total(profile: DataFrame) -> DataFrame:
 
 def height(profile: DataFrame, legacy: bool = False) -> DataFrame:
     """Depth of the untrimmed tree plus the root; the legacy form counts locations, not lines."""
-    size = F.size("stacktrace") if legacy else F.size(frames("stacktrace"))
+    size = F.size("stacktrace") if legacy else F.size(frames("stacktrace", ("symbolized",)))
     return profile.agg((F.coalesce(F.max(size), F.lit(0)) + 1).cast("long").alias("height"))
 
 

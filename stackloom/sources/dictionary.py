@@ -26,12 +26,12 @@ def unpivot_sample_types(samples: DataFrame) -> DataFrame:
 
 
 def _texts(df: DataFrame, strings: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace string indexes by their text; one join for all columns."""
-    keys = [c for c in df.columns if c not in columns]
-    long = df.select(*keys, F.explode(F.array(*[record(c=F.lit(c), idx=F.col(c)) for c in columns])).alias("e"))
-    found = lookup(long.select(*keys, "e.c", "e.idx"), strings, [P, "idx"], keys[:2] + ["c"])
-    text = lambda c: F.max(F.when(F.col("c") == c, F.coalesce("text", F.lit("")))).alias(c)
-    return found.groupBy(*keys).agg(*[text(c) for c in columns])
+    """Replace string indexes by their text. Index 0, by far the most frequent, is empty without a lookup."""
+    for c in columns:
+        text = strings.select(P, F.col("idx").alias(f"_{c}"), F.col("text").alias(f"{c}_text"))
+        df = df.withColumn(f"_{c}", F.when(F.col(c) != 0, F.col(c))).join(text, [P, f"_{c}"], "left").drop(f"_{c}")
+    return df.select(*[c for c in df.columns if c not in columns and not c.endswith("_text")],
+                     *[F.coalesce(f"{c}_text", F.lit("")).alias(c) for c in columns])
 
 
 def resolve_locations(locations: DataFrame, functions: DataFrame, mappings: DataFrame, strings: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def resolve_locations(locations: DataFrame, functions: DataFrame, mappings: Data
         "line", "column", F.col("name").alias("function_name"), F.col("system_name").alias("function_system_name"),
         F.col("filename").alias("function_filename"), F.col("start_line").alias("function_start_line"))
     per_location = (
-        lookup(lines, fns, [P, "id"], ["location", "pos"])
+        lines.join(fns, [P, "id"], "left")
         .groupBy(P, "location")
         .agg(F.transform(F.sort_array(F.collect_list(record(pos=F.col("pos"), line=line))), lambda x: x["line"]).alias("lines"))
         .withColumnRenamed("location", "id")
