@@ -3,18 +3,18 @@
 from pyspark.sql import functions as F
 
 from stackloom.catalog.base import LINE_FRAMES
-from stackloom.operators.aggregate import merge
+from stackloom.operators.aggregate import merge, rows
 from stackloom.plans import callgraph, listing
 from stackloom.sources.pprof import Export
 from stackloom.sources.tables import line_samples
 
 
-def _merged(s, d):
-    return merge(line_samples(s, d))
+def _profile(s, d):
+    return rows(line_samples(s, d))
 
 
 def _prune(s, d):
-    profile = _merged(s, d)
+    profile = _profile(s, d)
     total = profile.agg(F.sum("value")).scalar()
     _, edges = callgraph.prune(callgraph.nodes(profile), callgraph.edges(profile), total, 0.05)
     return edges
@@ -28,14 +28,14 @@ def _neighbours(side):
     other = "callee" if side == "caller" else "caller"
 
     def run(s, d):
-        pairs = listing.table_neighbours(_merged(s, d))
+        pairs = listing.table_neighbours(_profile(s, d))
         return pairs.select(_pair_text(other).alias("function"), _pair_text(side).alias(side))
     return run
 
 
 def _dictionary(s, d):
     """Sizes of the export tables and the exported value."""
-    export = Export(_merged(s, d))
+    export = Export(merge(line_samples(s, d)))
     count = lambda df, name: df.agg(F.lit(name).alias("section"), F.count("*").alias("n"), F.max("id").alias("last_id"))
     samples = export.samples().agg(F.lit("samples").alias("section"), F.count("*").alias("n"), F.sum("value").alias("last_id"))
     return count(export.strings(), "strings").unionByName(count(export.functions, "functions")).unionByName(
@@ -43,15 +43,15 @@ def _dictionary(s, d):
 
 
 QUERIES = {
-    "top": lambda s, d: listing.top(_merged(s, d)),
-    "top_k": lambda s, d: listing.top(_merged(s, d), limit=25),
-    "table": lambda s, d: listing.table(_merged(s, d)),
+    "top": lambda s, d: listing.top(_profile(s, d)),
+    "top_k": lambda s, d: listing.top(_profile(s, d), limit=25),
+    "table": lambda s, d: listing.table(_profile(s, d)),
     "callers": _neighbours("caller"),
     "callees": _neighbours("callee"),
-    "callgraph_nodes": lambda s, d: callgraph.nodes(_merged(s, d)),
-    "callgraph_edges": lambda s, d: callgraph.edges(_merged(s, d)),
+    "callgraph_nodes": lambda s, d: callgraph.nodes(_profile(s, d)),
+    "callgraph_edges": lambda s, d: callgraph.edges(_profile(s, d)),
     "callgraph_prune": _prune,
-    "source_lines": lambda s, d: listing.source_report(_merged(s, d), "economy.go", "b1"),
+    "source_lines": lambda s, d: listing.source_report(_profile(s, d), "economy.go", "b1"),
     "pprof_dictionary": _dictionary,
 }
 

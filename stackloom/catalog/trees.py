@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from stackloom.catalog.base import EVENT, LINE, LINE_FRAMES, tree
-from stackloom.operators.aggregate import merge
+from stackloom.operators.aggregate import merge, rows
 from stackloom.operators.frames import invert
 from stackloom.plans import flamechart as fc, flamegraph as fg
 from stackloom.sources.tables import event_samples, line_samples
 
 
-def _merged(s, d, *group_by):
-    return merge(line_samples(s, d), group_by=group_by)
+def _profile(s, d, *group_by):
+    return rows(line_samples(s, d), group_by=group_by)
 
 
 def _listed(nodes, *more):
@@ -19,46 +19,46 @@ def _listed(nodes, *more):
 
 def _grouped(field, *more):
     def run(s, d):
-        return _listed(fg.flamegraph(_merged(s, d), (field,)).where("depth > 0"), *more)
+        return _listed(fg.flamegraph(_profile(s, d), (field,)).where("depth > 0"), *more)
     return run
 
 
 def flamegraph(s, d):
-    return _listed(fg.flamegraph(_merged(s, d)).where("depth > 0"))
+    return _listed(fg.flamegraph(_profile(s, d)).where("depth > 0"))
 
 
 def _inverted(s, d):
-    profile = _merged(s, d).withColumn("stacktrace", invert("stacktrace"))
+    profile = _profile(s, d).withColumn("stacktrace", invert("stacktrace"))
     return _listed(fg.flamegraph(profile).where("depth > 0"))
 
 
 def _by_label(s, d):
     group = ("labels.segment", "labels.zone")
-    return _listed(fg.flamegraph(_merged(s, d, *group), group).where("depth > 0"), "labels_only")
+    return _listed(fg.flamegraph(_profile(s, d, *group), group).where("depth > 0"), "labels_only")
 
 
 def _meta(s, d):
-    nodes = fg.flamegraph(_merged(s, d), meta=True).where("depth > 0")
+    nodes = fg.flamegraph(_profile(s, d), meta=True).where("depth > 0")
     return _listed(nodes, "mapping_file", "mapping_build_id", "address", "line", "start_line", "system_name",
                    "filename", "inlined")
 
 
 def _trim(percent, legacy=False):
     def run(s, d):
-        profile = _merged(s, d)
+        profile = _profile(s, d)
         nodes = fg.trim(fg.flamegraph(profile), profile, percent, legacy=legacy)
         return _listed(nodes.withColumn("parent", F.coalesce("parent", F.lit(""))), "trimmed")
     return run
 
 
 def _offsets(s, d):
-    profile = _merged(s, d)
+    profile = _profile(s, d)
     return _listed(fg.layout(fg.flamegraph(profile)).where("depth > 0"), "value_offset")
 
 
 def _names(s, d):
     """Rows of the nested form: siblings merged by name alone."""
-    profile = merge(event_samples(s, d))
+    profile = rows(event_samples(s, d))
     return fg.flamegraph(profile).select("depth", "name", "parent", "cumulative")
 
 
@@ -81,8 +81,8 @@ QUERIES = {
     "flamegraph_offsets": _offsets,
     "flamegraph_names": _names,
     "flamechart": _flamechart,
-    "height": lambda s, d: fg.height(_merged(s, d)).withColumn("kind", F.lit("lines")).unionByName(
-        fg.height(_merged(s, d), legacy=True).withColumn("kind", F.lit("locations"))),
+    "height": lambda s, d: fg.height(_profile(s, d)).withColumn("kind", F.lit("lines")).unionByName(
+        fg.height(_profile(s, d), legacy=True).withColumn("kind", F.lit("locations"))),
 }
 
 NODES = """

@@ -17,6 +17,28 @@ def _label_map(names: list[str]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
+def rows(samples: DataFrame, start: int | None = None, end: int | None = None, group_by=()) -> DataFrame:
+    """Samples in the shape of :func:`merge`, but not summed up.
+
+    Reports merge on the few frame fields they show, which gives narrower keys
+    and fewer of them than whole stacks, so they take these rows directly.
+    """
+    if start is not None and end is not None:
+        samples = in_range(samples, start, end)
+    names = [g.removeprefix("labels.") for g in group_by if g.startswith("labels.")]
+    by_time = ["time_nanos"] if "timestamp" in group_by else []
+    labelled = samples.select("stacktrace", "period", *by_time, scaled_value().alias("value"),
+                              F.lit(0).cast("long").alias("diff"), *_label_columns(names))
+    return labelled.select("stacktrace", "period", *by_time, "value", "diff", _label_map(names).alias("labels"))
+
+
+def merge_items(profile: DataFrame, items: Column) -> DataFrame:
+    """Sum value and diff by an array derived from the stack, before that array is exploded."""
+    diff = F.col("diff") if "diff" in profile.columns else F.lit(0).cast("long")
+    return profile.select(items.alias("items"), "value", diff.alias("diff")).groupBy("items").agg(
+        F.sum("value").alias("value"), F.sum("diff").alias("diff"))
+
+
 def merge(samples: DataFrame, start: int | None = None, end: int | None = None, group_by=(),
           delta: bool = False) -> DataFrame:
     """Sum values by stack, period and the wanted labels over an inclusive time range.

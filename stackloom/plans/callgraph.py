@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stackloom.functions.scalar import record
+from stackloom.operators.aggregate import merge_items
 from stackloom.operators.frames import frames
 from stackloom.plans.listing import _adjacent
 from stackloom.session import cut_lineage
@@ -32,7 +33,7 @@ def nodes(profile: DataFrame) -> DataFrame:
     item = F.transform(frames("stacktrace", KEY_FIELDS), lambda f: record(
         node=_node_key(f), leaf=f["location"] == 0))
     return (
-        profile.select("value", F.inline(item)).groupBy("node")
+        merge_items(profile, item).select("value", F.inline("items")).groupBy("node")
         .agg(F.sum("value").alias("cumulative"), F.sum(F.when(F.col("leaf"), F.col("value")).otherwise(0)).alias("flat"))
         .orderBy(F.desc("cumulative"), "node")
     )
@@ -44,9 +45,9 @@ def edges(profile: DataFrame, outermost_first: bool = False) -> DataFrame:
     ``outermost_first`` walks the lines of one location outermost first while
     walking locations leaf first, which links inlined lines the other way round.
     """
-    keys = profile.select("value", F.transform(_traversal("stacktrace", outermost_first), _node_key).alias("keys"))
+    merged = merge_items(profile, F.transform(_traversal("stacktrace", outermost_first), _node_key))
     return (
-        keys.select("value", F.inline(_adjacent(F.col("keys"))))
+        merged.select("value", F.inline(_adjacent(F.col("items"))))
         .groupBy(F.col("caller").alias("source"), F.col("callee").alias("target"))
         .agg(F.sum("value").alias("cumulative"))
     )

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from stackloom.functions.scalar import int_div, labels_text, record
 from stackloom.operators.chunked import running_before
 from stackloom.session import cut_lineage
-from stackloom.plans.flamegraph import check_group_by, frame_text_sql, stack_paths
+from stackloom.plans.flamegraph import check_group_by, frame_text_sql, root_paths, with_ids
 
 CHUNK_NANOS = 600_000_000_000
 
@@ -66,7 +66,7 @@ def timed_paths(profile: DataFrame, group_by=()) -> DataFrame:
     frame_groups = [g for g in group_by if not g.startswith("labels.") and g != "timestamp"]
     series = labels_text(F.map_filter("labels", lambda k, _: k.isin(labels))) if labels else F.lit("")
     marked = profile.withColumn("_series", series).withColumn("diff", F.lit(0).cast("long"))
-    return stack_paths(marked, frame_groups, carry=["_series", "time_nanos", "period"]).select(
+    return with_ids(root_paths(marked, frame_groups, carry=["_series", "time_nanos", "period"]), frame_groups).select(
         F.col("_series").alias("series"), "time_nanos", "value", "period",
         F.slice(F.transform("ids", lambda i: i["hi"]), F.lit(2), F.size("path")).alias("keys"),
         F.expr(f"transform(path, f -> {frame_text_sql('f.', labels=False)}) AS names"))

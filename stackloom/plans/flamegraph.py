@@ -75,11 +75,8 @@ def frame_text() -> Column:
     return F.expr(frame_text_sql())
 
 
-def stack_paths(profile: DataFrame, group_by=(), carry=(), metas=()) -> DataFrame:
-    """One row per profile row: its root-first frames and the node ids of all its prefixes.
-
-    ``ids`` starts with the root's id, so ``ids[i]`` is the parent of ``path[i]``.
-    """
+def root_paths(profile: DataFrame, group_by=(), carry=(), metas=()) -> DataFrame:
+    """One row per profile row with ``path``: its frames root first, reduced to what identifies and describes nodes."""
     metas = list(metas)
     label_names = check_group_by(group_by)
     needed = {"symbolized", "name", "address", *metas}
@@ -92,13 +89,20 @@ def stack_paths(profile: DataFrame, group_by=(), carry=(), metas=()) -> DataFram
     if label_names:
         label_frame = f"named_struct({_empty_frame(group_by, metas, labels_only='true', labels='text')})"
         path = f"concat(if(text = '', array(), array({label_frame})), {path})"
-    rows = rows.selectExpr("value", "diff", *carry, f"{path} AS path")
+    return rows.selectExpr("value", "diff", *carry, f"{path} AS path")
+
+
+def with_ids(paths: DataFrame, group_by=()) -> DataFrame:
+    """Add the node ids of all prefixes of ``path``.
+
+    ``ids`` starts with the root's id, so ``ids[i]`` is the parent of ``path[i]``.
+    """
     # null parts leave a hash unchanged, so each nullable part is led by its presence
     key = "f.symbolized, " + ", ".join(f"f.{k} IS NULL, f.{k}" for k in _active_keys(group_by)
                                        if k not in ("symbolized", "labels_only"))
     child = (f"named_struct('hi', xxhash64(element_at(acc, -1).hi, {key}), "
              f"'lo', xxhash64({key}, element_at(acc, -1).lo, 7))")
-    return rows.selectExpr("*", f"aggregate(path, array({ROOT}), (acc, f) -> array_append(acc, {child})) AS ids")
+    return paths.selectExpr("*", f"aggregate(path, array({ROOT}), (acc, f) -> array_append(acc, {child})) AS ids")
 
 
 def flamegraph(profile: DataFrame, group_by=(), meta: bool = False) -> DataFrame:
@@ -111,7 +115,10 @@ def flamegraph(profile: DataFrame, group_by=(), meta: bool = False) -> DataFrame
     """
     metas = META_COLUMNS if meta else []
     keys = _active_keys(group_by)
-    paths = stack_paths(profile, group_by, metas=metas)
+    # merged by what the tree shows: narrower and far fewer keys than whole stacks
+    merged = root_paths(profile, group_by, metas=metas).groupBy("path").agg(
+        F.sum("value").alias("value"), F.sum("diff").alias("diff"))
+    paths = with_ids(merged, group_by)
     parent = frame_text_sql("get(path, i - 1).", labels="labels" in keys)
     exploded = paths.selectExpr("value", "diff", f"""inline(concat(
       array(named_struct('node_id', {ROOT}, 'parent_id', {NO_ID}, 'depth', 0, 'leaf', size(path) = 0,

@@ -6,13 +6,10 @@ A function that recurs in one stack adds that stack's value once per occurrence.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stackloom.functions.scalar import filename_matches, record, unsigned_key
+from stackloom.operators.aggregate import merge_items
 from stackloom.operators.frames import frames, has_lines
 
 
-def _with_diff(profile: DataFrame) -> DataFrame:
-    return profile if "diff" in profile.columns else profile.withColumn("diff", F.lit(0).cast("long"))
-
-
 def _common(c: str) -> Column:
     return F.when(F.min(c).eqNullSafe(F.max(c)) & (F.sum(F.when(F.col(c).isNull(), F.col("_rows"))).isNull()), F.min(c))
 
@@ -27,7 +24,7 @@ def top(profile: DataFrame, limit: int | None = None) -> DataFrame:
         name=F.when(has_lines(loc), F.coalesce(loc["lines"][0]["function_name"], F.lit(""))),
         mapping_file=loc["mapping_file"], mapping_build_id=loc["mapping_build_id"], address=loc["address"],
         leaf=i == 0))
-    rows = _with_diff(profile).select("value", "diff", F.inline(location))
+    rows = merge_items(profile, location).select("value", "diff", F.inline("items"))
     # an unsymbolised row is identified by binary and address, a function by name alone
     by_location = rows.groupBy("name", "mapping_file", "mapping_build_id", "address").agg(
         F.sum("value").alias("cumulative"), F.sum(F.when(F.col("leaf"), F.col("value")).otherwise(0)).alias("flat"),
@@ -70,7 +67,7 @@ def table(profile: DataFrame) -> DataFrame:
     metas = ["mapping_file", "system_name", "filename", "line", "start_line"]
     item = F.transform(_listed("location", "position", *metas), lambda f: record(
         **_table_parts(f), leaf=(f["location"] == 0) & (f["position"] == 0), **{m: f[m] for m in metas}))
-    rows = _with_diff(profile).select("value", "diff", F.inline(item))
+    rows = merge_items(profile, item).select("value", "diff", F.inline("items"))
     leaf = lambda c: F.sum(F.when(F.col("leaf"), F.col(c)).otherwise(0))
     first = rows.groupBy("name", "build_id", "address", *metas).agg(
         F.sum("value").alias("cumulative"), F.sum("diff").alias("cumulative_diff"),
@@ -93,7 +90,7 @@ def table_neighbours(profile: DataFrame) -> DataFrame:
 
     Pairs stay rows: a hot function may have any number of neighbours.
     """
-    keys = profile.select(F.transform(_listed(), _table_key).alias("keys"))
+    keys = profile.select(F.transform(_listed(), _table_key).alias("keys")).distinct()
     pairs = keys.select(F.inline(F.array_distinct(_adjacent(F.col("keys")))))
     return pairs.groupBy("callee", "caller").agg(F.count("*").alias("stacks")).select("callee", "caller")
 
@@ -116,7 +113,7 @@ def source_report(profile: DataFrame, filename: str, build_id: str = "") -> Data
     wanted = F.filter(item, lambda f: f["has_mapping"] & f["name"].isNotNull()
                       & F.coalesce(filename_matches(f["filename"], filename), F.lit(False))
                       & (F.lit(build_id == "") | F.coalesce(f["build_id"] == build_id, F.lit(False))))
-    rows = profile.select("value", F.inline(wanted))
+    rows = merge_items(profile, wanted).select("value", F.inline("items"))
     return rows.groupBy("filename", "line_number").agg(
         F.sum("value").alias("cumulative"),
         F.sum(F.when(F.col("leaf"), F.col("value")).otherwise(0)).alias("flat"),

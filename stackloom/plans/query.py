@@ -52,14 +52,16 @@ class Report:
     edges: DataFrame | None = None
 
 
-def _side(samples: DataFrame, s: Selection, group_by, q: Query, sandwich: str) -> DataFrame:
+def _side(samples: DataFrame, s: Selection, group_by, q: Query, sandwich: str, merged: bool) -> DataFrame:
     chosen = select.matching(select.select_type(samples, s.profile_type), s.matchers)
     if s.at is not None:
         if sandwich:
             raise ValueError("a single profile cannot be cut at a function")
         profile = aggregate.single(chosen, s.at, s.profile_type.delta)
-    else:
+    elif merged or q.resolved_symbols is not None:
         profile = aggregate.merge(chosen, s.start, s.end, group_by, s.profile_type.delta)
+    else:
+        profile = aggregate.rows(chosen, s.start, s.end, group_by)
     if q.resolved_symbols is not None:
         profile = symbolize(profile, q.resolved_symbols)
     if sandwich:
@@ -68,14 +70,16 @@ def _side(samples: DataFrame, s: Selection, group_by, q: Query, sandwich: str) -
 
 
 def profile_of(samples: DataFrame, q: Query) -> DataFrame:
-    """The merged (and compared) profile before filters."""
+    """The selected (merged, compared) profile before filters."""
     group_by = q.group_by + (("timestamp",) if q.report == "flamechart" else ())
     flamegraph.check_group_by(group_by)
     if isinstance(q.source, Diff):
         d = q.source
-        base, compare = (_side(samples, s, (), q, "") for s in (d.base, d.compare))
+        base, compare = (_side(samples, s, (), q, "", True) for s in (d.base, d.compare))
         return difference.diff(base, compare, d.absolute)
-    return _side(samples, q.source, group_by, q, q.sandwich_by)
+    # most reports merge by themselves, on the frame fields they show
+    merged = q.report in ("flamechart", "profile")
+    return _side(samples, q.source, group_by, q, q.sandwich_by, merged)
 
 
 def run(samples: DataFrame, q: Query) -> Report:
