@@ -12,7 +12,7 @@ from stackloom.sources.arrow import ingest_arrow_v1
 from stackloom.sources.labels import exported_labels, label_errors
 from stackloom.sources.otlp import explode_timestamps
 from stackloom.functions.scalar import labels_text, record
-from stackloom.sources.tables import epoch_micros, line_samples, table
+from stackloom.sources.tables import epoch_micros, line_samples, spread, table
 
 P = "profile_id"
 
@@ -59,7 +59,7 @@ def _locations(s, d):
 
 def _samples(s, d):
     c = F.col
-    return table(s, d, "lineitem").select(
+    return spread(table(s, d, "lineitem")).select(
         _profile(), F.array(c("l_partkey") + 1, c("l_suppkey") + 1, F.lit(2).cast("long")).alias("location_ids"),
         c("l_quantity").cast("long").alias("value"))
 
@@ -78,7 +78,7 @@ def _unpivot(s, d):
     c = F.col
     kinds = F.array(*[record(type=F.lit(t), unit=F.lit(u)) for t, u in (
         ("samples", "count"), ("cpu", "nanoseconds"), ("alloc", "bytes"))])
-    rows = table(s, d, "lineitem").select(
+    rows = spread(table(s, d, "lineitem")).select(
         "l_orderkey", F.array(c("l_quantity").cast("long"), ((c("l_linenumber") - 1) * 100).cast("long"),
                               F.floor(c("l_discount") * 100 + 0.5).cast("long")).alias("values"), kinds.alias("sample_types"))
     return dic.unpivot_sample_types(rows)
@@ -121,7 +121,7 @@ def _timestamps(s, d):
     q = c("l_quantity").cast("long")
     times = F.when(c("l_linenumber") % 2 == 1, F.array(base, base + q)).otherwise(F.array().cast("array<bigint>"))
     values = F.when(c("l_linenumber") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(q, q % 2))
-    rows = table(s, d, "lineitem").where("l_linenumber % 2 = 1 OR l_linenumber % 3 <> 0")
+    rows = spread(table(s, d, "lineitem")).where("l_linenumber % 2 = 1 OR l_linenumber % 3 <> 0")
     return rows.select("l_orderkey", "l_linenumber", F.inline(explode_timestamps(times, values, base)))
 
 
@@ -136,7 +136,7 @@ def _stacktrace_ids(s, d):
             mapping_build_id=F.lit(None).cast("string"),
             lines=F.array().cast("array<struct<line:bigint,column:bigint,function_name:string,function_system_name:string,"
                            "function_filename:string,function_start_line:bigint>>"))).alias("locations"))
-    samples = table(s, d, "lineitem").select(
+    samples = spread(table(s, d, "lineitem")).select(
         F.lit("agent").alias("producer"), F.lit("samples").alias("sample_type"), F.lit("count").alias("sample_unit"),
         F.lit("cpu").alias("period_type"), F.lit("nanoseconds").alias("period_unit"), F.lit(100).cast("long").alias("period"),
         F.lit(0).cast("long").alias("duration"), (epoch_micros("l_shipdate") * 1000 + 999_999).alias("timestamp"),
@@ -162,7 +162,7 @@ def _symbols(s, d):
 
 def _addresses(s, d):
     c = F.col
-    return table(s, d, "lineitem").select(
+    return spread(table(s, d, "lineitem")).select(
         F.concat(F.lit("b"), (c("l_suppkey") % 5).cast("string")).alias("build_id"),
         (c("l_partkey") * 40 + 4096 + c("l_linenumber") * 20 - 60).alias("address"))
 

@@ -8,7 +8,7 @@ from stackloom.functions import keys, scalar
 from stackloom.operators.frames import frames
 
 from stackloom.operators.symbolize import program_header, symbol_address
-from stackloom.sources.tables import event_samples, line_samples, table
+from stackloom.sources.tables import event_samples, line_samples, spread, table
 
 STEP = 30 * 86400 * 10**9
 
@@ -63,7 +63,7 @@ def _headers(s, d):
 
 def _elf_base(s, d):
     c = F.col
-    rows = table(s, d, "lineitem").select(
+    rows = spread(table(s, d, "lineitem")).select(
         F.concat(F.lit("b"), (c("l_suppkey") % 5).cast("string")).alias("build_id"),
         F.lit(4194304).cast("long").alias("mapping_start"),
         F.when(c("l_linenumber") == 7, F.lit(0)).otherwise(4194304 + 4096 * c("l_linenumber")).cast("long").alias("mapping_limit"),

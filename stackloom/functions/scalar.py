@@ -93,7 +93,7 @@ def row_name(name, address, mapping_file, several_mappings) -> Column:
 
 def labels_text(labels) -> Column:
     """Non-empty labels as ``k=v`` pairs in key order; a stable, groupable label-set key."""
-    entries = F.array_sort(F.map_entries(F.map_filter(col(labels), lambda _, v: v != "")))
+    entries = F.sort_array(F.map_entries(F.map_filter(col(labels), lambda _, v: v != "")))
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
 
@@ -104,7 +104,7 @@ def ordered_label_sets(label_sets: DataFrame, labels: str = "labels") -> DataFra
     the others compare as text. Whether a key is numeric is a property of the
     whole listing, so it is aggregated per key first (one row per label name).
     """
-    sets = label_sets.select(F.array_sort(F.map_entries(F.col(labels))).alias("entries")).distinct()
+    sets = label_sets.select(F.sort_array(F.map_entries(F.col(labels))).alias("entries")).distinct()
     # one row per (label set, label); ``total`` travels as a scalar subquery
     total = sets.agg(F.count("*")).scalar()
     by_key = (

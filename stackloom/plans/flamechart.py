@@ -65,7 +65,8 @@ def timed_paths(profile: DataFrame, group_by=()) -> DataFrame:
     labels = check_group_by(group_by)
     frame_groups = [g for g in group_by if not g.startswith("labels.") and g != "timestamp"]
     series = labels_text(F.map_filter("labels", lambda k, _: k.isin(labels))) if labels else F.lit("")
-    marked = profile.withColumn("_series", series).withColumn("diff", F.lit(0).cast("long"))
+    # the empty ones go by the stored column: a filter on computed keys would compute them twice
+    marked = profile.where(F.size("stacktrace") > 0).withColumn("_series", series).withColumn("diff", F.lit(0).cast("long"))
     return with_ids(root_paths(marked, frame_groups, carry=["_series", "time_nanos", "period"]), frame_groups).select(
         F.col("_series").alias("series"), "time_nanos", "value", "period",
         F.slice(F.transform("ids", lambda i: i["hi"]), F.lit(2), F.size("path")).alias("keys"),
@@ -107,7 +108,7 @@ def flamechart(profile: DataFrame, group_by=(), chunk_nanos: int = CHUNK_NANOS)
     ``profile`` comes from a merge grouped by timestamp and the same labels.
     """
     labelled = any(g.startswith("labels.") for g in group_by)
-    paths = cut_lineage(timed_paths(profile, group_by).where(F.size("keys") > 0))
+    paths = cut_lineage(timed_paths(profile, group_by))
     cut = segments(paths, labelled, chunk_nanos)
     keyed = cut.select(F.concat_ws("\x1f", "series", F.col("root").cast("string"), F.col("segment").cast("string"))
                        .alias("segment_key"), "series", "time_nanos", "value", "period", "keys", "names")

@@ -43,7 +43,7 @@ def exported_labels(series_labels: Column, sample_labels: Column) -> Column:
                        lambda x: entry(sanitized(x["name"]), x["value"]))
     first = F.aggregate(text, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, x: F.when(
         F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.array_append(acc, x)))
-    ordered = F.array_sort(first)
+    ordered = F.sort_array(first)
 
     def rename(acc, x):
         once = F.when(F.map_contains_key(series_labels, x["key"]), F.concat(F.lit(EXPORTED), x["key"])).otherwise(x["key"])

@@ -194,7 +194,7 @@ class Export:
         # read by every section below
         rows = cut_lineage(profile.where(F.size("stacktrace") > 0).select(
             (F.col("diff") if is_diff else F.col("value")).alias("value"), "stacktrace",
-            F.array_sort(F.map_entries(labels)).alias("labels")))
+            F.sort_array(F.map_entries(labels)).alias("labels")))
         keys = F.transform("stacktrace", lambda loc: _export_locations(loc)[0])
         merged = rows.groupBy(keys.alias("keys"), "labels").agg(F.sum("value").alias("value"))
         both = F.transform("stacktrace", lambda loc: record(**dict(zip(("key", "info"), _export_locations(loc)))))

@@ -62,7 +62,7 @@ def live_flamechart(samples: DataFrame, group_by=(), lateness: str = "10 minutes
         yield pd.DataFrame({"series": rows["series"], "time_nanos": rows["time_nanos"], "value": rows["value"],
                             "names": rows["names"], "keys": rows["keys"], "starts": got})
 
-    paths = timed_paths(samples, group_by).where(F.size("keys") > 0)
+    paths = timed_paths(samples, group_by)
     timed = paths.withColumn("ts", event_time()).withWatermark("ts", lateness)
     # without labels root functions are independent of each other, so they share the load of a hot series
     root = F.when(F.col("series") == "", F.get("keys", F.lit(0))).otherwise(0)
