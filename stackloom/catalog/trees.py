@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stackloom.catalog.base import EVENT, LINE, LINE_FRAMES, tree
+from stackloom.catalog.base import EVENT, LINE_FRAMES, tree
 from stackloom.operators.aggregate import merge, rows
 from stackloom.operators.frames import invert
 from stackloom.plans import flamechart as fc, flamegraph as fg

@@ -68,7 +68,7 @@ def asof_symbols(addresses: DataFrame, symbols: DataFrame) -> DataFrame:
 def needs_symbols(samples: DataFrame) -> DataFrame:
     """Distinct locations to resolve: an address, a build id, no lines."""
     wanted = F.filter("stacktrace", _unresolved)
-    slim = F.transform(F.array_distinct(F.transform(wanted, _location_key)), lambda k: k)
+    slim = F.array_distinct(F.transform(wanted, _location_key))
     return samples.select(F.inline(slim)).distinct()
 
 
