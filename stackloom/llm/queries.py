@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["license_scan", "flac", "chat", "token_files", "toxicity", "decontaminate", "near_dedup"]
+MODULES = ["license_scan", "flac", "chat", "token_files", "toxicity", "decontaminate", "near_dedup", "html_wrapper", "sentencepiece_scan"]
 
 QUERIES: dict = {}
 SQL: dict = {}
