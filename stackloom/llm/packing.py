@@ -35,3 +35,23 @@ def unpack(data: bytes | np.ndarray, width: int, n: int, first: int = 0) -> np.n
         out = (out << np.uint64(8)) | padded[byte + j]
     out >>= (8 * size - (at & 7) - width).astype(np.uint64)
     return (out & np.uint64((1 << width) - 1)).astype(kind)
+
+
+def gather(data: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """The values at any places ``at`` of packed integers; ``data`` goes on for 8 bytes at least behind the last one."""
+    if width == 0:
+        return np.zeros(len(at), np.int64)
+    place = at * width
+    byte, out = place >> 3, np.zeros(len(at), np.uint64)
+    size = (width + 14) // 8
+    for j in range(size):
+        out = (out << np.uint64(8)) | data[byte + j]
+    out >>= (8 * size - (place & 7) - width).astype(np.uint64)
+    return (out & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def pack_open(values: np.ndarray, width: int) -> np.ndarray:
+    """Packed in steps of bounded memory, for ``gather``."""
+    step = 1 << 16  # a multiple of 8, so that steps end at whole bytes
+    parts = [pack(values[a : a + step], width) for a in range(0, len(values), step)] if width else []
+    return np.frombuffer(b"".join(parts) + bytes(8), np.uint8)

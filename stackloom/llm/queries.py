@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["license_scan", "flac", "chat", "token_files", "toxicity", "decontaminate", "near_dedup", "html_wrapper", "sentencepiece_scan"]
+MODULES = ["license_scan", "flac", "chat", "token_files", "toxicity", "decontaminate", "near_dedup", "html_wrapper", "sentencepiece_scan", "lm_trie"]
 
 QUERIES: dict = {}
 SQL: dict = {}
