@@ -27,21 +27,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import SLICE_BYTES, open_read, open_write, table, text_slices, work_folder
+from stackloom.llm.common import open_read, open_write, table, text_slices, work_folder
+from stackloom.llm.int_map import IntMap
 from stackloom.llm.packing import bit_width, pack, unpack
-from stackloom.llm.words import LOWER, split_words
+from stackloom.llm.words import LOWER, cut_text, raw_text
 
 MAGIC = b"IDPACK1\n"
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker keeps; a full cache is emptied, which costs time only.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+
+
+def _parted() -> np.ndarray:
+    """Neighbouring ASCII bytes between which the pre-tokeniser always cuts: next to white space and digits, and between
+    letters and others. Apostrophes stay with what follows them, as they may start a contraction."""
+    space, digit, letter = (np.array([f(chr(b)) for b in range(128)]) for f in (
+        lambda c: c in " \t\n\r\x0b\x0c", str.isdigit, str.isalpha))
+    kind = np.select([space, digit, letter], [0, 1, 2], 3)
+    out = np.zeros((256, 256), bool)
+    out[:128, :128] = (kind[:, None] != kind[None]) | digit[:, None]
+    out[ord("'"), :] = False
+    out[:128][space] = True  # white space is cut from anything else
+    out[:, :128][:, space] = True
+    out[np.ix_(np.flatnonzero(space), np.flatnonzero(space))] = False
+    return out
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that ignores ASCII case and never joins across white space.
+    """Ids of texts by a tokenizer that ignores ASCII case and white space and cuts texts as ``_parted`` says.
 
-    Each distinct word is tokenised once, many words at a time: they are joined by a special token whose id then shows
-    where a word ends. The ids of words met so far are kept as arrays.
+    Each distinct piece is tokenised once, many pieces at a time: they are joined by a special token whose id then shows
+    where a piece ends. The ids of pieces met so far are kept, by 63 bits of the piece's hash.
     """
 
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
@@ -51,17 +67,21 @@ class WordTokenizer:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator, self.mark = separator, self.tokenizer.token_to_id(separator)
+        self.parted = _parted()
+        self.by_space = self.parted & np.array([[chr(a).isspace() or chr(b).isspace() for b in range(256)] for a in range(256)])
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.flat, self.ends = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.flat, self.ends = IntMap(np.empty(0, np.int64), np.empty(0, np.int64)), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _tokenize(self, words: list[str], step: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each)"""
         plain = [w if self.separator not in w else "" for w in words]
-        joined = [self.separator.join(plain[a : a + step]) for a in range(0, len(plain), step)]
-        made = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.array([*x.ids, self.mark], np.uint32) for x in made])
+        parts = []
+        for a in range(0, len(plain), 64 * step):  # few at a time, as what the library returns is large
+            joined = [self.separator.join(plain[x : x + step]) for x in range(a, min(a + 64 * step, len(plain)), step)]
+            parts += [np.array([*x.ids, self.mark], np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(parts)
         cut = np.flatnonzero(ids == self.mark)
         flat, size = np.delete(ids, cut), np.diff(cut, prepend=-1) - 1
         if len(cut) != len(words):
@@ -73,25 +93,25 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the number of ids)"""
-        w = split_words(texts, LOWER)
-        if any(pc.any(pc.match_substring(w.dictionary, x)).as_py() for x in self.special):
-            w = split_words(texts)  # special tokens are found in text as it is, before it becomes lower case
-        found = pc.index_in(w.dictionary, self.known)
-        if found.null_count:
-            if len(self.known) + found.null_count > CACHE_WORDS:
+        at, data = raw_text(texts)
+        lower = data.translate(LOWER)
+        if any(x.encode() in lower for x in self.special):
+            w = cut_text(at, data, self.by_space)  # special tokens are found in text as it is, before it becomes lower case
+        else:
+            w = cut_text(at, lower, self.parted)
+        keys = (w.hashes() >> np.uint64(1)).view(np.int64)
+        place = self.known.get(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if self.known.n + len(new) > CACHE_WORDS:
                 self._clear()
-                found = pa.nulls(len(w.dictionary), pa.int32())
-            missing = pc.is_null(found)
-            new = w.dictionary.filter(missing)
-            flat, size = self._tokenize(new.to_pylist())
+                new = np.arange(len(keys))
+            flat, size = self._tokenize(w.dictionary.take(pa.array(new)).to_pylist())
+            place[new] = len(self.ends) - 1 + np.arange(len(new))
+            self.known.add(keys[new], place[new])
             self.flat = np.concatenate([self.flat, flat])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-            at = found.fill_null(0).to_numpy(zero_copy_only=False).copy()
-            at[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, new])
-        else:
-            at = found.to_numpy(zero_copy_only=False)
-        code = at[w.codes]
+        code = place[w.codes]
         first, count = self.ends[code], self.ends[code + 1] - self.ends[code]
         ends = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], count)]
@@ -198,7 +218,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenize(tokenizer)
         width = bit_width(max(tok.vocabulary, (end_id or 0) + 1, vocabulary or 0))
-        slices = text_slices(batches, "text", 2 * SLICE_BYTES)
+        slices = text_slices(batches, "text")
         first = next(slices, None)
         if first is None:
             return

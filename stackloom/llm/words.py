@@ -86,6 +86,20 @@ def split_words(column: pa.Array, table: bytes | None = None) -> Words:
     return Words(offsets, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary)
 
 
+def cut_text(at: np.ndarray, data: bytes, parted: np.ndarray) -> Words:
+    """Split texts wherever ``parted`` (256 x 256 bytes, True between ASCII bytes only) says so; nothing is left out."""
+    if not data:
+        return Words(np.zeros(len(at), np.int64), np.empty(0, np.int32), pa.array([], pa.string()))
+    raw = np.frombuffer(data, np.uint8)
+    first = np.ones(len(raw), bool)
+    first[1:] = parted[raw[:-1], raw[1:]]
+    first[at[:-1][at[:-1] < at[1:]]] = True
+    starts = np.flatnonzero(first).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, np.int32(len(raw))).tobytes()), pa.py_buffer(data))
+    coded = pieces.dictionary_encode()
+    return Words(np.searchsorted(starts, at), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary)
+
+
 def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of ``size`` words within a text, and the first shingle of each text.
 
