@@ -6,8 +6,8 @@ compatible if merging the characters of ab by score gives a, b again; a sequence
 compatible is the BPE encoding of its text, so exactly one path has a weight above minus infinity, and the same scan serves both.
 
 Pieces hold U+2581 (a space) at their start only, or nothing else, and no piece holds a character outside the
-vocabulary (those become bytes). So paths never cross from a word to the space after it, or a newline, nor any two
-ASCII characters that stand next to each other in no piece: texts fall into segments, distinct segments are encoded once, and ids are gathered by array operations.
+vocabulary (those become bytes). So paths never cross from a word to the space after it, or a newline, nor between any
+two ASCII characters that stand next to each other in no piece: texts fall into segments, distinct segments are encoded once, and ids are gathered by array operations.
 
 Giant texts are cut into chunks that become rows of their own, between segments where a chunk has one, else
 anywhere. The state at a cut is the piece that starts before it and ends at or after it. Each chunk gives a matrix:
@@ -92,6 +92,7 @@ class Vocabulary:
         for p in normal:
             raw = p.replace(SPACE, " ").encode()
             self.parted[list(raw[:-1]), list(raw[1:])] = False
+        self.parted[:, [10, 32]], self.parted[10] = True, True
         self.parted[32, :] = False  # spaces stay with what follows
         self._known, self._flat, self._ends = pa.array([], pa.binary()), np.empty(0, np.int32), np.zeros(1, np.int64)
         # bytes each id stands for
