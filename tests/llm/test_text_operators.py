@@ -243,7 +243,7 @@ def test_toxicity_learns_stems(spark):
 
     rows = [(i, text(i % 6 == 0), int(i % 6 == 0)) for i in range(600)] + [(9000, None, 0), (9001, "", 0), (9002, "x", None)]
     model = toxicity.train(documents(spark, rows, "toxic int"))
-    asked = [(1, prose(77, 80) + " scumling " + prose(78, 40)), (2, prose(79, 120)), (3, None), (4, ""), (5, prose(80, 20_000)), (5, "VILE! vilest; scum")]
+    asked = [(1, prose(77, 50) + " scumling " + prose(78, 20) + " vilish " + prose(76, 20) + " scumful"), (2, prose(79, 120)), (3, None), (4, ""), (5, prose(80, 20_000)), (5, "VILE! vilest; scum")]
     got = toxicity.score(documents(spark, [(*r, 9) for r in asked], "score int"), model).collect()
     assert len(got) == len(asked) and all(r["score"] == 9 and 0 <= r["score_"] <= 1 for r in got)
     assert sorted((r["doc_id"], r["predicted"]) for r in got) == [(1, 1), (2, 0), (3, 0), (4, 0), (5, 0), (5, 1)]
