@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import open_read, open_write, table, text_slices, work_folder
+from stackloom.llm.common import SLICE_BYTES, open_read, open_write, table, text_slices, work_folder
 from stackloom.llm.int_map import IntMap
 from stackloom.llm.packing import bit_width, pack, unpack
 from stackloom.llm.words import LOWER, cut_text, raw_text
@@ -35,7 +35,7 @@ from stackloom.llm.words import LOWER, cut_text, raw_text
 MAGIC = b"IDPACK1\n"
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker keeps; a full cache is emptied, which costs time only.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def _parted() -> np.ndarray:
@@ -218,7 +218,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenize(tokenizer)
         width = bit_width(max(tok.vocabulary, (end_id or 0) + 1, vocabulary or 0))
-        slices = text_slices(batches, "text")
+        slices = text_slices(batches, "text", SLICE_BYTES // 2)
         first = next(slices, None)
         if first is None:
             return
