@@ -32,7 +32,7 @@ THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares no band with probability 7e-6.
 BANDS, ROWS = 30, 5
 #: Members of a block in the second comparison, and most blocks of a bucket; beyond, blocks get larger.
-BLOCK, MOST_BLOCKS = 128, 24
+BLOCK, MOST_BLOCKS = 256, 4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
