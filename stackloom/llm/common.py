@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import mmap
 import os
@@ -17,6 +18,8 @@ from stackloom.session import cut_lineage
 
 __all__ = ["cut_lineage", "table", "work_folder", "open_write", "open_read", "local_copy", "text_slices", "free_name"]
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
 #: Bytes of text that a task handles at a time; a single longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -104,6 +107,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+            _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, so that a worker's size is that of one slice and not of the largest ones so far."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def free_name(taken: list[str], name: str) -> str:
