@@ -288,7 +288,7 @@ def _vocabulary(texts: DataFrame, folder: str) -> tuple[list[tuple[str, int, int
     """Write level 1; (files, words, tokens)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "text", 4 * SLICE_BYTES):
+        for b in text_slices(batches, "text", 2 * SLICE_BYTES):
             h, codes, offsets = _word_hashes(b.column("text"))
             n = np.bincount(codes, minlength=len(h))
             yield pa.RecordBatch.from_pydict({"hash": np.append(h, [START_HASH, END_HASH]), "count": np.append(n, [0, len(offsets) - 1])})
@@ -356,7 +356,7 @@ def _count(texts: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(plan)
-        for b in text_slices(batches, "text", 4 * SLICE_BYTES):
+        for b in text_slices(batches, "text"):
             hashes, codes, offsets = _word_hashes(b.column("text"))
             ids, _ = trie.ids(np.append(hashes, [START_HASH, END_HASH]))
             order = np.argsort(ids)
@@ -556,7 +556,7 @@ def score(df: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _opened(plan.folder, packed.value)
-        for b in text_slices(batches, text, 2 * SLICE_BYTES):
+        for b in text_slices(batches, text):
             made = trie.score(b.column(names.index(text)))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(made[n]) for n in added)], names=taken)
 
