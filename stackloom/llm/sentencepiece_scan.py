@@ -40,7 +40,7 @@ SPACE = "▁"
 CHUNK_CHARS = 1 << 14
 GIANT_CHARS = 1 << 16
 #: Segments a worker keeps the ids of, and compatible pairs; a full store is emptied, which costs time only.
-CACHE_SEGMENTS, CACHE_PAIRS = 600_000, 1_000_000
+CACHE_SEGMENTS, CACHE_PAIRS = 300_000, 400_000
 UNKNOWN, START = -2, -1
 NONE = -np.inf
 MODEL = "piece_bpe_32k.model"
@@ -95,11 +95,6 @@ class Vocabulary:
         self.parted[:, [10, 32]], self.parted[10] = True, True
         self.parted[32, :] = False  # spaces stay with what follows
         self._known, self._flat, self._ends = pa.array([], pa.binary()), np.empty(0, np.int32), np.zeros(1, np.int64)
-        # bytes each id stands for
-        text = [bytes([b]) for b in range(256)]
-        of_id = [p.piece.replace(SPACE, " ").encode() if p.type == 1 else text[int(p.piece[3:5], 16)] if p.type == 6 else b"" for p in model.pieces]
-        self.raw = np.frombuffer(b"".join(of_id), np.uint8)
-        self.raw_ends = np.concatenate([[0], np.cumsum([len(x) for x in of_id])])
 
     def _parts(self, piece: str) -> tuple[str, ...]:
         """The two parts that are merged last into ``piece``; nothing if its characters don't merge into it."""
@@ -361,8 +356,12 @@ class Vocabulary:
         alone = {k for k, x in enumerate(segments) if len(x) > 64 or not all(map(self.known_chars.__contains__, x))}
         flat, count = np.empty(0, np.int32), np.zeros(len(segments), np.int64)
         many = [k for k in range(len(segments)) if k not in alone]
-        if many:
-            flat, count[many] = self._bpe_many([segments[k] for k in many])
+        parts = []
+        for a in range(0, len(many), 1 << 14):  # the lattices of many segments are large
+            ids, count[many[a : a + (1 << 14)]] = self._bpe_many([segments[k] for k in many[a : a + (1 << 14)]])
+            parts.append(ids)
+        if parts:
+            flat = np.concatenate(parts)
         if alone:
             ends = np.cumsum(count)
             made = {k: self._bpe_path(segments[k]) for k in sorted(alone)}
@@ -412,6 +411,19 @@ class Vocabulary:
         ids = self._flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
         return ids, total[np.searchsorted(starts, ends)]
 
+
+class Decoder:
+    """The bytes each id stands for; all that decoding needs of a model."""
+
+    def __init__(self, path: str):
+        from sentencepiece import sentencepiece_model_pb2
+
+        with open(path, "rb") as f:
+            pieces = sentencepiece_model_pb2.ModelProto.FromString(f.read()).pieces
+        of_id = [p.piece.replace(SPACE, " ").encode() if p.type == 1 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" for p in pieces]
+        self.raw = np.frombuffer(b"".join(of_id), np.uint8)
+        self.raw_ends = np.concatenate([[0], np.cumsum([len(x) for x in of_id])])
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes put together, spaces back, without the space before the text."""
         count = self.raw_ends[ids + 1] - self.raw_ends[ids]
@@ -421,6 +433,11 @@ class Vocabulary:
         return text.removeprefix(" ")
 
 
+@functools.lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -474,7 +491,7 @@ def _encode_small(df: DataFrame, text: str, ids: str, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for b in text_slices(batches, text, 2 * SLICE_BYTES):
+        for b in text_slices(batches, text, SLICE_BYTES // 2):
             flat, starts = v.encode(b.column(at))
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*names, ids])
@@ -565,7 +582,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str |
     text = free_name(names, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = decoder(model)
         for b in batches:
             lists = b.column(names.index(ids))
             at, flat, there = np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False), lists.is_valid().to_pylist()
