@@ -138,23 +138,25 @@ class Vocabulary:
             else:
                 y, until = self.made_of[y][0], ry + 0.5
 
+    def _judge(self, a: int, b: int) -> bool:
+        if b == UNKNOWN:
+            return True
+        if a < 0:
+            return self.merged(self.normal[b]) == [self.normal[b]]
+        if self.normal[a] in self.made_of and self.normal[b] in self.made_of:
+            return self._apart(a, b)
+        # pieces of equal scores: by doing it
+        return self.merged(self.normal[a] + self.normal[b]) == [self.normal[a], self.normal[b]]
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a (START: nothing stands before)."""
         if not self.bpe:
             return True
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
+            if len(self.pairs) >= CACHE_PAIRS // 8:
                 self.pairs.clear()
-            if b == UNKNOWN:
-                known = True
-            elif a < 0:
-                known = self.merged(self.normal[b]) == [self.normal[b]]
-            elif self.normal[a] in self.made_of and self.normal[b] in self.made_of:
-                known = self._apart(a, b)
-            else:  # pieces of equal scores: by doing it
-                known = self.merged(self.normal[a] + self.normal[b]) == [self.normal[a], self.normal[b]]
-            self.pairs[a, b] = known
+            known = self.pairs[a, b] = self._judge(a, b)
         return known
 
     def ending(self, text: str, end: int, least: int = 0) -> Iterator[tuple[int, int, float]]:
@@ -259,7 +261,7 @@ class Vocabulary:
         missing = found < 0
         if missing.any():
             new, where = np.unique(keys[missing], return_inverse=True)
-            fits = np.array([self.compatible(k // n - 2, k % n) for k in new.tolist()], np.int64)
+            fits = np.array([self._judge(k // n - 2, k % n) for k in new.tolist()], np.int64)
             if self._pair_fits.n + len(new) > CACHE_PAIRS:
                 self._pair_fits.clear()
             self._pair_fits.add(new, fits)
