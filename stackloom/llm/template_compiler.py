@@ -181,11 +181,15 @@ def parse(source: str) -> list:
     """Syntax tree: a list of nodes, where text is ``Out(Const(text))``."""
     top: list = []
     stack: list[tuple[str, object, list]] = [("", None, top)]
-    for part in _PARTS.split(source):
+    for i, part in enumerate(_PARTS.split(source)):
         body = stack[-1][2]
-        if not part or part.startswith("{#"):
+        if not part or i % 2 and part.startswith("{#"):
             continue
-        if part.startswith("{{"):
+        if not i % 2:  # text between tags
+            if any(x in part for x in ("{{", "{%", "{#")):
+                raise TemplateError("a tag isn't closed")
+            body.append(Out(Const(part)))
+        elif part.startswith("{{"):
             body.append(Out(_Expression(_lex(part[2:-2])).whole()))
         elif part.startswith("{%"):
             tokens = _lex(part[2:-2].strip().removeprefix("-").removesuffix("-"))
@@ -224,8 +228,6 @@ def parse(source: str) -> list:
                 stack.pop()
             else:
                 raise TemplateError(f"unknown tag {word!r}")
-        else:
-            body.append(Out(Const(part)))
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]} isn't closed")
     return top
