@@ -113,7 +113,8 @@ def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[
     out = length.astype(np.uint64)
     padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
     for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.where(i < length, padded[first + i], np.uint64(0)))
+        # a shorter run has the same hash whatever the size asked for
+        out = np.where(i < length, mix(out * np.uint64(0x9E3779B97F4A7C15) + padded[first + i]), out)
     return out, starts
 
 
