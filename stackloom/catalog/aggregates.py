@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from stackloom.catalog.base import EVENT, LINE, LINE_FRAMES
 from stackloom.catalog.filtering import TEXT, TEXT_FIELDS, _text
 from stackloom.catalog.selections import CPU, T1, T2
-from stackloom.functions.scalar import labels_text
+from stackloom.functions.scalar import int_div, labels_text
 from stackloom.operators import aggregate, diff, select, series
 from stackloom.operators.frames import frames
 from stackloom.operators.select import ProfileType, label
+from stackloom.plans import query
 from stackloom.sources.tables import event_samples, line_samples
 from stackloom.streaming.agents import agents
 
@@ -85,7 +86,33 @@ def _agents(s, d):
     return agents(pushes, expiry_nanos=24 * HOUR)
 
 
+def punctuated_events(s, d):
+    """Events of which half carry as one label what the others carry as two."""
+    kind, shard = label("kind"), label("shard")
+    one = F.create_map(F.lit("kind"), F.concat(kind, F.lit(",shard="), shard))
+    two = F.create_map(F.lit("kind"), kind, F.lit("shard"), shard)
+    half = int_div(label("user").cast("long"), 4) % 2 == 0
+    return event_samples(s, d).withColumn("labels", F.when(half, one).otherwise(two))
+
+
+def _query(report_of, *columns, group_by=()):
+    """The profile of a selection or a comparison, through the query composer."""
+    def run(s, d):
+        rows = query.run(line_samples(s, d), query.Query(report_of, "profile", group_by)).rows
+        keys = [labels_text("labels").alias("labels")] if group_by else []
+        return rows.groupBy(_stack_text().alias("stack"), *keys).agg(*[F.sum(c).alias(c) for c in columns])
+    return run
+
+
+DELTA_CPU = ProfileType(*CPU, delta=True)
+
 QUERIES = {
+    "range_gauge_punctuated": lambda s, d: series.query_range_gauge(punctuated_events(s, d), 6 * HOUR),
+    "query_single_by_label": _query(query.Selection(DELTA_CPU, at=T1), "value", group_by=("labels.segment",)),
+    "query_diff_single_merge": _query(query.Diff(query.Selection(DELTA_CPU, at=T1), query.Selection(DELTA_CPU, T1, T2), True),
+                                      "value", "diff"),
+    "query_from": _query(query.Selection(DELTA_CPU, start=T1), "value"),
+    "query_until": _query(query.Selection(DELTA_CPU, end=T1), "value"),
     "merge": _merge,
     "merge_by_label": _merge_by_label,
     "single": _instant,
@@ -128,7 +155,27 @@ def _range(keys=""):
     return RANGE.format(step=STEP, keys=keys)
 
 
+#: Label sets of ``punctuated_events`` as text.
+PUNCTUATED = r"""'kind=' || kind || CASE WHEN (CAST("user" AS BIGINT) // 4) % 2 = 0 THEN '\,shard\=' ELSE ',shard=' END || shard"""
+GAUGE = f"""SELECT labels, min(time_nanos) AS time_nanos, arg_min(value, time_nanos) AS value,
+  CAST(arg_min(value, time_nanos) AS DOUBLE) AS value_per_second, count(*) AS count FROM t GROUP BY labels, time_nanos // {6 * HOUR}"""
+
+
+def _merged(where):
+    return f"""WITH {FULL} SELECT stack, CAST(sum(value * period) AS BIGINT) AS value FROM stacked
+      WHERE duration <> 0 AND {where} GROUP BY 1"""
+
+
 SQL = {
+    "range_gauge_punctuated": f"""WITH {EVENT}, t AS (SELECT {PUNCTUATED} AS labels, time_nanos, CAST(sum(value) AS BIGINT) AS value
+        FROM event_samples GROUP BY 1, 2) {GAUGE}""",
+    "query_single_by_label": f"""WITH {FULL} SELECT stack, CASE WHEN segment <> '' THEN 'segment=' || segment ELSE '' END AS labels,
+        CAST(sum(value) AS BIGINT) AS value FROM stacked WHERE duration <> 0 AND "timestamp" = {T1 // 10**6} GROUP BY 1, 2""",
+    "query_diff_single_merge": f"""WITH {FULL} SELECT stack, CAST(sum(v) AS BIGINT) AS value, CAST(sum(d) AS BIGINT) AS diff FROM (
+        SELECT stack, value * period AS v, value * period AS d FROM stacked WHERE duration <> 0 AND time_nanos BETWEEN {T1} AND {T2}
+        UNION ALL SELECT stack, 0, -value FROM stacked WHERE duration <> 0 AND "timestamp" = {T1 // 10**6}) GROUP BY 1""",
+    "query_from": _merged(f"time_nanos >= {T1}"),
+    "query_until": _merged(f"time_nanos <= {T1}"),
     "merge": f"""WITH {FULL}, m AS (SELECT stack, full_stack, period, CAST(sum(value * period) AS BIGINT) AS value FROM stacked
         WHERE duration <> 0 AND time_nanos BETWEEN {T1} AND {T2} GROUP BY 1, 2, 3)
       SELECT stack, period, count(*) AS stacks, CAST(sum(value) AS BIGINT) AS value,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stackloom.catalog.aggregates import PUNCTUATED, punctuated_events
 from stackloom.catalog.base import EVENT, LINE_FRAMES, tree
 from stackloom.operators.aggregate import merge, rows
 from stackloom.operators.frames import invert
@@ -37,6 +38,11 @@ def _by_label(s, d):
     return _listed(fg.flamegraph(_profile(s, d, *group), group).where("depth > 0"), "labels_only")
 
 
+def _by_label_punctuated(s, d):
+    group = ("labels.kind", "labels.shard")
+    return _listed(fg.flamegraph(rows(punctuated_events(s, d), group_by=group), group).where("depth > 0"), "labels_only")
+
+
 def _meta(s, d):
     nodes = fg.flamegraph(_profile(s, d), meta=True).where("depth > 0")
     return _listed(nodes, "mapping_file", "mapping_build_id", "address", "line", "start_line", "system_name",
@@ -72,6 +78,7 @@ QUERIES = {
     "flamegraph": flamegraph,
     "flamegraph_inverted": _inverted,
     "flamegraph_by_label": _by_label,
+    "flamegraph_by_label_punctuated": _by_label_punctuated,
     "flamegraph_by_mapping": _grouped("mapping_file", "key_mapping_file"),
     "flamegraph_by_address": _grouped("location_address", "key_address"),
     "flamegraph_by_file": _grouped("function_file_name", "key_filename"),
@@ -145,6 +152,11 @@ SQL = {
         "n_frames - idx AS depth0", "n_frames + 1 AS depth0") + _nodes()),
     "flamegraph_by_label": "WITH " + tree(key="nm", frames=BY_LABEL, source="line_frames_l", value="value * period")
     + _nodes(more=", labels_only", group=", labels_only", name="k", parent="parent_key", leaf="idx = 0 AND NOT labels_only"),
+    "flamegraph_by_label_punctuated": f"""WITH {EVENT}, t AS (SELECT {PUNCTUATED} AS lab, kind, leaf, value FROM event_samples)
+      SELECT 1 AS depth, lab AS frame, CAST(NULL AS VARCHAR) AS parent, true AS labels_only, CAST(sum(value) AS BIGINT) AS cumulative,
+        CAST(0 AS BIGINT) AS flat FROM t GROUP BY lab
+      UNION ALL SELECT 2, kind, lab, false, CAST(sum(value) AS BIGINT), 0 FROM t GROUP BY lab, kind
+      UNION ALL SELECT 3, leaf, kind, false, CAST(sum(value) AS BIGINT), CAST(sum(value) AS BIGINT) FROM t GROUP BY lab, kind, leaf""",
     "flamegraph_by_mapping": _tree(_key("mapping_file")) + _nodes(
         more=", CASE WHEN symbolized THEN mapping_file END AS key_mapping_file",
         group=", CASE WHEN symbolized THEN mapping_file END"),

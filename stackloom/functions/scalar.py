@@ -92,9 +92,18 @@ def row_name(name, address, mapping_file, several_mappings) -> Column:
 
 
 def labels_text(labels) -> Column:
-    """Non-empty labels as ``k=v`` pairs in key order; a stable, groupable label-set key."""
+    """Non-empty labels as ``k=v`` pairs in key order; a stable, groupable label-set key.
+
+    A comma, equals sign or backslash within a name or value gets a backslash, so different sets have different texts.
+    """
     entries = F.sort_array(F.map_entries(F.map_filter(col(labels), lambda _, v: v != "")))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+    def plain(c: Column) -> Column:
+        for mark in ("\\", ",", "="):
+            c = F.replace(c, F.lit(mark), F.lit("\\" + mark))
+        return c
+
+    return F.array_join(F.transform(entries, lambda e: F.concat(plain(e["key"]), F.lit("="), plain(e["value"]))), ",")
 
 
 def ordered_label_sets(label_sets: DataFrame, labels: str = "labels") -> DataFrame:

@@ -23,8 +23,7 @@ def rows(samples: DataFrame, start: int | None = None, end: int | None = None, g
     Reports merge on the few frame fields they show, which gives narrower keys
     and fewer of them than whole stacks, so they take these rows directly.
     """
-    if start is not None and end is not None:
-        samples = in_range(samples, start, end)
+    samples = in_range(samples, start, end)
     names = [g.removeprefix("labels.") for g in group_by if g.startswith("labels.")]
     by_time = ["time_nanos"] if "timestamp" in group_by else []
     labelled = samples.select("stacktrace", "period", *by_time, scaled_value().alias("value"),
@@ -47,8 +46,7 @@ def merge(samples: DataFrame, start: int | None = None, end: int | None = None,
     frames and are ignored here. The group key is the stack array itself:
     Spark hashes its bytes, so the aggregation is exact and needs no witness.
     """
-    if start is not None and end is not None:
-        samples = in_range(samples, start, end)
+    samples = in_range(samples, start, end)
     names = [g.removeprefix("labels.") for g in group_by if g.startswith("labels.")]
     by_time = ["time_nanos"] if "timestamp" in group_by else []
     rows = samples.select("stacktrace", "period", *by_time, *_label_columns(names), scaled_value().alias("value"))
@@ -61,13 +59,19 @@ def merge(samples: DataFrame, start: int | None = None, end: int | None = None,
     return out.select(*columns)
 
 
-def single(samples: DataFrame, time_nanos: int, delta: bool = False) -> DataFrame:
-    """Sum values by stack at one instant; for deltas also the rate over their summed duration."""
-    rows = at_instant(samples, time_nanos)
-    out = rows.groupBy("stacktrace").agg(F.sum("value").alias("value"), F.sum("duration").alias("duration"))
+def single(samples: DataFrame, time_nanos: int, delta: bool = False, group_by=()) -> DataFrame:
+    """Sum values by stack, period and the wanted labels at one instant; for deltas also the rate over their summed duration.
+
+    The columns are those of :func:`merge`, so either can be a side of a comparison.
+    """
+    names = [g.removeprefix("labels.") for g in group_by if g.startswith("labels.")]
+    by_time = ["time_nanos"] if "timestamp" in group_by else []
+    rows = at_instant(samples, time_nanos).select("stacktrace", "period", *by_time, "value", "duration", *_label_columns(names))
+    out = rows.groupBy("stacktrace", "period", *by_time, *[f"l_{i}" for i in range(len(names))]).agg(
+        F.sum("value").alias("value"), F.sum("duration").alias("duration"))
     rate = F.col("value").cast("double") / F.nullif(F.col("duration"), F.lit(0).cast("long")).cast("double")
-    return out.select("stacktrace", "value", F.lit(0).cast("long").alias("diff"), "duration",
-                      *([rate.alias("value_per_second")] if delta else []))
+    return out.select("stacktrace", "period", *by_time, "value", F.lit(0).cast("long").alias("diff"),
+                      _label_map(names).alias("labels"), "duration", *([rate.alias("value_per_second")] if delta else []))
 
 
 def totals(profile: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ class Condition:
         allowed = NUMBER_OPS if isinstance(self.value, int) else STRING_OPS
         if self.op not in allowed:
             raise ValueError(f"unknown condition {self.op!r} for {type(self.value).__name__}")
+        if isinstance(self.value, int) and not -(2**63) <= self.value < 2**64:
+            raise ValueError(f"{self.value} has more than 64 bits")
 
     @property
     def negative(self) -> bool:
@@ -31,7 +33,8 @@ class Condition:
     def test(self, c: Column) -> Column:
         """The comparison; null for a null input."""
         if isinstance(self.value, int):
-            positive = c == F.lit(self.value)
+            # unsigned 64-bit numbers are stored as the signed ones of the same bits
+            positive = c == F.lit(self.value - 2**64 if self.value >= 2**63 else self.value)
         else:
             folded, wanted = ascii_fold(c), ascii_fold(F.lit(self.value))
             positive = {"equal": lambda: folded == wanted,

@@ -6,7 +6,8 @@ from stackloom.operators.select import ProfileType, in_open_range, in_range, lab
 
 
 def _names(samples: DataFrame) -> DataFrame:
-    return samples.select(F.explode(F.map_keys("labels")).alias("label")).distinct().orderBy("label")
+    used = F.map_keys(F.map_filter("labels", lambda _, v: v.isNotNull()))
+    return samples.select(F.explode(used).alias("label")).distinct().orderBy("label")
 
 
 def label_names(samples: DataFrame, profile_type: ProfileType | None = None, match=(), start: int = 0,
@@ -30,8 +31,7 @@ def label_values(samples: DataFrame, name: str, profile_type: ProfileType | None
 
 def mapping_files(samples: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Binaries that occur in a selection, sorted."""
-    if start is not None:
-        samples = in_range(samples, start, end)
+    samples = in_range(samples, start, end)
     # distinct inside each stack first, so few rows leave the explode
     files = F.array_distinct(F.transform("stacktrace", lambda loc: loc["mapping_file"]))
     return (samples.select(F.explode(files).alias("mapping_file")).where("mapping_file is not null")

@@ -68,12 +68,14 @@ WALL_CLOCK = ("wallclock", "nanoseconds", "samples", "count", True)
 RESTRICTED = {"go_runtime_expected_off_cpu": WALL_CLOCK, "rust_runtime_expected_off_cpu": WALL_CLOCK}
 
 
-def preset(key: str, agent: str = "agent") -> list:
-    """Filters of a preset. ``agent`` completes the library name of the profiling agent."""
+def preset(key: str, agent: str | None = None) -> list:
+    """Filters of a preset. ``agent`` completes the library name of the profiling agent, in the preset that names it."""
+    if agent is None and "{agent}" in FIXED_PRESETS[key]:
+        raise ValueError(f"preset {key} needs the agent's name")
     out = []
     for row in FIXED_PRESETS[key].strip().splitlines():
         kind, field, op, value = row.strip().split(" ", 3)
-        criteria = Criteria(**{field: Condition(op, value.replace("{agent}", agent))})
+        criteria = Criteria(**{field: Condition(op, value.replace("{agent}", agent or ""))})
         out.append(StackFilter(criteria) if kind == "stack" else FrameFilter(criteria))
     return out
 

@@ -68,9 +68,13 @@ def select_type(samples: DataFrame, profile_type: ProfileType) -> DataFrame:
     return samples.where(profile_type.predicate())
 
 
-def in_range(samples: DataFrame, start: int, end: int) -> DataFrame:
-    """Inclusive range on ``time_nanos``."""
-    return samples.where(F.col("time_nanos").between(start, end))
+def in_range(samples: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Inclusive range on ``time_nanos``; each bound that is given applies."""
+    if start is not None:
+        samples = samples.where(F.col("time_nanos") >= start)
+    if end is not None:
+        samples = samples.where(F.col("time_nanos") <= end)
+    return samples
 
 
 def in_open_range(samples: DataFrame, start: int, end: int) -> DataFrame:

@@ -37,13 +37,11 @@ def query_range_gauge(samples: DataFrame, step: int) -> DataFrame:
     """Gauge series: per (label set, step) the earliest total, and how many were collapsed into it."""
     totals = samples.groupBy(labels_text("labels").alias("labels"), "time_nanos").agg(F.sum("value").alias("value"))
     bucket = int_div("time_nanos", step) if step > 0 else F.col("time_nanos")
-    # max/min over a struct of longs: the pair travels in one fixed-width buffer
-    earliest = F.min(F.struct("time_nanos", "value"))
+    # times are unique per label set here, so both aggregates speak of the same row, in buffers of fixed width
     return (
         totals.groupBy("labels", bucket.alias("step"))
-        .agg(earliest.alias("e"), F.count("*").alias("count"))
-        .select("labels", F.col("e.time_nanos").alias("time_nanos"), F.col("e.value").alias("value"),
-                F.col("e.value").cast("double").alias("value_per_second"), "count")
+        .agg(F.min("time_nanos").alias("time_nanos"), F.min_by("value", "time_nanos").alias("value"), F.count("*").alias("count"))
+        .select("labels", "time_nanos", "value", F.col("value").cast("double").alias("value_per_second"), "count")
         .orderBy("labels", "time_nanos")
     )
 

@@ -39,7 +39,7 @@ def top(profile: DataFrame, limit: int | None = None) -> DataFrame:
     out = out.select("name", F.col("lowest.address").alias("address"), "mapping_file", "mapping_build_id",
                      "cumulative", "flat", "diff")
     ordered = out.orderBy(F.desc("flat"), unsigned_key("address"), "name")
-    return ordered.limit(limit) if limit else ordered
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def _table_parts(f: Column) -> dict[str, Column]:

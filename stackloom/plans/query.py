@@ -1,4 +1,7 @@
-"""Composing a whole report: select, merge, filter, compare, summarise. All lazy."""
+"""Composing a whole report: select, merge, filter, compare, summarise.
+
+Flame charts, call graphs and trimmed trees write checkpoints while they are composed; everything else is lazy.
+"""
 
 from dataclasses import dataclass, field
 
@@ -57,7 +60,7 @@ def _side(samples: DataFrame, s: Selection, group_by, q: Query, sandwich: str, m
     if s.at is not None:
         if sandwich:
             raise ValueError("a single profile cannot be cut at a function")
-        profile = aggregate.single(chosen, s.at, s.profile_type.delta)
+        profile = aggregate.single(chosen, s.at, s.profile_type.delta, group_by)
     elif merged or q.resolved_symbols is not None:
         profile = aggregate.merge(chosen, s.start, s.end, group_by, s.profile_type.delta)
     else:

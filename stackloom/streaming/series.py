@@ -4,6 +4,7 @@ A sample is late once it is older than the watermark, and is then dropped; the
 batch queries over the stored table still count it.
 """
 
+import json
 from typing import Any, Iterator
 
 import pandas as pd
@@ -35,36 +36,42 @@ def rolling_merge(samples: DataFrame, window: str, lateness: str = "10 minutes")
 
 
 def live_flamechart(samples: DataFrame, group_by=(), lateness: str = "10 minutes", idle: str = "10 minutes") -> DataFrame:
-    """Node starts per sample, as they arrive: rows (series, time_nanos, value, names, keys, starts).
+    """Node starts per sample: rows (series, time_nanos, value, names, keys, starts).
 
-    State per series is one open path. Samples are folded in time order within a
-    batch; one that is older than what its series has already folded is dropped.
-    Node totals are a plain aggregation over these rows
+    State per series is one open path, and the samples the watermark has not passed yet: an earlier one may still
+    come. Once it has, they are folded in time order, so what arrives late but in time takes its place. The open path
+    is forgotten when ``idle`` has gone by without samples. Node totals are a plain aggregation over these rows
     (:func:`stackloom.plans.flamechart.chart_nodes`).
     """
     millis = int(pd.Timedelta(idle).total_seconds() * 1000)
     out = "series string, time_nanos bigint, value bigint, names array<string>, keys array<bigint>, starts array<bigint>"
 
     def fold(key, batches: Iterator[pd.DataFrame], state: Any):
-        if state.hasTimedOut:
+        last, keys, starts, ends, waiting = state.get if state.exists else (-1, [], [], [], "[]")
+        passed = state.getCurrentWatermarkMs()
+        path, rows = OpenPath(zip(keys, starts, ends)), json.loads(waiting)
+        for pdf in () if state.hasTimedOut else batches:
+            rows += [[int(t), int(v), int(p), list(n), [int(x) for x in k]] for t, v, p, n, k in zip(
+                pdf["time_nanos"], pdf["value"], pdf["period"], pdf["names"], pdf["keys"])]
+        rows.sort(key=lambda r: r[0])
+        n = sum(r[0] // 1000 <= passed * 1000 for r in rows)  # event times are microseconds
+        due, rows = rows[:n], rows[n:]
+        if state.hasTimedOut and not due and not rows:
             state.remove()
             return
-        last, keys, starts, ends = state.get if state.exists else (-1, [], [], [])
-        path = OpenPath(zip(keys, starts, ends))
-        rows = pd.concat(list(batches)).sort_values("time_nanos")
-        rows = rows[rows["time_nanos"] > last]
-        got = [path.add([int(x) for x in k], int(t), int(v), int(p))
-               for k, t, v, p in zip(rows["keys"], rows["time_nanos"], rows["value"], rows["period"])]
-        if len(rows):
-            last = int(rows["time_nanos"].iloc[-1])
-        state.update((last, [x[0] for x in path.levels], [x[1] for x in path.levels], [x[2] for x in path.levels]))
-        state.setTimeoutTimestamp(max(last // 1_000_000, state.getCurrentWatermarkMs()) + millis)
-        yield pd.DataFrame({"series": rows["series"], "time_nanos": rows["time_nanos"], "value": rows["value"],
-                            "names": rows["names"], "keys": rows["keys"], "starts": got})
+        got = [path.add(k, t, v, p) for t, v, p, _, k in due]
+        last = due[-1][0] if due else last
+        state.update((last, [x[0] for x in path.levels], [x[1] for x in path.levels], [x[2] for x in path.levels], json.dumps(rows)))
+        # a timeout is due when the watermark is beyond it
+        wake = rows[0][0] // 1_000_000 - 1 if rows else last // 1_000_000 + millis
+        state.setTimeoutTimestamp(max(wake, passed + 1))
+        if due:
+            yield pd.DataFrame({"series": [key[0]] * n, "time_nanos": [r[0] for r in due], "value": [r[1] for r in due],
+                                "names": [r[3] for r in due], "keys": [r[4] for r in due], "starts": got})
 
     paths = timed_paths(samples, group_by)
     timed = paths.withColumn("ts", event_time()).withWatermark("ts", lateness)
     # without labels root functions are independent of each other, so they share the load of a hot series
     root = F.when(F.col("series") == "", F.get("keys", F.lit(0))).otherwise(0)
     return timed.withColumn("root", root).groupBy("series", "root").applyInPandasWithState(
-        fold, out, "last bigint, keys array<bigint>, starts array<bigint>, ends array<bigint>", "append", "EventTimeTimeout")
+        fold, out, "last bigint, keys array<bigint>, starts array<bigint>, ends array<bigint>, waiting string", "append", "EventTimeTimeout")

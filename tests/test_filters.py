@@ -112,7 +112,9 @@ def test_older_filters():
 
 
 def test_presets(spark):
-    assert len(FIXED_PRESETS) == 9 and all(preset(k) for k in FIXED_PRESETS)
+    assert len(FIXED_PRESETS) == 9 and all(preset(k, agent="x") for k in FIXED_PRESETS)
+    with pytest.raises(ValueError):
+        preset("hide_cuda_internals")
     wall = ProfileType("agent", "wallclock", "nanoseconds", "samples", "count", True)
     assert len(presets_for(wall)) == 9 and len(presets_for(ProfileType("a", "b", "c", "d", "e"))) == 7
     df = samples(spark, [(["tokio::runtime::park", "main", "<tokio::x>"], 1)])
@@ -210,6 +212,42 @@ def test_query_composes(spark):
         run(df, Query(Selection(whole.profile_type, at=1), "top", sandwich_by="main"))
 
 
+def test_label_sets_with_punctuation_stay_apart(spark):
+    df = samples(spark, [(["f"], 5, {"a": "1,b=2"}, 1), (["f"], 7, {"a": "1", "b": "2"}, 1), (["f"], 9, {"a": "1\\", "b": "2"}, 1)], sample_unit="x")
+    assert collect(series.query_range_gauge(df, 10), "labels", "value") == sorted(
+        [(r"a=1\,b\=2", 5), ("a=1,b=2", 7), (r"a=1\\,b=2", 9)], key=repr)
+    group = ("labels.a", "labels.b")
+    nodes = fg.flamegraph(aggregate.merge(df, group_by=group), group).where("depth = 1")
+    assert sorted(r["cumulative"] for r in nodes.collect()) == [5, 7, 9]
+
+
+def test_addresses_above_the_signed_range(spark):
+    kernel = 0xffffffff81000000
+    df = samples(spark, [([loc(kernel - 2**64), loc(5)], 1), ([loc(5)], 2)])
+    assert values(flt.stack_filter(df, Criteria(address=Condition("equal", kernel)))) == [1]
+    out = flt.frame_filter(df, Criteria(address=Condition("not_equal", kernel)))
+    assert [[x["address"] for x in r["stacktrace"]] for r in out.collect()] == [[5], [5]]
+    with pytest.raises(ValueError):
+        Condition("equal", 2**64)
+
+
+def test_each_bound_of_a_range_applies(spark):
+    kind = ProfileType("cpu", "samples", "count", "cpu", "nanoseconds")
+    df = samples(spark, [(["f"], 1, {"a": "x", "b": None}, 10), (["g"], 2, {"a": "y"}, 20)])
+    assert values(run(df, Query(Selection(kind, start=15), "profile")).rows) == [2]
+    assert values(run(df, Query(Selection(kind, end=15), "profile")).rows) == [1]
+    assert {r["value"] for r in run(df, Query(Selection(kind), "metadata")).rows.collect()} == {"a"}  # b is null throughout
+
+
+def test_single_profiles_group_and_compare(spark):
+    kind = ProfileType("cpu", "samples", "count", "cpu", "nanoseconds")
+    df = samples(spark, [(["f"], 1, {"a": "x"}, 10**6), (["f"], 2, {"a": "y"}, 10**6), (["g"], 4, {}, 2 * 10**6)])
+    tree = run(df, Query(Selection(kind, at=10**6), "flamegraph", group_by=("labels.a",))).rows.where("labels_only")
+    assert sorted(r["cumulative"] for r in tree.collect()) == [1, 2]
+    both = run(df, Query(Diff(Selection(kind, at=10**6), Selection(kind, 0, 10**7), absolute=True), "profile")).rows
+    assert collect(both, "value", "diff") == [(0, -3), (3, 3), (4, 4)]
+
+
 def test_merge_and_single(spark):
     df = samples(spark, [(["f"], 1, {"a": "x"}, 10**6), (["f"], 2, {"a": "y"}, 2 * 10**6), (["f"], 4, {}, 2 * 10**6)], period=10, duration=7)
     assert values(aggregate.merge(df, 0, 2 * 10**6)) == [70]

@@ -279,8 +279,13 @@ def test_streams(spark, tmp_path):
     assert sorted((r["value"], r["count"], r["k"]) for r in rows) == [(30, 2, "a"), (40, 1, None)]
     rows = result(rolling_merge(stream_samples(spark, src), "1 minute"), "complete", "merged")
     assert sorted(r["value"] for r in rows) == [30, 40]
-    rows = result(live_flamechart(stream_samples(spark, src)), "append", "chart")
+    rows = result(live_flamechart(stream_samples(spark, src), lateness="0 seconds"), "append", "chart")
     assert sorted((r["time_nanos"], list(r["starts"])) for r in rows) == [(s, [s]), (2 * s, [2 * s]), (70 * s, [70 * s])]
+    late = str(tmp_path / "late")
+    for times in ([100 * s], [99 * s, 101 * s], [10_000 * s]):
+        samples(spark, [(["f"], 1, {}, t) for t in times], period=10).coalesce(1).write.mode("append").parquet(late)
+    rows = result(live_flamechart(stream_samples(spark, late, files_per_trigger=1)), "append", "late_chart")
+    assert sorted(r["time_nanos"] for r in rows) == [99 * s, 100 * s, 101 * s]  # the watermark hasn't passed the last one
     write_profile(str(tmp_path / "pprof"))
     ingest(stream_pprof(spark, str(tmp_path / "pprof"), {"__name__": "cpu"}), str(tmp_path / "t2"), str(tmp_path / "c2")).awaitTermination()
     assert read_samples(spark, str(tmp_path / "t2")).count() == 3
