@@ -2,14 +2,16 @@
 
 1. Each page becomes a tree of its block elements, in which siblings with the same label (tag, class, id) are one repeated
    node, and a list of text blocks with their nodes. Trees are small and few per host, whatever the host's size.
-2. Counts per (host, tree, node): pages, and the least and greatest hash of the node's text. This is a hash aggregation,
-   so a host with a third of all pages is reduced before anything moves.
+2. Pages of a host with the same tree and texts count once, as copies are no evidence of a template. Counts per (host, tree,
+   node): such pages, and the least and greatest hash of the node's text. Both are hash aggregations, so copies and a host with
+   a third of all pages are reduced before anything moves.
 3. The host's most frequent tree is its reference. Every other tree is aligned with it: the largest matching of nodes that
-   keeps labels, parents and the order of siblings. Summed over the alignment, a reference node whose text is the same on all
-   pages is template, one whose text varies is a slot. Nodes that match nothing are slots.
-4. Slots that are article text make the wrapper's content: within the article element (or what else the page declares as its
-   main part) if there is one, else anywhere. Elements whose tag, role, class or id says menu, footer, advert and the like
-   are never content. Hosts with under MIN_PAGES pages have no template to learn, so that for them only declarations count.
+   keeps labels, parents and the order of siblings. Summed over the alignment, a reference node whose text is the same wherever it
+   has one, and that has one on at least MIN_SHARE of the host's pages, is template; one whose text varies is a slot.
+4. What is not template makes the wrapper's content: within the article element (or what else the page declares as its
+   main part) if there is one, else anywhere. A part without a slot has no template, as nothing tells it from the article.
+   Elements whose tag, role, class or id says menu, footer, advert and the like are never content. Hosts with under
+   MIN_PAGES different pages have no template to learn, so that for them only declarations count.
 5. Pages are joined with the content nodes of their (host, tree) and print those nodes' blocks.
 
 Only steps 1 and 3 are Python: per page, and per distinct tree of a host.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from stackloom.llm.common import cut_lineage, free_name, table, text_slices
 
-#: Pages that must agree before a text counts as template.
-MIN_PAGES = 3
+#: Different pages that must agree before a text counts as template, and their least share of the host's.
+MIN_PAGES, MIN_SHARE = 3, 0.5
 
 # Elements of HTML, and words by which pages name their parts.
 BLOCKS = frozenset("""html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote section article
@@ -254,8 +256,9 @@ def align(tree: str, reference: str) -> list[int]:
     return [partner[i] if kept[i] else -1 for i in range(len(pa_))]
 
 
-def content_nodes(tree: str, template: set[int], slots: set[int]) -> list[int]:
-    """Nodes whose text is the article. ``template``, ``slots``: nodes of this tree whose text is constant, or varies, on the host."""
+def content_nodes(tree: str, template: set[int], slots: set[int], unmatched: set[int]) -> list[int]:
+    """Nodes whose text is the article. ``template``, ``slots``: nodes of this tree whose text is constant, or varies, on the
+    host; ``unmatched``: nodes with text that the host's reference doesn't have."""
     parents, labels = read_tree(tree)
     marks = [x.split("|")[1] if "|" in x else "" for x in labels]
     dropped = [False] * len(parents)
@@ -266,12 +269,12 @@ def content_nodes(tree: str, template: set[int], slots: set[int]) -> list[int]:
     for i in range(1, len(parents)):
         inside[i] = not dropped[i] and (inside[parents[i]] or (bool(ranks) and marks[i] == f"+{min(ranks)}"))
     pool = [i for i in range(len(parents)) if (inside[i] if ranks else not dropped[i])]
-    if slots.intersection(pool):  # a part in which nothing varies is no template of anything
+    # a part in which nothing varies is no template of anything; without a declared part, a text of its own is the article, too
+    if slots.intersection(pool) or (not ranks and unmatched.intersection(pool)):
         pool = [i for i in pool if i not in template]
     return pool
 
 
-
 def parse(pages: DataFrame) -> DataFrame:
     """The columns of ``pages`` (url, html) but html, with the page's host, tree, text hash of each node and blocks."""
     kept = [c for c in pages.columns if c != "html"]
@@ -306,31 +309,37 @@ def _align_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = []
-        for tree, partners, template in zip(*(b.column(c).to_pylist() for c in ("page_tree", "partners", "template"))):
-            constant = set(template or ())
-            fixed = {i for i, p in enumerate(partners) if p in constant}
-            made.append(content_nodes(tree, fixed, {i for i in range(len(partners)) if i not in fixed}))
+        for row in zip(*(b.column(c).to_pylist() for c in ("page_tree", "partners", "template", "varying", "with_text"))):
+            tree, partners, (constant, varying, own) = row[0], row[1], (set(x or ()) for x in row[2:])
+            made.append(content_nodes(tree, {i for i, p in enumerate(partners) if p in constant},
+                                      {i for i, p in enumerate(partners) if p in varying}, {i for i in own if partners[i] < 0}))
         yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page_tree"), pa.array(made, pa.list_(pa.int32()))],
                                          names=["host", "page_tree", "content"])
 
 
-def induce(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def induce(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Wrappers: (host, page_tree, content), the nodes that hold article text in pages of that host and tree."""
-    nodes = parsed.select("host", "page_tree", F.posexplode("node_hashes").alias("node", "hash"))
+    pages = parsed.select("host", "page_tree", "node_hashes").distinct()
+    nodes = pages.select("host", "page_tree", F.posexplode("node_hashes").alias("node", "hash"))
     seen = F.when(F.col("hash") != 0, F.col("hash"))
     counts = cut_lineage(nodes.groupBy("host", "page_tree", "node").agg(F.count("*").alias("pages"), F.count(seen).alias("texts"),
                                                                         F.min(seen).alias("low"), F.max(seen).alias("high")))
-    trees = counts.filter("node = 0").select("host", "page_tree", "pages")
-    references = trees.groupBy("host").agg(F.max_by("page_tree", F.struct("pages", "page_tree")).alias("reference"))
+    # bounded by the nodes of the tree
+    trees = counts.groupBy("host", "page_tree").agg(F.max("pages").alias("pages"), F.collect_list(F.when(F.col("texts") > 0, F.col("node"))).alias("with_text"))
+    references = trees.groupBy("host").agg(F.max_by("page_tree", F.struct("pages", "page_tree")).alias("reference"),
+                                           F.sum("pages").alias("host_pages"))
     aligned = cut_lineage(trees.select("host", "page_tree").join(references, "host").mapInArrow(
         _align_trees, "host string, page_tree string, partners array<int>"))
     matched = (counts.join(aligned, ["host", "page_tree"]).withColumn("partner", F.get("partners", F.col("node")))
                .filter("partner >= 0").groupBy("host", "partner")
-               .agg(F.sum("texts").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high")))
+               .agg(F.sum("texts").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
+               .join(references.select("host", "host_pages"), "host"))
+    constant = (F.col("texts") >= min_pages) & (F.col("texts") >= min_share * F.col("host_pages")) & (F.col("low") == F.col("high"))
     # bounded by the nodes of the host's reference tree
-    template = (matched.filter((F.col("texts") >= min_pages) & (F.col("low") == F.col("high")))
-                .groupBy("host").agg(F.collect_list("partner").alias("template")))
-    return (aligned.join(template, "host", "left").select("host", "page_tree", "partners", "template")
+    known = matched.groupBy("host").agg(F.collect_list(F.when(constant, F.col("partner"))).alias("template"),
+                                        F.collect_list(F.when(F.col("low") != F.col("high"), F.col("partner"))).alias("varying"))
+    return (aligned.join(known, "host", "left").join(trees.select("host", "page_tree", "with_text"), ["host", "page_tree"])
+            .select("host", "page_tree", "partners", "template", "varying", "with_text")
             .mapInArrow(_choose, "host string, page_tree string, content array<int>"))
 
 

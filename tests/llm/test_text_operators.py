@@ -373,6 +373,33 @@ def test_pages(spark):
     assert html_wrapper.extract(df.limit(0)).collect() == []
 
 
+def test_copied_pages(spark):
+    article = "<nav>Home</nav><article><h1>A</h1><p>B</p></article>"
+    other = "<nav>Home</nav><article><h1>A {n}</h1><p>B {n}</p></article>"
+    bare = "<div class=top>Site</div><div><h1>A</h1><p>B</p></div>"
+    rows = [("http://three.org/", article)] * 3 + [("http://many.org/", article)] * 1000 + [(None, article)] * 3 + [("http://bare.org/", bare)] * 3
+    rows += [("http://mixed.org/", article)] * 1000 + [("http://mixed.org/o", other.replace("{n}", str(i))) for i in range(4)]
+    # near copies: only the menu, or a note outside the article, differs
+    rows += [("http://near.org/", article.replace("Home", f"Home {i}")) for i in range(4)]
+    rows += [("http://note.org/", article + f"<div>{i} views</div>") for i in range(4)]
+    # a page of one layout more, and a quotation that 3 of 20 pages have
+    rows += [("http://more.org/", article.replace("Home", f"Home {i}")) for i in range(4)] + [("http://more.org/", article.replace("</p>", "</p><ul><li>C</ul>"))]
+    quote = "<article><h1>A {n}</h1><p>B</p>{q}</article>"
+    rows += [("http://quote.org/", quote.replace("{n}", str(i)).replace("{q}", "<blockquote>Q</blockquote>" if i < 3 else "")) for i in range(20)]
+    # with no declared part, a layout of its own is still told from the site's title
+    rows += [("http://own.org/", bare.replace("A", f"A {i}").replace("B", f"B {i}")) for i in range(4)] + [("http://own.org/", "<div class=top>Site</div><section><h2>C</h2></section>")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    by = {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()}
+    got = {}
+    for i, (url, _) in enumerate(rows):
+        got.setdefault(url and url[7:].split(".")[0], []).append(by[i])
+    assert got["three"] == got[None] == ["A\nB"] * 3 and got["many"] == ["A\nB"] * 1000 and got["bare"] == ["Site\nA\nB"] * 3
+    assert got["mixed"] == ["A\nB"] * 1000 + [f"A {i}\nB {i}" for i in range(4)]
+    assert got["near"] == got["note"] == ["A\nB"] * 4 and got["more"] == ["A\nB"] * 4 + ["A\nB\nC"]
+    assert got["quote"] == [f"A {i}" + ("\nQ" if i < 3 else "") for i in range(20)]
+    assert got["own"] == [f"A {i}\nB {i}" for i in range(4)] + ["C"]
+
+
 def test_tree_matching():
     def tree(*nodes):
         return "\n".join(f"{p}\t{x}" for p, x in [(-1, "#root"), *nodes])
