@@ -1,4 +1,4 @@
-"""Licence scan: Dice coefficient over word bigrams between licence templates and lines, or whole short texts.
+"""Licence scan: Dice coefficient over word bigrams between licence templates and lines, whole short texts, or any passages.
 
 DataFrame functions only. A unit is a line of a document, or the whole document where it has several lines. Its bigrams
 (a multiset) are looked up in the bigrams of the templates (a fixed table of this module), so units that share nothing
@@ -6,13 +6,17 @@ with a licence vanish in the map stage; what is shuffled is one count per unit,
 
 Size bounds: Dice >= t needs t / (2 - t) * |T| <= |U| <= (2 - t) / t * |T|. A unit of n words has n - 1 bigrams, so units
 beyond the bounds of all templates go before any bigram is made, and the others meet only templates of like size.
+
+Passages are runs of words wherever lines end: wrapped notices, those in a longer text and those inside a long line. A best run
+starts and ends with bigrams of its template (without the others at its ends it is more similar), so runs are made from pairs
+of these alone, and only where as many of them lie as close together as the bounds ask.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.llm.common import free_name, table
@@ -144,11 +148,64 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] |
                        F.col("b.shared").alias(name["shared"]), F.col("b.dice").alias(name["dice"]))
 
 
+def passages(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] | None = None,
+             threshold: float = THRESHOLD) -> DataFrame:
+    """One row per licence and passage of a text in which a run of words reaches ``threshold`` with one of its templates.
+
+    Of the runs from each word on the best one counts (of equal ones the shorter, then the first template's); overlapping
+    ones of a licence are one passage. Returns the columns of ``docs`` but ``text``, with ``first_word``, ``last_word`` (of the
+    passage, from 1), and ``license``, ``template``, ``shared``, ``dice`` of its best run (of equal ones the first) added,
+    with underscores where a name is taken. Lines don't matter. Null and empty texts match nothing; repeated rows each get their own.
+    """
+    spark = docs.sparkSession
+    templates = TEMPLATES if templates is None else templates
+    ratio = (2 - threshold) / threshold
+    kept = [c for c in docs.columns if c != text]
+    name = {c: free_name(kept, c) for c in ("first_word", "last_word", "license", "template", "shared", "dice")}
+    carried = F.struct(*[F.col(c) for c in kept]) if kept else F.struct(F.lit(0))
+    # the id before the explode: in one select it would number the bigrams
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), carried.alias("__kept"), _bigrams(_words(F.col(text))).alias("__bigrams"))
+    found = rows.select("__row", "__kept", F.posexplode("__bigrams").alias("pos", "bigram"))
+    grams = template_bigrams(spark, templates)
+    hits = found.join(F.broadcast(grams), "bigram")  # the templates: a fixed, small table
+    # bounded by the words of a text
+    own = ["__row", "license", "template", "t_size"]
+    held = (hits.groupBy(*own).agg(F.any_value("__kept").alias("__kept"), F.array_sort(F.collect_list(F.struct("pos", "bigram", "t_count"))).alias("h"))
+            .withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("t_size") / ratio - 1e-9)).cast("int"))
+            .withColumn("most", F.floor(F.col("t_size") * ratio + 1e-9).cast("int")).filter(F.size("h") >= F.col("need")))
+    starts = held.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("need")))).filter(
+        F.expr("get(h, i + need - 1).pos - get(h, i).pos < most"))
+    runs = starts.select(*own, "__kept", "most", F.expr("get(h, i).pos").alias("start"), F.explode(F.expr("slice(h, i + 1, most)")).alias("x"))
+    runs = runs.filter(F.col("x.pos") - F.col("start") < F.col("most")).select(*own, "__kept", "start", "x.pos", "x.bigram", "x.t_count")
+    start = Window.partitionBy(*own, "start")
+    counted = F.row_number().over(Window.partitionBy(*own, "start", "bigram").orderBy("pos")) <= F.col("t_count")
+    scored = (runs.withColumn("counted", counted.cast("long")).withColumn("shared", F.sum("counted").over(start.orderBy("pos")))
+              .withColumn("dice", 2 * F.col("shared") / (F.col("pos") - F.col("start") + 1 + F.col("t_size"))).filter(F.col("dice") >= threshold - 1e-9))
+    order = F.struct(-F.col("dice"), "pos", "template")
+    best = (scored.groupBy("__row", "license", "start").agg(F.min_by(F.struct("pos", "template", "shared", "dice", "__kept"), order).alias("b"))
+            .select("__row", "license", "start", "b.*"))
+    # at most one row for each word of a text
+    before = Window.partitionBy("__row", "license").orderBy("start")
+    ended = F.max("pos").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = best.withColumn("new", (ended.isNull() | (ended < F.col("start"))).cast("int")).withColumn("place", F.sum("new").over(before))
+    merged = (numbered.groupBy("__row", "license", "place")
+              .agg(F.min("start").alias("first"), F.max("pos").alias("last"),
+                   F.min_by(F.struct("template", "shared", "dice", "__kept"), F.struct(-F.col("dice"), "start")).alias("b")))
+    return merged.select(*[F.col(f"b.__kept.{c}").alias(c) for c in kept], (F.col("first") + 1).alias(name["first_word"]),
+                         (F.col("last") + 2).alias(name["last_word"]), F.col("license").alias(name["license"]),
+                         F.col("b.template").alias(name["template"]), F.col("b.shared").alias(name["shared"]), F.col("b.dice").alias(name["dice"]))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs).select("doc_id", "line_no", "license", "template", "shared", F.round("dice", 9).alias("dice"))
 
 
+def op5_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages(docs).select("doc_id", "first_word", "last_word", "license", "template", "shared", F.round("dice", 9).alias("dice"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -180,5 +237,35 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, CAST(template AS IN
 FROM best WHERE k = 1"""
 
 
-QUERIES = {"op5_license_scan": op5_license_scan}
-SQL = {"op5_license_scan": _sql()}
+def _passages_sql() -> str:
+    values = ", ".join(f"({_quoted(n)}, {i}, {_quoted(t)})" for n, ts in TEMPLATES.items() for i, t in enumerate(ts))
+    words = "list_filter(string_split(regexp_replace(translate({0}, '" + UPPER + "', '" + LOWER + "'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    return f"""
+WITH templates(license, template, body) AS (VALUES {values}),
+tw AS (SELECT license, template, {words.format('body')} AS w FROM templates),
+tg AS (SELECT license, template, len(w) - 1 AS t_size, w[i] || ' ' || w[i + 1] AS bigram
+       FROM tw, LATERAL (SELECT unnest(range(1, len(w))) AS i)),
+tc AS (SELECT license, template, t_size, bigram, count(*) AS t_count FROM tg GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words.format('text')} AS w FROM documents),
+b AS (SELECT r, doc_id, i AS pos, w[i] || ' ' || w[i + 1] AS bigram FROM d, LATERAL (SELECT unnest(range(1, len(w))) AS i)),
+every AS (SELECT r, doc_id, license, template, t_size, t_count, pos, bigram, count(*) OVER (PARTITION BY r, license, template) AS n
+          FROM b JOIN tc USING (bigram)),
+hits AS (SELECT * FROM every WHERE n * 1.5 >= t_size - 1e-9),
+runs AS (SELECT x.r, x.doc_id, x.license, x.template, x.t_size, x.pos AS start, y.pos, CASE WHEN row_number() OVER (
+           PARTITION BY x.r, x.license, x.template, x.pos, y.bigram ORDER BY y.pos) <= y.t_count THEN 1 ELSE 0 END AS counted
+         FROM hits x JOIN hits y ON x.r = y.r AND x.license = y.license AND x.template = y.template
+           AND y.pos >= x.pos AND y.pos - x.pos + 1 <= x.t_size * 1.5 + 1e-9),
+sums AS (SELECT *, sum(counted) OVER (PARTITION BY r, license, template, start ORDER BY pos) AS shared FROM runs),
+scored AS (SELECT *, 2.0 * shared / (pos - start + 1 + t_size) AS dice FROM sums),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, license, start ORDER BY dice DESC, pos, template) AS k FROM scored WHERE dice >= 0.8 - 1e-9),
+ended AS (SELECT *, max(pos) OVER (PARTITION BY r, license ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM best WHERE k = 1),
+placed AS (SELECT *, sum(CASE WHEN e IS NULL OR e < start THEN 1 ELSE 0 END) OVER (PARTITION BY r, license ORDER BY start) AS place FROM ended),
+ranked AS (SELECT *, min(start) OVER (PARTITION BY r, license, place) AS first_word, max(pos) OVER (PARTITION BY r, license, place) + 1 AS last_word,
+             row_number() OVER (PARTITION BY r, license, place ORDER BY dice DESC, start) AS j FROM placed)
+SELECT doc_id, CAST(first_word AS INTEGER) AS first_word, CAST(last_word AS INTEGER) AS last_word, license,
+       CAST(template AS INTEGER) AS template, CAST(shared AS BIGINT) AS shared, round(dice, 9) AS dice
+FROM ranked WHERE j = 1"""
+
+
+QUERIES = {"op5_license_scan": op5_license_scan, "op5_license_passages": op5_license_passages}
+SQL = {"op5_license_scan": _sql(), "op5_license_passages": _passages_sql()}

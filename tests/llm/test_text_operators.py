@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -228,6 +229,64 @@ def test_licenses_match_sql(spark):
     assert license_scan.scan(df.limit(0)).collect() == [] and license_scan.scan(df, templates={}).collect() == []
 
 
+def plain_passages(text: str) -> set[tuple]:
+    """(license, first word, last word) of each passage, from all runs of words."""
+    def pairs(t):
+        words = re.findall("[a-z0-9]+", t.translate(str.maketrans(license_scan.UPPER, license_scan.LOWER)))
+        return list(zip(words, words[1:]))
+
+    own, out = pairs(text), set()
+    for license_, bodies in license_scan.TEMPLATES.items():
+        best: dict[int, tuple] = {}
+        for k, body in enumerate(bodies):
+            bag = Counter(want := pairs(body))
+            for i in range(len(own)):
+                seen, shared = Counter(), 0
+                for j in range(i, min(len(own), i + int(len(want) * 1.5) + 1)):
+                    seen[own[j]] += 1
+                    shared += seen[own[j]] <= bag[own[j]]
+                    dice = 2 * shared / (j - i + 1 + len(want))
+                    if dice >= 0.8 - 1e-9 and own[i] in bag:
+                        best[i] = min(best.get(i, (0,)), (-dice, j, k))
+        place = None
+        for i in sorted(best):
+            if place and i <= place[1]:
+                place[1] = max(place[1], best[i][1])
+            else:
+                if place:
+                    out.add((license_, place[0] + 1, place[1] + 2))
+                place = [i, best[i][1]]
+        if place:
+            out.add((license_, place[0] + 1, place[1] + 2))
+    return out
+
+
+def test_license_passages(spark):
+    def wrapped(t, width=60, mark=" * "):
+        return "\n".join(mark + x for x in textwrap.wrap(t, width))
+
+    templates, code = license_scan.TEMPLATES, "\nint main() { return of_the(1); }\n" + prose(5, 400)
+    texts = ["/*\n" + wrapped(templates["Apache-2.0"][2]) + "\n */" + code, wrapped(templates["MIT"][2], 40) + code, prose(2, 500) + "\n" + wrapped(templates["ISC"][0]) + code,
+             "This work is licensed under the GNU General Public License, version 3. " + "filler " * 30, "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n" + code,
+             wrapped(templates["BSD-3-Clause"][1], 30, "# ").replace("binary", "object") + code, "Licensed under the MIT License. " * 5 + prose(3, 40) + " Released under the\nMIT License", prose(1, 3000), "word", ""]
+    rows = [*enumerate(texts), (100, None), (0, texts[0]), (None, texts[4])]
+    got = license_scan.passages(documents(spark, [(*r, "k") for r in rows], "license string"))
+    assert set(got.columns) == {"doc_id", "license", "first_word", "last_word", "license_", "template", "shared", "dice"}
+    names = ("doc_id", "first_word", "last_word", "license_", "template", "shared")
+    got = sorted((str(r["doc_id"]), *(r[c] for c in names[1:]), round(r["dice"], 9)) for r in got.collect())
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    assert got == sorted((str(r[0]), *r[1:]) for r in con.execute(license_scan.SQL["op5_license_passages"]).fetchall())
+    assert Counter((r[0], r[3], r[1], r[2]) for r in got) == Counter((str(doc), *x) for doc, t in rows for x in plain_passages(t or ""))
+    for i, x in enumerate(["Apache-2.0", "MIT", "ISC", "GPL-3.0", "GPL-3.0", "BSD-3-Clause", "MIT"]):
+        assert (str(i), x) in {(r[0], r[3]) for r in got}
+    assert not {"7", "8", "9", "100"} & {r[0] for r in got}
+    # none of these were units of the scan by lines
+    assert not {r["doc_id"] for r in license_scan.scan(documents(spark, rows)).collect()} & {1, 2, 3, 4, 5}
+    none = documents(spark, rows).limit(0)
+    assert license_scan.passages(none).collect() == [] and license_scan.passages(none, templates={}).collect() == []
+
+
 # toxicity
 
 
