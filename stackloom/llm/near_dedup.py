@@ -8,9 +8,14 @@ Jaccard similarity. Work per document is its words plus a fixed number of darts.
 
 Join: signatures are cut into BANDS bands of ROWS coordinates. Distinct texts (by a 128-bit hash) that share a band are
 candidates. First each bucket's members are verified against its hub, the member that meets most texts; members already
-linked are one class from then on. What remains are buckets with several classes: all pairs of members of different
-classes are compared exactly there, block against block, and only links that join classes leave the task. So every
-candidate pair is decided exactly or lies within a class already, and no pairs of a group are listed.
+linked are one class from then on. What remains are buckets with several classes. Those of up to BLOCK members are one group
+of a task each: all pairs of members of different classes are compared exactly, and only links that join classes leave the task.
+
+The members of larger ones meet further hubs, HUB_ROUNDS of them, and are then joined by their rarest shingles (prefix filter):
+in an order of units that all texts share, two texts with similarity t have a unit in common among the first
+n - ceil(2t / (1 + t) n) + 1 of the smaller and the first n - ceil(t n) + 1 of the larger one. Common units come last, so texts that
+share boilerplate but are less similar than t don't meet, however many there are. The pairs that do are rows, and
+verified exactly. So every candidate pair is decided exactly or lies within a class already, and a task's rows are bounded.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares no band with probability 7e-6.
 BANDS, ROWS = 30, 5
-#: Members of a block in the second comparison, and most blocks of a bucket; beyond, blocks get larger.
-BLOCK, MOST_BLOCKS = 256, 4
+#: Most members of a bucket that one task compares, and further hubs of the larger ones.
+BLOCK, HUB_ROUNDS = 256, 2
+#: Bits of the table of unit frequencies. It only sets the order of units, so that its collisions cost time but no pairs.
+CELL_BITS = 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,24 +126,21 @@ def _verify(threshold: float):
 
 
 def _compare_blocks(threshold: float):
-    """Links between members of different classes, for each pair of blocks (rows of one group come together)."""
+    """Links between members of different classes of a bucket (rows of one bucket come together)."""
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j = rows[0][0]
-        rows = sorted(rows, key=lambda r: r[2])  # by rid, so the result doesn't depend on the order of arrival
-        unit, starts = units(pa.array([r[4] for r in rows], pa.string()))
+        rows = sorted(rows, key=lambda r: r[0])  # by rid, so the result doesn't depend on the order of arrival
+        unit, starts = units(pa.array([r[2] for r in rows], pa.string()))
         n = np.diff(starts)
         _, code = np.unique(unit, return_inverse=True)
-        block, rid = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        label = np.array([r[3] for r in rows])
+        rid, label = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         held = np.zeros(int(code.max()) + 1 if len(code) else 1, np.int64)
         full = np.flatnonzero(n > 0)
         out = []
         # classes met so far are merged here, too, so that one link between two of them is enough
-        for x in np.flatnonzero(block == i):
-            other = (block == j) & (label != label[x]) & (n > 0)
-            if i == j:
-                other[: x + 1] = False
+        for x in range(len(rows)):
+            other = (label != label[x]) & (n > 0)
+            other[: x + 1] = False
             # similarity is at most the ratio of sizes
             other &= np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9
             if not other.any() or not n[x]:
@@ -156,13 +160,12 @@ def _compare_blocks(threshold: float):
         group, rows = None, []
         for b in batches:
             made = []
-            for r in zip(*(b.column(c).to_pylist() for c in ("band_key", "i", "j", "block", "rid", "label", "text"))):
-                key = r[:3]
+            for key, *r in zip(*(b.column(c).to_pylist() for c in ("band_key", "rid", "label", "text"))):
                 if key != group and rows:
                     made += links(rows)
                     rows = []
                 group = key
-                rows.append((key, *r[3:]))
+                rows.append(r)
             yield _link_batch(made)
         if rows:
             yield _link_batch(links(rows))
@@ -170,6 +173,95 @@ def _compare_blocks(threshold: float):
     return run
 
 
+def _cells(unit: np.ndarray) -> np.ndarray:
+    return (unit >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for b in text_slices(batches, "text"):
+        counts += np.bincount(_cells(units(b.column("text"))[0]), minlength=len(counts))
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(counts[cell])], names=["cell", "n"])
+
+
+def _prefixes(levels: np.ndarray, threshold: float):
+    """The first units of each text, rare ones first; ``indexed``: those that a text needs where it is the smaller one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "text"):
+            unit, starts = units(b.column("text"))
+            n = np.diff(starts)
+            owner = np.repeat(np.arange(len(n)), n)
+            unit = unit[np.lexsort((unit, levels[_cells(unit)], owner))]
+            place, size = np.arange(len(unit)) - np.repeat(starts[:-1], n), n[owner]
+            at = np.flatnonzero(place <= size - np.ceil(threshold * size - 1e-6))
+            indexed = (place <= size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-6))[at]
+            rows = pa.array(owner[at])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(unit[at].view(np.int64)), b.column("rid").take(rows), b.column("label").take(rows), pa.array(size[at].astype(np.int32)),
+                 pa.array(place[at].astype(np.int32)), pa.array(indexed)], names=["unit", "rid", "label", "n", "place", "indexed"])
+
+    return run
+
+
+def prefix_pairs(owners: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): pairs of ``owners`` (rid, label, text) of different labels, among them all of similarity ``threshold`` or more."""
+    counted = owners.mapInArrow(_count_units, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # fixed size
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels[counted.column("cell").to_numpy()] = np.round(4 * np.log2(1 + counted.column("n").to_numpy()))
+    firsts = cut_lineage(owners.mapInArrow(_prefixes(levels, threshold), "unit long, rid long, label long, n int, place int, indexed boolean"))
+    x, y = (firsts.select("unit", *[F.col(c).alias(f"{c}_{side}") for c in ("rid", "label", "n", "place", "indexed")]) for side in "xy")
+    # what two texts have in common from a shared unit on is at most the rest of either
+    rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rid_x") < F.col("rid_y")))
+    return (x.filter("indexed_x").join(y, "unit")
+            .filter(smaller & (F.col("label_x") != F.col("label_y")) & (F.col("n_x") >= threshold * F.col("n_y") - 1e-6)
+                    & (rest >= threshold / (1 + threshold) * (F.col("n_x") + F.col("n_y")) - 1e-6))
+            .select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct())
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    paired = (pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
+              .join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b"))
+    return paired.mapInArrow(_verify(threshold), "a long, b long")
+
+
+def _of_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links of texts as links of their classes. ``labels``: (node, label); others are classes of their own."""
+    left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    return (links.join(left, "a", "left").join(right, "b", "left")
+            .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The rows of buckets with several classes."""
+    mixed = labelled.groupBy("band_key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("band_key")
+    return labelled.join(mixed, "band_key")
+
+
+def _link_large(large: DataFrame, texts: DataFrame, threshold: float) -> list[DataFrame]:
+    """Links between classes of large buckets: ``large`` has (rid, band_key, label)."""
+    out: list[DataFrame] = []
+    for i in range(HUB_ROUNDS + 1):
+        large = cut_lineage(_mixed(large))
+        if large.isEmpty():
+            return out
+        if i == HUB_ROUNDS:
+            owners = cut_lineage(large.select("rid", "label").distinct().join(texts, "rid").select("rid", "label", "text"))
+            return [*out, _verified(prefix_pairs(owners, threshold), texts, threshold)]
+        hubs = large.groupBy("band_key").agg(F.min(F.struct(F.xxhash64("rid", F.lit(i)), "rid", "label")).alias("h"))
+        stars = (large.join(hubs, "band_key").filter("label <> h.label")
+                 .select(F.least("rid", "h.rid").alias("a"), F.greatest("rid", "h.rid").alias("b")).distinct())
+        links = cut_lineage(_verified(stars, texts, threshold))
+        out.append(links)
+        step = components(_of_labels(links, large.select(F.col("rid").alias("node"), "label").distinct()))
+        large = (large.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
+                 .select("rid", "band_key", F.coalesce("next", "label").alias("label")))
+    return out
+
+
 def _link_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
@@ -203,24 +295,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = members.select("rid").distinct().join(reps.select("rid", "k1", "k2", F.col("doc_id").alias("d")), "rid")
     same = (docs["k1"] == wanted["k1"]) & (docs["k2"] == wanted["k2"]) & docs["doc_id"].eqNullSafe(wanted["d"])
     texts = cut_lineage(docs.join(wanted, same).select("rid", "text").dropDuplicates(["rid"]))
-    paired = (stars.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
-              .join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b"))
-    links = paired.mapInArrow(_verify(threshold), "a long, b long")
+    links = _verified(stars, texts, threshold)
     first = components(links)
     labelled = (members.join(first.withColumnRenamed("node", "rid"), "rid", "left")
                 .select("rid", "band_key", "m", F.coalesce("label", "rid").alias("label")))
-    mixed = labelled.groupBy("band_key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("band_key")
-    blocks = F.least(F.ceil(F.col("m") / BLOCK), F.lit(MOST_BLOCKS)).cast("int")
-    dealt_out = (labelled.join(mixed, "band_key").withColumn("blocks", blocks)
-                 .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-                 .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                 .select("band_key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rid", "label")
-                 .join(texts, "rid").repartition("band_key", "i", "j").sortWithinPartitions("band_key", "i", "j"))
-    more = dealt_out.mapInArrow(_compare_blocks(threshold), "a long, b long")
-    to_label = first.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    other = first.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    joined = (more.join(to_label, "a", "left").join(other, "b", "left")
-              .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    mixed = cut_lineage(_mixed(labelled))
+    small = (mixed.filter(F.col("m") <= BLOCK).select("band_key", "rid", "label").join(texts, "rid")
+             .repartition("band_key").sortWithinPartitions("band_key"))
+    more = small.mapInArrow(_compare_blocks(threshold), "a long, b long")
+    for links in _link_large(mixed.filter(F.col("m") > BLOCK).select("rid", "band_key", "label"), texts, threshold):
+        more = more.union(links)
+    joined = _of_labels(more, first)
     second = components(joined).select(F.col("node").alias("label"), F.col("label").alias("last"))
     named = (reps.select("rid", "k1", "k2", "doc_id").join(first.withColumnRenamed("node", "rid"), "rid", "left")
              .withColumn("label", F.coalesce("label", "rid")).join(second, "label", "left")

@@ -78,6 +78,47 @@ def test_bucket_blocks(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == plain_classes(rows)
 
 
+def test_large_buckets_of_many_classes(spark, monkeypatch):
+    """Texts of one boilerplate, none alike enough: no task gets more than a block of a bucket, and nothing is left out."""
+    base, compare, block = prose(7, 400).split(), near_dedup._compare_blocks, 8
+    draw = random.Random(7)
+    texts = [" ".join(base[:340] + [f"v{draw.randrange(10**9)}" for _ in range(48)]) for _ in range(150)]
+    # copies with a word changed at the end, and a chain of texts that are like their neighbours only
+    texts += [t.rsplit(" ", 3)[0] + " x y z" for t in texts[:20]]
+    chain = texts[40].split()
+    for i in range(12):
+        chain[-4 * (i + 1):len(chain) - 4 * i] = [f"c{i}{j}" for j in range(4)]
+        texts.append(" ".join(chain))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+
+    def limited(threshold):
+        run = compare(threshold)
+
+        def counted(batches):
+            groups = Counter()
+
+            def passed():
+                for b in batches:
+                    groups.update(zip(*(b.column(c).to_pylist() for c in ("band_key", "i", "j") if c in b.schema.names)))
+                    assert max(groups.values(), default=0) <= block
+                    yield b
+
+            yield from run(passed())
+
+        return counted
+
+    monkeypatch.setattr(near_dedup, "_compare_blocks", limited)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(spark, rows)).collect()}
+    want = plain_classes(rows)
+    assert [got[i] for i, _ in rows] == want and len(set(want)) == 150
+    owners = spark.createDataFrame([(i, i, t) for i, t in rows], "rid long, label long, text string")
+    pairs = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(owners).collect()}
+    bags = [Counter(shingles(plain_words(t))) for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if weighted_jaccard(bags[i], bags[j]) >= 0.8}
+    assert alike <= pairs | {(b, a) for a, b in pairs} and len(pairs) < 300 < len(texts) ** 2 / 100
+
+
 def test_darts_agree_as_often_as_texts_are_similar():
     draw = random.Random(8)
     base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
