@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["license_scan", "flac", "chat", "token_files", "toxicity", "decontaminate", "near_dedup", "html_wrapper", "sentencepiece_scan", "lm_trie"]
+MODULES = ["license_scan", "flac", "chat", "token_files", "toxicity", "decontaminate", "near_dedup", "html_wrapper", "sentencepiece_scan", "lm_trie",
+           "quality_rules", "filter_audit", "conversation_repair"]
 
 QUERIES: dict = {}
 SQL: dict = {}
