@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from stackloom.session import cut_lineage
@@ -100,7 +101,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
