@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["trees", "selections", "filtering", "scalars", "aggregates", "reports", "ingest"]
+MODULES = ["trees", "selections", "filtering", "scalars", "aggregates", "reports", "ingest", "inputs"]
 
 
 def _collect(attribute: str) -> dict:

@@ -52,8 +52,8 @@ def _sides(s, d):
 
 def _diff(absolute):
     def run(s, d):
-        base, compare = _sides(s, d)
-        rows = diff.diff(base, compare, absolute)
+        deltas = select.select_type(line_samples(s, d), ProfileType(*CPU, delta=True))
+        rows = diff.compare_samples(deltas, select.range_predicate(0, T1 - 1), select.range_predicate(T1, T2), absolute)
         return rows.groupBy(_stack_text().alias("stack")).agg(F.sum("value").alias("value"), F.sum("diff").alias("diff"))
     return run
 

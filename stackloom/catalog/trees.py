@@ -185,6 +185,21 @@ SQL = {
         CAST(sum(value) AS BIGINT) AS cumulative FROM event_samples
       UNION ALL SELECT 1, kind, NULL, CAST(sum(value) AS BIGINT) FROM event_samples GROUP BY kind
       UNION ALL SELECT 2, leaf, kind, CAST(sum(value) AS BIGINT) FROM event_samples GROUP BY kind, leaf""",
+    # one sample of each series per step; a node ends where the values it took up end
+    "flamechart": f"""WITH RECURSIVE {EVENT}, merged AS (SELECT 'shard=' || shard AS series, time_nanos AS t, kind, leaf, any_value(period) // 10 AS jitter,
+        CAST(sum(value * 10000000000) AS BIGINT) AS v FROM event_samples GROUP BY shard, time_nanos, kind, leaf),
+      numbered AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t) AS n FROM merged),
+      open(series, n, v, kind, leaf, start1, end1, start2, end2) AS (
+        SELECT series, n, v, kind, leaf, t, t + v, t, t + v FROM numbered WHERE n = 1
+        UNION ALL SELECT x.series, x.n, x.v, x.kind, x.leaf, CASE WHEN one THEN start1 ELSE x.t END, CASE WHEN one THEN end1 ELSE x.t END + x.v,
+          CASE WHEN two THEN start2 ELSE x.t END, CASE WHEN two THEN end2 ELSE x.t END + x.v
+        FROM (SELECT s.*, o.start1, o.end1, o.start2, o.end2, o.kind = s.kind AND s.t - s.jitter <= o.end1 AS one,
+            o.kind = s.kind AND s.t - s.jitter <= o.end1 AND o.leaf = s.leaf AND s.t - s.jitter <= o.end2 AS two
+          FROM open o JOIN numbered s ON s.series = o.series AND s.n = o.n + 1) x)
+      SELECT series, 1 AS depth, kind AS frame, CAST(NULL AS VARCHAR) AS parent, start1 AS start, CAST(NULL AS BIGINT) AS parent_start,
+        CAST(sum(v) AS BIGINT) AS cumulative, CAST(0 AS BIGINT) AS flat FROM open GROUP BY series, kind, start1
+      UNION ALL SELECT series, 2, leaf, kind, start2, start1, CAST(sum(v) AS BIGINT), CAST(sum(v) AS BIGINT)
+        FROM open GROUP BY series, kind, leaf, start1, start2""",
     "height": f"""WITH {LINE_FRAMES} SELECT 'lines' AS kind, max(n_frames) + 1 AS height FROM line_frames
       UNION ALL SELECT 'locations', max(loc) + 2 FROM line_frames""",
 }

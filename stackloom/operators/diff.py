@@ -2,6 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stackloom.functions.scalar import scaled_value
+from stackloom.schema import LABELS
+from stackloom.session import cut_lineage
+
 
 def _total(profile: DataFrame) -> Column:
     return profile.agg(F.coalesce(F.sum("value"), F.lit(0)).cast("double")).scalar()
@@ -34,6 +38,20 @@ def diff(base: DataFrame, compare: DataFrame, absolute: bool = False) -> DataFra
     return side(compare, v, compare_diff, False).unionByName(side(base, F.lit(0), base_diff, True))
 
 
+def compare_samples(samples: DataFrame, base: Column, compare: Column, absolute: bool = False) -> DataFrame:
+    """:func:`diff` of two selections of one table, merged by stack and period, from one scan.
+
+    ``base`` and ``compare`` are conditions on the samples; a sample may be on both sides. Samples are merged with
+    their side in the key, and the totals that scale the sides are those of the merged rows.
+    """
+    sides = F.array_compact(F.array(F.when(base, F.lit("base")), F.when(compare, F.lit("compare"))))
+    tagged = samples.where(base | compare).select("stacktrace", "period", scaled_value().alias("value"), F.explode(sides).alias("side"))
+    # rows and totals read it
+    merged = cut_lineage(tagged.groupBy("stacktrace", "period", "side").agg(F.sum("value").alias("value")))
+    one = lambda name: merged.where(F.col("side") == name).select("stacktrace", "period", "value", F.create_map().cast(LABELS).alias("labels"))
+    return diff(one("base"), one("compare"), absolute)
+
+
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sorted distinct union of two one-column lists."""
     return a.union(b).distinct().orderBy(a.columns[0])

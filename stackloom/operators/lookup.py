@@ -1,18 +1,33 @@
 """Joins of many rows to a dictionary with one row per key."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 16
+#: Parts that a key is split into if it has just one task's share of the rows; more of them even out the tasks more.
+COPIES = 32
 
 
-def lookup(rows: DataFrame, dictionary: DataFrame, keys: list[str], spread_by: list[str], how: str = "left",
-           salts: int = SALTS) -> DataFrame:
+def heavy_keys(rows: DataFrame, keys: list[str], tasks: int) -> Column:
+    """Map from the hash of a key to the parts its rows need, for all keys with half a task's share of the rows or more.
+
+    A scalar subquery: a frequent-items sketch, merged map-side, so nothing is shuffled but sketches. Null keys count as
+    keys, as an outer join keeps their rows. There are at most two such keys per task.
+    """
+    sketch = rows.select(F.xxhash64(*keys).alias("h")).selectExpr(
+        f"approx_top_k(h, {2 * tasks + 1}, {max(10_000, 32 * tasks)}) AS top", "count(1) AS n")
+    parts = f"cast(ceil({COPIES}.0D * {tasks} * x.count / n) AS int)"
+    return sketch.selectExpr(f"""map_from_entries(transform(filter(top, x -> x.count * {2 * tasks} >= n AND x.count > 1),
+      x -> named_struct('key', x.item, 'value', {parts}))) AS m""").scalar()
+
+
+def lookup(rows: DataFrame, dictionary: DataFrame, keys: list[str], spread_by: list[str], how: str = "left") -> DataFrame:
     """Equi-join where one key may own a large share of ``rows``.
 
-    The dictionary is repeated ``salts`` times and the rows of each key are
-    split by a hash of ``spread_by``, so a hot key is worked on by that many
-    tasks. Spark still broadcasts the dictionary by itself if it is small.
+    Heavy keys are measured, and split by a hash of ``spread_by`` into as many parts as their weight asks for; the
+    dictionary repeats the rows of these keys alone. All copies together are ``COPIES`` rows per task at most, whatever
+    the size of the dictionary. Spark still broadcasts the dictionary by itself if it is small.
     """
-    salted = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.coalesce(F.try_element_at(heavy_keys(rows, keys, tasks), F.xxhash64(*keys)), F.lit(1))
+    salted = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    keyed = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), parts).cast("int"))
     return keyed.join(salted, keys + ["_salt"], how).drop("_salt")

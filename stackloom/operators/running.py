@@ -4,23 +4,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from stackloom.session import cut_lineage
 
-ROWS_PER_TASK = 2_000_000
 ID_BUCKETS = 512
 
 
-def running_sum(df: DataFrame, group: str, order: str, value: str, out: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def running_sum(df: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:
     """Sum of ``value`` over the rows of the same ``group`` that come strictly before.
 
-    A window sorts a whole group in one task, which is right while groups are
-    small. The size of the largest group is checked first; beyond
-    ``rows_per_task`` the rows are range-partitioned by (group, order), summed
-    within each range, and shifted by the totals of the ranges before it, which
-    are as many rows per group as there are partitions.
+    Rows are range-partitioned by (group, order), summed within each range, and shifted by the totals of the ranges before
+    it, which are as many rows per group as it has ranges. So a group of any size is spread like all other rows.
     """
-    biggest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= rows_per_task:
-        before = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
     # the ranges are read three times, so their borders must not be sampled anew
     ranged = cut_lineage(df.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()))
     local = W.partitionBy("_range", group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)

@@ -31,13 +31,13 @@ def label(key: str, labels: str = "labels") -> Column:
     return F.try_element_at(F.col(labels), F.lit(key))
 
 
-def label_eq(key: str, value: str) -> Column:
-    v = label(key)
+def label_eq(key: str, value: str, of: Column | None = None) -> Column:
+    v = label(key) if of is None else of
     return (v.isNull() | (v == "")) if value == "" else F.coalesce(v == value, F.lit(False))
 
 
-def label_ne(key: str, value: str) -> Column:
-    v = label(key)
+def label_ne(key: str, value: str, of: Column | None = None) -> Column:
+    v = label(key) if of is None else of
     return (v.isNotNull() & (v != "")) if value == "" else ~v.eqNullSafe(F.lit(value))
 
 
@@ -45,23 +45,50 @@ def _pattern(regex: str, anchored: bool) -> str:
     return f"^(?:{regex})$" if anchored else regex
 
 
-def label_re(key: str, regex: str, anchored: bool = False) -> Column:
-    return F.coalesce(F.rlike(label(key), F.lit(_pattern(regex, anchored))), F.lit(False))
+def label_re(key: str, regex: str, anchored: bool = False, of: Column | None = None) -> Column:
+    v = label(key) if of is None else of
+    return F.coalesce(F.rlike(v, F.lit(_pattern(regex, anchored))), F.lit(False))
 
 
-def label_nre(key: str, regex: str, anchored: bool = False) -> Column:
+def label_nre(key: str, regex: str, anchored: bool = False, of: Column | None = None) -> Column:
     """Does not match; an absent label satisfies neither this nor :func:`label_re`."""
-    return F.coalesce(~F.rlike(label(key), F.lit(_pattern(regex, anchored))), F.lit(False))
+    v = label(key) if of is None else of
+    return F.coalesce(~F.rlike(v, F.lit(_pattern(regex, anchored))), F.lit(False))
 
 
 MATCHERS = {"=": label_eq, "!=": label_ne, "=~": label_re, "!~": label_nre}
 
 
+def matches(samples: DataFrame, matchers: list[tuple[str, str, str]]) -> Column:
+    """All matchers as one condition.
+
+    A label that the table stores as a column of its own (``label_<name>``, see
+    :func:`stackloom.sources.samples.write_samples`) is matched there, so that the condition reaches the files: their row
+    groups have statistics and Bloom filters of such columns, and none of map entries.
+    """
+    out = F.lit(True)
+    for key, op, value in matchers:
+        promoted = f"label_{key}"
+        if promoted in samples.columns:
+            of = F.col(f"`{promoted}`")
+            # plain equality, which readers of files understand: an absent label is null and fails it as well
+            out &= of == value if op == "=" and value else MATCHERS[op](key, value, of=of)
+        else:
+            out &= MATCHERS[op](key, value)
+    return out
+
+
 def matching(samples: DataFrame, matchers: list[tuple[str, str, str]]) -> DataFrame:
     """Keep samples that satisfy every ``(label, operator, value)``."""
-    for key, op, value in matchers:
-        samples = samples.where(MATCHERS[op](key, value))
-    return samples
+    return samples.where(matches(samples, matchers)) if matchers else samples
+
+
+def range_predicate(start: int | None = None, end: int | None = None) -> Column:
+    """Inclusive range on ``time_nanos``; each bound that is given applies."""
+    t, out = F.col("time_nanos"), F.lit(True)
+    if start is not None:
+        out &= t >= start
+    return out & (t <= end) if end is not None else out
 
 
 def select_type(samples: DataFrame, profile_type: ProfileType) -> DataFrame:

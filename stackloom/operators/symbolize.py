@@ -102,13 +102,16 @@ def symbolize(profile: DataFrame, resolved: DataFrame) -> DataFrame:
     answers = lookup(open_, resolved.select("build_id", "address", "lines"), ["build_id", "address"], ["_stack"], "inner")
     per_stack = answers.groupBy("_stack").agg(F.map_from_entries(F.collect_list(
         F.struct(key(F.col("build_id"), F.col("address")), "lines"))).alias("_lines"))
-    joined = keyed.join(per_stack, "_stack", "left")
+    # stacks without open locations pass by; a stack that many labels or times share is split by its weight
+    spread_by = [c for c in ("time_nanos", "period", "value") if c in keyed.columns]
+    joined = lookup(keyed.where(F.col("_stack").isNotNull()), per_stack, ["_stack"], spread_by)
     fill = lambda loc: F.when(
         _unresolved(loc) & F.col("_lines").isNotNull(),
         loc.withField("lines", F.coalesce(
             F.try_element_at(F.col("_lines"), key(loc["mapping_build_id"], loc["address"])), loc["lines"])),
     ).otherwise(loc)
-    return joined.withColumn("stacktrace", F.transform("stacktrace", fill)).select(*profile.columns)
+    filled = joined.withColumn("stacktrace", F.transform("stacktrace", fill)).select(*profile.columns)
+    return filled.unionByName(keyed.where(F.col("_stack").isNull()).select(*profile.columns))
 
 
 def symbol_lines(asof: DataFrame) -> DataFrame:

@@ -72,12 +72,19 @@ def _side(samples: DataFrame, s: Selection, group_by, q: Query, sandwich: str, m
     return profile.withColumn("stacktrace", frames.invert("stacktrace")) if q.invert else profile
 
 
+def _condition(samples: DataFrame, s: Selection):
+    return s.profile_type.predicate() & select.matches(samples, s.matchers) & select.range_predicate(s.start, s.end)
+
+
 def profile_of(samples: DataFrame, q: Query) -> DataFrame:
     """The selected (merged, compared) profile before filters."""
     group_by = q.group_by + (("timestamp",) if q.report == "flamechart" else ())
     flamegraph.check_group_by(group_by)
     if isinstance(q.source, Diff):
         d = q.source
+        if d.base.at is None and d.compare.at is None and q.resolved_symbols is None:
+            merged = difference.compare_samples(samples, *(_condition(samples, s) for s in (d.base, d.compare)), d.absolute)
+            return merged.withColumn("stacktrace", frames.invert("stacktrace")) if q.invert else merged
         base, compare = (_side(samples, s, (), q, "", True) for s in (d.base, d.compare))
         return difference.diff(base, compare, d.absolute)
     # most reports merge by themselves, on the frame fields they show

@@ -6,6 +6,7 @@ runs, the tests and the bench.
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables that every executor can reach, below ``spark.checkpoint.dir``.
+
+    Only a local master without that setting gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="stackloom-tables-", dir=os.environ.get("TMPDIR"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that lost executors never replay an iteration.
 

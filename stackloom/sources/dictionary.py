@@ -26,10 +26,10 @@ def unpivot_sample_types(samples: DataFrame) -> DataFrame:
 
 
 def _texts(df: DataFrame, strings: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace string indexes by their text. Index 0, by far the most frequent, is empty without a lookup."""
+    """Replace string indexes by their text; a null or unknown index is empty, and so is 0, without a lookup."""
     for c in columns:
         text = strings.select(P, F.col("idx").alias(f"_{c}"), F.col("text").alias(f"{c}_text"))
-        df = df.withColumn(f"_{c}", F.when(F.col(c) != 0, F.col(c))).join(text, [P, f"_{c}"], "left").drop(f"_{c}")
+        df = lookup(df.withColumn(f"_{c}", F.when(F.col(c) != 0, F.col(c))), text, [P, f"_{c}"], ["id"]).drop(f"_{c}")
     return df.select(*[c for c in df.columns if c not in columns and not c.endswith("_text")],
                      *[F.coalesce(f"{c}_text", F.lit("")).alias(c) for c in columns])
 
@@ -69,8 +69,8 @@ def resolve_stacks(samples: DataFrame, locations: DataFrame, functions: DataFram
                    strings: DataFrame) -> DataFrame:
     """Samples with ``stacktrace`` instead of ``location_ids``, order kept.
 
-    Each distinct id list is resolved once. The join on locations is salted,
-    since a common root location occurs in most stacks.
+    Each distinct id list is resolved once. Common root locations occur in
+    most stacks and are split by their weight.
     """
     resolved = resolve_locations(locations, functions, mappings, strings)
     lists = samples.select(P, "location_ids").distinct()

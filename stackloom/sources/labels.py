@@ -93,8 +93,15 @@ def keep_sample_types(samples: DataFrame, keep: list[tuple[str, str]]) -> DataFr
     return samples.where(F.struct("sample_type", "sample_unit").isin(*wanted))
 
 
-def check_profile_types(samples: DataFrame) -> DataFrame:
-    """Rows whose profile type could not be selected again: its text is no metric identifier."""
+def bad_profile_type() -> Column:
+    """Why a sample's profile type could not be selected again (its text is no metric identifier), or null."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("name", "sample_type", "sample_unit", "period_type", "period_unit")]
     text = F.concat(F.concat_ws(":", *parts), F.when(F.col("duration") != 0, ":delta").otherwise(""))
-    return samples.withColumn("profile_type", text).where("NOT profile_type RLIKE '^[a-zA-Z_:][a-zA-Z0-9_:]*$'")
+    return F.when(~F.rlike(text, F.lit("^[a-zA-Z_:][a-zA-Z0-9_:]*$")), F.concat(F.lit("invalid profile type "), text))
+
+
+def check_profile_types(samples: DataFrame) -> DataFrame:
+    """Rows whose profile type could not be selected again, with that type's text."""
+    reason = bad_profile_type()
+    return samples.withColumn("profile_type", F.substring(reason, len("invalid profile type ") + 1, 1 << 30)).where(
+        "profile_type IS NOT NULL")

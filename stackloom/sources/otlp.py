@@ -5,6 +5,7 @@ row by array lookups; only the explodes multiply rows and nothing is shuffled.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from stackloom.functions.scalar import int_div, record
 from stackloom.schema import LABELS, SAMPLES
@@ -31,6 +32,12 @@ SCHEMA = f"""
         samples:array<struct<stack_index:bigint,values:array<bigint>,timestamps:array<bigint>,link_index:bigint,
           attribute_indices:array<bigint>>>>>>>>>
 """
+
+
+def request_schema() -> StructType:
+    return StructType.fromDDL(SCHEMA)
+
+
 # Fixed value: attribute that holds a binary's build id.
 BUILD_ID_ATTRIBUTE = "process.executable.build_id.gnu"
 
@@ -108,28 +115,31 @@ def ingest_otlp(requests: DataFrame, function_base: int = 0) -> DataFrame:
 
     The producer is the sanitised scope name, or ``unknown``. Labels come from
     sample, profile, scope and resource; the outer one wins.
+
+    Samples are finished inside the row of their request, level by level, and leave it finished: rows multiply once, and
+    nothing of the request's tables is copied to them.
     """
     valid = requests.where(F.size(request_errors()) == 0)
-    r = valid.select("dictionary", resolve_otlp_stacks("dictionary", function_base).alias("stacks"),
-                     F.explode("resource_profiles").alias("r"))
-    s = r.select("dictionary", "stacks", _labels(F.col("r.attributes")).alias("r_labels"),
-                 F.explode("r.scope_profiles").alias("s"))
-    p = s.select("dictionary", "stacks", "r_labels", _labels(F.col("s.attributes")).alias("s_labels"),
-                 sanitized(F.coalesce("s.scope_name", F.lit(""))).alias("scope"), F.explode("s.profiles").alias("p"))
-    x = p.select("*", F.explode("p.samples").alias("x"))
-    strings = F.col("dictionary.string_table")
-    rows = x.select(
-        F.when(F.col("scope") == "", "unknown").otherwise(F.col("scope")).alias("name"),
-        _text(strings, F.col("p.sample_type.type_strindex")).alias("sample_type"),
-        _text(strings, F.col("p.sample_type.unit_strindex")).alias("sample_unit"),
-        _text(strings, F.col("p.period_type.type_strindex")).alias("period_type"),
-        _text(strings, F.col("p.period_type.unit_strindex")).alias("period_unit"),
-        F.col("p.period").alias("period"), F.col("p.duration_nanos").alias("duration"),
-        last_wins(_from_table(F.col("x.attribute_indices")), _from_table(F.col("p.attribute_indices")),
-                  F.col("s_labels"), F.col("r_labels")).cast(LABELS).alias("labels"),
-        _at(F.col("stacks"), F.col("x.stack_index")).alias("stacktrace"),
-        F.inline(explode_timestamps(F.col("x.timestamps"), F.col("x.values"), F.col("p.time_nanos"))))
-    return rows.withColumn("timestamp", int_div("time_nanos", 1_000_000)).to(SAMPLES)
+    request = valid.select("dictionary", "resource_profiles", resolve_otlp_stacks("dictionary", function_base).alias("stacks"))
+    strings, stacks = F.col("dictionary.string_table"), F.col("stacks")
+    unnamed = lambda name: F.when(name == "", "unknown").otherwise(name)
+    resources = F.transform("resource_profiles", lambda r: record(labels=_labels(r["attributes"]), scopes=r["scope_profiles"]))
+    scopes = F.flatten(F.transform(resources, lambda r: F.transform(r["scopes"], lambda s: record(
+        name=unnamed(sanitized(F.coalesce(s["scope_name"], F.lit("")))), labels=last_wins(_labels(s["attributes"]), r["labels"]),
+        profiles=s["profiles"]))))
+    profiles = F.flatten(F.transform(scopes, lambda s: F.transform(s["profiles"], lambda p: record(
+        name=s["name"], labels=last_wins(_from_table(p["attribute_indices"]), s["labels"]), time_nanos=p["time_nanos"],
+        kind=record(sample_type=_text(strings, p["sample_type"]["type_strindex"]), sample_unit=_text(strings, p["sample_type"]["unit_strindex"]),
+                    period_type=_text(strings, p["period_type"]["type_strindex"]), period_unit=_text(strings, p["period_type"]["unit_strindex"]),
+                    period=p["period"], duration=p["duration_nanos"]),
+        samples=p["samples"]))))
+    samples = F.flatten(F.transform(profiles, lambda p: F.transform(p["samples"], lambda x: record(
+        name=p["name"], kind=p["kind"], labels=last_wins(_from_table(x["attribute_indices"]), p["labels"]).cast(LABELS),
+        stacktrace=_at(stacks, x["stack_index"]), taken=explode_timestamps(x["timestamps"], x["values"], p["time_nanos"])))))
+    finished = F.flatten(F.transform(samples, lambda x: F.transform(x["taken"], lambda at: record(
+        name=x["name"], kind=x["kind"], time_nanos=at["time_nanos"], value=at["value"], labels=x["labels"], stacktrace=x["stacktrace"]))))
+    rows = request.select(F.inline(finished))
+    return rows.select("*", "kind.*", int_div("time_nanos", 1_000_000).alias("timestamp")).drop("kind").to(SAMPLES)
 
 
 def request_errors() -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stackloom.functions.keys import mapping_name, rounded_size
 from stackloom.functions.scalar import int_div, record
 from stackloom.operators.lookup import lookup
-from stackloom.operators.running import dense_ids
+from stackloom.operators.running import dense_ids, running_sum
 from stackloom.sources import wire
 from stackloom.sources.labels import merge_sample_labels
 from stackloom.schema import LABELS, SAMPLES
@@ -124,37 +124,52 @@ def _resolved_locations(p: str) -> Column:
     return F.transform(f"{p}.locations", location)
 
 
+def _has_name() -> Column:
+    return F.coalesce(F.try_element_at("labels", F.lit("__name__")), F.lit("")) != ""
+
+
+def rejected_files(decoded: DataFrame) -> DataFrame:
+    """Why files give no samples: rows (path, error), one per violation, missing series names among them."""
+    errors = F.when(F.col("decode_error").isNotNull(), F.array("decode_error")).otherwise(profile_errors())
+    unnamed = F.when(~_has_name(), F.array(F.lit("missing name"))).otherwise(F.array().cast("array<string>"))
+    return decoded.select("path", F.explode(F.concat(errors, unnamed)).alias("error"))
+
+
+def samples_of_files(decoded: DataFrame, include_sample_labels: bool = True) -> DataFrame:
+    """Samples of the decoded files that break no rule.
+
+    A file carries its own dictionary, so its samples are finished inside its row, and leave it finished: rows multiply
+    once, and neither the dictionary nor the strings are copied to them.
+    """
+    named = decoded.where("p IS NOT NULL").where(_has_name()).where(F.size(profile_errors()) == 0)
+    per_file = named.select(
+        F.element_at("labels", "__name__").alias("name"), F.map_filter("labels", lambda k, _: k != "__name__").alias("series"),
+        _text(F.col("p.strings"), F.col("p.period_type.type")).alias("period_type"),
+        _text(F.col("p.strings"), F.col("p.period_type.unit")).alias("period_unit"), "p.period", F.col("p.duration_nanos").alias("duration"),
+        int_div("p.time_nanos", 1_000_000).alias("timestamp"), "p.time_nanos", "p", _resolved_locations("p").alias("dictionary"))
+    strings, kinds, dictionary, series = F.col("p.strings"), F.col("p.sample_types"), F.col("dictionary"), F.col("series")
+
+    def labels(s: Column) -> Column:
+        pairs = F.transform(s["labels"], lambda x: record(name=_text(strings, x["key"]), value=_text(strings, x["str"])))
+        return merge_sample_labels(series, pairs).cast(LABELS) if include_sample_labels else series.cast(LABELS)
+
+    whole = F.transform("p.samples", lambda s: record(
+        typed=F.filter(F.transform(s["values"], lambda v, i: record(value=v, kind=F.get(kinds, i))), lambda x: x["value"] != 0),
+        labels=labels(s), stacktrace=F.transform(s["location_ids"], lambda i: F.get(dictionary, i - 1))))
+    finished = F.flatten(F.transform(whole, lambda s: F.transform(s["typed"], lambda x: record(
+        sample_type=_text(strings, x["kind"]["type"]), sample_unit=_text(strings, x["kind"]["unit"]), value=x["value"],
+        labels=s["labels"], stacktrace=s["stacktrace"]))))
+    return per_file.select("name", "period_type", "period_unit", "period", "duration", "timestamp", "time_nanos", F.inline(finished)).to(SAMPLES)
+
+
 def ingest_pprof(files: DataFrame, include_sample_labels: bool = True) -> DataFrame:
     """Samples of pprof files.
 
     ``files``: path, content, labels (map, with ``__name__``). Files that break a
-    rule are left out; list them with :func:`validate_files`. With
+    rule are left out; list them with :func:`rejected_files`. With
     ``include_sample_labels=False`` only the series labels are kept.
     """
-    decoded = decode_files(files).where("p IS NOT NULL").where(F.size(profile_errors()) == 0)
-    named = decoded.where(F.coalesce(F.try_element_at("labels", F.lit("__name__")), F.lit("")) != "")
-    series = F.map_filter("labels", lambda k, _: k != "__name__")
-    per_file = named.select(
-        F.element_at("labels", "__name__").alias("name"), series.alias("series"), "p",
-        _resolved_locations("p").alias("dictionary"))
-    rows = per_file.select("name", "series", "p.sample_types", "p.strings", "p.period_type", "p.period",
-                           "p.duration_nanos", "p.time_nanos", "dictionary", F.explode("p.samples").alias("s"))
-    stack = F.transform("s.location_ids", lambda i: F.get(F.col("dictionary"), i - 1))
-    strings = F.col("strings")
-    pairs = F.transform("s.labels", lambda x: record(
-        name=_text(strings, x["key"]), value=_text(strings, x["str"])))
-    labels = merge_sample_labels(F.col("series"), pairs) if include_sample_labels else F.col("series")
-    typed = F.filter(
-        F.arrays_zip(F.col("s.values").alias("value"), F.col("sample_types").alias("t")), lambda x: x["value"] != 0)
-    out = rows.select(
-        "name", "period", F.col("duration_nanos").alias("duration"), "time_nanos", "strings",
-        _text(strings, F.col("period_type.type")).alias("period_type"),
-        _text(strings, F.col("period_type.unit")).alias("period_unit"),
-        labels.cast(LABELS).alias("labels"), stack.alias("stacktrace"), F.inline(typed))
-    return out.select(
-        "name", _text(strings, F.col("t.type")).alias("sample_type"), _text(strings, F.col("t.unit")).alias("sample_unit"),
-        "period_type", "period_unit", "period", "duration", int_div("time_nanos", 1_000_000).alias("timestamp"),
-        "time_nanos", "value", "labels", "stacktrace").to(SAMPLES)
+    return samples_of_files(decode_files(files), include_sample_labels)
 
 
 # --- export -----------------------------------------------------------------
@@ -306,6 +321,23 @@ def to_pprof(profile: DataFrame, meta: dict, is_diff: bool = False) -> DataFrame
     return out
 
 
+def exported_tables(chunks: DataFrame) -> dict[str, DataFrame]:
+    """The dictionary tables (see :mod:`stackloom.sources.dictionary`) and samples of :func:`to_pprof`'s chunks, each decoded by itself.
+
+    Strings are known by their place among all strings, so those of a chunk are counted from the chunks before it.
+    """
+    decoded = decode_files(chunks.select("section", "part", F.col("bytes").alias("content"))).where("p IS NOT NULL")
+    # each table is taken from it
+    decoded = cut_lineage(decoded.select("section", "part", *[f"p.{t}" for t in ("strings", "functions", "mappings", "locations", "samples")]))
+    of = lambda name: decoded.select(F.lit(0).cast("long").alias("profile_id"), F.inline(name))
+    texts = decoded.where(F.size("strings") > 0).select(F.lit(0).alias("all"), "part", "strings", F.size("strings").cast("long").alias("n"))
+    placed = running_sum(texts, "all", "part", "n", "before")
+    strings = placed.select(F.lit(0).cast("long").alias("profile_id"), "before", F.posexplode("strings").alias("pos", "text")).select(
+        "profile_id", (F.col("before") + F.col("pos")).alias("idx"), "text")
+    samples = of("samples").select("profile_id", "location_ids", F.element_at("values", 1).alias("value"), "labels")
+    return {"strings": strings, "functions": of("functions"), "mappings": of("mappings"), "locations": of("locations"), "samples": samples}
+
+
 def _chunks(df: DataFrame, section: int, field: str | None) -> DataFrame:
     """Encode rows as repeated ``field`` entries of the profile message, one gzip member per batch."""
 

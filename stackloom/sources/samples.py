@@ -26,7 +26,7 @@ def read_samples(spark: SparkSession, path: str, start: int | None = None, end:
     fields = list(SAMPLES.fields)
     fields += [T.StructField(f"label_{k}", T.StringType()) for k in promoted]
     fields += [T.StructField("day", T.IntegerType())]
-    df = spark.read.schema(T.StructType(fields)).parquet(path)
+    df = spark.read.schema(T.StructType(fields)).parquet(path).select(*[f.name for f in fields])
     if start is not None:
         df = df.where((F.col("day") >= start // DAY_NANOS) & (F.col("time_nanos") >= start))
     if end is not None:
@@ -35,17 +35,26 @@ def read_samples(spark: SparkSession, path: str, start: int | None = None, end:
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "append", promote: list[str] = (),
-                  partitions: int | None = None) -> None:
+                  partitions: int | None = None, batch: int | None = None) -> None:
     """Write samples partitioned by day and sorted by the storage key.
 
     Range partitioning on (day, key, time) spreads one hot day or one hot
     producer over many tasks and keeps row groups narrow in every sort column.
-    ``promote`` copies hot labels to plain columns, because predicates on map
-    values are not pushed into Parquet.
+    ``promote`` copies hot labels to plain columns with Bloom filters, because
+    predicates on map values are not pushed into Parquet. With ``batch`` the days have a folder per
+    batch, which writing the same batch again replaces.
     """
     for key in promote:
         samples = samples.withColumn(f"label_{key}", F.try_element_at("labels", F.lit(key)))
     keyed = samples.withColumn("day", day_of("time_nanos"))
     order = ["day"] + SORT_COLUMNS
     ranged = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).write.mode(mode).partitionBy("day").parquet(path)
+    rows = ranged.sortWithinPartitions(*order)
+    if batch is None:
+        writer = rows.write.mode(mode).partitionBy("day")
+    else:
+        writer = rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("day", "batch")
+    for key in promote:
+        writer = writer.option(f"parquet.bloom.filter.enabled#label_{key}", "true")
+    writer.parquet(path)

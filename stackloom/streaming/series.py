@@ -4,15 +4,16 @@ A sample is late once it is older than the watermark, and is then dropped; the
 batch queries over the stored table still count it.
 """
 
-import json
-from typing import Any, Iterator
+from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stackloom.functions.scalar import scaled_value
 from stackloom.operators.select import label
 from stackloom.plans.flamechart import OpenPath, timed_paths
+from stackloom.streaming.state import use_state_variables
 
 
 def event_time(time_nanos: str = "time_nanos") -> Column:
@@ -35,6 +36,57 @@ def rolling_merge(samples: DataFrame, window: str, lateness: str = "10 minutes")
     return timed.groupBy(F.window("ts", window), "stacktrace", "period").agg(F.sum(scaled_value()).alias("value"))
 
 
+CHART_ROWS = "series string, time_nanos bigint, value bigint, names array<string>, keys array<bigint>, starts array<bigint>"
+WAITING = "array<struct<time_nanos:bigint,value:bigint,period:bigint,keys:array<bigint>,names:array<string>>>"
+
+
+class LiveChart(StatefulProcessor):
+    """Folds the samples of a series in time order, each once the watermark has passed it.
+
+    State: the open path, and the samples that wait, by the millisecond they end in. A sample sets a timer for that, so
+    a batch reads and writes only the milliseconds it has samples for and those whose time has come.
+    """
+
+    def __init__(self, idle_millis: int):
+        self.idle = idle_millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.path = handle.getValueState("path", "last bigint, keys array<bigint>, starts array<bigint>, ends array<bigint>")
+        self.waiting = handle.getMapState("waiting", "millis bigint", f"samples {WAITING}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new: dict[int, list] = {}
+        for r in rows:
+            new.setdefault(-(-r.time_nanos // 1_000_000), []).append((r.time_nanos, r.value, r.period, list(r["keys"]), list(r.names)))
+        for millis, samples in new.items():
+            known = self.waiting.getValue((millis,)) if self.waiting.containsKey((millis,)) else None
+            self.waiting.updateValue((millis,), ((list(known[0]) if known else []) + samples,))
+            self.handle.registerTimer(millis)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        known = self.path.get() if self.path.exists() else None
+        if self.waiting.containsKey((now,)):
+            due = sorted(self.waiting.getValue((now,))[0], key=lambda r: r[0])
+            self.waiting.removeKey((now,))
+            path = OpenPath(zip(*known[1:]) if known else ())
+            for t, value, period, keys, names in due:
+                yield Row(series=key[0], time_nanos=t, value=value, names=list(names), keys=list(keys),
+                          starts=path.add(list(keys), t, value, period))
+            self.path.update((now, *([x[i] for x in path.levels] for i in range(3))))
+            if known is None:
+                self.handle.registerTimer(now + self.idle)
+        elif known and now < known[0] + self.idle:  # there were samples since this was set
+            self.handle.registerTimer(known[0] + self.idle)
+        elif known:
+            self.path.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def live_flamechart(samples: DataFrame, group_by=(), lateness: str = "10 minutes", idle: str = "10 minutes") -> DataFrame:
     """Node starts per sample: rows (series, time_nanos, value, names, keys, starts).
 
@@ -43,35 +95,11 @@ def live_flamechart(samples: DataFrame, group_by=(), lateness: str = "10 minutes
     is forgotten when ``idle`` has gone by without samples. Node totals are a plain aggregation over these rows
     (:func:`stackloom.plans.flamechart.chart_nodes`).
     """
+    use_state_variables(samples.sparkSession)
     millis = int(pd.Timedelta(idle).total_seconds() * 1000)
-    out = "series string, time_nanos bigint, value bigint, names array<string>, keys array<bigint>, starts array<bigint>"
-
-    def fold(key, batches: Iterator[pd.DataFrame], state: Any):
-        last, keys, starts, ends, waiting = state.get if state.exists else (-1, [], [], [], "[]")
-        passed = state.getCurrentWatermarkMs()
-        path, rows = OpenPath(zip(keys, starts, ends)), json.loads(waiting)
-        for pdf in () if state.hasTimedOut else batches:
-            rows += [[int(t), int(v), int(p), list(n), [int(x) for x in k]] for t, v, p, n, k in zip(
-                pdf["time_nanos"], pdf["value"], pdf["period"], pdf["names"], pdf["keys"])]
-        rows.sort(key=lambda r: r[0])
-        n = sum(r[0] // 1000 <= passed * 1000 for r in rows)  # event times are microseconds
-        due, rows = rows[:n], rows[n:]
-        if state.hasTimedOut and not due and not rows:
-            state.remove()
-            return
-        got = [path.add(k, t, v, p) for t, v, p, _, k in due]
-        last = due[-1][0] if due else last
-        state.update((last, [x[0] for x in path.levels], [x[1] for x in path.levels], [x[2] for x in path.levels], json.dumps(rows)))
-        # a timeout is due when the watermark is beyond it
-        wake = rows[0][0] // 1_000_000 - 1 if rows else last // 1_000_000 + millis
-        state.setTimeoutTimestamp(max(wake, passed + 1))
-        if due:
-            yield pd.DataFrame({"series": [key[0]] * n, "time_nanos": [r[0] for r in due], "value": [r[1] for r in due],
-                                "names": [r[3] for r in due], "keys": [r[4] for r in due], "starts": got})
-
     paths = timed_paths(samples, group_by)
     timed = paths.withColumn("ts", event_time()).withWatermark("ts", lateness)
     # without labels root functions are independent of each other, so they share the load of a hot series
     root = F.when(F.col("series") == "", F.get("keys", F.lit(0))).otherwise(0)
-    return timed.withColumn("root", root).groupBy("series", "root").applyInPandasWithState(
-        fold, out, "last bigint, keys array<bigint>, starts array<bigint>, ends array<bigint>, waiting string", "append", "EventTimeTimeout")
+    return timed.withColumn("root", root).groupBy("series", "root").transformWithState(
+        LiveChart(millis), CHART_ROWS, "append", "eventTime")

@@ -4,12 +4,13 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from helpers import collect, folded, line, loc, samples
 from stackloom.operators import aggregate, diff
 from stackloom.operators.running import dense_ids, running_sum
 from stackloom.plans import callgraph, flamechart as fc, flamegraph as fg, listing
+from stackloom.schema import SAMPLES
 
 
 def five(spark):
@@ -89,12 +90,12 @@ def test_layout(spark):
     assert rows == sorted([(0, None, 0), (1, "a", 0), (1, "b", 7), (2, "c", 0), (2, "d", 3)], key=repr)
 
 
-def test_running_sum_of_a_large_group_equals_the_window(spark):
+def test_running_sum_equals_the_window(spark):
     df = spark.range(2000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.hash("id").alias("o"),
                                   (F.col("id") % 17).alias("v"), "id")
-    small = running_sum(df, "g", "o", "v", "s")
-    large = running_sum(df, "g", "o", "v", "s", rows_per_task=10)
-    assert collect(small, "id", "s") == collect(large, "id", "s")
+    before = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("s", F.coalesce(F.sum("v").over(before), F.lit(0)))
+    assert collect(running_sum(df, "g", "o", "v", "s"), "id", "s") == collect(want, "id", "s")
 
 
 def test_dense_ids(spark):
@@ -230,8 +231,8 @@ def brute_chart(rows, labelled):
     return Counter((len(n), n[-1][0], n[-1][1], v) for n, v in nodes.items())
 
 
-@pytest.mark.parametrize("labelled", [False, True])
-def test_flamechart_against_brute_force(spark, labelled):
+@pytest.mark.parametrize("labelled, piece_rows", [(False, 10**6), (True, 10**6), (False, 20), (True, 5)])
+def test_flamechart_against_brute_force(spark, labelled, piece_rows):
     rng = random.Random(11)
     t, rows = 0, []
     for _ in range(400):
@@ -243,6 +244,48 @@ def test_flamechart_against_brute_force(spark, labelled):
     if labelled:
         df = df.withColumn("labels", F.create_map(F.lit("k"), F.lit("v")))
     merged = aggregate.merge(df, group_by=group + ("timestamp",))
-    out = fc.flamechart(merged, group, chunk_nanos=150)
+    out = fc.flamechart(merged, group, chunk_nanos=150, piece_rows=piece_rows, run_rows=7)
     got = Counter((r["depth"], r["frame"], r["start"], r["cumulative"]) for r in out.collect())
     assert got == brute_chart(rows, labelled)
+
+
+def test_runs_compose():
+    """The node after a run, from its summary, is that of a fold sample by sample, whatever came in."""
+    rng = random.Random(5)
+    for _ in range(300):
+        t, rows = 0, []
+        for _ in range(rng.randint(1, 25)):
+            t += rng.choice([5, 9, 10, 11, 12, 30])
+            rows.append((rng.choice([1, 1, 1, 1, 2]), t, rng.choice([1, 9, 10, 12, 40]), rng.choice([0, 20, 50])))
+        made = fc.Run()
+        for row in rows:
+            made.add(*row)
+        summary = made.summary()
+        for key, end in [(None, fc.Run.NEVER)] + [(k, e) for k in (1, 2) for e in range(-60, t + 60, 3)]:
+            path = fc.OpenPath([[key, -1000, end]] if key else [])
+            for k, at, value, period in rows:
+                path.add([k], at, value, period)
+            assert fc.after_run(summary, key, end, -1000) == (path.levels[0][0], path.levels[0][2], path.levels[0][1])
+
+
+def test_gapless_root_in_many_tasks(spark):
+    """A root function without a gap, and below it one that has none either, are cut into runs; rows stay the same."""
+    n = 20_000
+    df = spark.range(n).selectExpr(
+        "'cpu' AS name", "'wall' AS sample_type", "'nanoseconds' AS sample_unit", "'cpu' AS period_type", "'nanoseconds' AS period_unit",
+        "20L AS period", "0L AS duration", "0L AS timestamp", "id * 10 + id % 3 AS time_nanos", "10L AS value",
+        "map('k', 'v') AS labels", "array(concat('leaf', cast(id div 7 % 5 AS string)), concat('mid', cast(id div 500 % 3 AS string)), 'loop', 'main') AS s")
+    line = "named_struct('line', 1L, 'column', 0L, 'function_name', f, 'function_system_name', f, 'function_filename', 'f.go', 'function_start_line', 1L)"
+    stack = f"""transform(s, f -> named_struct('address', 0L, 'mapping_start', cast(null AS bigint), 'mapping_limit', cast(null AS bigint),
+      'mapping_offset', cast(null AS bigint), 'mapping_file', cast(null AS string), 'mapping_build_id', cast(null AS string), 'lines', array({line})))"""
+    merged = aggregate.merge(df.selectExpr("* EXCEPT (s)", f"{stack} AS stacktrace").to(SAMPLES), group_by=("timestamp",))
+    columns = ("series", "depth", "frame", "parent", "start", "parent_start", "cumulative", "flat")
+    whole = collect(fc.flamechart(merged), *columns)
+    assert [r for r in whole if r[1] == 1] == [("", 1, "main", None, 0, None, n * 10, 0)]
+    assert collect(fc.flamechart(merged, piece_rows=1000, run_rows=500), *columns) == whole
+    # the rows of the one root function are summarised in 40 runs, in as many tasks
+    paths = fc.timed_paths(merged).withColumn("piece", F.lit("p")).withColumn("starts", F.array().cast("array<bigint>"))
+    runs = paths.repartitionByRange(40, "piece", "time_nanos").sortWithinPartitions("piece", "time_nanos").withColumn(
+        "run", F.spark_partition_id()).mapInArrow(fc._summaries, f"piece string, run int, {fc.SUMMARY}")
+    sizes = [r["n"] for r in paths.repartitionByRange(40, "piece", "time_nanos").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert runs.count() >= 30 and max(sizes) < 4 * n / 40

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from helpers import collect, line, loc, samples
 from stackloom.operators import aggregate, symbolize as sym
+from stackloom.plans.flamechart import OpenPath
 from stackloom.schema import SAMPLES
 from stackloom.sources import dictionary, labels, otlp, pprof, wire
 from stackloom.sources.arrow import incomplete_stacktraces, ingest_arrow_v1, ingest_arrow_v2, missing_stacktraces
 from stackloom.sources.executable import parse_executable_info
 from stackloom.sources.samples import read_samples, write_samples
 from stackloom.streaming.agents import agents, live_agents
-from stackloom.streaming.ingest import ingest, stream_pprof, stream_samples
+from stackloom.streaming.ingest import EXPORT_REQUESTS, PROFILE_FILES, ingest, stream_files, stream_otlp, stream_samples
 from stackloom.streaming.series import live_flamechart, rolling_merge, step_series
 
 STRINGS = ["", "cpu", "nanoseconds", "samples", "count", "main", "work", "main.c", "/bin/app", "build1", "thread", "t-1", "ns", "pod"]
@@ -287,7 +288,8 @@ def test_streams(spark, tmp_path):
     rows = result(live_flamechart(stream_samples(spark, late, files_per_trigger=1)), "append", "late_chart")
     assert sorted(r["time_nanos"] for r in rows) == [99 * s, 100 * s, 101 * s]  # the watermark hasn't passed the last one
     write_profile(str(tmp_path / "pprof"))
-    ingest(stream_pprof(spark, str(tmp_path / "pprof"), {"__name__": "cpu"}), str(tmp_path / "t2"), str(tmp_path / "c2")).awaitTermination()
+    ingest(stream_files(spark, str(tmp_path / "pprof"), {"__name__": "cpu"}), str(tmp_path / "t2"), str(tmp_path / "c2"),
+           kind=PROFILE_FILES).awaitTermination()
     assert read_samples(spark, str(tmp_path / "t2")).count() == 3
 
 
@@ -300,7 +302,154 @@ def test_agents(spark, tmp_path):
         ("2.2", 390 * s, 7, ""), ("n1", 400 * s, 6, "boom")]
     df.withColumn("ts", F.timestamp_micros((F.col("time_nanos") / 1000).cast("long"))).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema + ", ts timestamp").parquet(str(tmp_path / "in"))
-    live_agents(stream).writeStream.outputMode("update").format("memory").queryName("agents").option(
-        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    got = {r["id"]: r["last_push"] for r in spark.table("agents").where("NOT expired").collect()}
+    updates = []
+
+    def follow():
+        live_agents(stream).writeStream.outputMode("update").foreachBatch(lambda b, _: updates.extend(b.collect())).option(
+            "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    follow()
+    got = {r["id"]: r["last_push"] for r in updates if not r["expired"]}
     assert got == {"n11.1": 400 * s, "2.2": 390 * s, "n33.3": 2 * s}
+    # n1 pushes again before its time is up, the others don't; all are silent after 800 s but the last
+    for more in ([("n1", "1.1", 600 * s, 1, None), ("n1", "1.1", 600 * s, 9, "x")], [("n9", "9.9", 5000 * s, 1, None)], [("n9", "9.9", 5001 * s, 1, None)]):
+        spark.createDataFrame(more, schema).withColumn("ts", F.timestamp_micros((F.col("time_nanos") / 1000).cast("long"))).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+        follow()
+    assert {(r["id"], r["last_push"], r["push_duration"], r["last_error"]) for r in updates if r["expired"]} == {
+        ("n11.1", 600 * s, 9, "x"), ("2.2", 390 * s, 7, ""), ("n33.3", 2 * s, 1, "")}
+
+
+def test_ingest_keeps_rejects_and_repeats_no_batch(spark, tmp_path):
+    """Broken files and unusable types are told; a batch that is cut off and repeated leaves no row twice and loses none."""
+    src, table, rejected = (str(tmp_path / x) for x in ("in", "t", "t_rejected"))
+    write_profile(src, PROFILE, "good.pb.gz")
+    write_profile(src, broken(samples=[dict(location_ids=[9], values=[1])]), "bad.pb.gz")
+    write_profile(src, broken(strings=STRINGS[:1] + ["c p u"] + STRINGS[2:]), "type.pb.gz")
+    with open(tmp_path / "in" / "junk.pb.gz", "wb") as f:
+        f.write(b"\x1f\x8bnot gzip")
+
+    def start(checkpoint="c"):
+        ingest(stream_files(spark, src, {"__name__": "process_cpu"}), table, str(tmp_path / checkpoint), kind=PROFILE_FILES,
+               promote=["thread"]).awaitTermination()
+
+    def found():
+        rows = collect(read_samples(spark, table, promoted=["thread"]), "sample_type", "value", "label_thread")
+        bad = spark.read.parquet(rejected)
+        return rows, sorted(((r["source"] or "").rsplit("/", 1)[-1], r["reason"].split(":")[0], r["sample"] is not None) for r in bad.collect())
+
+    start()
+    rows, bad = found()
+    assert rows == sorted([("samples", 2, "t-1"), ("cpu", 200, "t-1"), ("cpu", 300, None)], key=repr)
+    assert ("bad.pb.gz", "sample location out of range", False) in bad and ("bad.pb.gz", "values do not match sample types", False) in bad
+    assert sum(b[0] == "junk.pb.gz" for b in bad) == 1 and sum(b == ("", "invalid profile type process_cpu", True) for b in bad) == 3
+    start()  # nothing new
+    assert found() == (rows, bad)
+    # the batch is committed by no one: its log is gone, as if the driver had died after the writes
+    for f in os.listdir(tmp_path / "c" / "commits"):
+        os.remove(tmp_path / "c" / "commits" / f)
+    start()
+    assert found() == (rows, bad)
+    write_profile(src, broken(time_nanos=PROFILE["time_nanos"] + 86_400 * 10**9), "later.pb.gz")
+    start()
+    assert len(found()[0]) == 6 and found()[1] == bad
+    unnamed = pprof.decode_files(files(spark, src, **{"__name__": ""}))
+    assert {r["error"] for r in pprof.rejected_files(unnamed).where("path LIKE '%good%'").collect()} == {"missing name"}
+
+
+def test_ingest_of_requests(spark, tmp_path):
+    request(spark).write.parquet(str(tmp_path / "in"))
+    request(spark, samples=[]).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest(stream_otlp(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), kind=EXPORT_REQUESTS).awaitTermination()
+    assert read_samples(spark, str(tmp_path / "t")).count() == 3
+    assert [(r["source"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "t_rejected")).collect()] == [("r", "samples are empty")]
+
+
+def test_samples_leave_their_file_finished(spark, tmp_path):
+    """Above the step that multiplies rows, no plan node mentions a file's tables."""
+    for df in (pprof.ingest_pprof(files(spark, write_profile(str(tmp_path)))), otlp.ingest_otlp(request(spark))):
+        above, below = df._jdf.queryExecution().optimizedPlan().toString().split("Generate inline", 1)
+        assert not any(x in above for x in ("dictionary", "strings", "string_table", "stacks"))
+        assert below.split("\n", 1)[0].count("Generate") == 0
+
+
+def test_live_chart_equals_the_batch_chart(spark, tmp_path):
+    """Shuffled arrivals within the lateness, in several batches and restarts, give the rows of a fold in time order."""
+    import random
+
+    rng, s = random.Random(7), 10**9
+    times = sorted(rng.sample(range(1, 400), 120))
+    rows = [([rng.choice("ab"), rng.choice("xy"), "main"], 3 * s, {"k": str(t % 2)}, t * s) for t in times]
+    arrivals = sorted(range(120), key=lambda i: times[i] + rng.uniform(0, 30))
+    src = str(tmp_path / "in")
+    got = []
+    for part in (arrivals[:40], arrivals[40:80], arrivals[80:], None):
+        batch = [rows[j] for j in part] if part else [(["main"], s, {"k": k}, 10_000 * s) for k in "01"]
+        samples(spark, batch, period=10 * s).coalesce(1).write.mode("append").parquet(src)
+        live_flamechart(stream_samples(spark, src, files_per_trigger=1), ("labels.k",), lateness="1 minute", idle="1 hour").writeStream.outputMode(
+            "append").foreachBatch(lambda b, _: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(
+            availableNow=True).start().awaitTermination()
+    want = []
+    for k in "01":
+        path = OpenPath()
+        want += [(f"k={k}", t, path.add(list(reversed(stack)), t, v, 10 * s)) for stack, v, labels, t in rows if labels["k"] == k]
+    assert sorted((r["series"], r["time_nanos"], list(r["starts"])) for r in got) == sorted(want)
+
+
+def test_promoted_labels_prune_row_groups(spark, tmp_path):
+    """A matcher on a stored label reaches the files and skips row groups."""
+    from stackloom.operators.select import ProfileType
+    from stackloom.plans.query import Query, Selection, run
+
+    rows = spark.range(20_000).selectExpr("id", "array(concat('f', id % 3)) AS f")
+    line = "named_struct('line', 1L, 'column', 0L, 'function_name', x, 'function_system_name', x, 'function_filename', uuid(), 'function_start_line', 1L)"
+    stack = f"""transform(f, x -> named_struct('address', id, 'mapping_start', 0L, 'mapping_limit', 9L, 'mapping_offset', 0L, 'mapping_file', 'a',
+      'mapping_build_id', 'b', 'lines', array({line})))"""
+    df = rows.selectExpr("'cpu' AS name", "'samples' AS sample_type", "'count' AS sample_unit", "'cpu' AS period_type", "'nanoseconds' AS period_unit",
+                         "1L AS period", "0L AS duration", "id AS timestamp", "id * 1000000 AS time_nanos", "1L AS value",
+                         "map('pod', concat('pod-', id div 100)) AS labels", f"{stack} AS stacktrace").to(SAMPLES)
+    spark.conf.set("parquet.block.size", 1 << 16)
+    spark.sparkContext._jsc.hadoopConfiguration().setInt("parquet.block.size", 1 << 16)
+    try:
+        write_samples(df, str(tmp_path / "t"), promote=["pod"], partitions=1)
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+        spark.conf.unset("parquet.block.size")
+    table = read_samples(spark, str(tmp_path / "t"), promoted=["pod"])
+    query = Query(Selection(ProfileType("cpu", "samples", "count", "cpu", "nanoseconds"), matchers=(("pod", "=", "pod-7"),)), "profile")
+    out = run(table, query).rows
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(label_pod,pod-7)" in plan
+    chosen = table.where("label_pod = 'pod-7'")
+    assert chosen.count() == 100 and out.agg(F.sum("value")).first()[0] == 100
+    execution = chosen._jdf.queryExecution().executedPlan()
+    execution.executeCollect()
+    assert execution.collectLeaves().head().metrics().get("numOutputRows").get().value() < 5000
+    for m, n in ((("pod", "!=", "pod-7"), 19_900), (("pod", "=~", "^pod-1.$"), 1000), (("pod", "=", ""), 0), (("pod", "!~", "pod"), 0)):
+        q = Query(Selection(query.source.profile_type, matchers=(m,)), "profile")
+        plain = run(table.drop("label_pod"), q).rows.agg(F.sum("value")).first()[0]
+        assert run(table, q).rows.agg(F.sum("value")).first()[0] == plain == (n or None)
+
+
+def test_lookup_spreads_heavy_keys(spark):
+    """90 % of the rows on one key, and as many on null: no task has twice the mean, rows stay the same."""
+    from stackloom.operators.lookup import lookup
+
+    small = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
+    tasks, threshold = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for hot in ("7", "cast(null AS bigint)"):
+            rows = spark.range(100_000).selectExpr(f"if(id % 10 < 9, {hot}, id % 300) AS k", "id")
+            for how in ("left", "inner"):
+                out = lookup(rows, small, ["k"], ["id"], how)
+                want = rows.join(small, "k", how)
+                assert sorted(out.groupBy("k", "v").count().collect(), key=str) == sorted(want.groupBy("k", "v").count().collect(), key=str)
+            sizes = [r["count"] for r in lookup(rows, small, ["k"], ["id"]).groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 2 * 100_000 / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
