@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["trees", "selections", "filtering", "scalars", "aggregates", "reports", "ingest", "inputs"]
+MODULES = ["trees", "selections", "filtering", "scalars", "aggregates", "reports", "ingest", "inputs", "composed"]
 
 
 def _collect(attribute: str) -> dict:

@@ -121,8 +121,8 @@ def _timestamps(s, d):
     q = c("l_quantity").cast("long")
     times = F.when(c("l_linenumber") % 2 == 1, F.array(base, base + q)).otherwise(F.array().cast("array<bigint>"))
     values = F.when(c("l_linenumber") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(q, q % 2))
-    rows = spread(table(s, d, "lineitem")).where("l_linenumber % 2 = 1 OR l_linenumber % 3 <> 0")
-    return rows.select("l_orderkey", "l_linenumber", F.inline(explode_timestamps(times, values, base)))
+    # rows with neither times nor values give no sample
+    return spread(table(s, d, "lineitem")).select("l_orderkey", "l_linenumber", F.inline(explode_timestamps(times, values, base)))
 
 
 def _stacktrace_ids(s, d):
@@ -176,7 +176,7 @@ def _symbolized(s, d):
 
 def _leaf_symbols(s, d):
     c = F.col
-    return table(s, d, "part").where("p_partkey % 2 = 0").select(
+    return table(s, d, "part").select(
         F.concat(F.lit("b"), (c("p_size") % 4).cast("string")).alias("build_id"), (c("p_size") * 16 + 4090).cast("long").alias("value"),
         F.lit(20).cast("long").alias("size"), c("p_name").alias("name"), F.lit("GLOBAL").alias("bind"),
         F.lit("FUNC").alias("type"), F.lit(True).alias("defined"))
@@ -263,7 +263,7 @@ SQL = {
     "needs_symbols": f"""WITH {LINE_FRAMES} SELECT DISTINCT build_id, mapping_file, CAST(mapping_start AS BIGINT) AS mapping_start,
         1000000 + r_regionkey * 100 AS mapping_limit, CAST(0 AS BIGINT) AS mapping_offset, address FROM line_frames WHERE NOT symbolized""",
     "symbolize_stacks": f"""WITH {LINE_FRAMES}, cand AS (SELECT 'b' || (p_size % 4) AS build_id, p_size * 16 + 4090 AS value, max(
-            struct_pack(len := strlen(p_name), name := p_name)).name AS sym FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2),
+            struct_pack(len := strlen(p_name), name := p_name)).name AS sym FROM part GROUP BY 1, 2),
       un AS (SELECT DISTINCT build_id, address FROM line_frames WHERE NOT symbolized),
       hits AS (SELECT un.build_id, address, CASE WHEN address < value + 20 THEN sym END AS sym
         FROM un ASOF LEFT JOIN cand ON un.build_id = cand.build_id AND un.address >= cand.value),

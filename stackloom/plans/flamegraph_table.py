@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from stackloom.functions.scalar import unsigned_key
-from stackloom.operators.lookup import lookup
+from stackloom.operators.lookup import lookup, lookups
 from stackloom.operators.running import dense_ids
 from stackloom.plans.flamegraph import NO_ID, ROOT, with_ids
 from stackloom.schema import LOCATION
@@ -102,10 +102,9 @@ def flamegraph_table(profile: DataFrame) -> TableForm:
     strings = strings.unionByName(strings.sparkSession.range(1).select(F.lit("").alias("text"), F.lit(0).cast("long").alias("id")))
 
     def coded(table: DataFrame, columns: list[str]) -> DataFrame:
-        for c in columns:
-            table = lookup(table, strings.select(F.col("text").alias(c), F.col("id").alias(f"{c}_id")), [c], ["id"]).drop(
-                c).withColumnRenamed(f"{c}_id", c)
-        return table
+        found = [(strings.select(F.col("text").alias(c), F.col("id").alias(f"{c}_id")), [c]) for c in columns]
+        rest = [c for c in table.columns if c not in columns]
+        return lookups(table, found, ["id"]).select(*rest, *[F.col(f"{c}_id").alias(c) for c in columns])
 
     with_function = lookup(lines, functions.withColumnRenamed("id", "function"), FUNCTION, ["location", "pos"])
     per_location = with_function.groupBy(F.col("location").alias("id")).agg(F.transform(
@@ -121,9 +120,9 @@ def flamegraph_table(profile: DataFrame) -> TableForm:
     numbered = cut_lineage(dense_ids(nodes.where("depth > 0"), ["node_id"], "id"))
     top = nodes.where("depth = 0").withColumn("id", none)
     ids = numbered.select("node_id", "id").unionByName(top.select("node_id", "id"))
-    placed = lookup(numbered, ids.select(F.col("node_id").alias("parent_id"), F.col("id").alias("parent")), ["parent_id"], ["id"])
-    placed = lookup(placed.select("*", F.col("least.place").alias("place"), F.col("least.line_index").alias("line_index")),
-                    locations.select("place", F.col("id").alias("location"), "mapping"), ["place"], ["id"])
+    placed = lookups(numbered.select("*", F.col("least.place").alias("place"), F.col("least.line_index").alias("line_index")),
+                     [(ids.select(F.col("node_id").alias("parent_id"), F.col("id").alias("parent")), ["parent_id"]),
+                      (locations.select("place", F.col("id").alias("location"), "mapping"), ["place"])], ["id"])
     columns = ["id", "parent", "depth", "location", "line_index", "mapping", "cumulative", "flat", "diff"]
     placed = placed.withColumn("mapping", F.when(F.col("agreed"), F.col("mapping")).otherwise(none))
     root = top.select("*", F.lit(None).cast("long").alias("parent"), none.alias("location"), F.lit(0).alias("line_index"), none.alias("mapping"))
@@ -135,16 +134,17 @@ def flamegraph_table(profile: DataFrame) -> TableForm:
 def listed(form: TableForm) -> DataFrame:
     """Nodes with what they point at, ids replaced by text: the table form read back."""
     text = lambda c: form.strings.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
-    functions = form.functions
-    for c in _TEXTS["functions"]:
-        functions = lookup(functions, text(c), [c], ["id"]).drop(c).withColumnRenamed(f"{c}_text", c)
-    mappings = form.mappings
-    for c in _TEXTS["mappings"]:
-        mappings = lookup(mappings, text(c), [c], ["id"]).drop(c).withColumnRenamed(f"{c}_text", c)
+
+    def named(table, columns):
+        rest = [c for c in table.columns if c not in columns]
+        return lookups(table, [(text(c), [c]) for c in columns], ["id"]).select(*rest, *[F.col(f"{c}_text").alias(c) for c in columns])
+
+    functions, mappings = named(form.functions, _TEXTS["functions"]), named(form.mappings, _TEXTS["mappings"])
     places = form.locations.select(F.col("id").alias("location"), "address", "lines")
-    nodes = lookup(form.nodes.where("depth > 0"), places, ["location"], ["id"]).withColumn("line", F.get("lines", F.col("line_index")))
-    nodes = lookup(nodes.withColumn("function", F.col("line.function")), functions.withColumnRenamed("id", "function"), ["function"], ["id"])
-    nodes = lookup(nodes, mappings.select(F.col("id").alias("mapping"), "file", "build_id"), ["mapping"], ["id"])
+    nodes = cut_lineage(lookup(form.nodes.where("depth > 0"), places, ["location"], ["id"]).withColumn(
+        "function", F.get("lines", F.col("line_index"))["function"]).drop("lines"))
+    nodes = lookups(nodes, [(functions.withColumnRenamed("id", "function"), ["function"]),
+                            (mappings.select(F.col("id").alias("mapping"), "file", "build_id"), ["mapping"])], ["id"])
     nodes = nodes.withColumn("frame", F.when(F.col("function").isNotNull(), F.col("name")).otherwise(
         F.concat(F.lit("0x"), F.lower(F.hex("address")))))
     nodes = cut_lineage(nodes.select("id", "parent", "depth", "frame", "address", "line_index", "file", "build_id", "system_name", "filename",

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stackloom.functions.scalar import record
-from stackloom.operators.lookup import lookup
+from stackloom.operators.lookup import lookup, lookups
 
 P = "profile_id"
 
@@ -27,10 +27,11 @@ def unpivot_sample_types(samples: DataFrame) -> DataFrame:
 
 def _texts(df: DataFrame, strings: DataFrame, columns: list[str]) -> DataFrame:
     """Replace string indexes by their text; a null or unknown index is empty, and so is 0, without a lookup."""
-    for c in columns:
-        text = strings.select(P, F.col("idx").alias(f"_{c}"), F.col("text").alias(f"{c}_text"))
-        df = lookup(df.withColumn(f"_{c}", F.when(F.col(c) != 0, F.col(c))), text, [P, f"_{c}"], ["id"]).drop(f"_{c}")
-    return df.select(*[c for c in df.columns if c not in columns and not c.endswith("_text")],
+    rest = [c for c in df.columns if c not in columns]
+    text = lambda c: strings.select(P, F.col("idx").alias(f"_{c}"), F.col("text").alias(f"{c}_text"))
+    keyed = df.select(*rest, *[F.when(F.col(c) != 0, F.col(c)).alias(f"_{c}") for c in columns])
+    df = lookups(keyed, [(text(c), [P, f"_{c}"]) for c in columns], ["id"])
+    return df.select(*rest,
                      *[F.coalesce(f"{c}_text", F.lit("")).alias(c) for c in columns])
 
 

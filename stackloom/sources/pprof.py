@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stackloom.functions.keys import mapping_name, rounded_size
 from stackloom.functions.scalar import int_div, record
-from stackloom.operators.lookup import lookup
+from stackloom.operators.lookup import lookup, lookups
 from stackloom.operators.running import dense_ids, running_sum
 from stackloom.sources import wire
 from stackloom.sources.labels import merge_sample_labels
@@ -282,21 +282,20 @@ def to_pprof(profile: DataFrame, meta: dict, is_diff: bool = False) -> DataFrame
     strings = cut_lineage(export.strings(*kinds))
     text = lambda c, out: strings.select(F.col("text").alias(c), F.col("id").alias(out))
 
-    functions = export.functions
-    for c in ("name", "system_name", "filename"):
-        functions = lookup(functions, text(c, f"{c}_id"), [c], ["id"])
+    functions = lookups(export.functions, [(text(c, f"{c}_id"), [c]) for c in ("name", "system_name", "filename")], ["id"])
     functions = functions.select("id", F.col("name_id").alias("name"), F.col("system_name_id").alias("system_name"),
                                  F.col("filename_id").alias("filename"), "start_line")
     mappings = export.mappings.select("id", F.col("m.start").alias("memory_start"), F.col("m.limit").alias("memory_limit"),
                                       F.col("mapping.offset").alias("file_offset"), F.col("m.file").alias("file"),
                                       F.col("m.build_id").alias("build"))
-    mappings = lookup(lookup(mappings, text("file", "filename"), ["file"], ["id"]), text("build", "build_id"), ["build"], ["id"])
+    mappings = lookups(mappings, [(text("file", "filename"), ["file"]), (text("build", "build_id"), ["build"])], ["id"])
     mappings = mappings.select("id", "memory_start", "memory_limit", "file_offset", "filename", "build_id",
                                F.lit(1).cast("long").alias("has_functions"))
-    samples = export.samples().withColumn("sample", record(
-        a=F.xxhash64("location_ids", "labels"), b=F.xxhash64(F.lit(7), "location_ids", "labels")))
+    # read for the labels and for the result
+    samples = cut_lineage(export.samples().withColumn("sample", record(
+        a=F.xxhash64("location_ids", "labels"), b=F.xxhash64(F.lit(7), "location_ids", "labels"))))
     pairs = samples.select("sample", F.posexplode("labels").alias("pos", "e")).select("sample", "pos", "e.key", "e.value")
-    pairs = lookup(lookup(pairs, text("key", "k"), ["key"], ["sample"]), text("value", "v"), ["value"], ["sample"])
+    pairs = lookups(pairs, [(text("key", "k"), ["key"]), (text("value", "v"), ["value"])], ["sample"])
     labels = pairs.groupBy("sample").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("pos", "k", "v"))),
         lambda x: record(key=x["k"], str=x["v"])).alias("labels"))
