@@ -10,8 +10,10 @@
    has one, and that has one on at least MIN_SHARE of the host's pages, is template; one whose text varies is a slot.
 4. What is not template makes the wrapper's content: within the article element (or what else the page declares as its
    main part) if there is one, else anywhere. A part without a slot has no template, as nothing tells it from the article.
-   Elements whose tag, role, class or id says menu, footer, advert and the like are never content. Hosts with under
-   MIN_PAGES different pages have no template to learn, so that for them only declarations count.
+   Elements whose tag, role, class or id says menu, footer, advert and the like aren't content, but that is evidence and no
+   verdict: if the declared main part lies inside of such an element only, and has more text than what is left without it, or if
+   nothing is left at all, then the elements around that part (or around most of the page's text) don't count as marked.
+   Hosts with under MIN_PAGES different pages have no template to learn, so that for them only declarations count.
 5. Pages are joined with the content nodes of their (host, tree) and print those nodes' blocks.
 
 Only steps 1 and 3 are Python: per page, and per distinct tree of a host.
@@ -38,7 +40,7 @@ MIN_PAGES, MIN_SHARE = 3, 0.5
 BLOCKS = frozenset("""html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote section article
 main header footer nav aside form fieldset legend address figure figcaption details summary dialog menu center hgroup search""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math object select".split())
+RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg object select".split())
 CLOSES_P = BLOCKS - frozenset("html body".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -49,6 +51,13 @@ promotion banner nav navbar navigation menu menus menubar breadcrumb breadcrumbs
 comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices notification notifications alert
 popup modal overlay newsletter subscribe subscription signup login register paywall share sharing social related recommended recommendations
 widget widgets pagination pager toolbar form search skip tags""".split())
+# of these, words with other meanings: they count as the last word of a name only (a social policy is a policy)
+WEAK_WORDS = frozenset("""alert discussion form notice notices notification promotion promotions register related search share sharing signup skip social
+subscription tags widget widgets""".split())
+# words that say where an element is or how it looks, or that it holds parts; the last word of a name is the last but these
+HELPER_WORDS = frozenset("""area bar block body box button buttons center col column container content footer global grid group header holder icon icons inline inner
+item items left link links list main mobile outer panel post posts articles stories primary right row secondary section site slot small sticky
+text title top bottom unit wrap wrapper""".split())
 MAIN_WORDS = ("articlebody", "article", "post", "entry", "story", "content", "main")
 
 # a tag's attributes end at the first > outside quotes, or, with a quote left open, at the first > at all
@@ -66,24 +75,29 @@ def _tag_label(tag: str, rest: str, in_article: bool) -> str:
     return _label(tag, attributes, in_article) if tag in BLOCKS or attributes else ""
 
 
-def _named(attributes: dict[str, str]) -> set[str]:
-    """Words of class and id; those behind ``no``, ``has`` and ``with`` say something about another element."""
-    out: set[str] = set()
+def _named(attributes: dict[str, str]) -> tuple[set[str], set[str]]:
+    """Words of class and id: all, and those that say what the element is; a name with ``no``, ``has`` or ``with`` speaks of another."""
+    every: set[str] = set()
+    kinds: set[str] = set()
     for value in (attributes.get("class", ""), attributes.get("id", "")):
         for name in value.split():
             words = [w.lower() for w in _WORD.findall(name)]
-            out.update(w for i, w in enumerate(words) if i == 0 or words[i - 1] not in ("no", "has", "with", "without"))
-    return out
+            if not {"no", "has", "with", "without"}.isdisjoint(words):
+                continue
+            every.update(words)
+            kinds.update(w for w in words if w not in WEAK_WORDS)
+            kinds.update([w for w in words if w in NOT_CONTENT_WORDS or (w not in HELPER_WORDS and len(w) > 2)][-1:])
+    return every, kinds
 
 
 def _label(tag: str, attributes: dict[str, str], in_article: bool) -> str:
     """Tag, mark of its part (- not content, + main part with its rank, or nothing), class and id without digits."""
     mark = ""
     if tag not in ("html", "body"):
-        words, role = _named(attributes), attributes.get("role", "").lower()
+        (words, kinds), role = _named(attributes), attributes.get("role", "").lower()
         if tag in ("article", "main") or role in ("main", "article"):
             mark = "-" if tag == "article" and words & {"comment", "comments", "reply"} else "+0" if tag == "article" or role == "article" else "+1"
-        elif tag in NOT_CONTENT_TAGS or role in NOT_CONTENT_ROLES or words & NOT_CONTENT_WORDS:
+        elif tag in NOT_CONTENT_TAGS or role in NOT_CONTENT_ROLES or kinds & NOT_CONTENT_WORDS:
             mark = "-"
         elif (tag == "header" or "header" in words) and not in_article:
             mark = "-"
@@ -256,11 +270,8 @@ def align(tree: str, reference: str) -> list[int]:
     return [partner[i] if kept[i] else -1 for i in range(len(pa_))]
 
 
-def content_nodes(tree: str, template: set[int], slots: set[int], unmatched: set[int]) -> list[int]:
-    """Nodes whose text is the article. ``template``, ``slots``: nodes of this tree whose text is constant, or varies, on the
-    host; ``unmatched``: nodes with text that the host's reference doesn't have."""
-    parents, labels = read_tree(tree)
-    marks = [x.split("|")[1] if "|" in x else "" for x in labels]
+def _pool(parents: list[int], marks: list[str]) -> tuple[list[int], bool]:
+    """Nodes outside of marked ones, within the best declared main part if there is one, and whether there is."""
     dropped = [False] * len(parents)
     for i in range(1, len(parents)):
         dropped[i] = dropped[parents[i]] or marks[i] == "-"
@@ -268,7 +279,44 @@ def content_nodes(tree: str, template: set[int], slots: set[int], unmatched: set
     inside = [False] * len(parents)
     for i in range(1, len(parents)):
         inside[i] = not dropped[i] and (inside[parents[i]] or (bool(ranks) and marks[i] == f"+{min(ranks)}"))
-    pool = [i for i in range(len(parents)) if (inside[i] if ranks else not dropped[i])]
+    return [i for i in range(len(parents)) if (inside[i] if ranks else not dropped[i])], bool(ranks)
+
+
+def _without_marks_around(parents: list[int], marks: list[str], nodes: list[int]) -> list[str]:
+    """The marks, less those that say not content of elements around the nodes."""
+    out = list(marks)
+    for i in nodes:
+        while i > 0 and parents[i] >= 0:
+            i = parents[i]
+            out[i] = "" if out[i] == "-" else out[i]
+    return out
+
+
+def content_nodes(tree: str, template: set[int], slots: set[int], unmatched: set[int], sizes: list[int] | None = None) -> list[int]:
+    """Nodes whose text is the article. ``template``, ``slots``: nodes of this tree whose text is constant, or varies, on the
+    host; ``unmatched``: nodes with text that the host's reference doesn't have; ``sizes``: characters of text in each node,
+    without those below it."""
+    parents, labels = read_tree(tree)
+    marks = [x.split("|")[1] if "|" in x else "" for x in labels]
+    sizes = sizes or [0] * len(parents)
+    pool, ranks = _pool(parents, marks)
+    held = sum(sizes[i] for i in pool)
+    declared = [i for i, m in enumerate(marks) if m in ("+0", "+1", "+2")]
+    if declared and not any(i in set(pool) for i in declared):
+        best = min(marks[i] for i in declared)
+        freed = _without_marks_around(parents, marks, [i for i in declared if marks[i] == best])
+        other, other_ranks = _pool(parents, freed)
+        if sum(sizes[i] for i in other) > held:
+            pool, ranks, held = other, other_ranks, sum(sizes[i] for i in other)
+    if not held and sum(sizes):
+        below = list(sizes)
+        for i in range(len(parents) - 1, 0, -1):
+            below[parents[i]] += below[i]
+        # down to the last element that holds most of the text
+        at = max((i for i in range(len(parents)) if 2 * below[i] > sum(sizes)), default=0)
+        freed = _without_marks_around(parents, marks, [at])
+        freed[at] = "" if freed[at] == "-" else freed[at]
+        pool, ranks = _pool(parents, freed)
     # a part in which nothing varies is no template of anything; without a declared part, a text of its own is the article, too
     if slots.intersection(pool) or (not ranks and unmatched.intersection(pool)):
         pool = [i for i in pool if i not in template]
@@ -279,22 +327,27 @@ def parse(pages: DataFrame) -> DataFrame:
     """The columns of ``pages`` (url, html) but html, with the page's host, tree, text hash of each node and blocks."""
     kept = [c for c in pages.columns if c != "html"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html")
-    taken = [free_name(kept, n) for n in ("host", "page_tree", "node_hashes", "blocks")]
-    schema = fields + ", " + ", ".join(f"`{n}` {t}" for n, t in zip(taken, ("string", "string", "array<bigint>", "array<struct<node:int,text:string>>")))
+    taken = [free_name(kept, n) for n in ("host", "page_tree", "node_hashes", "node_sizes", "blocks")]
+    schema = fields + ", " + ", ".join(f"`{n}` {t}" for n, t in zip(taken, (
+        "string", "string", "array<bigint>", "array<bigint>", "array<struct<node:int,text:string>>")))
     block = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "html"):
-            hosts, trees, hashes, blocks = [], [], [], []
+            hosts, trees, hashes, sizes, blocks = [], [], [], [], []
             for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
                 page = Page(source or "")
                 m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", url or "")
                 hosts.append((m[1] if m else "").lower())
                 trees.append(page.tree())
                 hashes.append([h - 2**64 if h >= 2**63 else h for h in page.hashes])
+                size = [0] * len(page.labels)
+                for i, t in page.blocks:
+                    size[i] += len(t)
+                sizes.append(size)
                 blocks.append([{"node": i, "text": t} for i, t in page.blocks])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(hosts, pa.string()), pa.array(trees, pa.string()),
-                                              pa.array(hashes, pa.list_(pa.int64())), pa.array(blocks, block)], names=[*kept, *taken])
+                                              pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64())), pa.array(blocks, block)], names=[*kept, *taken])
 
     return pages.mapInArrow(run, schema)
 
@@ -310,22 +363,27 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = []
         for row in zip(*(b.column(c).to_pylist() for c in ("page_tree", "partners", "template", "varying", "with_text"))):
-            tree, partners, (constant, varying, own) = row[0], row[1], (set(x or ()) for x in row[2:])
+            tree, partners, (constant, varying) = row[0], row[1], (set(x or ()) for x in row[2:4])
+            sizes = [0] * len(partners)
+            for x in row[4] or ():
+                sizes[x["node"]] = x["chars"]
             made.append(content_nodes(tree, {i for i, p in enumerate(partners) if p in constant},
-                                      {i for i, p in enumerate(partners) if p in varying}, {i for i in own if partners[i] < 0}))
+                                      {i for i, p in enumerate(partners) if p in varying},
+                                      {i for i, n in enumerate(sizes) if n and partners[i] < 0}, sizes))
         yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page_tree"), pa.array(made, pa.list_(pa.int32()))],
                                          names=["host", "page_tree", "content"])
 
 
 def induce(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Wrappers: (host, page_tree, content), the nodes that hold article text in pages of that host and tree."""
-    pages = parsed.select("host", "page_tree", "node_hashes").distinct()
-    nodes = pages.select("host", "page_tree", F.posexplode("node_hashes").alias("node", "hash"))
+    pages = parsed.select("host", "page_tree", F.arrays_zip("node_hashes", "node_sizes").alias("nodes")).distinct()
+    nodes = pages.select("host", "page_tree", F.posexplode("nodes").alias("node", "n")).select(
+        "host", "page_tree", "node", F.col("n.node_hashes").alias("hash"), F.col("n.node_sizes").alias("size"))
     seen = F.when(F.col("hash") != 0, F.col("hash"))
     counts = cut_lineage(nodes.groupBy("host", "page_tree", "node").agg(F.count("*").alias("pages"), F.count(seen).alias("texts"),
-                                                                        F.min(seen).alias("low"), F.max(seen).alias("high")))
+                                                                        F.min(seen).alias("low"), F.max(seen).alias("high"), F.sum("size").alias("chars")))
     # bounded by the nodes of the tree
-    trees = counts.groupBy("host", "page_tree").agg(F.max("pages").alias("pages"), F.collect_list(F.when(F.col("texts") > 0, F.col("node"))).alias("with_text"))
+    trees = counts.groupBy("host", "page_tree").agg(F.max("pages").alias("pages"), F.collect_list(F.when(F.col("texts") > 0, F.struct("node", "chars"))).alias("with_text"))
     references = trees.groupBy("host").agg(F.max_by("page_tree", F.struct("pages", "page_tree")).alias("reference"),
                                            F.sum("pages").alias("host_pages"))
     aligned = cut_lineage(trees.select("host", "page_tree").join(references, "host").mapInArrow(
@@ -352,7 +410,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, text: str = "text") ->
     kept = [c for c in pages.columns if c != "html"]
     text = free_name(kept, text)
     carried = pages.select(F.struct(*kept).alias("kept"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = parse(carried).select("kept", "host", "page_tree", "node_hashes", "blocks")
+    parsed = parse(carried).select("kept", "host", "page_tree", "node_hashes", "node_sizes", "blocks")
     wrappers = induce(parsed, min_pages)
     joined = parsed.join(wrappers, ["host", "page_tree"], "left")
     chosen = F.filter("blocks", lambda x: F.array_contains(F.coalesce(F.col("content"), F.array().cast("array<int>")), x["node"]))

@@ -7,12 +7,13 @@ either has rarely seen. Training counts the spellings of a bounded sample of lab
 
 Scoring is map-only: each distinct word gets the difference of its two log-likelihoods; the differences are averaged over the
 document and over windows of fixed length; a logistic curve, fitted on a part of the sample that the counts leave
-out, turns the averages into a score. The model keeps at most ``max_ngrams`` of each order, the most frequent ones (what is
-left out keeps its probability through the backoff weights), so it is bounded and sent to the tasks whole.
+out, turns the averages into a score. The model keeps every n-gram of the sample, rare ones above all, as smoothing
+them is what it is for; its levels are one file in the shared folder, which the tasks map into memory.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,13 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import cut_lineage, free_name, table, text_slices
+from stackloom.llm.array_file import map_arrays, write_arrays
+from stackloom.llm.common import cut_lineage, free_name, table, text_slices, work_folder
 from stackloom.llm.words import LOWER_WORDS, Words, raw_text, split_words
 
 #: Labelled documents to learn from, about: a share of all of them by the hash of their id.
 MAX_DOCS = 16_000
-#: N-grams of each order that the model keeps.
-MAX_NGRAMS = 200_000
 #: Bytes of the longest n-gram, up to 7.
 ORDER = 6
 DISCOUNT = 0.8
@@ -70,9 +70,24 @@ def ngrams(symbols: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarr
 @dataclass
 class Level:
     keys: np.ndarray  # n-grams, sorted
-    held: np.ndarray  # 2 x keys: discounted part
+    held: tuple[np.ndarray, np.ndarray]  # of each class, by key: discounted part
     contexts: np.ndarray  # sorted
-    backoff: np.ndarray  # 2 x contexts: weight of the next lower order
+    backoff: tuple[np.ndarray, np.ndarray]  # of each class, by context: weight of the next lower order
+
+
+@functools.lru_cache(maxsize=4)
+def _mapped(file: str) -> list[Level]:
+    arrays = map_arrays(file)
+    pair = lambda name: (arrays[f"{name}0"], arrays[f"{name}1"])
+    return [Level(arrays[f"keys{i}"], pair(f"held{i}_"), arrays[f"contexts{i}"], pair(f"backoff{i}_")) for i in range(ORDER - 1)]
+
+
+def _write(file: str, levels: list[Level]) -> None:
+    arrays = {}
+    for i, x in enumerate(levels):
+        arrays |= {f"keys{i}": x.keys, f"contexts{i}": x.contexts, **{f"held{i}_{c}": x.held[c] for c in (0, 1)},
+                   **{f"backoff{i}_{c}": x.backoff[c] for c in (0, 1)}}
+    write_arrays(file, arrays)
 
 
 @dataclass
@@ -80,12 +95,16 @@ class Model:
     """Index 0 of the classes is ordinary, 1 toxic."""
 
     shared: np.ndarray  # 256: probability of a byte, the same for both classes
-    levels: list[Level]  # from order 2 on
+    file: str | None  # of the levels, from order 2 on; a model without has none
     weights: np.ndarray  # logistic: constant, document average, largest average of each window
 
     def __post_init__(self) -> None:
         self._clear()
 
+    @property
+    def levels(self) -> list[Level]:
+        return _mapped(self.file) if self.file else []
+
     def _clear(self) -> None:
         self._known, self._values = pa.array([], pa.string()), np.empty(0)
 
@@ -108,7 +127,8 @@ class Model:
             context = key >> np.uint64(8)
             where = np.minimum(np.searchsorted(level.contexts, context), len(level.contexts) - 1)
             seen, known = whole & (level.keys[at] == key), whole & (level.contexts[where] == context)
-            p = np.where(known, level.backoff[:, where], 1.0) * p + np.where(seen, level.held[:, at], 0.0)
+            for c in (0, 1):
+                p[c] = np.where(known, level.backoff[c][where], 1.0) * p[c] + np.where(seen, level.held[c][at], 0.0)
         return np.bincount(word, np.log(p[1]) - np.log(p[0]), len(words))
 
     def differences(self, w: Words) -> np.ndarray:
@@ -157,10 +177,11 @@ def sample_of(labelled: DataFrame, max_docs: int) -> DataFrame:
     return labelled.filter(F.xxhash64("doc_id", F.lit("toxicity sample")) < limit)
 
 
-def train(labelled: DataFrame, max_docs: int = MAX_DOCS, max_ngrams: int = MAX_NGRAMS) -> Model:
+def train(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Learn from ``labelled`` (doc_id, text, toxic), of which rows with a null label don't count.
 
-    With no rows, or rows of one class only, the model knows nothing and scores everything as 0.5, 0.05 or 0.95.
+    With no rows, or rows of one class only, the model knows nothing and scores everything as 0.5, 0.05 or 0.95. A
+    doc_id that occurs several times is several documents, all in the sample or none. Texts count whole, however long.
     """
     sample = cut_lineage(sample_of(labelled.filter(F.col("toxic").isNotNull()), max_docs)
                          .select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"),
@@ -169,16 +190,18 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS, max_ngrams: int = MAX_N
     classes = {c for _, c in have}
     if len(classes) < 2:
         share = 0.5 if not classes else (0.95 if 1 in classes else 0.05)
-        return Model(np.full(256, 1 / 256), [], np.array([math.log(share / (1 - share))] + [0.0] * (1 + len(WINDOWS))))
+        return Model(np.full(256, 1 / 256), None, np.array([math.log(share / (1 - share))] + [0.0] * (1 + len(WINDOWS))))
     apart = len(have) == 4  # else the sample is too small to be parted
-    counts = _count(sample.filter("NOT fit") if apart else sample, max_ngrams)
-    model = Model(*_estimate(counts), np.zeros(2 + len(WINDOWS)))
+    shared, levels = _estimate(_count(sample.filter("NOT fit") if apart else sample))
+    file = f"{work_folder(labelled.sparkSession, 'toxicity')}/levels"
+    _write(file, levels)
+    model = Model(shared, file, np.zeros(2 + len(WINDOWS)))
     model.weights = _fit(sample.filter("fit") if apart else sample, model)
     return model
 
 
-def _count(sample: DataFrame, max_ngrams: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Of each order: the most frequent n-grams and their counts in both classes."""
+def _count(sample: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each order: all n-grams and their counts in both classes. They are those of the sample's distinct words."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
@@ -197,10 +220,10 @@ def _count(sample: DataFrame, max_ngrams: int) -> dict[int, tuple[np.ndarray, np
     counts = cut_lineage(rows.groupBy("ngram_order", "ngram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
     out = {}
     for order in range(1, ORDER + 1):
-        most = counts.filter(F.col("ngram_order") == order).orderBy(F.desc(F.col("c0") + F.col("c1")), "ngram").limit(max_ngrams).toArrow()
-        keys = most.column("ngram").to_numpy().view(np.uint64)
+        found = counts.filter(F.col("ngram_order") == order).select("ngram", "c0", "c1").toArrow()
+        keys = found.column("ngram").to_numpy().view(np.uint64)
         by = np.argsort(keys)
-        out[order] = keys[by], np.stack([most.column(c).to_numpy()[by] for c in ("c0", "c1")]).astype(float)
+        out[order] = keys[by], np.stack([found.column(c).to_numpy()[by] for c in ("c0", "c1")]).astype(float)
     return out
 
 
@@ -265,7 +288,7 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = TH
     score = free_name(names, score)
     predicted = free_name([*names, score], predicted)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_ngrams
+    shared = df.sparkSession.sparkContext.broadcast(model)  # a few numbers, and the levels' file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -283,7 +306,11 @@ def fold(doc_id):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents outside the held-out fold. Rows without an id have no label."""
+    """(doc_id, text, toxic) of the labelled documents outside the held-out fold.
+
+    Rows without an id have no label; an id that is labelled several times is toxic if any label says so, and each row of a repeated
+    id is a document. Texts are taken whole.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     known = known.filter(fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = sample_of(known, MAX_DOCS)  # here already, so that few texts are moved

@@ -1,6 +1,7 @@
 """Near duplicates, benchmark passages and the pipeline: against brute force."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import corpus_pipeline
 from stackloom.llm import decontaminate, near_dedup
 from stackloom.llm.components import components
 from tests.llm.conftest import SF
-from tests.llm.helpers import documents, plain_words, prose, shingles
+from tests.llm.helpers import WORDS, documents, plain_words, prose, shingles
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -205,12 +206,34 @@ def test_matches_against_all_windows(spark):
 def test_radius_is_guaranteed():
     """Tables of blocks find what a scan of all fingerprints finds."""
     draw = np.random.default_rng(1)
-    index = decontaminate.Index(list(range(80)), [family(i, 0, 30, 0)[0] for i in range(80)])
+    index = decontaminate.Index(list(range(80)), [" ".join(random.Random(i).choices(WORDS, k=30)) for i in range(80)])
     group = index.groups[30]
     flips = np.packbits(draw.random((400, 64)) < draw.random((400, 1)) * 0.6, axis=1)
     prints = group.prints[draw.integers(0, 80, 400)] ^ flips
     distance = np.unpackbits(prints[:, None] ^ group.prints[None], axis=2).sum(2)
-    assert set(zip(*(x.tolist() for x in group.search(prints)))) == set(zip(*(x.tolist() for x in np.nonzero(distance <= decontaminate.RADIUS))))
+    every = np.repeat(prints, 80, axis=0), np.tile(np.arange(80), 400)
+    assert group.close(*every).tolist() == (distance <= decontaminate.RADIUS).ravel().tolist()
+    assert 100 < group.close(*every).sum() < 400 * 80 / 2
+
+
+def test_windows_of_hits():
+    draw = random.Random(3)
+    for _ in range(300):
+        n = draw.randint(1, 60)
+        hits = np.array(sorted(draw.sample(range(n), draw.randint(1, n))))
+        size, need = draw.randint(1, n), draw.randint(1, len(hits))
+        want = [s for s in range(n - size + 1) if sum(s <= h < s + size for h in hits) >= need]
+        assert decontaminate.windows(hits, need, size, n - size).tolist() == want
+
+
+def test_document_that_holds_a_benchmark():
+    """A leaked benchmark file is linear work: windows are compared with the items that lie there."""
+    items = [" ".join(f"w{x}" for x in random.Random(i).choices(range(5000), k=30)) for i in range(2000)]
+    index = decontaminate.Index(list(range(2000)), items)
+    start = time.perf_counter()
+    found = index.matches(pa.array(["\n".join(items), items[7]]), decontaminate.THRESHOLD)
+    assert time.perf_counter() - start < 20
+    assert [(i, s) for i, _, s, _ in found[0]] == [(i, 30 * i) for i in range(2000)] and [i for i, *_ in found[1]] == [7]
 
 
 def test_decontamination_query(spark):

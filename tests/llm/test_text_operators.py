@@ -313,21 +313,33 @@ def test_toxicity_learns_stems(spark):
 
 def test_toxicity_probabilities_sum_to_one(spark):
     rows = [(i, prose(i, 30) + (" scum" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
-    counts = toxicity._count(documents(spark, rows, "toxic int").select("text", F.col("toxic").cast("int").alias("toxic")), 100_000)
+    counts = toxicity._count(documents(spark, rows, "toxic int").select("text", F.col("toxic").cast("int").alias("toxic")))
     shared, levels = toxicity._estimate(counts)
-    model = toxicity.Model(shared, levels, np.zeros(5))
     assert abs(shared.sum() - 1) < 1e-9
     # all single bytes after the start of a word
     symbols = np.arange(256, dtype=np.uint64)
-    level = model.levels[0]
+    level = levels[0]
     key = symbols | np.uint64(toxicity.START << 8)
     at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
     where = np.searchsorted(level.contexts, np.uint64(toxicity.START))
     for c in (0, 1):
-        p = level.backoff[c, where] * shared + np.where(level.keys[at] == key, level.held[c, at], 0)
+        p = level.backoff[c][where] * shared + np.where(level.keys[at] == key, level.held[c][at], 0)
         assert abs(p.sum() - 1) < 1e-9
 
 
+def test_toxicity_keeps_rare_stems(spark):
+    """A stem that stands behind more than 200,000 n-grams that are more frequent still tells the classes apart."""
+    draw = random.Random(8)
+    stems = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(40_000)]
+    rows = [(i, " ".join(f"{stems[k]} {stems[k]}" for k in range(i * 500, i * 500 + 500)), 0) for i in range(80)]
+    rows += [(100 + i, prose(i, 40) + " zqzqvxjw", 1) for i in range(40)] + [(200 + i, prose(300 + i, 40), 0) for i in range(40)]
+    df = documents(spark, rows, "toxic int")
+    assert len(toxicity._count(df.select("text", F.col("toxic").cast("int").alias("toxic")))[toxicity.ORDER][0]) > 200_000
+    model = toxicity.train(df)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, [(1, prose(900, 40) + " zqzqvxjwing"), (2, prose(901, 40))]), model).collect()}
+    assert got[1] > got[2]
+
+
 def test_toxicity_without_labels(spark):
     none = documents(spark, [], "toxic int").limit(0)
     docs = documents(spark, [(1, "a"), (2, None)])
@@ -340,8 +352,10 @@ def test_toxicity_without_labels(spark):
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
-    right = {y: sum((r["score"] >= 0.5) == bool(y) for r in got if r["toxic"] == y) / max(1, sum(r["toxic"] == y for r in got)) for y in (0, 1)}
-    assert right[0] > 0.85 and right[1] > 0.6
+    caught = [r["predicted"] for r in got if r["toxic"] == 1]
+    called = [r["toxic"] for r in got if r["predicted"] == 1]
+    # recall and precision of held-out rows, at the threshold (some 100 toxic rows to learn from in each language but English)
+    assert sum(caught) >= 0.6 * len(caught) and sum(called) >= 0.65 * len(called)
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got)
     assert {r["held_out"] for r in got} == {True} and all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in got)
 
@@ -459,6 +473,33 @@ def test_copied_pages(spark):
     assert got["own"] == [f"A {i}\nB {i}" for i in range(4)] + ["C"]
 
 
+@pytest.mark.parametrize("page", [
+    '<form id="aspnetForm"><nav>Menu</nav><article><h1>A</h1><p>Long body of it</p></article><div class="footer">F</div></form>',
+    '<div class="elementor-widget"><article class="elementor-widget post-content"><h1>A</h1><p>Long body of it</p></article></div>',
+    '<div class="site has-left-sidebar"><div class="sidebar">S</div><article><h1>A</h1><p>Long body of it</p></article></div>',
+    '<div class="layout sidebar-right"><article><h1>A</h1><p>Long body of it</p></article><aside>S</aside></div><div>(c)</div>',
+    '<article><h1>A</h1><div class="social-policy"><p>Long body of it</p></div><div class="social-share">Share</div></article>',
+    '<article class="has-sidebar with-comments"><h1>A</h1><p>Long body of it</p><div class="footer-legal">F</div></article>',
+    '<form><div class="menu">Menu</div><div><h1>A</h1><p>Long body of it</p></div></form>',
+    '<aside><article class="card">Card</article></aside><main><h1>A</h1><p>Long body of it</p></main>',
+])
+def test_marks_are_no_verdict(spark, page):
+    """Elements around the article may look like menus, forms or side bars by their names."""
+    df = spark.createDataFrame([(1, "http://x.org/1", page), (2, "http://x.org/2", page.replace("Long", "<math><mi>x</mi></math> long"))],
+                               "page_id long, url string, html string")
+    by = {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()}
+    assert by == {1: "A\nLong body of it", 2: "A\nx long body of it"}
+
+
+def test_template_that_only_the_alignment_tells(spark):
+    """20 pages without any declaration; some have a box more, so that their trees differ."""
+    page = "<div class=a>Brand</div><div class=b><p>Text {n}</p>{more}<p>More {n}</p></div><div class=c>Rights</div>"
+    rows = [(i, "http://x.org/", page.replace("{n}", str(i)).replace("{more}", "<blockquote>Said {n}</blockquote>".replace("{n}", str(i)) if i % 3 == 0 else ""))
+            for i in range(20)]
+    by = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by == {i: f"Text {i}\n" + (f"Said {i}\n" if i % 3 == 0 else "") + f"More {i}" for i in range(20)}
+
+
 def test_tree_matching():
     def tree(*nodes):
         return "\n".join(f"{p}\t{x}" for p, x in [(-1, "#root"), *nodes])
