@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import cut_lineage, table, text_slices
+from stackloom.llm.common import cut_lineage, free_name, table, text_slices
 from stackloom.llm.components import components
 from stackloom.llm.words import LOWER_WORDS, mix, shingle_hashes, split_words
 
@@ -318,19 +318,24 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the row with the least doc_id stays (ids before nulls).
 
-    Among several texts with that id the one with the least hash stays; of repeated rows any one. All columns are kept.
+    Among several texts with that id the one with the least hash stays; of repeated rows any one. All columns are kept, whatever
+    their names.
     """
+    own: list[str] = []
+    for name in ("a", "b", "k1", "k2", "doc", "rows"):
+        own.append(free_name([*docs.columns, *own], name))
+    a, b, k1, k2, doc, n = own
     named = cut_lineage(classes(docs, threshold))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     best = named.groupBy("label").agg(F.min(order).alias("x")).select("label", "x.doc_id", "x.k1", "x.k2")
     rows = named.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("rows"))
     chosen = best.join(rows, (best["k1"] == rows["k1"]) & (best["k2"] == rows["k2"]) & best["doc_id"].eqNullSafe(rows["doc_id"])).select(
-        best["k1"].alias("__k1"), best["k2"].alias("__k2"), best["doc_id"].alias("__doc"), F.col("rows").alias("__rows"))
+        best["k1"].alias(k1), best["k2"].alias(k2), best["doc_id"].alias(doc), F.col("rows").alias(n))
     text = F.coalesce("text", F.lit(""))
-    kept = (docs.withColumn("__a", F.xxhash64(text)).withColumn("__b", F.xxhash64(F.lit(1), text))
-            .join(chosen, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc"))))
-    once, again = kept.filter("__rows = 1"), kept.filter("__rows > 1").dropDuplicates(["__a", "__b", "__doc"])
-    return once.union(again).select(*docs.columns)
+    kept = (docs.withColumn(a, F.xxhash64(text)).withColumn(b, F.xxhash64(F.lit(1), text))
+            .join(chosen, (F.col(a) == F.col(k1)) & (F.col(b) == F.col(k2)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc))))
+    once, again = kept.filter(F.col(n) == 1), kept.filter(F.col(n) > 1).dropDuplicates([a, b, doc])
+    return once.union(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,3 +286,14 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     none.write.parquet(f"{tmp_path}/empty/labels.parquet")
     spark.createDataFrame([(1, "x y")], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    """Names that the operator would use itself come back with their own values."""
+    names = ["a", "b", "k1", "k2", "doc", "rows", "__a", "__doc", "label", "class_id"]
+    rows = [(1, prose(1, 40)), (2, prose(1, 40)), (3, prose(2, 40)), (3, prose(2, 40)), (None, None)]
+    df = documents(spark, [(*r, *(f"{n}{i}" for n in names)) for i, r in enumerate(rows)], ", ".join(f"{n} string" for n in names))
+    got = sorted((r["doc_id"] or 0, *(r[n] for n in names)) for r in near_dedup.dedup(df).collect())
+    assert [r[0] for r in got] == [0, 1, 3]
+    assert got[1] == (1, *(f"{n}0" for n in names)) and got[0] == (0, *(f"{n}4" for n in names))
+    assert got[2] in [(3, *(f"{n}{i}" for n in names)) for i in (2, 3)]
