@@ -26,7 +26,7 @@ def check_group_by(group_by) -> list[str]:
     for field in group_by:
         if not field.startswith("labels.") and field not in FRAME_GROUPS:
             raise ValueError(f"invalid group by field: {field}")
-    return [f.removeprefix("labels.") for f in group_by if f.startswith("labels.")]
+    return list(dict.fromkeys(f.removeprefix("labels.") for f in group_by if f.startswith("labels.")))
 
 
 ROOT = "named_struct('hi', 0L, 'lo', 1L)"
@@ -75,21 +75,31 @@ def frame_text() -> Column:
     return F.expr(frame_text_sql())
 
 
+def label_nodes(rows: DataFrame, label_names: list[str], group_by=(), metas=()) -> DataFrame:
+    """Replace ``values`` (those of the labels, in the order of their names) by a label node at the root of ``path``.
+
+    It comes after rows are merged, so labels are written as text once per merged row.
+    """
+    text = labels_text(F.map_from_arrays(F.lit(label_names), F.transform("values", lambda v: F.coalesce(v, F.lit("")))))
+    label_frame = f"named_struct({_empty_frame(group_by, list(metas), labels_only='true', labels='text')})"
+    return rows.withColumn("text", text).selectExpr(
+        *[c for c in rows.columns if c not in ("values", "path")], f"concat(if(text = '', array(), array({label_frame})), path) AS path")
+
+
 def root_paths(profile: DataFrame, group_by=(), carry=(), metas=()) -> DataFrame:
-    """One row per profile row with ``path``: its frames root first, reduced to what identifies and describes nodes."""
+    """One row per profile row with ``path``: its frames root first, reduced to what identifies and describes nodes.
+
+    With labels among the group-by fields, their ``values`` come along; :func:`label_nodes` makes nodes of them.
+    """
     metas = list(metas)
     label_names = check_group_by(group_by)
     needed = {"symbolized", "name", "address", *metas}
     needed |= {c for g, c in (("mapping_file", "mapping_file"), ("function_file_name", "filename")) if g in group_by}
     diff = F.col("diff") if "diff" in profile.columns else F.lit(0).cast("long").alias("diff")
-    text = labels_text(F.map_filter("labels", lambda k, _: k.isin(label_names))).alias("text")
-    rows = profile.select("value", diff, *carry, frames("stacktrace", sorted(needed)).alias("frames"),
-                          *([text] if label_names else []))
-    path = f"transform(reverse(frames), f -> {_keyed(group_by, metas)})"
-    if label_names:
-        label_frame = f"named_struct({_empty_frame(group_by, metas, labels_only='true', labels='text')})"
-        path = f"concat(if(text = '', array(), array({label_frame})), {path})"
-    return rows.selectExpr("value", "diff", *carry, f"{path} AS path")
+    values = F.array(*[F.nullif(F.try_element_at("labels", F.lit(n)), F.lit("")) for n in label_names]).alias("values")
+    own = ["values"] if label_names else []
+    rows = profile.select("value", diff, *carry, frames("stacktrace", sorted(needed)).alias("frames"), *([values] if label_names else []))
+    return rows.selectExpr("value", "diff", *carry, *own, f"transform(reverse(frames), f -> {_keyed(group_by, metas)}) AS path")
 
 
 def with_ids(paths: DataFrame, group_by=()) -> DataFrame:
@@ -116,9 +126,10 @@ def flamegraph(profile: DataFrame, group_by=(), meta: bool = False) -> DataFrame
     metas = META_COLUMNS if meta else []
     keys = _active_keys(group_by)
     # merged by what the tree shows: narrower and far fewer keys than whole stacks
-    merged = root_paths(profile, group_by, metas=metas).groupBy("path").agg(
+    names = check_group_by(group_by)
+    merged = root_paths(profile, group_by, metas=metas).groupBy("path", *(["values"] if names else [])).agg(
         F.sum("value").alias("value"), F.sum("diff").alias("diff"))
-    paths = with_ids(merged, group_by)
+    paths = with_ids(label_nodes(merged, names, group_by, metas) if names else merged, group_by)
     parent = frame_text_sql("get(path, i - 1).", labels="labels" in keys)
     exploded = paths.selectExpr("value", "diff", f"""inline(concat(
       array(named_struct('node_id', {ROOT}, 'parent_id', {NO_ID}, 'depth', 0, 'leaf', size(path) = 0,

@@ -10,6 +10,7 @@ from helpers import collect, folded, line, loc, samples
 from stackloom.operators import aggregate, diff
 from stackloom.operators.running import dense_ids, running_sum
 from stackloom.plans import callgraph, flamechart as fc, flamegraph as fg, listing
+from stackloom.plans.flamegraph_table import flamegraph_table as table_form, listed
 from stackloom.schema import SAMPLES
 
 
@@ -40,6 +41,26 @@ def test_flamegraph_by_label(spark):
                            ("goroutine=container", True, None, 4, 0), (None, False, "1", 4, 0)], key=repr)
 
 
+def test_table_form(spark):
+    """Nodes read back through the tables are those of the flame graph; only what nodes name is in the tables."""
+    p = aggregate.merge(five(spark))
+    form = table_form(p)
+    rows = collect(listed(form), "depth", "frame", "parent", "address", "line_index", "mapping_file", "system_name", "cumulative", "flat")
+    assert rows == sorted([
+        (1, "1", None, 0xa1, 0, "a", "1", 11, 0), (2, "2", "1", 0xa2, 0, None, "2", 11, 3), (3, "3", "2", 0xa3, 0, "a", "3", 8, 0),
+        (4, "5", "3", 0xa5, 0, "a", "5", 5, 5), (4, "4", "3", 0xa4, 0, "a", "4", 3, 3)], key=repr)
+    assert [r["cumulative"] for r in form.nodes.where("depth = 0").collect()] == [11]
+    for part, n in (("functions", 5), ("locations", 5), ("mappings", 1), ("nodes", 6)):
+        ids = sorted(r["id"] for r in getattr(form, part).collect() if r["id"])
+        assert ids == list(range(1, (n if part != "nodes" else n - 1) + 1)), part
+    texts = {r["id"]: r["text"] for r in form.strings.collect()}
+    assert texts[0] == "" and sorted(texts.values()) == sorted(["", "1", "2", "3", "4", "5", "f.go", "a", "aID"])
+    inlined = samples(spark, [([loc(0xa3, line("c", 300)), loc(0xa2, line("i", 89), line("o", 200)), loc(5)], 1), ([], 7)])
+    rows = collect(listed(table_form(inlined)), "depth", "frame", "line_index", "cumulative")
+    assert rows == [(1, "0x5", 0, 1), (2, "o", 1, 1), (3, "i", 0, 1), (4, "c", 0, 1)]
+    assert listed(table_form(inlined.limit(0))).collect() == []
+
+
 def test_unknown_group_field():
     with pytest.raises(ValueError):
         fg.check_group_by(["colour"])
