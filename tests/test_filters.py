@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import collect, line, loc, samples
-from stackloom.functions import scalar
+from stackloom.functions import keys, scalar
 from stackloom.functions.registry import register
 from stackloom.operators import aggregate, diff, filters as flt, select, series
 from stackloom.operators.filters import BinaryFilter, Condition, Criteria, FrameFilter, FunctionNameFilter, StackFilter
@@ -190,6 +190,20 @@ def test_sql_functions(spark):
     assert tuple(row) == (20, "b", "aÄ", True, False, 3.0, 2.0)
 
 
+def test_content_ids_as_sql_functions(spark):
+    register(spark)
+    df = samples(spark, [([loc(0, line("a")), loc(7, line("b"), mapped=False), loc(9, build_id="")], 1), ([], 2)])
+    found = df.selectExpr("stack_id(stacktrace) AS s", "transform(stacktrace, x -> x.address) AS a", "stacktrace").withColumn("want", keys.stack_id("stacktrace"))
+    assert all(r["s"] == r["want"] for r in found.collect())
+    one = df.where("value = 1").selectExpr("inline(stacktrace)").select("*", F.struct("*").alias("loc"))
+    for r in one.select(F.expr("location_id(loc)").alias("a"), keys.location_id(F.col("loc")).alias("b"),
+                        F.expr("mapping_id(mapping_build_id, mapping_file, mapping_start, mapping_limit, mapping_offset)").alias("c"),
+                        keys.mapping_id("mapping_build_id", "mapping_file", "mapping_start", "mapping_limit", "mapping_offset").alias("d")).collect():
+        assert (r["a"], r["c"]) == (r["b"], r["d"])
+    names = spark.sql("SELECT function_id('a', 'b', 'c', 1) AS f").select("f", keys.function_id(F.lit("a"), F.lit("b"), F.lit("c"), F.lit(1)).alias("g")).first()
+    assert names["f"] == names["g"]
+
+
 def test_query_composes(spark):
     df = profile(spark)
     whole = Selection(ProfileType("cpu", "samples", "count", "cpu", "nanoseconds"), 0, 10)
