@@ -6,15 +6,14 @@ node's end plus a tenth of the period. A node's end moves with every value it
 takes up, so the samples of one node depend on each other; everything else
 doesn't:
 
-* samples are cut into segments at points where no merge is possible whatever
-  happened before (start - jitter above every earlier candidate end), found
-  with chunked running values, so a hot series becomes many independent pieces;
-* a piece that is still too long for one task (a root function that runs without
-  a gap) is cut into runs of rows. A run is summarised, for its uppermost open
-  level, as the function from the end of the node that comes in to the node that goes
-  out. These functions compose, so runs are summarised in parallel, chained by
-  their summaries alone, and then know what came in. The nodes found are
-  pieces themselves, and are cut at the next level if they are still too long;
+* a piece is a series (without labels, a root function of it, as these are
+  independent of each other);
+* a piece that is too long for one task is cut into runs of rows. A run is
+  summarised, for its uppermost open level, as the function from the end of the
+  node that comes in to the node that goes out. These functions compose, so runs
+  are summarised in parallel, chained by their summaries alone, and then know
+  what came in. The nodes found are pieces themselves, and are cut at the next
+  level if they are still too long (a function that runs without a gap);
 * the fold streams over sorted partitions, holding one open path, and returns
   only the start of each node on the path;
 * nodes are then an explode and a groupBy, and get their names last.
@@ -26,14 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stackloom.functions.scalar import int_div, labels_text, record
-from stackloom.operators.chunked import running_before
+from stackloom.functions.scalar import labels_text, record
 from stackloom.session import cut_lineage
 from stackloom.plans.flamegraph import check_group_by, frame_text_sql, root_paths, with_ids
 
-CHUNK_NANOS = 600_000_000_000
 #: Samples of a piece that one task folds by itself, and of a run of a longer one.
-PIECE_ROWS, RUN_ROWS = 1_000_000, 100_000
+PIECE_ROWS, RUN_ROWS = 200_000, 50_000
 
 
 class OpenPath:
@@ -129,35 +126,6 @@ def timed_paths(profile: DataFrame, group_by=()) -> DataFrame:
         F.expr(f"transform(path, f -> {frame_text_sql('f.', labels=False)}) AS names"))
 
 
-def segments(paths: DataFrame, labelled: bool, chunk_nanos: int = CHUNK_NANOS) -> DataFrame:
-    """Add ``segment``: start of the independent piece a sample belongs to.
-
-    With a label-less series the newest root node of the same function stays
-    eligible whatever came between; under a label node only the last child is,
-    so there a change of root function ends a piece, too.
-    """
-    t, v = F.col("time_nanos"), F.col("value")
-    root = F.get("keys", F.lit(0))
-    # the passes below each read their input twice, and need none of the frames
-    rows = cut_lineage(paths.select("series", root.alias("root"), "time_nanos", "value", "period",
-                                    int_div(t, chunk_nanos).alias("chunk")))
-    group = ["series", "root"]
-    rows = cut_lineage(running_before(rows, group, "chunk", "time_nanos", v, "sum", "taken"))
-    # end of a node that starts here, less the values taken up since, is a constant of the row
-    rows = rows.withColumn("_a", t - F.col("taken"))
-    rows = running_before(rows, group, "chunk", "time_nanos", F.col("_a"), "max", "best")
-    sure = F.col("best").isNull() | (F.col("_a") - int_div("period", 10) > F.col("best"))
-    rows = cut_lineage(rows.select("series", "root", "time_nanos", "chunk", F.when(sure, t).alias("_cut")))
-    if labelled:
-        # under a label node, a sample of another root function in between also cuts
-        rows = running_before(rows, ["series"], "chunk", "time_nanos", F.struct("time_nanos", "root"), "max", "previous")
-        changed = (F.col("series") != "") & (F.col("previous.root") != F.col("root"))
-        rows = cut_lineage(rows.withColumn("_cut", F.when(changed, t).otherwise(F.col("_cut"))).drop("previous"))
-    cuts = running_before(rows, group, "chunk", "time_nanos", F.col("_cut"), "max", "segment", inclusive=True)
-    cuts = cuts.groupBy("series", "root", "time_nanos").agg(F.max("segment").alias("segment"))
-    return paths.withColumn("root", root).join(cuts, ["series", "root", "time_nanos"])
-
-
 ROWS = "piece string, series string, time_nanos bigint, value bigint, period bigint, keys array<bigint>, starts array<bigint>"
 SUMMARY = ("first bigint, last bigint, bounds array<bigint>, ends array<bigint>, starts array<bigint>, threshold bigint, taken bigint")
 
@@ -264,19 +232,18 @@ def split_long_pieces(rows: DataFrame, piece_rows: int = PIECE_ROWS, run_rows: i
         rows = known.where(~whole)
 
 
-def flamechart(profile: DataFrame, group_by=(), chunk_nanos: int = CHUNK_NANOS, piece_rows: int = PIECE_ROWS,
-               run_rows: int = RUN_ROWS) -> DataFrame:
+def flamechart(profile: DataFrame, group_by=(), piece_rows: int = PIECE_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """Nodes (series, depth, frame, parent, start, parent_start, cumulative, flat).
 
     ``profile`` comes from a merge grouped by timestamp and the same labels.
     """
-    labelled = any(g.startswith("labels.") for g in group_by)
+    # read for the sizes of pieces, the fold and the names
     paths = cut_lineage(timed_paths(profile, group_by))
-    cut = segments(paths.drop("names"), labelled, chunk_nanos)
-    keyed = cut_lineage(cut.select(
-        F.concat_ws("\x1f", "series", F.col("root").cast("string"), F.col("segment").cast("string")).alias("piece"),
-        "series", "time_nanos", "value", "period", "keys", F.array().cast("array<bigint>").alias("starts")))
-    pieces = split_long_pieces(keyed, piece_rows, run_rows)
+    # under a label node only the last child is eligible, whatever its function; else the newest node of the same function is
+    root = F.when(F.col("series") == "", F.get("keys", F.lit(0)).cast("string"))
+    pieces = split_long_pieces(paths.select(
+        F.concat_ws("\x1f", "series", root).alias("piece"), "series", "time_nanos", "value", "period", "keys",
+        F.array().cast("array<bigint>").alias("starts")), piece_rows, run_rows)
     ordered = pieces.repartition("piece").sortWithinPartitions("piece", "time_nanos")
     folded = ordered.mapInArrow(
         _fold, "series string, time_nanos bigint, value bigint, keys array<bigint>, starts array<bigint>")

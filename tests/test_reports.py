@@ -210,7 +210,7 @@ def test_source_report(spark):
 
 
 def chart(spark, text):
-    return fc.flamechart(aggregate.merge(folded(spark, text), group_by=("timestamp",)), chunk_nanos=25)
+    return fc.flamechart(aggregate.merge(folded(spark, text), group_by=("timestamp",)))
 
 
 def test_flamechart_keeps_gaps(spark):
@@ -265,7 +265,7 @@ def test_flamechart_against_brute_force(spark, labelled, piece_rows):
     if labelled:
         df = df.withColumn("labels", F.create_map(F.lit("k"), F.lit("v")))
     merged = aggregate.merge(df, group_by=group + ("timestamp",))
-    out = fc.flamechart(merged, group, chunk_nanos=150, piece_rows=piece_rows, run_rows=7)
+    out = fc.flamechart(merged, group, piece_rows=piece_rows, run_rows=7)
     got = Counter((r["depth"], r["frame"], r["start"], r["cumulative"]) for r in out.collect())
     assert got == brute_chart(rows, labelled)
 
