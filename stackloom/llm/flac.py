@@ -27,6 +27,8 @@ CHUNK = 1 << 20
 # Fixed values of the format: sync code, block size code of 576, code of 8 bits a sample, polynomials.
 SYNC, SIZE_576, BITS_8, POLY8, POLY16 = 0xFFF8, 2, 1, 0x07, 0x8005
 SAMPLE_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
+#: Order of the linear predictors that the query's streams may use.
+LPC_ORDER = 8
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -546,7 +548,7 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text through a FLAC stream and back; digests are made from what was decoded."""
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "encode(coalesce(text, ''), 'UTF-8') AS payload")
     sized = docs.selectExpr("doc_id", "payload", "cast(octet_length(payload) AS bigint) AS n_bytes")
-    stored = encode(sized, "payload").select("doc_id", "n_bytes", "media")
+    stored = encode(sized, "payload", lpc_order=LPC_ORDER).select("doc_id", "n_bytes", "media")
     back = decode(stored)
     flip = bytes(b ^ 0x80 for b in range(256))
 

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from stackloom.llm import flac, packing, token_files
 from stackloom.llm.common import work_folder
 from stackloom.llm.elias_fano import EliasFano
+from tests.llm.conftest import SF
 from tests.llm.helpers import documents, prose
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -233,5 +234,16 @@ def test_media_query(spark):
         assert g["payload_sha256"] == hashlib.sha256(payload).hexdigest() and g["tail_crc32"] == zlib.crc32(payload[-32:])
 
 
+def test_media_of_the_table_use_linear_predictors(spark, monkeypatch):
+    """Streams of whole texts hold linear sub-frames, among others, and decode to the texts."""
+    kinds = []
+    own = flac._subframes
+    monkeypatch.setattr(flac, "_subframes", lambda bits, pos, kind, n, width: kinds.append((kind, len(pos))) or own(bits, pos, kind, n, width))
+    payloads = [flac.pad((r["text"] or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    made = flac.encode_payloads(payloads, flac.LPC_ORDER)
+    assert all((flac_back == samples(p)).all() for flac_back, p in zip(flac.decode_streams(made), payloads))
+    assert sum(n for k, n in kinds if k >= 32) > 100
+
+
 def test_work_folder(spark):
     assert work_folder(spark, "x") != work_folder(spark, "x")
