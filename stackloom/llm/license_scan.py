@@ -196,12 +196,14 @@ def passages(docs: DataFrame, text: str = "text", templates: dict[str, list[str]
                          F.col("b.template").alias(name["template"]), F.col("b.shared").alias(name["shared"]), F.col("b.dice").alias(name["dice"]))
 
 
-def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and short whole texts alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs).select("doc_id", "line_no", "license", "template", "shared", F.round("dice", 9).alias("dice"))
 
 
-def op5_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any run of words, wherever lines end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages(docs).select("doc_id", "first_word", "last_word", "license", "template", "shared", F.round("dice", 9).alias("dice"))
 
@@ -267,5 +269,5 @@ SELECT doc_id, CAST(first_word AS INTEGER) AS first_word, CAST(last_word AS INTE
 FROM ranked WHERE j = 1"""
 
 
-QUERIES = {"op5_license_scan": op5_license_scan, "op5_license_passages": op5_license_passages}
-SQL = {"op5_license_scan": _sql(), "op5_license_passages": _passages_sql()}
+QUERIES = {"op5_license_scan": op5_license_scan, "op5_license_lines": op5_license_lines}
+SQL = {"op5_license_scan": _passages_sql(), "op5_license_lines": _sql()}

@@ -223,7 +223,7 @@ def test_licenses_match_sql(spark):
     assert set(found.columns) == {"doc_id", "license", "line_no", "license_", "template", "shared", "dice"}
     got = sorted((str(r["doc_id"]), r["line_no"], r["license_"], r["template"], r["shared"], round(r["dice"], 9)) for r in found.collect())
     con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
-    want = sorted((str(r[0]), *r[1:]) for r in con.execute(license_scan.SQL["op5_license_scan"]).fetchall())
+    want = sorted((str(r[0]), *r[1:]) for r in con.execute(license_scan.SQL["op5_license_lines"]).fetchall())
     assert got == want
     assert {("1", 1, "Apache-2.0"), ("None", 0, "MIT"), ("7", 1, "MIT"), ("8", 1, "MIT")} <= {x[:3] for x in got}
     assert license_scan.scan(df.limit(0)).collect() == [] and license_scan.scan(df, templates={}).collect() == []
@@ -276,7 +276,7 @@ def test_license_passages(spark):
     got = sorted((str(r["doc_id"]), *(r[c] for c in names[1:]), round(r["dice"], 9)) for r in got.collect())
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
-    assert got == sorted((str(r[0]), *r[1:]) for r in con.execute(license_scan.SQL["op5_license_passages"]).fetchall())
+    assert got == sorted((str(r[0]), *r[1:]) for r in con.execute(license_scan.SQL["op5_license_scan"]).fetchall())
     assert Counter((r[0], r[3], r[1], r[2]) for r in got) == Counter((str(doc), *x) for doc, t in rows for x in plain_passages(t or ""))
     for i, x in enumerate(["Apache-2.0", "MIT", "ISC", "GPL-3.0", "GPL-3.0", "BSD-3-Clause", "MIT"]):
         assert (str(i), x) in {(r[0], r[3]) for r in got}
