@@ -20,12 +20,21 @@ def heavy_keys(rows: DataFrame, keys: list[list[str]], tasks: int) -> Column:
     return hashes.selectExpr(*top, "count(1) AS n").selectExpr(f"struct({', '.join(m for m in maps)}) AS m").scalar()
 
 
+def exploded(dictionary: DataFrame) -> DataFrame:
+    """A dictionary that is not to be broadcast, as its size is only known once it is made.
+
+    Spark estimates from the files: an exploded row counts once, whatever it gives, and in the size it has compressed. So
+    tables many times the limit went to the driver and to each executor, and adaptive planning does not take that back.
+    """
+    return dictionary.hint("merge")
+
+
 def lookup(rows: DataFrame, dictionary: DataFrame, keys: list[str], spread_by: list[str], how: str = "left") -> DataFrame:
     """Equi-join where one key may own a large share of ``rows``.
 
     Heavy keys are measured, and split by a hash of ``spread_by`` into as many parts as their weight asks for; the
     dictionary repeats the rows of these keys alone. All copies together are ``COPIES`` rows per task at most, whatever
-    the size of the dictionary. Spark still broadcasts the dictionary by itself if it is small.
+    the size of the dictionary. Spark still broadcasts the dictionary by itself if it is small, unless it is :func:`exploded`.
 
     ``rows`` are read twice. Where several lookups follow each other, :func:`lookups` measures all their keys at once.
     """

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stackloom.functions.scalar import record
-from stackloom.operators.lookup import lookup, lookups
+from stackloom.operators.lookup import exploded, lookup, lookups
 
 P = "profile_id"
 
@@ -30,7 +30,7 @@ def _texts(df: DataFrame, strings: DataFrame, columns: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in columns]
     text = lambda c: strings.select(P, F.col("idx").alias(f"_{c}"), F.col("text").alias(f"{c}_text"))
     keyed = df.select(*rest, *[F.when(F.col(c) != 0, F.col(c)).alias(f"_{c}") for c in columns])
-    df = lookups(keyed, [(text(c), [P, f"_{c}"]) for c in columns], ["id"])
+    df = lookups(keyed, [(exploded(text(c)), [P, f"_{c}"]) for c in columns], ["id"])
     return df.select(*rest,
                      *[F.coalesce(f"{c}_text", F.lit("")).alias(c) for c in columns])
 
@@ -47,7 +47,7 @@ def resolve_locations(locations: DataFrame, functions: DataFrame, mappings: Data
         "line", "column", F.col("name").alias("function_name"), F.col("system_name").alias("function_system_name"),
         F.col("filename").alias("function_filename"), F.col("start_line").alias("function_start_line"))
     per_location = (
-        lines.join(fns, [P, "id"], "left")
+        lines.join(exploded(fns), [P, "id"], "left")
         .groupBy(P, "location")
         .agg(F.transform(F.sort_array(F.collect_list(record(pos=F.col("pos"), line=line))), lambda x: x["line"]).alias("lines"))
         .withColumnRenamed("location", "id")
@@ -61,7 +61,7 @@ def resolve_locations(locations: DataFrame, functions: DataFrame, mappings: Data
         F.col("build_id").alias("mapping_build_id"),
         F.coalesce("lines", F.array()).alias("lines"))
     return (
-        lookup(keyed, m, [P, "mapping_id"], ["id"]).join(per_location, [P, "id"], "left")
+        lookup(keyed, m, [P, "mapping_id"], ["id"]).join(exploded(per_location), [P, "id"], "left")
         .select(P, "id", location.alias("location"))
     )
 
@@ -77,12 +77,12 @@ def resolve_stacks(samples: DataFrame, locations: DataFrame, functions: DataFram
     lists = samples.select(P, "location_ids").distinct()
     ids = lists.select(P, "location_ids", F.posexplode("location_ids").alias("pos", "id"))
     stacks = (
-        lookup(ids, resolved, [P, "id"], ["location_ids", "pos"])
+        lookup(ids, exploded(resolved), [P, "id"], ["location_ids", "pos"])
         .groupBy(P, "location_ids")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "location"))), lambda x: x["location"]).alias("stacktrace"))
     )
     empty = F.array().cast(stacks.schema["stacktrace"].dataType)
-    return samples.join(stacks, [P, "location_ids"], "left").withColumn(
+    return samples.join(exploded(stacks), [P, "location_ids"], "left").withColumn(
         "stacktrace", F.coalesce("stacktrace", empty)).drop("location_ids")
 
 
@@ -90,10 +90,11 @@ def _issue(df: DataFrame, error: str, ref: Column) -> DataFrame:
     return df.select(P, F.lit(error).alias("error"), ref.cast("long").alias("ref"))
 
 
-def _missing(refs: DataFrame, table: DataFrame, error: str) -> DataFrame:
-    """References (profile_id, ref) other than 0 without a row in ``table(profile_id, id)``."""
-    distinct = refs.where("ref <> 0").distinct()
-    return _issue(distinct.join(table.select(P, F.col("id").alias("ref")), [P, "ref"], "left_anti"), error, F.col("ref"))
+def _missing(refs: DataFrame, table: DataFrame) -> DataFrame:
+    """References (profile_id, error, ref) other than 0 without a row in ``table(profile_id, id)``."""
+    distinct = refs.where("ref <> 0").select(P, "error", F.col("ref").cast("long").alias("ref")).distinct()
+    known = exploded(table.select(P, F.col("id").alias("ref")))
+    return distinct.join(known, [P, "ref"], "left_anti").select(P, "error", "ref")
 
 
 def validate_profiles(samples: DataFrame, locations: DataFrame, functions: DataFrame, mappings: DataFrame,
@@ -105,19 +106,19 @@ def validate_profiles(samples: DataFrame, locations: DataFrame, functions: DataF
     ``samples.values``; ``labels(profile_id, key, str)`` the label checks.
     """
     texts = strings.select(P, F.col("idx").alias("id"))
-    refs = lambda df, c: df.select(P, F.col(c).cast("long").alias("ref"))
+    refs = lambda df, c, error: _issue(df, error, F.col(c))
     lists = samples.select(P, F.explode("location_ids").alias("ref"))
-    line_refs = locations.select(P, F.explode("lines").alias("l")).select(P, F.col("l.function_id").alias("ref"))
+    line_refs = locations.select(P, F.explode("lines").alias("l"))
     found = [
         _issue(strings.where("idx = 0 AND text <> ''"), "first string is not empty", F.col("idx")),
         _issue(lists.where("ref = 0").distinct(), "location id is zero", F.col("ref")),
-        _missing(lists, locations, "sample location out of range"),
-        _missing(refs(locations, "mapping_id"), mappings, "location mapping out of range"),
-        _missing(line_refs, functions, "line function out of range"),
+        _missing(refs(lists, "ref", "sample location out of range"), locations),
+        _missing(refs(locations, "mapping_id", "location mapping out of range"), mappings),
+        _missing(refs(line_refs, "l.function_id", "line function out of range"), functions),
     ]
-    for name, table, columns in (("mapping", mappings, ["filename", "build_id"]),
-                                 ("function", functions, ["name", "system_name", "filename"])):
-        found += [_missing(refs(table, c), texts, f"{name} {c} out of range") for c in columns]
+    text_refs = [refs(table, c, f"{name} {c} out of range")
+                 for name, table, columns in (("mapping", mappings, ["filename", "build_id"]),
+                                              ("function", functions, ["name", "system_name", "filename"])) for c in columns]
     for name, table in (("mapping", mappings), ("function", functions), ("location", locations)):
         # 1..n without gaps or repeats: every id within its profile's count, no id twice
         sizes = table.groupBy(P).agg(F.count("*").alias("n"))
@@ -129,5 +130,7 @@ def validate_profiles(samples: DataFrame, locations: DataFrame, functions: DataF
         found.append(_issue(sized.where("n IS NULL OR ref <> n"), "values do not match sample types", F.col("ref")))
     if labels is not None:
         found.append(_issue(labels.where("key = 0").distinct(), "label without key", F.col("key")))
-        found += [_missing(refs(labels, c), texts, f"label {c} out of range") for c in ("key", "str")]
+        text_refs += [refs(labels, c, f"label {c} out of range") for c in ("key", "str")]
+    # the strings are by far the largest table: they are shuffled once for all references
+    found.append(_missing(reduce(DataFrame.unionByName, text_refs), texts))
     return reduce(DataFrame.unionByName, found)

@@ -453,3 +453,14 @@ def test_lookup_spreads_heavy_keys(spark):
         spark.conf.set("spark.sql.shuffle.partitions", tasks)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_exploded_dictionaries_are_not_broadcast(spark):
+    """A string table of three profiles is three times as many rows as its file; Spark's estimate counts the file."""
+    from stackloom.catalog import all_queries
+
+    part = "/root/testdata/sf0.001"
+    for name, small in (("resolve_stacks", 0), ("validate_refs", 3)):  # the three counts per profile
+        plan = all_queries()[name](spark, part)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == small
+        assert "SortMergeJoin" in plan
