@@ -1,6 +1,7 @@
 """Reports on small profiles with known results."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -310,3 +311,18 @@ def test_gapless_root_in_many_tasks(spark):
         "run", F.spark_partition_id()).mapInArrow(fc._summaries, f"piece string, run int, {fc.SUMMARY}")
     sizes = [r["n"] for r in paths.repartitionByRange(40, "piece", "time_nanos").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert runs.count() >= 30 and max(sizes) < 4 * n / 40
+
+
+def test_code_of_line_samples_is_short_enough_to_be_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes, and runs longer ones step by step."""
+    from stackloom.sources.tables import line_samples
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stacks = line_samples(spark, "/root/testdata/sf0.001").agg(F.max(F.size("stacktrace")))
+        explain = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", explain(stacks._jdf.queryExecution(), "codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert 0 < max(map(int, sizes)) < 8000
