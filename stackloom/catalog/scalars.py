@@ -21,13 +21,13 @@ def _per_bucket(s, d):
         F.min("time_nanos").alias("first"), F.max("time_nanos").alias("last"))
 
 
-def _frame_rows(s, d):
-    return line_samples(s, d).select("value", F.inline(frames("stacktrace")))
+def _frame_rows(s, d, *fields):
+    return line_samples(s, d).select("value", F.inline(frames("stacktrace", fields)))
 
 
 def _row_names(s, d):
-    rows = _frame_rows(s, d)
-    several = rows.agg(F.min("mapping_file") != F.max("mapping_file")).scalar()
+    rows = _frame_rows(s, d, "name", "address", "mapping_file")
+    several = _frame_rows(s, d, "mapping_file").agg(F.min("mapping_file") != F.max("mapping_file")).scalar()
     name = scalar.row_name("name", "address", "mapping_file", several)
     return rows.groupBy(name.alias("row")).agg(F.sum("value").alias("total"))
 
@@ -85,9 +85,9 @@ QUERIES = {
     "per_second": lambda s, d: _per_bucket(s, d).select(
         "bucket", scalar.per_second("total", scalar.effective_duration("first", "last", "shortest", STEP), F.lit(True)).alias("cpu"),
         scalar.per_second("total", scalar.effective_duration("first", "last", "shortest", STEP), F.lit(False)).alias("other")),
-    "basename": lambda s, d: _frame_rows(s, d).groupBy(
+    "basename": lambda s, d: _frame_rows(s, d, "mapping_file", "filename").groupBy(
         scalar.basename("mapping_file").alias("base"), scalar.basename("filename").alias("file")).agg(F.sum("value").alias("total")),
-    "filename_match": lambda s, d: _frame_rows(s, d).where(scalar.filename_matches("filename", "nation.go")
+    "filename_match": lambda s, d: _frame_rows(s, d, "filename").where(scalar.filename_matches("filename", "nation.go")
                                                            | scalar.filename_matches("filename", "src/economy.go")
                                                            | scalar.filename_matches("filename", "egion.go")).groupBy(
         "filename").agg(F.sum("value").alias("total")),
