@@ -1,7 +1,8 @@
 """Profiles in their exchange formats, made from the driver tables, read, checked, and written again."""
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from stackloom.catalog.base import EVENT, LINE_FRAMES
 from stackloom.functions import keys
@@ -30,14 +31,14 @@ def _stack_text(files=True):
 
 
 def _deliveries(s, d):
-    """supplier, parts (distinct, by key), lines."""
-    joined = spread(table(s, d, "lineitem")).join(table(s, d, "part"), F.expr("l_partkey = p_partkey"))
+    """supplier, parts (distinct, by key), lines; a line names its part by its place among them."""
+    joined = spread(table(s, d, "lineitem")).join(table(s, d, "part"), F.expr("l_partkey = p_partkey")).withColumn(
+        "place", F.dense_rank().over(Window.partitionBy("l_suppkey").orderBy("l_partkey")).cast("long"))
     part = record(key=F.col("p_partkey"), name=F.col("p_name"), file=F.concat("p_type", F.lit(".go")), size=F.col("p_size").cast("long"))
-    line = record(key=F.col("l_partkey"), quantity=F.col("l_quantity").cast("long"), number=F.col("l_linenumber").cast("long"),
+    line = record(place=F.col("place"), quantity=F.col("l_quantity").cast("long"), number=F.col("l_linenumber").cast("long"),
                   flag=F.col("l_returnflag"))
     return joined.groupBy(F.col("l_suppkey").alias("supplier")).agg(
-        F.array_sort(F.collect_set(part)).alias("parts"), F.array_sort(F.collect_set("l_partkey")).alias("part_keys"),
-        F.collect_list(line).alias("lines")).withColumn("n", F.size("parts").cast("long"))
+        F.array_sort(F.collect_set(part)).alias("parts"), F.collect_list(line).alias("lines")).withColumn("n", F.size("parts").cast("long"))
 
 
 FIXED = ["", "cpu", "nanoseconds", "samples", "count", "flag", "zo-ne", "/bin/app", "b1", "A", "N", "R"]
@@ -50,11 +51,10 @@ def _pprof_files(s, d, broken=0):
     values = "array(l.quantity, (l.number - 1) * 100)"
     if broken:
         values = f"if(supplier % {broken} = 0, array(l.quantity), {values})"
-    at = "cast(array_position(part_keys, l.key) AS bigint)"
     profile = _deliveries(s, d).selectExpr(
         "concat('supplier-', supplier) AS path", "supplier",
         "array(named_struct('type', 3L, 'unit', 4L), named_struct('type', 1L, 'unit', 2L)) AS sample_types",
-        f"""transform(lines, l -> named_struct('location_ids', array({at}, 1L), 'values', {values}, 'labels', array(
+        f"""transform(lines, l -> named_struct('location_ids', array(l.place, 1L), 'values', {values}, 'labels', array(
           named_struct('key', 5L, 'str', CASE l.flag WHEN 'A' THEN 9L WHEN 'N' THEN 10L ELSE 11L END),
           named_struct('key', 6L, 'str', 9L)))) AS samples""",
         "array(named_struct('id', 1L, 'memory_start', 4096L, 'memory_limit', 1073741824L, 'file_offset', 0L, 'filename', 7L, 'build_id', 8L)) AS mappings",
@@ -69,9 +69,13 @@ def _pprof_files(s, d, broken=0):
 
     def encode(batches):
         for batch in batches:
-            for i in range(batch.num_rows):  # a profile at a time
-                row = batch.slice(i, 1).to_pylist()[0]
-                yield pa.RecordBatch.from_pydict({"path": pa.array([row["path"]]), "content": pa.array([wire.encode(row, "profile")], pa.binary())})
+            some = max(1, batch.num_rows * pprof.RUN_BYTES // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, some):
+                rows = batch.slice(start, some)
+                content, size = wire.encode_column(rows.to_struct_array(), "profile")
+                ends = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([rows.column("path"), pa.Array.from_buffers(pa.binary(), len(size), [None, ends, pa.py_buffer(content)])],
+                                                 names=["path", "content"])
 
     encoded = profile.mapInArrow(encode, "path string, content binary")
     return encoded.withColumn("labels", F.create_map(F.lit("__name__"), F.lit("parts"), F.lit("path"), F.col("path"), F.lit("flag"), F.lit("own")))
@@ -84,12 +88,11 @@ def _ingested(samples):
 
 def _requests(s, d, broken=0):
     """Export requests: a supplier's dictionary and one profile, under a scope that a third of them leaves nameless."""
-    at = "cast(array_position(part_keys, l.key) AS bigint)"
     build = otlp.BUILD_ID_ATTRIBUTE
     no_list = "cast(array() AS array<bigint>)"
     times = f"if(l.number % 2 = 0, array({T0}L + l.number, {T0}L + 100), {no_list})"
     values = f"if(l.number % 2 = 0, {no_list}, array(l.quantity, 0L, l.number))"
-    stack = f"if(supplier % {broken} = 0, 1000000L, {at})" if broken else at
+    stack = f"if(supplier % {broken} = 0, 1000000L, l.place)" if broken else "l.place"
     rows = _deliveries(s, d).selectExpr(
         "concat('supplier-', supplier) AS request_id",
         f"""named_struct('string_table', concat(array('', 'cpu', 'ns', '/bin/app', '{build}', 'flag', 'main'), transform(parts, x -> x.name),
@@ -119,7 +122,8 @@ def _requests(s, d, broken=0):
                 'link_index', 0L, 'attribute_indices', array(CASE l.flag WHEN 'A' THEN 2L WHEN 'N' THEN 3L ELSE 4L END))))))))) AS resource_profiles""")
     # requests come as files; without, each check would make them anew
     path = f"{shared_folder(s, 'requests')}/otlp"
-    rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in otlp.request_schema().fields]).write.parquet(path)
+    # a reader holds up to 4,096 rows of a row group at once, whatever their size, so groups are small
+    rows.select(*otlp.request_schema().names).write.option("parquet.block.size", 8 << 20).parquet(path)
     return s.read.schema(otlp.request_schema()).parquet(path)
 
 

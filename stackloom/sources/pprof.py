@@ -20,33 +20,64 @@ from stackloom.schema import LABELS, SAMPLES
 from stackloom.session import cut_lineage
 
 GZIP_MAGIC = b"\x1f\x8b"
+#: Bytes of files that are decoded together.
+RUN_BYTES = 4 << 20
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def _unzipped(contents: pa.Array):
+    """(first row, bytes, errors) of runs of files; a run holds about ``RUN_BYTES``, or one larger file."""
+    start, plain, errors, size = 0, [], [], 0
+    for i in range(len(contents)):
+        content, error = contents[i].as_py(), None
+        try:
+            if content[:2] == GZIP_MAGIC:
+                content = gzip.decompress(content)
+        except Exception as e:  # a broken file is reported, not fatal
+            content, error = b"", f"{type(e).__name__}: {e}"
+        plain.append(content)
+        errors.append(error)
+        size += len(content)
+        if size >= RUN_BYTES:
+            yield start, plain, errors
+            start, plain, errors, size = i + 1, [], [], 0
+    if plain:
+        yield start, plain, errors
+
+
+def _profiles(contents: list[bytes]) -> tuple[pa.StructArray, list[str | None]]:
+    """The profiles of files, null with an error for those that are none; together, or where one is odd, file by file."""
+    kind = wire.arrow_type("profile")
+    try:
+        return wire.decode_column(contents, "profile"), [None] * len(contents)
+    except wire.Odd:
+        if len(contents) > 1:
+            each = [_profiles([c]) for c in contents]
+            return pa.concat_arrays([p for p, _ in each]), [e for _, es in each for e in es]
+    try:
+        return pa.array([wire.decode(memoryview(contents[0]), "profile")], kind), [None]
+    except Exception as e:
+        return pa.nulls(1, kind), [f"{type(e).__name__}: {e}"]
+
+
 def decode_files(files: DataFrame) -> DataFrame:
     """Add the struct column ``p`` (null with ``decode_error`` if the bytes are no profile)."""
-    schema = pa.schema([("p", wire.arrow_type("profile")), ("decode_error", pa.string())])
 
     def step(batches):
         for batch in batches:
             at = batch.schema.get_field_index("content")
-            for i in range(batch.num_rows):
-                content = batch.column(at)[i].as_py()
-                p = error = None
-                try:
-                    if content[:2] == GZIP_MAGIC:
-                        content = gzip.decompress(content)
-                    p = wire.decode(memoryview(content), "profile")
-                except Exception as e:  # a broken file is reported, not fatal
-                    error = f"{type(e).__name__}: {e}"
-                row = pa.Table.from_pylist([{"p": p, "decode_error": error}], schema=schema)
-                one = pa.Table.from_batches([batch.slice(i, 1)])
-                for c in row.column_names:
-                    one = one.append_column(c, row[c])
-                yield from one.drop(["content"]).to_batches()
+            for start, plain, errors in _unzipped(batch.column(at)):
+                made = [_profiles(plain)] if not any(errors) else []
+                for content, error in zip(plain, errors) if not made else []:
+                    made.append(_profiles([content]) if error is None else (pa.nulls(1, wire.arrow_type("profile")), [error]))
+                rows = batch.slice(start, len(plain))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c for i, c in enumerate(rows.columns) if i != at), pa.concat_arrays([p for p, _ in made]),
+                     pa.array([e for _, es in made for e in es], pa.string())],
+                    names=[*(c for c in rows.schema.names if c != "content"), "p", "decode_error"])
 
     kept = [f for f in files.schema.fields if f.name != "content"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

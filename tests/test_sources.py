@@ -3,6 +3,7 @@
 import gzip
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,3 +465,32 @@ def test_exploded_dictionaries_are_not_broadcast(spark):
         plan = all_queries()[name](spark, part)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("BroadcastHashJoin") == small
         assert "SortMergeJoin" in plan
+
+
+def test_messages_together_are_those_one_by_one():
+    wide = dict(PROFILE, period=2**63 - 1, duration_nanos=-1, strings=["", "é漢" * 300], comments=[0, 128, -2**63], period_type=None)
+    rows = [PROFILE, {}, wide, PROFILE]
+    column = pa.array([wire.decode(memoryview(wire.encode(r, "profile")), "profile") for r in rows], wire.arrow_type("profile"))
+    each = [wire.encode(r, "profile") for r in rows]
+    data, size = wire.encode_column(column, "profile")
+    assert data.tobytes() == b"".join(each) and size.tolist() == [len(x) for x in each]
+    assert wire.encode_column(column.slice(2), "profile")[0].tobytes() == b"".join(each[2:])
+    assert wire.decode_column(each, "profile").equals(column)
+    # numbers that repeat come packed, one by one, or both
+    sample = b"\x08\x07\x0a\x02\x08\x09\x10\x03\x08\x81\x01"
+    mixed = b"\x12" + bytes([len(sample)]) + sample + b"\x70\x05"
+    assert wire.decode_column([mixed], "profile").to_pylist() == [wire.decode(memoryview(mixed), "profile")]
+    assert wire.decode_column([mixed], "profile")[0].as_py()["samples"][0]["location_ids"] == [7, 8, 9, 129]
+
+
+def test_broken_files_among_good_ones():
+    """Each file has the profile or the error that it has alone."""
+    good = wire.encode(PROFILE, "profile")
+    for bad in (good[:-1], good + b"\x0a", b"\x0a\xff", b"\x0b", good + b"\x32\x02\xff\xfe", good + b"\x49" + bytes(8), b"\x12\x02\x0a\x05"):
+        try:
+            want, error = wire.decode(memoryview(bad), "profile"), None
+        except Exception as e:
+            want, error = None, f"{type(e).__name__}: {e}"
+        made, errors = pprof._profiles([good, bad, b"", good])
+        alone = wire.decode(memoryview(good), "profile")
+        assert made.to_pylist() == [alone, want, wire.decode(memoryview(b""), "profile"), alone] and errors == [None, error, None, None]
