@@ -1,5 +1,7 @@
 """Label rules at ingest."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stackloom.functions.scalar import record
@@ -7,6 +9,30 @@ from stackloom.schema import LABELS
 
 VALID_NAME = "^[a-zA-Z_][a-zA-Z0-9_]*$"
 EXPORTED = "exported_"
+#: Different label lists of a profile up to which they are looked up.
+MOST_SETS = 64
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def label_sets(lists: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of each different list among ``lists``, for :func:`label_set`; of none if there are more than ``MOST_SETS``.
+
+    Samples of a profile share a few lists of labels, and rules for labels cost more than the rest of a sample.
+    """
+    few = lambda hashes: let(F.array_distinct(hashes), lambda x: F.when(F.size(x) <= MOST_SETS, x).otherwise(F.array().cast("array<bigint>")))
+    made = lambda x: record(list=x, made=make(x))
+    return let(lists, lambda all_: let(F.transform(all_, lambda x: F.xxhash64(x)), lambda hashes: let(few(hashes), lambda keys: record(
+        keys=keys, sets=F.transform(keys, lambda h: let(F.get(all_, (F.array_position(hashes, h) - 1).cast("int")), made))))))
+
+
+def label_set(sets: Column, list_: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(list_)``, taken from :func:`label_sets` if it holds that very list."""
+    found = F.get(sets["sets"], (F.array_position(sets["keys"], F.xxhash64(list_)) - 1).cast("int"))
+    return let(found, lambda x: F.when(F.coalesce(x["list"] == list_, F.lit(False)), x["made"]).otherwise(make(list_)))
 
 
 def sanitized(name: Column) -> Column:

@@ -15,8 +15,8 @@ from stackloom.functions.scalar import int_div, record
 from stackloom.operators.lookup import lookup, lookups
 from stackloom.operators.running import dense_ids, running_sum
 from stackloom.sources import wire
-from stackloom.sources.labels import merge_sample_labels
-from stackloom.schema import LABELS, SAMPLES
+from stackloom.sources.labels import label_set, label_sets, merge_sample_labels
+from stackloom.schema import SAMPLES
 from stackloom.session import cut_lineage
 
 GZIP_MAGIC = b"\x1f\x8b"
@@ -169,28 +169,34 @@ def rejected_files(decoded: DataFrame) -> DataFrame:
 def samples_of_files(decoded: DataFrame, include_sample_labels: bool = True) -> DataFrame:
     """Samples of the decoded files that break no rule.
 
-    A file carries its own dictionary, so its samples are finished inside its row, and leave it finished: rows multiply
-    once, and neither the dictionary nor the strings are copied to them.
+    A file carries its own dictionary, so its samples are finished inside its row: neither the dictionary nor the strings are
+    copied to them. A sample leaves the row once, with its stack and labels, and is then repeated for its values.
     """
     named = decoded.where("p IS NOT NULL").where(_has_name()).where(F.size(profile_errors()) == 0)
     per_file = named.select(
         F.element_at("labels", "__name__").alias("name"), F.map_filter("labels", lambda k, _: k != "__name__").alias("series"),
         _text(F.col("p.strings"), F.col("p.period_type.type")).alias("period_type"),
         _text(F.col("p.strings"), F.col("p.period_type.unit")).alias("period_unit"), "p.period", F.col("p.duration_nanos").alias("duration"),
-        int_div("p.time_nanos", 1_000_000).alias("timestamp"), "p.time_nanos", "p", _resolved_locations("p").alias("dictionary"))
-    strings, kinds, dictionary, series = F.col("p.strings"), F.col("p.sample_types"), F.col("dictionary"), F.col("series")
-
-    def labels(s: Column) -> Column:
-        pairs = F.transform(s["labels"], lambda x: record(name=_text(strings, x["key"]), value=_text(strings, x["str"])))
-        return merge_sample_labels(series, pairs).cast(LABELS) if include_sample_labels else series.cast(LABELS)
-
+        int_div("p.time_nanos", 1_000_000).alias("timestamp"), "p.time_nanos", "p", _resolved_locations("p").alias("dictionary"),
+        F.transform("p.sample_types", lambda x: record(sample_type=_text(F.col("p.strings"), x["type"]),
+                                                       sample_unit=_text(F.col("p.strings"), x["unit"]))).alias("kinds"))
+    strings, kinds, dictionary, series = F.col("p.strings"), F.col("kinds"), F.col("dictionary"), F.col("series")
+
+    def labels(own: Column) -> Column:
+        pairs = F.transform(own, lambda x: record(name=_text(strings, x["key"]), value=_text(strings, x["str"])))
+        return merge_sample_labels(series, pairs)
+
+    if include_sample_labels:
+        per_file = per_file.withColumn("sets", label_sets(F.transform("p.samples", lambda s: s["labels"]), labels))
+    label = lambda s: label_set(F.col("sets"), s["labels"], labels) if include_sample_labels else series
+    kind = lambda i, c: F.get(kinds, i)[c]
     whole = F.transform("p.samples", lambda s: record(
-        typed=F.filter(F.transform(s["values"], lambda v, i: record(value=v, kind=F.get(kinds, i))), lambda x: x["value"] != 0),
-        labels=labels(s), stacktrace=F.transform(s["location_ids"], lambda i: F.get(dictionary, i - 1))))
-    finished = F.flatten(F.transform(whole, lambda s: F.transform(s["typed"], lambda x: record(
-        sample_type=_text(strings, x["kind"]["type"]), sample_unit=_text(strings, x["kind"]["unit"]), value=x["value"],
-        labels=s["labels"], stacktrace=s["stacktrace"]))))
-    return per_file.select("name", "period_type", "period_unit", "period", "duration", "timestamp", "time_nanos", F.inline(finished)).to(SAMPLES)
+        typed=F.filter(F.transform(s["values"], lambda v, i: record(value=v, sample_type=kind(i, "sample_type"), sample_unit=kind(i, "sample_unit"))),
+                       lambda x: x["value"] != 0),
+        labels=label(s), stacktrace=F.transform(s["location_ids"], lambda i: F.get(dictionary, i - 1))))
+    own = ("name", "period_type", "period_unit", "period", "duration", "timestamp", "time_nanos")
+    # in the order of the schema; to() would make each stack anew
+    return per_file.select(*own, F.inline(whole)).select(*own, "labels", "stacktrace", F.inline("typed")).select(*SAMPLES.names)
 
 
 def ingest_pprof(files: DataFrame, include_sample_labels: bool = True) -> DataFrame:

@@ -494,3 +494,18 @@ def test_broken_files_among_good_ones():
         made, errors = pprof._profiles([good, bad, b"", good])
         alone = wire.decode(memoryview(good), "profile")
         assert made.to_pylist() == [alone, want, wire.decode(memoryview(b""), "profile"), alone] and errors == [None, error, None, None]
+
+
+def test_stacks_of_files_are_not_made_again_for_each_row(spark, tmp_path):
+    plan = pprof.ingest_pprof(files(spark, write_profile(str(tmp_path))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan[: plan.index("Generate")]
+
+
+@pytest.mark.parametrize("most", [0, 3, 64])
+def test_few_and_many_label_lists(spark, tmp_path, monkeypatch, most):
+    """Labels are the same whether lists are looked up or not."""
+    monkeypatch.setattr(labels, "MOST_SETS", most)
+    many = [dict(location_ids=[2], values=[1, 0], labels=[dict(key=10, str=i % 10)] if i % 11 else []) for i in range(40)]
+    df = pprof.ingest_pprof(files(spark, write_profile(str(tmp_path), dict(PROFILE, samples=many))))
+    got = sorted(sorted(r["labels"].items()) for r in df.select("labels").collect())
+    assert got == sorted(sorted({"pod": "a", **({"thread": STRINGS[i % 10]} if i % 11 and i % 10 else {})}.items()) for i in range(40))
