@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from stackloom.functions.scalar import int_div, record
-from stackloom.schema import LABELS, SAMPLES
-from stackloom.sources.labels import last_wins, sanitized
+from stackloom.schema import SAMPLES
+from stackloom.sources.labels import last_wins, let, sanitized
 
 ATTRIBUTES = "array<struct<key:string,value:string>>"
 SCHEMA = f"""
@@ -50,13 +50,13 @@ def _at(table: Column, idx: Column) -> Column:
     return F.get(table, idx.cast("int"))
 
 
-def resolve_otlp_stacks(dictionary: str = "dictionary", function_base: int = 0) -> Column:
-    """Table of resolved stacks of a request, by stack index.
+def resolve_otlp_locations(dictionary: str = "dictionary", function_base: int = 0) -> Column:
+    """The location table of a request with mappings, functions and strings filled in.
 
     Indexes count from 0 and entry 0 means none. ``function_base=1`` reads
     function indexes as counting from 1.
     """
-    d = {t: F.col(f"{dictionary}.{t}_table") for t in ("string", "attribute", "mapping", "function", "location", "stack")}
+    d = {t: F.col(f"{dictionary}.{t}_table") for t in ("string", "attribute", "mapping", "function", "location")}
 
     def line(x):
         f = _at(d["function"], x["function_index"] - function_base)
@@ -82,23 +82,31 @@ def resolve_otlp_stacks(dictionary: str = "dictionary", function_base: int = 0)
             mapping_file=F.when(has, _text(d["string"], m["filename_strindex"])),
             mapping_build_id=F.when(has, build_id(m)), lines=F.transform(x["lines"], line))
 
-    return F.transform(d["stack"], lambda s: F.transform(
-        s["location_indices"], lambda i: location(_at(d["location"], i))))
+    return F.transform(d["location"], location)
+
+
+def _entries(attributes: Column) -> Column:
+    """Attributes as label entries, in place; blank ones have no value."""
+    return F.transform(attributes, lambda a: record(
+        key=sanitized(a["key"]), value=F.nullif(F.trim(F.coalesce(a["value"], F.lit(""))), F.lit(""))))
+
+
+def _named(entries: Column) -> Column:
+    """Label entries as a map: blank ones skipped, the last of equal names wins."""
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    there = F.filter(F.coalesce(entries, empty), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(F.aggregate(there, empty, lambda acc, x: F.array_append(F.filter(acc, lambda y: y["key"] != x["key"]), x)))
 
 
 def _labels(attributes: Column) -> Column:
     """Attributes as labels: blank values skipped, values trimmed, the last of equal names wins."""
-    entries = F.transform(F.filter(attributes, lambda a: F.trim(F.coalesce(a["value"], F.lit(""))) != ""),
-                          lambda a: record(key=sanitized(a["key"]), value=F.trim(a["value"])))
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    return F.map_from_entries(F.aggregate(F.coalesce(entries, empty), empty, lambda acc, x: F.array_append(
-        F.filter(acc, lambda y: y["key"] != x["key"]), x)))
+    return _named(_entries(attributes))
 
 
-def _from_table(indices: Column) -> Column:
-    attribute = lambda i: _at(F.col("dictionary.attribute_table"), i)
-    return _labels(F.transform(F.coalesce(indices, F.array()), lambda i: record(
-        key=_text(F.col("dictionary.string_table"), attribute(i)["key_strindex"]), value=attribute(i)["value"])))
+def _table_entries() -> Column:
+    """The attribute table of a request as label entries."""
+    return _entries(F.transform("dictionary.attribute_table", lambda a: record(
+        key=_text(F.col("dictionary.string_table"), a["key_strindex"]), value=a["value"])))
 
 
 def explode_timestamps(timestamps: Column, values: Column, time_nanos: Column) -> Column:
@@ -116,30 +124,32 @@ def ingest_otlp(requests: DataFrame, function_base: int = 0) -> DataFrame:
     The producer is the sanitised scope name, or ``unknown``. Labels come from
     sample, profile, scope and resource; the outer one wins.
 
-    Samples are finished inside the row of their request, level by level, and leave it finished: rows multiply once, and
-    nothing of the request's tables is copied to them.
+    The tables of a request are resolved once, in its row, and its samples are finished there: none of the tables is copied
+    to them. A sample leaves the row once, with its stack and labels, and is then repeated for its times or values.
     """
     valid = requests.where(F.size(request_errors()) == 0)
-    request = valid.select("dictionary", "resource_profiles", resolve_otlp_stacks("dictionary", function_base).alias("stacks"))
-    strings, stacks = F.col("dictionary.string_table"), F.col("stacks")
+    request = valid.select("dictionary", "resource_profiles", resolve_otlp_locations("dictionary", function_base).alias("locations"),
+                           _table_entries().alias("attributes"))
+    strings, stacks, locations = F.col("dictionary.string_table"), F.col("dictionary.stack_table"), F.col("locations")
+    from_table = lambda indices: _named(F.transform(indices, lambda i: _at(F.col("attributes"), i)))
     unnamed = lambda name: F.when(name == "", "unknown").otherwise(name)
     resources = F.transform("resource_profiles", lambda r: record(labels=_labels(r["attributes"]), scopes=r["scope_profiles"]))
     scopes = F.flatten(F.transform(resources, lambda r: F.transform(r["scopes"], lambda s: record(
         name=unnamed(sanitized(F.coalesce(s["scope_name"], F.lit("")))), labels=last_wins(_labels(s["attributes"]), r["labels"]),
         profiles=s["profiles"]))))
     profiles = F.flatten(F.transform(scopes, lambda s: F.transform(s["profiles"], lambda p: record(
-        name=s["name"], labels=last_wins(_from_table(p["attribute_indices"]), s["labels"]), time_nanos=p["time_nanos"],
+        name=s["name"], labels=last_wins(from_table(p["attribute_indices"]), s["labels"]), time_nanos=p["time_nanos"],
         kind=record(sample_type=_text(strings, p["sample_type"]["type_strindex"]), sample_unit=_text(strings, p["sample_type"]["unit_strindex"]),
                     period_type=_text(strings, p["period_type"]["type_strindex"]), period_unit=_text(strings, p["period_type"]["unit_strindex"]),
                     period=p["period"], duration=p["duration_nanos"]),
         samples=p["samples"]))))
     samples = F.flatten(F.transform(profiles, lambda p: F.transform(p["samples"], lambda x: record(
-        name=p["name"], kind=p["kind"], labels=last_wins(_from_table(x["attribute_indices"]), p["labels"]).cast(LABELS),
-        stacktrace=_at(stacks, x["stack_index"]), taken=explode_timestamps(x["timestamps"], x["values"], p["time_nanos"])))))
-    finished = F.flatten(F.transform(samples, lambda x: F.transform(x["taken"], lambda at: record(
-        name=x["name"], kind=x["kind"], time_nanos=at["time_nanos"], value=at["value"], labels=x["labels"], stacktrace=x["stacktrace"]))))
-    rows = request.select(F.inline(finished))
-    return rows.select("*", "kind.*", int_div("time_nanos", 1_000_000).alias("timestamp")).drop("kind").to(SAMPLES)
+        name=p["name"], kind=p["kind"], labels=last_wins(from_table(x["attribute_indices"]), p["labels"]),
+        stacktrace=F.transform(_at(stacks, x["stack_index"])["location_indices"], lambda i: _at(locations, i)),
+        taken=explode_timestamps(x["timestamps"], x["values"], p["time_nanos"])))))
+    rows = request.select(F.inline(samples)).select("name", "kind.*", "labels", "stacktrace", F.inline("taken"))
+    # in the order of the schema; to() would make each stack anew
+    return rows.withColumn("timestamp", int_div("time_nanos", 1_000_000)).select(*SAMPLES.names)
 
 
 def request_errors() -> Column:
@@ -189,18 +199,27 @@ def request_errors() -> Column:
         (rest("stack", lambda s: F.exists(s["location_indices"], lambda i: out(i, "location"))),
          "stack location index out of bounds"),
     ]
-    profiles = F.flatten(F.flatten(F.transform("resource_profiles", lambda r: F.transform(
-        r["scope_profiles"], lambda s: s["profiles"]))))
     resources = lambda test: F.exists("resource_profiles", lambda r: F.coalesce(test(
         F.coalesce(r["attributes"], F.array().cast(ATTRIBUTES))), F.lit(False)))
-    any_profile = lambda test: F.coalesce(F.exists(profiles, lambda p: F.coalesce(test(p), F.lit(False))), F.lit(False))
-    any_sample = lambda test: any_profile(lambda p: F.exists(p["samples"], lambda x: F.coalesce(test(p, x), F.lit(False))))
-    n = lambda a: F.coalesce(F.size(a), F.lit(0))
     checks += [
         (resources(lambda a: F.exists(a, lambda x: x["key"] == "")), "resource attribute key is empty"),
         (resources(lambda a: F.exists(a, lambda x: x["value"].isNull())), "resource attribute value is null"),
         (resources(lambda a: F.size(F.array_distinct(F.transform(a, lambda x: x["key"]))) != F.size(a)),
          "resource attribute key is repeated"),
+    ]
+    found = lambda tests: F.array_compact(F.array(*[F.when(test, F.lit(message)) for test, message in tests]))
+    profiles = F.flatten(F.flatten(F.transform("resource_profiles", lambda r: F.transform(
+        r["scope_profiles"], lambda s: s["profiles"]))))
+    # made once for all checks of them
+    return F.concat(found(checks), let(profiles, lambda p: found(_profile_checks(p, out, attrs))))
+
+
+def _profile_checks(profiles: Column, out, attrs) -> list[tuple[Column, str]]:
+    """Violations among the profiles of a request, with their messages."""
+    any_profile = lambda test: F.coalesce(F.exists(profiles, lambda p: F.coalesce(test(p), F.lit(False))), F.lit(False))
+    any_sample = lambda test: any_profile(lambda p: F.exists(p["samples"], lambda x: F.coalesce(test(p, x), F.lit(False))))
+    n = lambda a: F.coalesce(F.size(a), F.lit(0))
+    return [
         (any_profile(lambda p: out(p["sample_type"]["type_strindex"], "string")
                      | out(p["sample_type"]["unit_strindex"], "string")), "sample type out of bounds"),
         (any_profile(lambda p: n(p["samples"]) == 0), "samples are empty"),
@@ -219,7 +238,6 @@ def request_errors() -> Column:
         (any_sample(lambda p, x: F.exists(x["timestamps"], lambda t: (t < p["time_nanos"])
                                           | (t > p["time_nanos"] + p["duration_nanos"]))), "sample timestamp out of bounds"),
     ]
-    return F.array_compact(F.array(*[F.when(test, F.lit(message)) for test, message in checks]))
 
 
 def validate_otlp(requests: DataFrame) -> DataFrame:

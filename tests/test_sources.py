@@ -509,3 +509,16 @@ def test_few_and_many_label_lists(spark, tmp_path, monkeypatch, most):
     df = pprof.ingest_pprof(files(spark, write_profile(str(tmp_path), dict(PROFILE, samples=many))))
     got = sorted(sorted(r["labels"].items()) for r in df.select("labels").collect())
     assert got == sorted(sorted({"pod": "a", **({"thread": STRINGS[i % 10]} if i % 11 and i % 10 else {})}.items()) for i in range(40))
+
+
+def test_otlp_stacks_are_not_made_again_for_each_row(spark):
+    """Samples leave the row of their request finished: nothing above it goes through their stacks or labels."""
+    plan = otlp.ingest_otlp(request(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan[: plan.index("Generate")]
+
+
+def test_otlp_tables_are_resolved_once(spark):
+    """Attributes are cleaned, and locations put together, in the tables of a request and not per sample."""
+    plan = otlp.ingest_otlp(request(spark))._jdf.queryExecution().optimizedPlan().toString()
+    inner = [x for x in plan.splitlines() if "Generate inline" in x][-1]
+    assert "function_filename" not in inner.split("named_struct(name")[-1] and inner.count("regexp_replace") < 6
