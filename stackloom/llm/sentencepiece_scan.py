@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import SLICE_BYTES, free_name, table, text_slices
+from stackloom.llm.common import SLICE_BYTES, _give_back, free_name, table, text_slices
 from stackloom.llm.int_map import IntMap
 from stackloom.llm.words import raw_text
 
@@ -445,6 +445,20 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _released(step):
+    """A step that leaves no vocabulary behind: a worker takes up any step next, so in the end each of them would hold one."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            vocabulary.cache_clear()
+            _give_back()
+
+    return run
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""
     return (a[:, :, None] + b[None]).max(1)
@@ -492,21 +506,22 @@ def _encode_small(df: DataFrame, text: str, ids: str, model: str) -> DataFrame:
     names = list(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
-        for b in text_slices(batches, text, SLICE_BYTES // 2):
+        # what is made of a text takes many times its bytes
+        for b in text_slices(batches, text, SLICE_BYTES // 8):
+            v = vocabulary(model)
             flat, starts = v.encode(b.column(at))
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*names, ids])
 
-    return df.mapInArrow(run, f"{_fields(df)}, `{ids}` array<int>")
+    return df.mapInArrow(_released(run), f"{_fields(df)}, `{ids}` array<int>")
 
 
 def _encode_giant(texts: DataFrame, model: str, chunk_chars: int) -> DataFrame:
     """(key, ids) of distinct giant texts (key, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
         for b in batches:
+            v = vocabulary(model)
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
                 whole = SPACE + text.replace(" ", SPACE)
                 for i, (a, z, open_left, open_right) in enumerate(cut_text(whole, chunk_chars, v.longest)):
@@ -516,8 +531,8 @@ def _encode_giant(texts: DataFrame, model: str, chunk_chars: int) -> DataFrame:
                         "after": [whole[z : z + v.longest] if open_right else ""]})
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
         for b in batches:
+            v = vocabulary(model)
             made = []
             for left, body, right, x, y in zip(*(b.column(c).to_pylist() for c in ("before", "body", "after", "open_left", "open_right"))):
                 m = v.transfer(left, body, right, x, y) if x or y else np.zeros((1, 1))
@@ -531,8 +546,8 @@ def _encode_giant(texts: DataFrame, model: str, chunk_chars: int) -> DataFrame:
                          "right": pa.array([y for _, y in states], pa.int32())})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
         for b in batches:
+            v = vocabulary(model)
             made = []
             for before, body, after, x, y, left, right in zip(*(b.column(c).to_pylist() for c in (
                     "before", "body", "after", "open_left", "open_right", "left", "right"))):
@@ -548,10 +563,10 @@ def _encode_giant(texts: DataFrame, model: str, chunk_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("chunk"), pa.array(made, pa.list_(pa.int32()))], names=["key", "chunk", "ids"])
 
     chunk_schema = "key binary, chunk int, open_left boolean, open_right boolean, before string, body string, after string"
-    chunks = texts.mapInArrow(cut, chunk_schema).repartition("key", "chunk")
-    weights = chunks.mapInArrow(matrices, "key binary, chunk int, matrix binary")
+    chunks = texts.mapInArrow(_released(cut), chunk_schema).repartition("key", "chunk")
+    weights = chunks.mapInArrow(_released(matrices), "key binary, chunk int, matrix binary")
     states = weights.groupBy("key").applyInArrow(scan, "key binary, chunk int, left int, right int")
-    traced = chunks.join(states, ["key", "chunk"]).mapInArrow(trace, "key binary, chunk int, ids array<int>")
+    traced = chunks.join(states, ["key", "chunk"]).mapInArrow(_released(trace), "key binary, chunk int, ids array<int>")
     return (traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
             .select("key", F.flatten(F.col("parts.ids")).alias("giant_ids")))
 
@@ -597,16 +612,17 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str |
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, round_trip, decoded_chars): ids of every text, and whether they decode to it again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs))
+    # what is left to the last step are the ids: texts are compared before
+    back = decode(encode(docs)).select("doc_id", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+                                       F.char_length("decoded").cast("long").alias("decoded_chars"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("ids")
             at, flat = np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             crc = [zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-            same = pc.equal(pc.fill_null(b.column("text"), ""), b.column("decoded"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(lists).cast(pa.int64()), pa.array(crc, pa.int64()), same,
-                                              pc.utf8_length(b.column("decoded")).cast(pa.int64())],
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(lists).cast(pa.int64()), pa.array(crc, pa.int64()),
+                                              b.column("round_trip"), b.column("decoded_chars")],
                                              names=["doc_id", "n_pieces", "ids_crc32", "round_trip", "decoded_chars"])
 
     return back.mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, decoded_chars long")

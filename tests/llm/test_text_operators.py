@@ -522,3 +522,16 @@ def test_page_query(spark):
         blocks = (" ".join(html.unescape(x).split()) for x in re.split(r"</?(?:p|h1|br)>", body))
         text = "\n".join(x for x in blocks if x)
         assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (text, len(text))
+
+
+def test_steps_leave_no_vocabulary():
+    """Workers take up other steps next; a step that ends early leaves none either."""
+    from stackloom.llm import sentencepiece_scan as scan
+
+    path = scan.public_tokenizers.path(scan.MODEL)
+    step = scan._released(lambda batches: (len(scan.vocabulary(path).ids) + b for b in batches))
+    for take in (3, 1):
+        run = step(iter(range(3)))
+        assert [next(run) for _ in range(take)] and scan.vocabulary.cache_info().currsize == 1
+        run.close()
+        assert scan.vocabulary.cache_info().currsize == 0
