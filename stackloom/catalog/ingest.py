@@ -65,12 +65,12 @@ def _samples(s, d):
 
 
 def _resolve(s, d):
-    rows = dic.resolve_stacks(_samples(s, d), _locations(s, d), _functions(s, d), _mappings(s, d), _strings(s, d))
     line = lambda x: F.concat_ws(":", x["function_name"], x["function_filename"], x["function_start_line"].cast("string"),
                                  x["line"].cast("string"))
     loc = lambda x: F.concat_ws("|", x["address"].cast("string"), F.coalesce(x["mapping_file"], F.lit("-")),
                                 F.coalesce(x["mapping_build_id"], F.lit("-")), F.array_join(F.transform(x["lines"], line), "<"))
-    return rows.groupBy(P, F.array_join(F.transform("stacktrace", loc), ";").alias("stack")).agg(
+    rows = dic.resolve_stacks(_samples(s, d), _locations(s, d), _functions(s, d), _mappings(s, d), _strings(s, d), loc)
+    return rows.groupBy(P, F.array_join("stacktrace", ";").alias("stack")).agg(
         F.count("*").alias("n"), F.sum("value").alias("total"))
 
 

@@ -7,15 +7,25 @@ system_name, filename, start_line)``, ``mappings(id, memory_start,
 memory_limit, file_offset, filename, build_id)``, ``strings(idx, text)``.
 """
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stackloom.functions.scalar import record
-from stackloom.operators.lookup import exploded, lookup, lookups
+from stackloom.operators.lookup import exploded, heavy_keys, lookup
 
 P = "profile_id"
 
+#: Location ids of a bucket of stacks, which bounds the frames that a task holds, and of the stacks that it returns at once.
+BUCKET, TOGETHER = 1 << 21, 1 << 16
+
+#: Types whose values can be hashed.
+PLAIN = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def unpivot_sample_types(samples: DataFrame) -> DataFrame:
     """One row per sample and sample type; zero values are dropped before the rows leave the generator."""
@@ -25,22 +35,30 @@ def unpivot_sample_types(samples: DataFrame) -> DataFrame:
         *rest, F.col("t.type").alias("sample_type"), F.col("t.unit").alias("sample_unit"), "value")
 
 
-def _texts(df: DataFrame, strings: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace string indexes by their text; a null or unknown index is empty, and so is 0, without a lookup."""
-    rest = [c for c in df.columns if c not in columns]
-    text = lambda c: strings.select(P, F.col("idx").alias(f"_{c}"), F.col("text").alias(f"{c}_text"))
-    keyed = df.select(*rest, *[F.when(F.col(c) != 0, F.col(c)).alias(f"_{c}") for c in columns])
-    df = lookups(keyed, [(exploded(text(c)), [P, f"_{c}"]) for c in columns], ["id"])
-    return df.select(*rest,
-                     *[F.coalesce(f"{c}_text", F.lit("")).alias(c) for c in columns])
+def _texts(tables: list[tuple[DataFrame, list[str]]], strings: DataFrame) -> list[DataFrame]:
+    """Replace string indexes by their text; a null or unknown index is empty, and so is 0, without a lookup.
+
+    The strings are by far the largest table: they are shuffled once for all columns of all tables.
+    """
+    refs = [df.select(P, "id", F.lit(i).alias("table"), F.explode(F.array_distinct(F.array(*columns))).alias("idx")).where("idx <> 0")
+            for i, (df, columns) in enumerate(tables)]
+    found = lookup(reduce(DataFrame.unionByName, refs), exploded(strings.select(P, "idx", "text")), [P, "idx"], ["id"], "inner")
+    out = []
+    for i, (df, columns) in enumerate(tables):
+        texts = found.where(F.col("table") == i).groupBy(P, "id").agg(F.collect_list(F.struct("idx", "text")).alias("texts"))
+        text = lambda c: F.get(F.filter("texts", lambda x: x["idx"] == F.col(c)), F.lit(0))["text"]
+        rest = [c for c in df.columns if c not in columns]
+        out.append(df.join(exploded(texts), [P, "id"], "left").select(
+            *rest, *[F.coalesce(text(c), F.lit("")).alias(c) for c in columns]))
+    return out
 
 
 def resolve_locations(locations: DataFrame, functions: DataFrame, mappings: DataFrame, strings: DataFrame) -> DataFrame:
     """Dictionary rows (profile_id, id, location struct)."""
-    fns = _texts(functions.select(P, "id", "start_line", "name", "system_name", "filename"), strings,
-                 ["name", "system_name", "filename"])
-    maps = _texts(mappings.select(P, "id", "memory_start", "memory_limit", "file_offset", "filename", "build_id"),
-                  strings, ["filename", "build_id"])
+    fns, maps = _texts([
+        (functions.select(P, "id", "start_line", "name", "system_name", "filename"), ["name", "system_name", "filename"]),
+        (mappings.select(P, "id", "memory_start", "memory_limit", "file_offset", "filename", "build_id"), ["filename", "build_id"])],
+        strings)
     lines = locations.select(P, F.col("id").alias("location"), F.posexplode("lines").alias("pos", "l")).select(
         P, "location", "pos", F.col("l.function_id").alias("id"), F.col("l.line").alias("line"), F.col("l.column").alias("column"))
     line = F.struct(
@@ -61,29 +79,119 @@ def resolve_locations(locations: DataFrame, functions: DataFrame, mappings: Data
         F.col("build_id").alias("mapping_build_id"),
         F.coalesce("lines", F.array()).alias("lines"))
     return (
-        lookup(keyed, m, [P, "mapping_id"], ["id"]).join(exploded(per_location), [P, "id"], "left")
+        lookup(keyed, exploded(m), [P, "mapping_id"], ["id"]).join(exploded(per_location), [P, "id"], "left")
         .select(P, "id", location.alias("location"))
     )
 
 
+def _order(x):
+    """A key that sorts values as Spark does: null first, structs and arrays by their parts."""
+    if x is None:
+        return (0,)
+    return (1, tuple(map(_order, x.values() if isinstance(x, dict) else x)) if isinstance(x, (dict, list)) else x)
+
+
+class _Frames:
+    """The frames of a bucket, found by profile and location id."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches)
+        self.profiles = table[P].unique()
+        ids = table["id"].combine_chunks()
+        self.ids = np.unique(ids.drop_null().to_numpy(zero_copy_only=False))
+        keys = self._keys(table[P], ids)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.frames = keys[order], pa.concat_arrays(table["frame"].chunks).take(pa.array(order))
+        twice = np.flatnonzero(self.keys[1:] == self.keys[:-1])
+        self.unique = not len(twice)
+        if not self.unique:  # a location id that is there several times: frames in their order, however they came
+            places = np.arange(len(keys))
+            for key in np.unique(self.keys[twice]):
+                own = np.flatnonzero(self.keys == key)
+                places[own] = sorted(own, key=lambda i: _order(self.frames[i].as_py()))
+            self.frames = self.frames.take(pa.array(places))
+
+    def _keys(self, profiles, ids: pa.Array) -> np.ndarray:
+        """A number for each pair of a profile and an id of this bucket; a null id has the least of its profile."""
+        profile = pc.index_in(profiles, value_set=self.profiles).to_numpy().astype(np.int64)
+        place = np.searchsorted(self.ids, ids.fill_null(0).to_numpy(zero_copy_only=False)) + 1
+        place[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        return profile * (len(self.ids) + 1) + place
+
+    def stacks(self, profiles: pa.Array, lists: pa.ListArray) -> Iterator[tuple[int, int, pa.ListArray]]:
+        """(first, end, stacks) for runs of rows."""
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+        first = 0
+        while first < len(lists):
+            end = max(first + 1, int(np.searchsorted(ends, ends[first] + TOGETHER, "right")) - 1)
+            sizes = np.diff(ends[first:end + 1])
+            keys = self._keys(profiles.slice(first, end - first).take(pa.array(np.repeat(np.arange(end - first), sizes))),
+                              lists.slice(first, end - first).flatten())
+            at, bounds = np.searchsorted(self.keys, keys), ends[first:end + 1] - ends[first]
+            if not self.unique:
+                n = np.searchsorted(self.keys, keys, "right") - at
+                before = np.concatenate([[0], np.cumsum(n)])
+                at = np.repeat(at - before[:-1], n) + np.arange(before[-1])
+                bounds = before[bounds]
+            yield first, end, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.frames.take(pa.array(at)))
+            first = end
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Samples with their stacks; the frames of a bucket come before its samples, and no others are held."""
+    coming, held = [], None
+    for batch in batches:
+        kind = batch.column("kind").to_numpy() % 2
+        cuts = np.flatnonzero(np.diff(kind)) + 1
+        for first, end in zip([0, *cuts], [*cuts, len(kind)]):
+            rows = batch.slice(first, end - first)
+            if not rows.num_rows:
+                continue
+            if kind[first] == 0:
+                held = None
+                coming.append(rows.select([P, "id", "frame"]))
+                continue
+            if coming or held is None:
+                held, coming = _Frames(coming or [rows.slice(0, 0).select([P, "id", "frame"])]), []
+            for i, j, stacks in held.stacks(rows.column("sample").field(P), rows.column("ids")):
+                yield pa.RecordBatch.from_arrays([rows.column("sample").slice(i, j - i), stacks], ["sample", "stacktrace"])
+
+
 def resolve_stacks(samples: DataFrame, locations: DataFrame, functions: DataFrame, mappings: DataFrame,
-                   strings: DataFrame) -> DataFrame:
+                   strings: DataFrame, frame: Callable[[Column], Column] = lambda location: location) -> DataFrame:
     """Samples with ``stacktrace`` instead of ``location_ids``, order kept.
 
-    Each distinct id list is resolved once. Common root locations occur in
-    most stacks and are split by their weight.
+    ``frame`` is what a stack shows of a location (null if the location is unknown); it is made once per location.
+    Samples are dealt into buckets by profile and leaf, and a leaf with many of them by its stacks, too. A bucket gets each
+    location that its stacks name once, and puts them together by itself: neither frames nor ids are shuffled per use.
     """
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     resolved = resolve_locations(locations, functions, mappings, strings)
-    lists = samples.select(P, "location_ids").distinct()
-    ids = lists.select(P, "location_ids", F.posexplode("location_ids").alias("pos", "id"))
-    stacks = (
-        lookup(ids, exploded(resolved), [P, "id"], ["location_ids", "pos"])
-        .groupBy(P, "location_ids")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "location"))), lambda x: x["location"]).alias("stacktrace"))
-    )
-    empty = F.array().cast(stacks.schema["stacktrace"].dataType)
-    return samples.join(exploded(stacks), [P, "location_ids"], "left").withColumn(
-        "stacktrace", F.coalesce("stacktrace", empty)).drop("location_ids")
+    kind = resolved.schema["location"].dataType
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    own = [F.col(quoted(c)) for c in samples.columns if c not in (P, "location_ids")]
+    # stacks of a heavy leaf are dealt by what their samples hold, too, as one of them may be most of it
+    dealt_by = ["ids", *[F.col(f"sample.{quoted(f.name)}") for f in samples.schema if f.name != "location_ids" and isinstance(f.dataType, PLAIN)]]
+    rows = samples.select(P, F.struct(P, *own).alias("sample"),
+                          F.when(F.col(P).isNotNull(), F.col("location_ids").cast("array<bigint>")).alias("ids"))
+    rows = rows.withColumn("leaf", F.get("ids", F.lit(0)))
+    heavy = heavy_keys(rows, [[P, "leaf"]], tasks)
+    parts = F.coalesce(F.try_element_at(heavy.getField("m0"), F.xxhash64(P, "leaf")), F.lit(1))
+    refs = rows.agg(F.sum(F.greatest(F.size("ids"), F.lit(0)).cast("long"))).scalar()
+    buckets = F.greatest(F.ceil(F.coalesce(refs, F.lit(0)) / F.lit(BUCKET * tasks)), F.lit(1)) * tasks
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(P, "leaf", F.pmod(F.xxhash64(*dealt_by), parts)), buckets))
+
+    named = rows.select("bucket", P, F.explode("ids").alias("id")).distinct()
+    known = resolved.select(P, "id", F.struct(frame(F.col("location")).alias("frame")).alias("known"))
+    frames = named.join(exploded(known), [P, "id"], "left").select(
+        "bucket", P, "id", F.when(F.col("known").isNull(), frame(F.lit(None).cast(kind))).otherwise(F.col("known.frame")).alias("frame"))
+    empty = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = frames.select((F.col("bucket") * 2).alias("kind"), P, "id", "frame", empty(rows, "ids"), empty(rows, "sample")).unionByName(
+        rows.select((F.col("bucket") * 2 + 1).alias("kind"), empty(rows, P), empty(frames, "id"), empty(frames, "frame"), "ids", "sample"))
+    dealt = both.repartitionById(tasks, F.pmod(F.expr("kind div 2"), F.lit(tasks)).cast("int")).sortWithinPartitions("kind")
+    out = T.StructType([T.StructField("sample", both.schema["sample"].dataType),
+                        T.StructField("stacktrace", T.ArrayType(both.schema["frame"].dataType))])
+    return dealt.mapInArrow(_fill, out).select("sample.*", "stacktrace")
 
 
 def _issue(df: DataFrame, error: str, ref: Column) -> DataFrame:

@@ -522,3 +522,77 @@ def test_otlp_tables_are_resolved_once(spark):
     plan = otlp.ingest_otlp(request(spark))._jdf.queryExecution().optimizedPlan().toString()
     inner = [x for x in plan.splitlines() if "Generate inline" in x][-1]
     assert "function_filename" not in inner.split("named_struct(name")[-1] and inner.count("regexp_replace") < 6
+
+
+def dictionary_tables(spark, profile="long"):
+    """Two profiles with the same ids; location 3 is there twice, its second line unknown, and function 9 is unknown."""
+    rows = lambda data, schema: spark.createDataFrame(data, f"profile_id long, {schema}").withColumn("profile_id", F.col("profile_id").cast(profile))
+    ids = [(p, i) for p in (1, 2) for i in range(1, 6)]
+    locations = [(p, i, i % 3, 100 * p + i, [(1 + i % 2, i, 0)] * (i % 3)) for p, i in ids] + [(2, 3, 1, 5, [(9, 7, 0)])]
+    return dict(
+        locations=rows(locations, "id long, mapping_id long, address long, lines array<struct<function_id:long,line:long,column:long>>"),
+        functions=rows([(p, i, i, 0, 3, p) for p in (1, 2) for i in (1, 2)], "id long, name long, system_name long, filename long, start_line long"),
+        mappings=rows([(p, 1, 0, 9, 0, 3, 77) for p in (1, 2)], "id long, memory_start long, memory_limit long, file_offset long, filename long, build_id long"),
+        strings=rows([(p, i, f"{t}{p}" if t else "") for p in (1, 2) for i, t in enumerate(["", "f", "g;h", "c.go"])], "idx long, text string"))
+
+
+@pytest.mark.parametrize("bucket, profile", [(1 << 21, "long"), (3, "string")])
+def test_stacks_are_those_of_their_locations(spark, monkeypatch, bucket, profile):
+    """Unknown, absent, repeated and null ids, lists without ids, a common leaf, samples that are equal; few rows at once."""
+    monkeypatch.setattr(dictionary, "BUCKET", bucket)
+    tables = dictionary_tables(spark, profile)
+    lists = [[1, 2, 5], [], None, [77, 1], [None, 2, 0], [3, 1], [5]] + [[4, i % 5 + 1] for i in range(60)]
+    rows = [(p, x, n % 4, {"k": str(n)}) for p in (1, 2, None) for n, x in enumerate(lists)] * 2
+    given = spark.createDataFrame(rows, "profile_id long, location_ids array<long>, `v.x` long, m map<string,string>").withColumn(
+        "profile_id", F.col("profile_id").cast(profile))
+    of = str if profile == "string" else int
+    places = {}
+    for r in dictionary.resolve_locations(**tables).collect():
+        places.setdefault((r[0], r[1]), []).append(r[2])
+    assert len(places) == 10 and {x.mapping_file for v in places.values() for x in v} == {None, "c.go1", "c.go2"}
+    assert [[y.function_name for y in x.lines] for x in places[of(2), 3]] == [[None], [None]]
+    assert [y.function_name for y in places[of(1), 2][0].lines] == ["f1", "f1"]
+
+    def stack(p, ids):  # a location that is there twice is shown twice, the lesser first
+        return [] if p is None else [y for i in ids or [] for y in sorted(
+            places.get((of(p), i), [None]), key=lambda x: x and x.address)]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = dictionary.resolve_stacks(given, **tables)
+        assert out.columns == ["profile_id", "v.x", "m", "stacktrace"]
+        got = [tuple(r) for r in out.collect()]
+        assert sorted(got, key=repr) == sorted([(p and of(p), v, m, stack(p, ids)) for p, ids, v, m in rows], key=repr)
+        shown = dictionary.resolve_stacks(given, **tables, frame=lambda x: F.coalesce(x["address"], F.lit(-1).cast("long")))
+        got = [(r[0], r[1], r[2], r[3]) for r in shown.collect()]
+        assert sorted(got, key=repr) == sorted([(p and of(p), v, m, [-1 if x is None else x.address for x in stack(p, ids)])
+                                                for p, ids, v, m in rows], key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_stacks_are_returned_few_at_once(monkeypatch):
+    monkeypatch.setattr(dictionary, "TOGETHER", 4)
+    schema = pa.schema([("kind", pa.int64()), ("profile_id", pa.int64()), ("id", pa.int64()), ("frame", pa.string()),
+                        ("ids", pa.list_(pa.int64())), ("sample", pa.struct([("profile_id", pa.int64())]))])
+    rows = [dict(kind=0, profile_id=1, id=i, frame=f"a{i}") for i in (2, 1)]
+    rows += [dict(kind=1, ids=x, sample=dict(profile_id=1)) for x in ([1, 2], [1], [2] * 6, [], [2], [1, 1, 2])]
+    rows += [dict(kind=3, ids=[], sample=dict(profile_id=7)), dict(kind=4, profile_id=3, id=1, frame="b1"),
+             dict(kind=5, ids=[1], sample=dict(profile_id=3))]
+    out = list(dictionary._fill(iter(pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=5))))
+    assert [x for b in out for x in b["stacktrace"].to_pylist()] == [
+        ["a1", "a2"], ["a1"], ["a2"] * 6, [], ["a2"], ["a1", "a1", "a2"], [], ["b1"]]
+    assert max(sum(map(len, b["stacktrace"].to_pylist())) for b in out if b.num_rows > 1) <= 4
+
+
+def test_frames_and_ids_are_not_shuffled_per_use(spark):
+    """A bucket of stacks gets a location once; the strings are shuffled once for functions and mappings."""
+    from stackloom.catalog import all_queries
+
+    df = all_queries()["resolve_stacks"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("MapInArrow", 1)
+    assert "Join" not in above and "Join" in below
+    for join in below.split("Join ")[1:]:
+        assert "location_ids" not in join.splitlines()[0]
+    assert "posexplode(location_ids" not in plan
