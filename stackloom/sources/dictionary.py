@@ -23,6 +23,9 @@ P = "profile_id"
 #: Location ids of a bucket of stacks, which bounds the frames that a task holds, and of the stacks that it returns at once.
 BUCKET, TOGETHER = 1 << 21, 1 << 16
 
+#: Tasks that the buckets are dealt to, unless there are more shuffle partitions; a task may have several.
+MOST_TASKS = 4096
+
 #: Types whose values can be hashed.
 PLAIN = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -46,7 +49,7 @@ def _texts(tables: list[tuple[DataFrame, list[str]]], strings: DataFrame) -> lis
     out = []
     for i, (df, columns) in enumerate(tables):
         texts = found.where(F.col("table") == i).groupBy(P, "id").agg(F.collect_list(F.struct("idx", "text")).alias("texts"))
-        text = lambda c: F.get(F.filter("texts", lambda x: x["idx"] == F.col(c)), F.lit(0))["text"]
+        text = lambda c: F.array_min(F.filter("texts", lambda x: x["idx"] == F.col(c)))["text"]
         rest = [c for c in df.columns if c not in columns]
         out.append(df.join(exploded(texts), [P, "id"], "left").select(
             *rest, *[F.coalesce(text(c), F.lit("")).alias(c) for c in columns]))
@@ -102,21 +105,21 @@ class _Frames:
         keys = self._keys(table[P], ids)
         order = np.argsort(keys, kind="stable")
         self.keys, self.frames = keys[order], pa.concat_arrays(table["frame"].chunks).take(pa.array(order))
-        twice = np.flatnonzero(self.keys[1:] == self.keys[:-1])
-        self.unique = not len(twice)
+        starts = np.flatnonzero(np.append(True, self.keys[1:] != self.keys[:-1])[:len(keys)])
+        self.unique = len(starts) == len(keys)
         if not self.unique:  # a location id that is there several times: frames in their order, however they came
-            places = np.arange(len(keys))
-            for key in np.unique(self.keys[twice]):
-                own = np.flatnonzero(self.keys == key)
-                places[own] = sorted(own, key=lambda i: _order(self.frames[i].as_py()))
+            places, sizes = np.arange(len(keys)), np.diff(np.append(starts, len(keys)))
+            for first, size in zip(starts[sizes > 1], sizes[sizes > 1]):
+                places[first:first + size] = sorted(range(first, first + size), key=lambda i: _order(self.frames[i].as_py()))
             self.frames = self.frames.take(pa.array(places))
 
     def _keys(self, profiles, ids: pa.Array) -> np.ndarray:
-        """A number for each pair of a profile and an id of this bucket; a null id has the least of its profile."""
-        profile = pc.index_in(profiles, value_set=self.profiles).to_numpy().astype(np.int64)
-        place = np.searchsorted(self.ids, ids.fill_null(0).to_numpy(zero_copy_only=False)) + 1
-        place[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-        return profile * (len(self.ids) + 1) + place
+        """A number for each pair of a profile and an id of this bucket, -1 for others; a null id has the least of its profile."""
+        profile = pc.fill_null(pc.index_in(profiles, value_set=self.profiles), -1).to_numpy().astype(np.int64)
+        null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        place = np.searchsorted(self.ids, ids)
+        known = null | (np.append(self.ids, 0)[place] == ids) & (place < len(self.ids))
+        return np.where(known & (profile >= 0), profile * (len(self.ids) + 1) + np.where(null, 0, place + 1), -1)
 
     def stacks(self, profiles: pa.Array, lists: pa.ListArray) -> Iterator[tuple[int, int, pa.ListArray]]:
         """(first, end, stacks) for runs of rows."""
@@ -128,6 +131,8 @@ class _Frames:
             keys = self._keys(profiles.slice(first, end - first).take(pa.array(np.repeat(np.arange(end - first), sizes))),
                               lists.slice(first, end - first).flatten())
             at, bounds = np.searchsorted(self.keys, keys), ends[first:end + 1] - ends[first]
+            if (np.append(self.keys, -2)[at] != keys).any():
+                raise RuntimeError("samples name a location that they did not name when they were read for the locations")
             if not self.unique:
                 n = np.searchsorted(self.keys, keys, "right") - at
                 before = np.concatenate([[0], np.cumsum(n)])
@@ -164,8 +169,8 @@ def resolve_stacks(samples: DataFrame, locations: DataFrame, functions: DataFram
     ``frame`` is what a stack shows of a location (null if the location is unknown); it is made once per location.
     Samples are dealt into buckets by profile and leaf, and a leaf with many of them by its stacks, too. A bucket gets each
     location that its stacks name once, and puts them together by itself: neither frames nor ids are shuffled per use.
+    ``samples`` are read several times, one of them at once.
     """
-    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     resolved = resolve_locations(locations, functions, mappings, strings)
     kind = resolved.schema["location"].dataType
     quoted = lambda c: f"`{c.replace('`', '``')}`"
@@ -175,11 +180,13 @@ def resolve_stacks(samples: DataFrame, locations: DataFrame, functions: DataFram
     rows = samples.select(P, F.struct(P, *own).alias("sample"),
                           F.when(F.col(P).isNotNull(), F.col("location_ids").cast("array<bigint>")).alias("ids"))
     rows = rows.withColumn("leaf", F.get("ids", F.lit(0)))
+    # counted first: few shuffle partitions would hold many buckets each, and sort them on disk
+    wanted = -(-(rows.agg(F.sum(F.greatest(F.size("ids"), F.lit(0)).cast("long"))).first()[0] or 0) // BUCKET)
+    tasks = max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, MOST_TASKS))
+    buckets = tasks * max(-(-wanted // tasks), 1)
     heavy = heavy_keys(rows, [[P, "leaf"]], tasks)
     parts = F.coalesce(F.try_element_at(heavy.getField("m0"), F.xxhash64(P, "leaf")), F.lit(1))
-    refs = rows.agg(F.sum(F.greatest(F.size("ids"), F.lit(0)).cast("long"))).scalar()
-    buckets = F.greatest(F.ceil(F.coalesce(refs, F.lit(0)) / F.lit(BUCKET * tasks)), F.lit(1)) * tasks
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(P, "leaf", F.pmod(F.xxhash64(*dealt_by), parts)), buckets))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(P, "leaf", F.pmod(F.xxhash64(*dealt_by), parts)), F.lit(buckets).cast("long")))
 
     named = rows.select("bucket", P, F.explode("ids").alias("id")).distinct()
     known = resolved.select(P, "id", F.struct(frame(F.col("location")).alias("frame")).alias("known"))
@@ -188,7 +195,11 @@ def resolve_stacks(samples: DataFrame, locations: DataFrame, functions: DataFram
     empty = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     both = frames.select((F.col("bucket") * 2).alias("kind"), P, "id", "frame", empty(rows, "ids"), empty(rows, "sample")).unionByName(
         rows.select((F.col("bucket") * 2 + 1).alias("kind"), empty(rows, P), empty(frames, "id"), empty(frames, "frame"), "ids", "sample"))
-    dealt = both.repartitionById(tasks, F.pmod(F.expr("kind div 2"), F.lit(tasks)).cast("int")).sortWithinPartitions("kind")
+    dealt = both.repartitionById(tasks, F.pmod(F.expr("kind div 2"), F.lit(tasks)).cast("int"))
+    # by bucket, frames first, and leaf: texts that are much alike follow each other. One number, so rows aren't compared
+    bits = 62 - (2 * buckets).bit_length()
+    dealt = dealt.sortWithinPartitions(F.shiftleft("kind", bits).bitwiseOR(
+        F.coalesce(F.get("ids", F.lit(0)), F.lit(0)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))))
     out = T.StructType([T.StructField("sample", both.schema["sample"].dataType),
                         T.StructField("stacktrace", T.ArrayType(both.schema["frame"].dataType))])
     return dealt.mapInArrow(_fill, out).select("sample.*", "stacktrace")

@@ -583,6 +583,10 @@ def test_long_stacks_are_returned_few_at_once(monkeypatch):
     assert [x for b in out for x in b["stacktrace"].to_pylist()] == [
         ["a1", "a2"], ["a1"], ["a2"] * 6, [], ["a2"], ["a1", "a1", "a2"], [], ["b1"]]
     assert max(sum(map(len, b["stacktrace"].to_pylist())) for b in out if b.num_rows > 1) <= 4
+    for row in (dict(kind=1, ids=[3], sample=dict(profile_id=1)), dict(kind=1, ids=[0], sample=dict(profile_id=1)),
+                dict(kind=1, ids=[None], sample=dict(profile_id=1)), dict(kind=1, ids=[1], sample=dict(profile_id=2))):
+        with pytest.raises(RuntimeError):
+            list(dictionary._fill(iter(pa.Table.from_pylist([*rows[:2], row], schema).to_batches())))
 
 
 def test_frames_and_ids_are_not_shuffled_per_use(spark):
